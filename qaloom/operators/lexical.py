@@ -11,7 +11,7 @@ from qaloom import prompts
 from qaloom.functions.text import terms
 from qaloom.operators.ranking import top_k
 from qaloom.operators.skew import hot_keys, salted_join
-from qaloom.session import broadcast_if_small, is_small, stage
+from qaloom.session import is_small, stage
 
 # BM25 saturation and length parameters.
 K1 = 1.2
@@ -125,10 +125,7 @@ def bm25_search(
     vocabulary = wanted.select("term").distinct()
     index = corpus if isinstance(corpus, LexicalIndex) else bm25_index(corpus, doc_id, text, vocabulary)
 
-    statistics = term_statistics(index)
-    if isinstance(corpus, LexicalIndex):
-        statistics = statistics.join(broadcast_if_small(vocabulary), "term", "left_semi")
-    weighted = wanted.join(statistics, "term").select(
+    weighted = wanted.join(term_statistics(index), "term").select(
         "query_id",
         "term",
         "df",
@@ -136,16 +133,19 @@ def bm25_search(
         (F.col("qtf") * F.col("idf") * F.col("top_impact")).alias("most"),
     )
     weighted = stage(weighted, "query-weights")
-    hot = hot_keys(weighted.groupBy("term").agg(F.max("df").alias("df")), "term", "df")
+    small = is_small(weighted)
+    hot = None if small else hot_keys(weighted.groupBy("term").agg(F.max("df").alias("df")), "term", "df")
     postings = index.postings.where(F.col("term") != LENGTH_TERM).select(
         "term", "doc_id", index.impact().alias("impact")
     )
 
-    def scored(some_weights: DataFrame) -> DataFrame:
-        """Sums over the given query terms, combined per task before the shuffle."""
-        pairs = salted_join(postings, broadcast_if_small(some_weights), "term", "doc_id", hot)
-        return pairs.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+    def matches(some_weights: DataFrame) -> DataFrame:
+        """Postings of the given query terms: a broadcast if all weights are small, else a salted shuffle join."""
+        if small:
+            return postings.join(F.broadcast(some_weights), "term")
+        return salted_join(postings, some_weights, "term", "doc_id", hot)
 
+    contribution = F.sum(F.col("weight") * F.col("impact"))
     rarest = Window.partitionBy("query_id").orderBy("df", "term")
     upto = rarest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seeds = (
@@ -153,39 +153,42 @@ def bm25_search(
         .where((F.col("_read") <= SEED_POSTINGS) | (F.col("_read") == F.col("df")))
         .select("query_id", "term", "weight")
     )
-    bounds = (
-        top_k(scored(seeds), k, ["query_id"]).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-    )
+    bounds = _kth_score(matches(seeds).groupBy("query_id", "doc_id").agg(contribution.alias("score")), k)
 
     weakest = Window.partitionBy("query_id").orderBy("most", "term")
     running = weakest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left_over = F.sum(F.when(~F.col("essential"), F.col("most"))).over(Window.partitionBy("query_id"))
     marked = (
         weighted.join(bounds, "query_id", "left")
         .withColumn("bound", F.coalesce("bound", F.lit(0.0)) - F.lit(MARGIN))
-        .withColumn("_reach", F.sum("most").over(running))
-        .withColumn("essential", F.col("_reach") >= F.col("bound"))
-        .withColumn(
-            "rest",
-            F.coalesce(
-                F.sum(F.when(~F.col("essential"), F.col("most"))).over(Window.partitionBy("query_id")), F.lit(0.0)
-            ),
-        )
-    )
-    marked = stage(
-        marked.select("query_id", "term", "weight", "essential", (F.col("bound") - F.col("rest")).alias("floor")),
-        "query-plan",
+        .withColumn("essential", F.sum("most").over(running) >= F.col("bound"))
+        .withColumn("rest", F.coalesce(left_over, F.lit(0.0)))
     )
+    marked = stage(marked.select("query_id", "term", "weight", "essential", "bound", "rest"), "query-plan")
 
-    floors = broadcast_if_small(marked.groupBy("query_id").agg(F.max("floor").alias("floor")))
-    partial = scored(marked.where("essential").select("query_id", "term", "weight"))
-    candidates = stage(
-        partial.join(floors, "query_id").where(F.col("score") >= F.col("floor")).drop("floor"), "candidates"
+    partial = (
+        matches(marked.where("essential"))
+        .groupBy("query_id", "doc_id")
+        .agg(contribution.alias("score"), F.max("bound").alias("bound"), F.max("rest").alias("rest"))
+        .where(F.col("score") + F.col("rest") >= F.col("bound"))
+    )
+    partial = stage(partial.select("query_id", "doc_id", "score", "rest"), "partial-scores")
+    tighter = _kth_score(partial, k)
+    candidates = (
+        partial.join(F.broadcast(tighter) if small else tighter, "query_id", "left")
+        .where(F.coalesce(F.col("score") + F.col("rest") >= F.col("bound") - F.lit(MARGIN), F.lit(True)))
+        .select("query_id", "doc_id", "score")
     )
 
     remaining = marked.where(~F.col("essential")).select("query_id", "term", "weight")
-    lookups = candidates.select("query_id", "doc_id").join(broadcast_if_small(remaining), "query_id")
+    lookups = candidates.select("query_id", "doc_id").join(F.broadcast(remaining) if small else remaining, "query_id")
     completed = lookups.join(postings, ["term", "doc_id"]).select(
         "query_id", "doc_id", (F.col("weight") * F.col("impact")).alias("score")
     )
     totals = candidates.unionByName(completed).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
     return top_k(totals, k, ["query_id"]).select("query_id", "doc_id", "score", "rank")
+
+
+def _kth_score(scores: DataFrame, k: int) -> DataFrame:
+    """The k-th best score of every query that has as many: no document of the top k scores less."""
+    return top_k(scores, k, ["query_id"]).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
