@@ -161,7 +161,7 @@ def topics_file(spark: SparkSession, sf_dir: str) -> str:
         F.col("query_id").cast("string").alias("_number"),
         "query",
         F.when(F.pmod("query_id", F.lit(2)) == 0, F.lit("")).otherwise(F.reverse("query")).alias("question"),
-        F.when(F.pmod("query_id", F.lit(3)) != 0, F.upper("query")).alias("narrative"),
+        F.when(F.pmod("query_id", F.lit(3)) != 0, F.concat(F.lit("<About> "), F.col("query"))).alias("narrative"),
     )
     topics.write.format("xml").option("rowTag", "topic").option("rootTag", "topics").save(path)
     return path
@@ -484,7 +484,7 @@ SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id,
 WITH {SQL_QUERIES}
 SELECT CAST(query_id AS VARCHAR) AS query_id, query,
        CASE WHEN query_id % 2 = 0 THEN '' ELSE reverse(query) END AS question,
-       CASE WHEN query_id % 3 <> 0 THEN upper(query) ELSE '' END AS narrative FROM queries""",
+       CASE WHEN query_id % 3 <> 0 THEN '<About> ' || query ELSE '' END AS narrative FROM queries""",
     "id_list_scan": "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS doc_id FROM labels",
     "chat_jsonl_roundtrip": f"""
 WITH {SQL_PAIRS}

@@ -154,11 +154,11 @@ def greedy_match_f1(
         matching = extents.select("_key", F.col(other).alias("_n"))
         rows = cut.where(F.col("_side") == own).join(matching, "_key")
         return rows.select(
-            "_key",
+            F.col("_key").alias("_pair"),
             F.col("_block").alias(own_name),
             F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)).alias(other_name),
-            "_at",
-            "_vector",
+            F.col("_at").alias("_place"),
+            F.col("_vector").alias("_v"),
         )
 
     candidates = blocks("candidate", "reference", "_cb", "_rb")
@@ -167,20 +167,20 @@ def greedy_match_f1(
     def match(c: pa.Table, r: pa.Table) -> pa.Table:
         n_c, n_r = len(c), len(r)
         if n_c and n_r:
-            cosines = unit_rows(c["_vector"]) @ unit_rows(r["_vector"]).T
+            cosines = unit_rows(c["_v"]) @ unit_rows(r["_v"]).T
             best = np.concatenate([cosines.max(axis=1), cosines.max(axis=0)])
         else:
             best = np.zeros(n_c + n_r)
         return pa.table(
             {
-                "_key": pa.concat_arrays([*c["_key"].chunks, *r["_key"].chunks]),
+                "_key": pa.concat_arrays([*c["_pair"].chunks, *r["_pair"].chunks]),
                 "_side": pa.array(["candidate"] * n_c + ["reference"] * n_r, pa.string()),
-                "_at": pa.concat_arrays([*c["_at"].chunks, *r["_at"].chunks]),
+                "_at": pa.concat_arrays([*c["_place"].chunks, *r["_place"].chunks]),
                 "_best": pa.array(best, pa.float64()),
             }
         )
 
-    tile = ["_key", "_cb", "_rb"]
+    tile = ["_pair", "_cb", "_rb"]
     maxima = candidates.groupBy(*tile).cogroup(references.groupBy(*tile)).applyInArrow(
         match, f"_key {key_type}, _side string, _at bigint, _best double"
     )

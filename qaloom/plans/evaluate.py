@@ -59,7 +59,8 @@ def prompts_with_and_without_context(
     """One prompt per question, model and mode; the context is gathered once per question for all of them."""
     contexts = rag_context(questions, hits, corpus)
     runs = contexts.withColumn("model", each(models)).withColumn("use_rag", each((True, False)))
-    return runs.withColumn("messages", build_prompt("question", "context", F.col("use_rag"), question_type))
+    kind = None if question_type is None else F.lit(question_type)
+    return runs.withColumn("messages", build_prompt("question", "context", F.col("use_rag"), kind))
 
 
 def run_close_ended(
