@@ -11,14 +11,15 @@ from qaloom import prompts
 from qaloom.functions.text import terms
 from qaloom.operators.ranking import top_k
 from qaloom.operators.skew import hot_keys, salted_join
-from qaloom.session import is_small, stage
+from qaloom.session import fits_broadcast, is_small, measure, stage
 
 # BM25 saturation and length parameters.
 K1 = 1.2
 B = 0.75
 
-# Postings read per query to find a first bound on the k-th best score.
+# Postings read per query, and documents per result place completed, to find a bound on the k-th best score.
 SEED_POSTINGS = 2_000
+SEED_FACTOR = 5
 # Pruning keeps this margin, wider than the decimals at which scores are compared.
 MARGIN = 1e-5
 
@@ -116,10 +117,10 @@ def bm25_search(
     """Top ``k`` documents per query: ``query_id, doc_id, score, rank``.
 
     Joining every query term with its postings would emit all pairs of a query and a document that share a common
-    word. Instead a first bound on the k-th best score is taken from each query's rarest terms. Terms whose
-    largest possible contributions sum to less than the bound cannot lift a document into the top k alone, so
-    only documents with one of the other terms become candidates; those that can still reach the bound are then
-    completed. The result is the same as for the full join.
+    word. Instead some documents found by each query's rarest terms are scored in full; their k-th best score
+    bounds the result from below. Terms whose largest possible contributions sum to less than the bound cannot
+    lift a document into the top k alone, so only documents with one of the other terms become candidates, and
+    those that can still reach the bound are completed. The result is the same as for the full join.
     """
     wanted = stage(query_terms(queries, query_id, query), "query-terms")
     vocabulary = wanted.select("term").distinct()
@@ -133,7 +134,8 @@ def bm25_search(
         (F.col("qtf") * F.col("idf") * F.col("top_impact")).alias("most"),
     )
     weighted = stage(weighted, "query-weights")
-    small = is_small(weighted)
+    n_weights, n_bytes = measure(weighted)
+    small = fits_broadcast(n_weights, n_bytes)
     hot = None if small else hot_keys(weighted.groupBy("term").agg(F.max("df").alias("df")), "term", "df")
     postings = index.postings.where(F.col("term") != LENGTH_TERM).select(
         "term", "doc_id", index.impact().alias("impact")
@@ -145,7 +147,12 @@ def bm25_search(
             return postings.join(F.broadcast(some_weights), "term")
         return salted_join(postings, some_weights, "term", "doc_id", hot)
 
-    contribution = F.sum(F.col("weight") * F.col("impact"))
+    def looked_up(pairs: DataFrame, some_weights: DataFrame, few: bool) -> DataFrame:
+        """Contributions of the given terms to the given (query, document) pairs."""
+        wanted_postings = pairs.join(F.broadcast(some_weights) if small else some_weights, "query_id")
+        return (F.broadcast(wanted_postings) if few else wanted_postings).join(postings, ["term", "doc_id"])
+
+    contribution = F.sum(F.col("weight") * F.col("impact")).alias("score")
     rarest = Window.partitionBy("query_id").orderBy("df", "term")
     upto = rarest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seeds = (
@@ -153,7 +160,11 @@ def bm25_search(
         .where((F.col("_read") <= SEED_POSTINGS) | (F.col("_read") == F.col("df")))
         .select("query_id", "term", "weight")
     )
-    bounds = _kth_score(matches(seeds).groupBy("query_id", "doc_id").agg(contribution.alias("score")), k)
+    n_seeds = SEED_FACTOR * k
+    seed_pairs = top_k(matches(seeds).groupBy("query_id", "doc_id").agg(contribution), n_seeds, ["query_id"])
+    few_seeds = fits_broadcast(n_weights * n_seeds, n_bytes * n_seeds)
+    seed_terms = looked_up(seed_pairs.select("query_id", "doc_id"), weighted.select("query_id", "term", "weight"), few_seeds)
+    bounds = _kth_score(seed_terms.groupBy("query_id", "doc_id").agg(contribution), k)
 
     weakest = Window.partitionBy("query_id").orderBy("most", "term")
     running = weakest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -169,23 +180,18 @@ def bm25_search(
     partial = (
         matches(marked.where("essential"))
         .groupBy("query_id", "doc_id")
-        .agg(contribution.alias("score"), F.max("bound").alias("bound"), F.max("rest").alias("rest"))
+        .agg(contribution, F.max("bound").alias("bound"), F.max("rest").alias("rest"))
         .where(F.col("score") + F.col("rest") >= F.col("bound"))
     )
-    partial = stage(partial.select("query_id", "doc_id", "score", "rest"), "partial-scores")
-    tighter = _kth_score(partial, k)
-    candidates = (
-        partial.join(F.broadcast(tighter) if small else tighter, "query_id", "left")
-        .where(F.coalesce(F.col("score") + F.col("rest") >= F.col("bound") - F.lit(MARGIN), F.lit(True)))
-        .select("query_id", "doc_id", "score")
-    )
-
+    partial = stage(partial.select("query_id", "doc_id", "score"), "partial-scores")
     remaining = marked.where(~F.col("essential")).select("query_id", "term", "weight")
-    lookups = candidates.select("query_id", "doc_id").join(F.broadcast(remaining) if small else remaining, "query_id")
-    completed = lookups.join(postings, ["term", "doc_id"]).select(
+    n_pairs, pair_bytes = measure(partial)
+    longest = remaining.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    few = fits_broadcast(n_pairs * longest, pair_bytes * longest)
+    completed = looked_up(partial.select("query_id", "doc_id"), remaining, few).select(
         "query_id", "doc_id", (F.col("weight") * F.col("impact")).alias("score")
     )
-    totals = candidates.unionByName(completed).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    totals = partial.unionByName(completed).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
     return top_k(totals, k, ["query_id"]).select("query_id", "doc_id", "score", "rank")
 
 

@@ -28,13 +28,22 @@ def ngrams(tokens: Column, n: Column | int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
 
 
-def clipped_matches(pairs: DataFrame, key: str, candidate: Column, reference: Column, sizes: Sequence[int]) -> DataFrame:
-    """Per key and n: n-grams of either side and the matches, each counted at most as often as in the other side.
+def clipped_matches(
+    pairs: DataFrame, key: str, views: Sequence[tuple[str, Column, Column, Sequence[int]]]
+) -> DataFrame:
+    """Per key, view and n: n-grams of either side and the matches, each counted at most as often as in the other side.
 
-    The texts are shuffled once by key; n-grams are then exploded, counted and summed inside their partition.
+    A view is ``(name, candidate tokens, reference tokens, sizes)``. The texts are shuffled once by key for all
+    views; n-grams are then exploded, counted and summed inside their partition.
     """
-    placed = pairs.select(key, candidate.alias("_c"), reference.alias("_r")).repartition(key)
-    per_size = placed.select(key, "_c", "_r", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"))
+    tokens = [c.alias(f"_{name}_{side}") for name, *sides, _ in views for side, c in zip("cr", sides)]
+    placed = pairs.select(key, *tokens).repartition(key)
+    runs = [
+        F.struct(F.lit(name).alias("view"), F.lit(n).alias("n"), F.col(f"_{name}_c").alias("_c"), F.col(f"_{name}_r").alias("_r"))
+        for name, _, _, sizes in views
+        for n in sizes
+    ]
+    per_size = placed.select(key, F.inline(F.array(*runs)))
 
     def side(tokens: str, in_candidate: int) -> Column:
         return F.transform(
@@ -44,19 +53,35 @@ def clipped_matches(pairs: DataFrame, key: str, candidate: Column, reference: Co
 
     # One empty entry per side keeps pairs without any n-gram; it never counts.
     marker = F.array(F.struct(F.lit("").alias("gram"), F.lit(0).alias("c"), F.lit(0).alias("r")))
-    grams = per_size.select(key, "n", F.inline(F.concat(marker, side("_c", 1), side("_r", 0))))
-    counted = grams.groupBy(key, "n", "gram").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
-    return counted.groupBy(key, "n").agg(
+    grams = per_size.select(key, "view", "n", F.inline(F.concat(marker, side("_c", 1), side("_r", 0))))
+    counted = grams.groupBy(key, "view", "n", "gram").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
+    return counted.groupBy(key, "view", "n").agg(
         F.sum(F.least("c", "r")).alias("matches"),
         F.sum("c").alias("candidate_grams"),
         F.sum("r").alias("reference_grams"),
     )
 
 
+def rouge_view(candidate: str, reference: str, sizes: Sequence[int]) -> tuple[str, Column, Column, Sequence[int]]:
+    return "rouge", ascii_terms(candidate), ascii_terms(reference), sizes
+
+
+def bleu_view(candidate: str, reference: str) -> tuple[str, Column, Column, Sequence[int]]:
+    return "bleu", words(candidate), words(reference), (1, 2, 3, 4)
+
+
 def f_measure(precision: Column, recall: Column) -> Column:
     return F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
 
 
+def overlap_precision() -> Column:
+    return F.coalesce(F.try_divide("matches", "candidate_grams"), F.lit(0.0))
+
+
+def overlap_recall() -> Column:
+    return F.coalesce(F.try_divide("matches", "reference_grams"), F.lit(0.0))
+
+
 def rouge_n(
     pairs: DataFrame,
     key: str = "pair_id",
@@ -65,33 +90,53 @@ def rouge_n(
     sizes: Sequence[int] = (1, 2),
 ) -> DataFrame:
     """ROUGE-n precision, recall and F per key and n, over lower-case ASCII words without stemming."""
-    counts = clipped_matches(pairs, key, ascii_terms(candidate), ascii_terms(reference), sizes)
-    precision = F.coalesce(F.try_divide("matches", "candidate_grams"), F.lit(0.0))
-    recall = F.coalesce(F.try_divide("matches", "reference_grams"), F.lit(0.0))
+    counts = clipped_matches(pairs, key, [rouge_view(candidate, reference, sizes)])
+    precision, recall = overlap_precision(), overlap_recall()
     return counts.select(
         key, "n", precision.alias("precision"), recall.alias("recall"), f_measure(precision, recall).alias("f")
     )
 
 
-def bleu4(
-    pairs: DataFrame, key: str = "pair_id", candidate: str = "prediction", reference: str = "answer"
-) -> DataFrame:
-    """Sentence BLEU with n = 1…4, equal weights, brevity penalty and additive smoothing of zero matches."""
-    counts = clipped_matches(pairs, key, words(candidate), words(reference), (1, 2, 3, 4))
+def bleu_from_counts(counts: DataFrame, key: str, *others: Column) -> DataFrame:
+    """One row per key with ``bleu`` from the counts of the BLEU view, and any further aggregates."""
+    in_view = F.col("view") == "bleu"
     matched = F.when(F.col("matches") > 0, F.col("matches")).otherwise(F.lit(SMOOTHING))
     precision = matched / F.greatest("candidate_grams", F.lit(1))
-    unigram = F.col("n") == 1
+    unigram = in_view & (F.col("n") == 1)
     per_key = counts.groupBy(key).agg(
-        F.avg(F.log(precision)).alias("_log"),
+        F.avg(F.when(in_view, F.log(precision))).alias("_log"),
         F.max(F.when(unigram, F.col("matches"))).alias("_unigrams"),
         F.max(F.when(unigram, F.col("candidate_grams"))).alias("_c"),
         F.max(F.when(unigram, F.col("reference_grams"))).alias("_r"),
+        *others,
     )
     brevity = F.when(F.col("_c") > F.col("_r"), F.lit(1.0)).otherwise(
         F.exp(F.lit(1.0) - F.try_divide(F.col("_r"), F.col("_c")))
     )
     score = F.when(F.col("_unigrams") > 0, brevity * F.exp("_log")).otherwise(F.lit(0.0))
-    return per_key.select(key, score.alias("bleu"))
+    return per_key.withColumn("bleu", score).drop("_log", "_unigrams", "_c", "_r")
+
+
+def bleu4(
+    pairs: DataFrame, key: str = "pair_id", candidate: str = "prediction", reference: str = "answer"
+) -> DataFrame:
+    """Sentence BLEU with n = 1…4, equal weights, brevity penalty and additive smoothing of zero matches."""
+    return bleu_from_counts(clipped_matches(pairs, key, [bleu_view(candidate, reference)]), key)
+
+
+def overlap_scores(
+    pairs: DataFrame, key: str = "pair_id", candidate: str = "prediction", reference: str = "answer"
+) -> DataFrame:
+    """ROUGE-1, ROUGE-2 and BLEU per key from one shuffle of the texts."""
+    counts = clipped_matches(
+        pairs, key, [rouge_view(candidate, reference, (1, 2)), bleu_view(candidate, reference)]
+    )
+    f = f_measure(overlap_precision(), overlap_recall())
+
+    def rouge(n: int) -> Column:
+        return F.max(F.when((F.col("view") == "rouge") & (F.col("n") == n), f)).alias(f"rouge{n}")
+
+    return bleu_from_counts(counts, key, rouge(1), rouge(2))
 
 
 def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:

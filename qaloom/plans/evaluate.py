@@ -16,7 +16,7 @@ from qaloom.operators.context import rag_context
 from qaloom.operators.dense import rerank, side_by_side
 from qaloom.operators.inference import Predict, generate_to_table
 from qaloom.operators.lexical import LexicalIndex, bm25_search
-from qaloom.operators.overlap import bleu4, rouge_l, rouge_n
+from qaloom.operators.overlap import overlap_scores, rouge_l
 from qaloom.operators.ranking import evaluate_ranking
 from qaloom.operators.report import each
 from qaloom.session import scratch_path, stage
@@ -95,14 +95,10 @@ def run_long_form(
 def long_form_scores(rows: DataFrame, key: str = "pair_id") -> DataFrame:
     """ROUGE-1, ROUGE-2, ROUGE-L and BLEU of every row; ``key`` has to be unique.
 
-    Each score partitions the texts by the key, so the joins that bring them together shuffle nothing.
+    The overlap scores partition the texts by the key, so joining them to the rows shuffles only the rows.
     """
-    overlap = rouge_n(rows, key).groupBy(key).agg(
-        F.max(F.when(F.col("n") == 1, F.col("f"))).alias("rouge1"),
-        F.max(F.when(F.col("n") == 2, F.col("f"))).alias("rouge2"),
-    )
     texts = rows.repartition(key).withColumn("rougel", rouge_l("prediction", "answer"))
-    return texts.join(overlap, key).join(bleu4(rows, key), key)
+    return texts.join(overlap_scores(rows, key), key)
 
 
 def long_form_summary(scored: DataFrame, by: Sequence[str] = RUN) -> DataFrame:

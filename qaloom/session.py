@@ -50,16 +50,25 @@ def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
-    """Measure a (staged) table: true if its rows and their serialized size fit the broadcast bounds."""
+def fits_broadcast(rows: int, size: int) -> bool:
+    return rows <= BROADCAST_MAX_ROWS and size <= BROADCAST_MAX_BYTES
+
+
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows and serialized bytes of a (staged) table; counting stops just past the broadcast bound."""
     width = F.length(F.to_json(F.struct(*df.columns)))
-    seen = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
-    return seen["n"] <= max_rows and seen["b"] <= max_bytes
+    seen = df.limit(BROADCAST_MAX_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b"))
+    figures = seen.first()
+    return figures["n"], figures["b"]
+
+
+def is_small(df: DataFrame) -> bool:
+    return fits_broadcast(*measure(df))
 
 
-def broadcast_if_small(df: DataFrame, **bounds: int) -> DataFrame:
-    """Hint a broadcast for a side that was measured to be small; otherwise leave the join to AQE."""
-    return F.broadcast(df) if is_small(df, **bounds) else df
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Hint a broadcast for a (staged) side that was measured to be small; otherwise leave the join to AQE."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def ship_package(spark: SparkSession) -> None:
