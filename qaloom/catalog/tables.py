@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaloom.functions.text import WHITESPACE, truncate_words, words
+from qaloom.operators.skew import fetch
+from qaloom.session import broadcast_if_small, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,15 +41,17 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.when(F.size(parts) >= 3, F.slice(parts, F.lit(2), F.size(parts) - 2)).otherwise(short)
     passage_words = passages.select("query_id", F.explode(F.array_distinct(inner)).alias("word"))
     document_words = documents.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word"))
-    known = document_words.join(passage_words.select("word").distinct(), "word", "left_semi")
+    vocabulary = broadcast_if_small(passage_words.select("word").distinct())
+    known = document_words.join(vocabulary, "word", "left_semi")
     frequency = known.groupBy("word").agg(F.count("*").alias("df"))
     anchors = (
         passage_words.join(frequency, "word", "left")
         .groupBy("query_id")
         .agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("word"))).alias("word"))
     )
-    candidates = known.join(anchors, "word").select("query_id", "doc_id")
-    found = candidates.join(passages, "query_id").join(documents, "doc_id").where(F.contains("text", "passage"))
+    candidates = document_words.join(broadcast_if_small(stage(anchors, "anchors")), "word").select("query_id", "doc_id")
+    found = fetch(candidates, documents, "doc_id", "query_id").join(passages, "query_id")
+    found = found.where(F.contains("text", "passage"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return found.join(labels, "doc_id", "left").select(
         "query_id", "doc_id", (F.lit(1) + F.coalesce("quality", F.lit(0))).alias("relevance")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaloom import prompts
+from qaloom.operators.skew import fetch
 
 
 def rag_context(
@@ -22,7 +23,7 @@ def rag_context(
     hit gets the fixed notice. Only k passages per query are ever gathered.
     """
     passages = corpus.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(content), F.lit("")).alias("_content"))
-    shown = hits.where(F.col("rank") <= k).select("query_id", "doc_id", "rank").join(passages, "doc_id")
+    shown = fetch(hits.where(F.col("rank") <= k).select("query_id", "doc_id", "rank"), passages, "doc_id", "query_id")
     ranked = F.sort_array(F.collect_list(F.struct("rank", "_content")))
     joined = F.array_join(F.transform(ranked, lambda p: p["_content"]), "\n\n")
     contexts = shown.groupBy("query_id").agg(joined.alias("context"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from qaloom import prompts
 from qaloom.operators.lexical import LexicalIndex, bm25_search
 from qaloom.operators.ranking import SCORE_DECIMALS, top_k
+from qaloom.operators.skew import fetch
 from qaloom.operators.tiles import LEFT_BLOCK, RIGHT_BLOCK, best_in_tile, blocks_for, tiled, unit_rows
 
 
@@ -79,7 +80,7 @@ def rerank(
     """Re-score candidate hits by cosine and keep the best ``k`` per query."""
     q = query_vectors.select("query_id", F.col(vector).alias("_q"))
     d = doc_vectors.select("doc_id", F.col(vector).alias("_d"))
-    pairs = hits.select("query_id", "doc_id").join(q, "query_id").join(d, "doc_id")
+    pairs = fetch(hits.select("query_id", "doc_id"), d, "doc_id", "query_id").join(q, "query_id")
     rescored = pairs.select("query_id", "doc_id", cosine("_q", "_d").alias("score"))
     return top_k(rescored, k, ["query_id"]).select("query_id", "doc_id", "score", "rank")
 

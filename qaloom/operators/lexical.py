@@ -11,7 +11,7 @@ from qaloom import prompts
 from qaloom.functions.text import terms
 from qaloom.operators.ranking import top_k
 from qaloom.operators.skew import hot_keys, salted_join
-from qaloom.session import fits_broadcast, is_small, measure, stage
+from qaloom.session import broadcast_if_small, fits_broadcast, is_small, measure, stage
 
 # BM25 saturation and length parameters.
 K1 = 1.2
@@ -20,6 +20,8 @@ B = 0.75
 # Postings read per query, and documents per result place completed, to find a bound on the k-th best score.
 SEED_POSTINGS = 2_000
 SEED_FACTOR = 5
+# The plain join of query terms and postings is taken while it emits no more pairs than this per core.
+DIRECT_PAIRS_PER_CORE = 4_000_000
 # Pruning keeps this margin, wider than the decimals at which scores are compared.
 MARGIN = 1e-5
 
@@ -85,11 +87,13 @@ def open_bm25_index(spark: SparkSession, path: str) -> LexicalIndex:
     return _open_index(spark.read.parquet(path))
 
 
-def term_statistics(index: LexicalIndex) -> DataFrame:
-    """Per term: documents, occurrences, weight, and the largest impact any document reaches."""
+def term_statistics(index: LexicalIndex, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Per term (of a ``vocabulary``): documents, occurrences, weight, and the largest impact a document reaches."""
+    postings = index.postings.where(F.col("term") != LENGTH_TERM)
+    if vocabulary is not None:
+        postings = postings.join(broadcast_if_small(vocabulary.select("term")), "term", "left_semi")
     counted = (
-        index.postings.where(F.col("term") != LENGTH_TERM)
-        .groupBy("term")
+        postings.groupBy("term")
         .agg(
             F.count("*").alias("df"),
             F.sum("tf").alias("occurrences"),
@@ -113,20 +117,28 @@ def bm25_search(
     query: str = "query",
     doc_id: str = "doc_id",
     text: str = "text",
+    direct: bool | None = None,
 ) -> DataFrame:
     """Top ``k`` documents per query: ``query_id, doc_id, score, rank``.
 
-    Joining every query term with its postings would emit all pairs of a query and a document that share a common
-    word. Instead some documents found by each query's rarest terms are scored in full; their k-th best score
-    bounds the result from below. Terms whose largest possible contributions sum to less than the bound cannot
-    lift a document into the top k alone, so only documents with one of the other terms become candidates, and
-    those that can still reach the bound are completed. The result is the same as for the full join.
+    Joining every query term with its postings emits all pairs of a query and a document that share a word. Their
+    number is known from the document frequencies, and while it is small for the cluster (or with ``direct``) the
+    plain join is the fastest way.
+
+    Beyond that the join is pruned, with the same result. Some documents found by each query's rarest terms are
+    scored in full; their k-th best score bounds the result from below. Terms whose largest possible contributions
+    sum to less than the bound cannot lift a document into the top k alone, so only documents with one of the
+    other terms become candidates, and those that can still reach the bound are completed.
     """
     wanted = stage(query_terms(queries, query_id, query), "query-terms")
     vocabulary = wanted.select("term").distinct()
-    index = corpus if isinstance(corpus, LexicalIndex) else bm25_index(corpus, doc_id, text, vocabulary)
+    if isinstance(corpus, LexicalIndex):
+        index, statistics = corpus, term_statistics(corpus, vocabulary)
+    else:
+        index = bm25_index(corpus, doc_id, text, vocabulary)
+        statistics = term_statistics(index)
 
-    weighted = wanted.join(term_statistics(index), "term").select(
+    weighted = wanted.join(statistics, "term").select(
         "query_id",
         "term",
         "df",
@@ -153,6 +165,13 @@ def bm25_search(
         return (F.broadcast(wanted_postings) if few else wanted_postings).join(postings, ["term", "doc_id"])
 
     contribution = F.sum(F.col("weight") * F.col("impact")).alias("score")
+    if direct is None:
+        pairs = weighted.agg(F.sum("df").alias("pairs")).first()["pairs"] or 0
+        direct = pairs <= DIRECT_PAIRS_PER_CORE * wanted.sparkSession.sparkContext.defaultParallelism
+    if direct:
+        scores = matches(weighted.select("query_id", "term", "weight")).groupBy("query_id", "doc_id").agg(contribution)
+        return top_k(scores, k, ["query_id"]).select("query_id", "doc_id", "score", "rank")
+
     rarest = Window.partitionBy("query_id").orderBy("df", "term")
     upto = rarest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seeds = (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaloom import prompts
-from qaloom.session import stage
+from qaloom.session import broadcast_if_small, stage
 
 
 def _offsets(counts: DataFrame, slice_col: str, size_col: str) -> DataFrame:
@@ -52,7 +52,7 @@ def stacked_index(df: DataFrame, file_col: str, pos_col: str, name: str = "idx")
     ``df`` has to be a table (its rows are counted once before they are numbered).
     """
     sizes = df.groupBy(file_col).agg((F.max(pos_col) + 1).alias("_size"))
-    starts = _offsets(sizes, file_col, "_size")
+    starts = broadcast_if_small(_offsets(sizes, file_col, "_size"))
     return df.join(starts, file_col).withColumn(name, F.col("_start") + F.col(pos_col)).drop("_start", "_total")
 
 

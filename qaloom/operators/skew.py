@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qaloom.session import is_small, stage
+
 # At most this many keys can exceed 1/MAX_HOT_KEYS of all rows, so the hot-key table is bounded by construction.
 MAX_HOT_KEYS = 10_000
 SLICE_ROWS = 1_000_000
 
 
 def hot_keys(
-    sizes: DataFrame, key: str, size_col: str, slice_rows: int = SLICE_ROWS, max_keys: int = MAX_HOT_KEYS
+    sizes: DataFrame, key: str, size_col: str, slice_rows: int | None = None, max_keys: int = MAX_HOT_KEYS
 ) -> DataFrame | None:
     """Keys with more rows than one slice should hold, with the number of slices to cut them into.
 
@@ -19,7 +21,7 @@ def hot_keys(
     pass it. None if no key is that large.
     """
     seen = sizes.agg(F.sum(size_col).alias("rows"), F.max(size_col).alias("largest")).first()
-    threshold = max(slice_rows, (seen["rows"] or 0) // max_keys + 1)
+    threshold = max(slice_rows or SLICE_ROWS, (seen["rows"] or 0) // max_keys + 1)
     if (seen["largest"] or 0) <= threshold:
         return None
     slices = F.ceil(F.col(size_col) / F.lit(threshold)).cast("int")
@@ -43,3 +45,16 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, hot: Da
         .drop("_slices")
     )
     return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def fetch(wanted: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
+    """Rows of a big keyed ``table`` for the keys in ``wanted`` (inner join, one result per row of ``wanted``).
+
+    A small ``wanted`` is broadcast, so the table is filtered where it is read and never shuffled. Otherwise both
+    sides are shuffled, and a key that very many rows want is spread by the hash of ``spread``.
+    """
+    wanted = stage(wanted, "wanted")
+    if is_small(wanted):
+        return table.join(F.broadcast(wanted), key)
+    hot = hot_keys(wanted.groupBy(key).agg(F.count("*").alias("rows")), key, "rows")
+    return salted_join(wanted, table, key, spread, hot)

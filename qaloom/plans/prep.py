@@ -26,6 +26,7 @@ from qaloom.functions.text import (
 )
 from qaloom.operators.numbering import exact_split, global_index
 from qaloom.sources.readers import ORDER_COLUMNS
+from qaloom.session import broadcast_if_small
 from qaloom.sources.writers import corpus_records, write_chat_jsonl, write_qa_csv
 
 
@@ -175,7 +176,8 @@ def passage_qa(passages: DataFrame, system: str = prompts.EXPLAIN_SYSTEM) -> Dat
 
 def judged_corpus(metadata: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """Corpus rows whose id was judged, with their article address; repeated rows survive."""
-    kept = metadata.join(doc_ids.select(F.col("doc_id").alias("cord_uid")), "cord_uid", "left_semi")
+    ids = broadcast_if_small(doc_ids.select(F.col("doc_id").alias("cord_uid")))
+    kept = metadata.join(ids, "cord_uid", "left_semi")
     return kept.withColumn("url", paper_url("pmc_json_files", "pdf_json_files", "s2_id"))
 
 
@@ -191,7 +193,7 @@ def judged_corpus_texts(metadata: DataFrame, doc_ids: DataFrame) -> DataFrame:
 
 def restrict_to_corpus(qrels: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """Optional: judgments of documents in the corpus only."""
-    return qrels.join(doc_ids.select("doc_id"), "doc_id", "left_semi")
+    return qrels.join(broadcast_if_small(doc_ids.select("doc_id")), "doc_id", "left_semi")
 
 
 def write_prepared(prepared: DataFrame, folder: str, name: str, with_id: bool = True) -> None:
