@@ -14,6 +14,7 @@ from qaloom.catalog.tables import (
     SQL_POSTINGS,
     SQL_QUERIES,
     corpus,
+    json_text,
     qa_pairs,
     queries,
     sql_bm25,
@@ -89,10 +90,11 @@ def reference_answers_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First entry of answer lists kept as JSON text; system turns give an empty list, user turns plain text."""
+    """First entry of answers held as variants: system turns are empty lists, user turns texts, others lists."""
     listed = F.to_json(F.split("text", "\n"))
-    raw = F.when(F.col("role") == "system", F.lit("[]")).when(F.col("role") == "user", F.col("text")).otherwise(listed)
-    answers = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.first_answer(raw).alias("answer"))
+    raw = F.when(F.col("role") == "system", "[]").when(F.col("role") == "user", json_text("text")).otherwise(listed)
+    turns = table(spark, sf_dir, "conversations").withColumn("raw", F.parse_json(raw))
+    answers = turns.select("conv_id", "turn", text.first_answer("raw").alias("answer"))
     return answers.where(F.col("answer").isNotNull())
 
 

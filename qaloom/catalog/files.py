@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from qaloom import prompts, schemas
 from qaloom.catalog.chats import quoted
 from qaloom.catalog.rows import SQL_PAGES, SQL_URL, page_metadata
-from qaloom.catalog.tables import SQL_PAIRS, SQL_QRELS, SQL_QUERIES, qa_pairs, qrels, queries, sql_strip, table
+from qaloom.catalog.tables import SQL_PAIRS, SQL_QRELS, SQL_QUERIES, json_text, qa_pairs, qrels, queries, sql_strip, table
 from qaloom.functions.chat import chat_field, to_chat
 from qaloom.operators.numbering import global_index
 from qaloom.plans import prep
@@ -73,11 +73,6 @@ def question_files(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def json_text(column: str) -> Column:
-    """A text as a JSON string literal."""
-    return F.regexp_extract(F.to_json(F.array(F.col(column))), r"(?s)^\[(.*)\]$", 1)
-
-
 def article_files(spark: SparkSession, sf_dir: str) -> str:
     """Articles keyed by document id: question, lines as contexts, decision and reasoning flag."""
     path = scratch_path(spark, "keyed")

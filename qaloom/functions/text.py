@@ -102,10 +102,12 @@ def reference_answers(answers: Column | str, field: str = "ANSWER") -> Column:
 
 
 def first_answer(raw: Column | str) -> Column:
-    """First entry of a JSON list kept as text; plain text counts as its own only entry, an empty list as missing."""
+    """First entry of a list held as VARIANT; a plain text counts as its own only entry, an empty one as missing."""
     raw = _col(raw)
-    listed = F.from_json(raw, "ARRAY<STRING>")
-    return F.when(listed.isNotNull(), F.get(listed, F.lit(0))).otherwise(F.nullif(raw, F.lit("")))
+    kind = F.schema_of_variant(raw)
+    return F.when(kind.startswith("ARRAY"), F.try_variant_get(raw, "$[0]", "string")).when(
+        kind == "STRING", F.nullif(F.try_variant_get(raw, "$", "string"), F.lit(""))
+    )
 
 
 def title_and_abstract(title: Column | str, abstract: Column | str) -> Column:

@@ -1,7 +1,8 @@
 """One explicit schema per raw source, as DDL; nothing is inferred and ids stay strings."""
 
 # exact_answer is a string for yes/no questions and a list for others; as STRING a list arrives as JSON text.
-YES_NO_QUESTION = "body STRING, exact_answer STRING, ideal_answer STRING, snippets ARRAY<STRUCT<text: STRING>>"
+# ideal_answer is a list, sometimes a plain text; as VARIANT either stays what it is.
+YES_NO_QUESTION = "body STRING, exact_answer STRING, ideal_answer VARIANT, snippets ARRAY<STRUCT<text: STRING>>"
 KEYED_ARTICLE = (
     "QUESTION STRING, CONTEXTS ARRAY<STRING>, LONG_ANSWER STRING, reasoning_required_pred STRING, final_decision STRING"
 )

@@ -125,7 +125,7 @@ def read_id_list(spark: SparkSession, path: Paths, name: str = "doc_id") -> Data
 
 def read_topics_xml(spark: SparkSession, path: Paths, row_tag: str = "topic") -> DataFrame:
     """Topics with their ``number`` attribute; absent child elements are empty texts."""
-    topics = spark.read.format("xml").option("rowTag", row_tag).schema(schemas.TOPIC).load(path)
+    topics = spark.read.format("xml").option("rowTag", row_tag).option("ignoreSurroundingSpaces", False).schema(schemas.TOPIC).load(path)
     return topics.select(
         F.col("_number").alias("query_id"), *[text_or(c).alias(c) for c in ("query", "question", "narrative")]
     )
