@@ -70,11 +70,11 @@ def bm25_index(
     ordered by term inside its files, so a search reads the row groups of its terms only.
     """
     tokenized = corpus.select(F.col(doc_id).alias("doc_id"), F.coalesce(terms(text), F.array()).alias("_terms"))
-    occurrences = tokenized.select(
-        "doc_id",
-        F.size("_terms").alias("length"),
-        F.explode(F.concat(F.array(F.lit(LENGTH_TERM)), F.col("_terms"))).alias("term"),
+    measured = tokenized.select(
+        "doc_id", F.size("_terms").alias("length"), F.concat(F.array(F.lit(LENGTH_TERM)), "_terms").alias("_terms")
     )
+    # The list is never empty. The outer form keeps Spark from testing that by tokenizing once more.
+    occurrences = measured.select("doc_id", "length", F.explode_outer("_terms").alias("term"))
     if vocabulary is not None and is_small(vocabulary):
         kept = vocabulary.select(F.explode(F.array(F.col("term"), F.lit(LENGTH_TERM))).alias("term")).distinct()
         occurrences = occurrences.join(F.broadcast(kept), "term", "left_semi")
