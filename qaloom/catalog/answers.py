@@ -119,6 +119,25 @@ bleus AS (
   FROM bleu_parts
 )"""
 
+# Longest common subsequence: one step per reference word; best[i] is the length within the first i candidate words.
+SQL_LCS = f"""
+texts AS (
+  SELECT row_id, {sql_ascii_terms('prediction')} AS c, {sql_ascii_terms('answer')} AS r FROM predictions
+),
+steps AS (
+  SELECT row_id, c, r, 0 AS j, list_transform(c, lambda x: 0) AS best FROM texts
+  UNION ALL
+  SELECT row_id, c, r, j + 1, list_transform(reached, lambda x, i: list_max(reached[1:i])) FROM (
+    SELECT row_id, c, r, j, list_transform(c, lambda x, i: CASE WHEN x = r[j + 1]
+             THEN greatest(best[i], 1 + CASE WHEN i > 1 THEN best[i - 1] ELSE 0 END) ELSE best[i] END) AS reached
+    FROM steps WHERE j < len(r)
+  )
+),
+longest AS (
+  SELECT row_id, coalesce(2 * coalesce(list_max(best), 0) / nullif(len(c) + len(r), 0), 0) AS rougel
+  FROM steps WHERE j = len(r)
+)"""
+
 SQL_LONG_FORM = f"""{SQL_PREDICTIONS}, {SQL_ROUGE}, {SQL_BLEU},
 scores AS (
   SELECT row_id, model, max(CASE WHEN n = 1 THEN f END) AS rouge1, max(CASE WHEN n = 2 THEN f END) AS rouge2,
@@ -145,6 +164,13 @@ p AS (
 )
 SELECT pair_id, round(p, 6) AS precision, round(r, 6) AS recall,
        round((coalesce(2 * p * r / nullif(p + r, 0), 0) - 0.05) / 0.95, 6) AS f1 FROM p""",
+    "rouge_l": f"""
+WITH RECURSIVE {SQL_PREDICTIONS}, {SQL_LCS} SELECT row_id, round(rougel, 6) AS rougel FROM longest""",
+    "long_form_summary": f"""
+WITH RECURSIVE {SQL_LONG_FORM}, {SQL_LCS}
+SELECT model, count(*) AS answers, round(avg(rouge1), 6) AS rouge1, round(avg(rouge2), 6) AS rouge2,
+       round(avg(rougel), 6) AS rougel, round(avg(bleu), 6) AS bleu
+FROM scores JOIN longest USING (row_id) GROUP BY model""",
     "long_form_rows": f"""
 WITH {SQL_LONG_FORM}
 SELECT row_id, model, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(bleu, 6) AS bleu FROM scores""",
