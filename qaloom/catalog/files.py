@@ -11,6 +11,7 @@ from qaloom.catalog.rows import SQL_PAGES, SQL_URL, page_metadata
 from qaloom.catalog.tables import SQL_PAIRS, SQL_QRELS, SQL_QUERIES, json_text, qa_pairs, qrels, queries, sql_strip, table
 from qaloom.functions.chat import chat_field, to_chat
 from qaloom.operators.numbering import global_index
+from qaloom.operators.ranking import first_judgments
 from qaloom.plans import prep
 from qaloom.session import scratch_path
 from qaloom.sources import readers, writers
@@ -143,8 +144,6 @@ def qrels_file(spark: SparkSession, sf_dir: str) -> str:
 
 def qrels_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judgments from a blank-separated file, the first per pair in file order."""
-    from qaloom.operators.ranking import first_judgments
-
     lines = readers.read_qrels(spark, qrels_file(spark, sf_dir), ordered=True)
     return first_judgments(lines, F.struct(*readers.ORDER_COLUMNS))
 
@@ -360,15 +359,15 @@ def prep_medication(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prep_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages with themselves as answers, written as training files and read back from the CSV."""
+    """Passages with themselves as answers, written as training files; pairs and chats read back."""
     folder = scratch_path(spark, "passages")
     prepared = prep.passage_qa(readers.read_id_text_tsv(spark, passage_file(spark, sf_dir)))
     prep.write_prepared(prepared, folder, "train")
     pairs = readers.read_qa_csv(spark, f"{folder}/train.csv", schemas.QA_PAIR_WITH_ID)
-    chats = readers.read_jsonl(spark, f"{folder}/train.jsonl", schemas.CHAT).groupBy(
-        chat_field("messages", "user").alias("question")
-    )
-    return pairs.join(chats.agg(F.count("*").alias("chats")), "question").select("id", "question", "answer", "chats")
+    chats = prep.unpack_pairs(readers.read_jsonl(spark, f"{folder}/train.jsonl", schemas.CHAT))
+    columns = ["file", "id", "question", "answer"]
+    from_chats = chats.withColumn("id", F.lit(None).cast("bigint")).withColumn("file", F.lit("jsonl"))
+    return pairs.withColumn("file", F.lit("csv")).select(columns).unionByName(from_chats.select(columns))
 
 
 def judged_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -557,7 +556,8 @@ SELECT CASE WHEN i < floor(n * 0.9) THEN 'train' ELSE 'test' END AS split,
 FROM mixed""",
     "prep_passages": f"""
 WITH passages AS (SELECT doc_id AS id, {ONE_LINE} AS question FROM documents)
-SELECT id, question, question AS answer, count(*) OVER (PARTITION BY question) AS chats FROM passages""",
+SELECT 'csv' AS file, id, question, question AS answer FROM passages
+UNION ALL SELECT 'jsonl', NULL, question, question FROM passages""",
     "prep_judged_corpus": f"""
 WITH {SQL_PAGES}
 SELECT cord_uid AS _id, coalesce(nullif(title, ''), 'Unknown') AS title,

@@ -83,6 +83,29 @@ def ranking_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def halves(df: DataFrame) -> DataFrame:
+    """Queries as two stand-in datasets."""
+    return df.withColumn("dataset", F.when(F.pmod("query_id", F.lit(2)) == 0, "even").otherwise("odd"))
+
+
+def ranking_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average metrics of two datasets in both search modes, in one pass, with one column per mode."""
+    scores = evaluate_retrieval(
+        halves(both_modes(spark, sf_dir)),
+        halves(stage(qrels(spark, sf_dir), "qrels")),
+        halves(queries(spark, sf_dir)),
+        query=("dataset", "query_id"),
+    )
+    averages = rounded(scores.where(F.col("query_id") == "Average"))
+    return leaderboard(
+        metrics_long(averages, METRICS, ["dataset", "mode"]),
+        ["keyword", "semantic"],
+        "value",
+        by=["dataset", "metric"],
+        pivot="mode",
+    )
+
+
 def ranking_metrics_textbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and average precision over the relevant judgments instead of all judgments and found hits."""
     scores = evaluate_ranking(
@@ -135,6 +158,7 @@ QUERIES = {
     "ranking_metrics": ranking_per_query,
     "ranking_average": ranking_average,
     "ranking_leaderboard": ranking_leaderboard,
+    "ranking_datasets": ranking_datasets,
     "ranking_metrics_textbook": ranking_metrics_textbook,
     "ranking_metrics_dense": ranking_metrics_dense,
 }
@@ -217,6 +241,14 @@ means AS (SELECT mode, {SQL_MEANS} FROM scores GROUP BY mode),
 long AS (UNPIVOT means ON dcg, ndcg, mrr, precision, recall, f1, map INTO NAME metric VALUE value)
 SELECT metric, max(CASE WHEN mode = 'keyword' THEN value END) AS keyword,
        max(CASE WHEN mode = 'semantic' THEN value END) AS semantic FROM long GROUP BY metric""",
+    "ranking_datasets": f"""
+WITH {SQL_BOTH},
+means AS (
+  SELECT mode, CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, {SQL_MEANS} FROM scores GROUP BY ALL
+),
+long AS (UNPIVOT means ON dcg, ndcg, mrr, precision, recall, f1, map INTO NAME metric VALUE value)
+SELECT dataset, metric, max(CASE WHEN mode = 'keyword' THEN value END) AS keyword,
+       max(CASE WHEN mode = 'semantic' THEN value END) AS semantic FROM long GROUP BY dataset, metric""",
     "ranking_metrics_textbook": f"""
 WITH {SQL_KEYWORD}, {sql_metrics('judged_hits', 'qrels', 'queries', textbook=True)}
 SELECT query_id, {SQL_ROUNDED} FROM scores""",

@@ -11,6 +11,8 @@ from qaloom import prompts
 
 METRICS = ("dcg", "ndcg", "mrr", "precision", "recall", "f1", "map")
 
+QUERY = ("query_id",)
+
 # Scores are compared at this many decimals: sums differ in the last digits between partitionings.
 SCORE_DECIMALS = 6
 
@@ -26,29 +28,38 @@ def top_k(
     return df.withColumn(rank, F.row_number().over(best)).where(F.col(rank) <= k)
 
 
-def first_judgments(qrels: DataFrame, order: Column | str | None = None) -> DataFrame:
+def first_judgments(
+    qrels: DataFrame, order: Column | str | None = None, query: Sequence[str] = QUERY
+) -> DataFrame:
     """One judgment per (query, document): the first in ``order``, or the highest grade without one."""
     if order is None:
         chosen = F.max("relevance")
     else:
         chosen = F.min_by("relevance", F.col(order) if isinstance(order, str) else order)
-    return qrels.groupBy("query_id", "doc_id").agg(chosen.alias("relevance"))
+    return qrels.groupBy(*query, "doc_id").agg(chosen.alias("relevance"))
 
 
-def judge_hits(hits: DataFrame, qrels: DataFrame, order: Column | str | None = None) -> DataFrame:
+def judge_hits(
+    hits: DataFrame, qrels: DataFrame, order: Column | str | None = None, query: Sequence[str] = QUERY
+) -> DataFrame:
     """Attach the judged relevance to every hit; an unjudged document counts 0."""
-    judged = hits.join(first_judgments(qrels, order), ["query_id", "doc_id"], "left")
+    judged = hits.join(first_judgments(qrels, order, query), [*query, "doc_id"], "left")
     return judged.withColumn("relevance", F.coalesce("relevance", F.lit(0)))
 
 
-def ideal_ranking(qrels: DataFrame, k: int | None = None) -> DataFrame:
+def grade_counts(qrels: DataFrame, query: Sequence[str] = QUERY) -> DataFrame:
+    """Judgments per query and grade, counted before they are shuffled."""
+    return qrels.groupBy(*query, "relevance").agg(F.count("*").alias("judgments"))
+
+
+def ideal_ranking(qrels: DataFrame, k: int | None = None, query: Sequence[str] = QUERY) -> DataFrame:
     """All judgments of a query sorted by falling grade, run-length encoded.
 
-    One row per query and grade with the first and last rank it fills. Judgments are counted before they are
-    shuffled, so a query with very many of them stays cheap. ``k`` keeps the grades that reach the first k ranks.
+    One row per query and grade with the first and last rank it fills, so a query with very many judgments stays
+    as small as its number of grades. ``k`` keeps the grades that reach the first k ranks.
     """
-    counted = qrels.groupBy("query_id", "relevance").agg(F.count("*").alias("judgments"))
-    falling = Window.partitionBy("query_id").orderBy(F.col("relevance").desc())
+    counted = grade_counts(qrels, query)
+    falling = Window.partitionBy(*query).orderBy(F.col("relevance").desc())
     if k is not None:
         # Every grade fills at least one rank, so the k best grades cover the first k ranks.
         counted = counted.withColumn("_nth", F.row_number().over(falling)).where(F.col("_nth") <= k).drop("_nth")
@@ -68,16 +79,17 @@ def _discount_sum(upto: Column, k: int) -> Column:
     return F.get(F.array(*table), F.least(upto, F.lit(k)).cast("int"))
 
 
-def ideal_profile(qrels: DataFrame, k: int = prompts.TOP_K) -> DataFrame:
+def ideal_profile(qrels: DataFrame, k: int = prompts.TOP_K, query: Sequence[str] = QUERY) -> DataFrame:
     """Per query: ideal DCG at k, number of judgments, number of relevant judgments."""
     gain = F.col("relevance") * (
         _discount_sum(F.col("last_rank"), k) - _discount_sum(F.col("first_rank") - 1, k)
     )
-    best = ideal_ranking(qrels, k).groupBy("query_id").agg(F.sum(gain).alias("ideal_dcg"))
-    sizes = qrels.groupBy("query_id").agg(
-        F.count("*").alias("judged"), F.count_if(F.col("relevance") > 0).alias("relevant")
+    best = ideal_ranking(qrels, k, query).groupBy(*query).agg(F.sum(gain).alias("ideal_dcg"))
+    relevant = F.sum(F.when(F.col("relevance") > 0, F.col("judgments")).otherwise(F.lit(0)))
+    sizes = grade_counts(qrels, query).groupBy(*query).agg(
+        F.sum("judgments").alias("judged"), relevant.alias("relevant")
     )
-    return best.join(sizes, "query_id")
+    return best.join(sizes, list(query))
 
 
 def ranking_metrics(
@@ -87,7 +99,7 @@ def ranking_metrics(
     k: int = prompts.TOP_K,
     recall_denominator: str = "judged",
     ap_denominator: str = "found",
-    keys: Sequence[str] = ("query_id",),
+    keys: Sequence[str] = QUERY,
 ) -> DataFrame:
     """DCG, NDCG, reciprocal rank, P, R, F1 and AP at k for every row of ``queries``.
 
@@ -97,6 +109,7 @@ def ranking_metrics(
     NULL, so averages skip it; a query without judgments scores 0.
     """
     keys = list(keys)
+    query = [key for key in keys if key in profile.columns]
     hit = F.col("relevance") > 0
     running = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     shown = judged.where(F.col("rank") <= k).withColumn("_found", F.sum(hit.cast("int")).over(running))
@@ -106,7 +119,7 @@ def ranking_metrics(
         F.count_if(hit).alias("_hits"),
         F.sum(F.when(hit, F.col("_found") / F.col("rank"))).alias("_precisions"),
     )
-    rows = queries.select(*keys).join(per_query, keys, "left").join(profile, "query_id", "left")
+    rows = queries.select(*keys).join(per_query, keys, "left").join(profile, query, "left")
     zero = F.lit(0.0)
     hits = F.coalesce("_hits", F.lit(0))
     recall_base = {"judged": F.col("judged"), "relevant": F.col("relevant")}[recall_denominator]
@@ -147,17 +160,20 @@ def evaluate_ranking(
     modes: Sequence[str] | None = None,
     judgment_order: Column | str | None = None,
     average: bool = True,
+    query: Sequence[str] = QUERY,
     **options: str,
 ) -> DataFrame:
-    """Judge hits, score every query, and append the averages; with ``modes`` one run per search mode.
+    """Judge hits, score every query, and append the averages.
 
-    ``queries`` are all queries that count: one without hits scores zero.
+    ``queries`` are all queries that count: one without hits scores zero. With ``modes`` there is one run per search
+    mode (a column of ``hits``), with ``query=("dataset", "query_id")`` one per dataset; all runs share one pass.
     """
-    keys = ["query_id"]
-    wanted = queries.select("query_id")
+    runs = [c for c in query if c != "query_id"]
+    wanted = queries.select(*query)
     if modes is not None:
-        keys = ["mode", "query_id"]
-        wanted = wanted.select(F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"), "query_id")
-    judged = judge_hits(hits, qrels, judgment_order)
-    scores = ranking_metrics(judged, ideal_profile(qrels, k), wanted, k, keys=keys, **options)
-    return with_average(scores, keys[:-1]) if average else scores
+        runs = [*runs, "mode"]
+        wanted = wanted.select(*query, F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"))
+    judged = judge_hits(hits, qrels, judgment_order, query)
+    profile = ideal_profile(qrels, k, query)
+    scores = ranking_metrics(judged, profile, wanted, k, keys=[*runs, "query_id"], **options)
+    return with_average(scores, runs) if average else scores

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,17 +67,3 @@ def is_small(df: DataFrame) -> bool:
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Hint a broadcast for a (staged) side that was measured to be small; otherwise leave the join to AQE."""
     return F.broadcast(df) if is_small(df) else df
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of every executor, once per application."""
-    context = spark.sparkContext
-    if getattr(context, "_qaloom_shipped", False):
-        return
-    package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="qaloom-ship-")) / "qaloom.zip"
-    with zipfile.ZipFile(archive, "w") as bundle:
-        for source in sorted(package.rglob("*.py")):
-            bundle.write(source, source.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    context._qaloom_shipped = True

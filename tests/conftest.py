@@ -11,8 +11,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from qaloom.session import ship_package
-
     session = (
         SparkSession.builder.master("local[4]")
         .appName("qaloom-tests")
@@ -25,7 +23,6 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    ship_package(session)
     yield session
     session.stop()
 
