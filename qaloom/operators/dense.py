@@ -58,7 +58,8 @@ def dense_search(
         else:
             scores = unit_rows(lt["vector"]) @ unit_rows(rt["vector"]).T
             if exclude_same_id:
-                scores[q_ids[:, None] == d_ids[None, :]] = -np.inf
+                _, q_same, d_same = np.intersect1d(q_ids, d_ids, assume_unique=True, return_indices=True)
+                scores[q_same, d_same] = -np.inf
             rows, cols = best_in_tile(scores, d_ids, k, SCORE_DECIMALS)
         return pa.table(
             {

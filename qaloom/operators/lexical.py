@@ -21,7 +21,7 @@ B = 0.75
 SEED_POSTINGS = 2_000
 SEED_FACTOR = 5
 # The plain join of query terms and postings is taken while it emits no more pairs than this per core.
-DIRECT_PAIRS_PER_CORE = 4_000_000
+DIRECT_PAIRS_PER_CORE = 20_000_000
 # Pruning keeps this margin, wider than the decimals at which scores are compared.
 MARGIN = 1e-5
 
@@ -66,8 +66,8 @@ def bm25_index(
     """Tokenize the corpus once into a postings table.
 
     With a ``vocabulary`` (``term``) that is small, other terms are dropped before anything is shuffled; document
-    lengths always count every term. Terms are combined per document before the shuffle, and the table is
-    ordered by term inside its files, so a search reads the row groups of its terms only.
+    lengths always count every term. Terms are combined per document before the shuffle. An index of all terms
+    is ordered by term inside its files, so a search reads the row groups of its terms only.
     """
     tokenized = corpus.select(F.col(doc_id).alias("doc_id"), F.coalesce(terms(text), F.array()).alias("_terms"))
     measured = tokenized.select(
@@ -78,8 +78,10 @@ def bm25_index(
     if vocabulary is not None and is_small(vocabulary):
         kept = vocabulary.select(F.explode(F.array(F.col("term"), F.lit(LENGTH_TERM))).alias("term")).distinct()
         occurrences = occurrences.join(F.broadcast(kept), "term", "left_semi")
-    postings = occurrences.groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
-    return _open_index(stage(postings.sortWithinPartitions("term"), "postings", path))
+    postings = occurrences.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+    if vocabulary is None:
+        postings = postings.sortWithinPartitions("term")
+    return _open_index(stage(postings, "postings", path))
 
 
 def open_bm25_index(spark: SparkSession, path: str) -> LexicalIndex:

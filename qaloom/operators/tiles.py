@@ -33,14 +33,17 @@ def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def best_in_tile(scores: np.ndarray, tie: np.ndarray, k: int, decimals: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the ``k`` best columns per row, ties by ``tie``; -inf marks excluded cells."""
-    scores = np.round(scores, decimals)
+    """Row and column numbers of the ``k`` best columns per row by rounded score, ties by ``tie``; -inf is excluded."""
     if scores.shape[1] > k:
-        threshold = np.partition(scores, -k, axis=1)[:, -k]
-        rows, cols = np.nonzero((scores >= threshold[:, None]) & np.isfinite(scores))
+        # Whatever may round up to the k-th best score stays in.
+        threshold = np.partition(scores, -k, axis=1)[:, -k] - 10.0**-decimals
+        rows, cols = np.nonzero(scores >= threshold[:, None])
     else:
         rows, cols = np.nonzero(np.isfinite(scores))
-    order = np.lexsort((tie[cols], -scores[rows, cols], rows))
+    values = np.round(scores[rows, cols], decimals)
+    kept = np.isfinite(values)
+    rows, cols, values = rows[kept], cols[kept], values[kept]
+    order = np.lexsort((tie[cols], -values, rows))
     rows, cols = rows[order], cols[order]
     first = np.searchsorted(rows, rows, side="left")
     keep = np.arange(len(rows)) - first < k

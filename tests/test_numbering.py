@@ -23,9 +23,9 @@ def test_one_key_for_most_rows_still_spreads(spark):
     assert numbered.where("key = -1").agg(F.max("idx")).first()[0] == 17_999
 
 
-def test_descending_expression_keys(spark):
-    rows = global_index(spark.range(50).repartition(3), [F.col("id").desc()]).collect()
-    assert all(r.idx == 49 - r.id for r in rows)
+def test_expression_keys(spark):
+    rows = global_index(spark.range(50).repartition(3), [F.col("id") % 2, -F.col("id")]).collect()
+    assert [r.id for r in sorted(rows, key=lambda r: r.idx)] == sorted(range(50), key=lambda i: (i % 2, -i))
 
 
 @pytest.mark.parametrize("n", [0, 1, 9, 11, 100])
