@@ -21,7 +21,9 @@ B = 0.75
 SEED_POSTINGS = 2_000
 SEED_FACTOR = 5
 # The plain join of query terms and postings is taken while it emits no more pairs than this per core.
-DIRECT_PAIRS_PER_CORE = 20_000_000
+DIRECT_PAIRS_PER_CORE = 5_000_000
+# The commonest terms of a query are put off while together they reach at most this share of the bound.
+PUT_OFF_SHARE = 0.5
 # Pruning keeps this margin, wider than the decimals at which scores are compared.
 MARGIN = 1e-5
 
@@ -128,9 +130,9 @@ def bm25_search(
     plain join is the fastest way.
 
     Beyond that the join is pruned, with the same result. Some documents found by each query's rarest terms are
-    scored in full; their k-th best score bounds the result from below. Terms whose largest possible contributions
-    sum to less than the bound cannot lift a document into the top k alone, so only documents with one of the
-    other terms become candidates, and those that can still reach the bound are completed.
+    scored in full; their k-th best score bounds the result from below. A query's commonest terms are put off as
+    long as their largest possible contributions sum to no more than a share of the bound. Documents are scored
+    by the other terms, and only those that can still reach the bound are completed with the terms put off.
     """
     wanted = stage(query_terms(queries, query_id, query), "query-terms")
     vocabulary = wanted.select("term").distinct()
@@ -187,25 +189,25 @@ def bm25_search(
     seed_terms = looked_up(seed_pairs.select("query_id", "doc_id"), weighted.select("query_id", "term", "weight"), few_seeds)
     bounds = _kth_score(seed_terms.groupBy("query_id", "doc_id").agg(contribution), k)
 
-    weakest = Window.partitionBy("query_id").orderBy("most", "term")
-    running = weakest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    left_over = F.sum(F.when(~F.col("essential"), F.col("most"))).over(Window.partitionBy("query_id"))
+    commonest = Window.partitionBy("query_id").orderBy(F.col("df").desc(), "term")
+    running = commonest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.sum(F.when(F.col("put_off"), F.col("most"))).over(Window.partitionBy("query_id"))
     marked = (
         weighted.join(bounds, "query_id", "left")
         .withColumn("bound", F.coalesce("bound", F.lit(0.0)) - F.lit(MARGIN))
-        .withColumn("essential", F.sum("most").over(running) >= F.col("bound"))
-        .withColumn("rest", F.coalesce(left_over, F.lit(0.0)))
+        .withColumn("put_off", F.sum("most").over(running) <= F.col("bound") * F.lit(PUT_OFF_SHARE))
+        .withColumn("floor", F.col("bound") - F.coalesce(reach, F.lit(0.0)))
     )
-    marked = stage(marked.select("query_id", "term", "weight", "essential", "bound", "rest"), "query-plan")
+    marked = stage(marked.select("query_id", "term", "weight", "put_off", "floor"), "query-plan")
 
     partial = (
-        matches(marked.where("essential"))
+        matches(marked.where(~F.col("put_off")))
         .groupBy("query_id", "doc_id")
-        .agg(contribution, F.max("bound").alias("bound"), F.max("rest").alias("rest"))
-        .where(F.col("score") + F.col("rest") >= F.col("bound"))
+        .agg(contribution, F.max("floor").alias("floor"))
+        .where(F.col("score") >= F.col("floor"))
     )
     partial = stage(partial.select("query_id", "doc_id", "score"), "partial-scores")
-    remaining = marked.where(~F.col("essential")).select("query_id", "term", "weight")
+    remaining = marked.where("put_off").select("query_id", "term", "weight")
     n_pairs, pair_bytes = measure(partial)
     longest = remaining.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
     few = fits_broadcast(n_pairs * longest, pair_bytes * longest)
