@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,55 +19,64 @@ from qaloom.operators.tiles import unit_rows
 SMOOTHING = 0.1
 
 
-def ngrams(tokens: Column, n: Column | int) -> Column:
+# A way to look at texts: its name, the tokenizer, and the n-gram sizes to count.
+View = tuple[str, Callable[[str], Column], Sequence[int]]
+BLEU_VIEW: View = ("bleu", words, (1, 2, 3, 4))
+
+
+def rouge_view(sizes: Sequence[int] = (1, 2)) -> View:
+    return "rouge", ascii_terms, sizes
+
+
+def ngrams(tokens: Column, n: int) -> Column:
     """All runs of ``n`` tokens as texts joined by a blank; none if there are fewer tokens."""
-    n = F.lit(n) if isinstance(n, int) else n
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    if n == 1:
+        return tokens
+    starts = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
+    return F.transform(starts, lambda first, i: F.concat_ws(" ", first, *[F.get(tokens, i + j) for j in range(1, n)]))
 
 
-def clipped_matches(
-    pairs: DataFrame, key: str, views: Sequence[tuple[str, Column, Column, Sequence[int]]]
-) -> DataFrame:
+def clipped_matches(pairs: DataFrame, key: str, candidate: str, reference: str, views: Sequence[View]) -> DataFrame:
     """Per key, view and n: n-grams of either side and the matches, each counted at most as often as in the other side.
 
-    A view is ``(name, candidate tokens, reference tokens, sizes)``. The texts are shuffled once by key for all
-    views; n-grams are then exploded, counted and summed inside their partition.
+    The texts are shuffled once by key for all views; they are tokenized, exploded, counted and summed inside
+    their partition.
     """
-    tokens = [c.alias(f"_{name}_{side}") for name, *sides, _ in views for side, c in zip("cr", sides)]
-    placed = pairs.select(key, *tokens).repartition(key)
-    runs = [
-        F.struct(F.lit(name).alias("view"), F.lit(n).alias("n"), F.col(f"_{name}_c").alias("_c"), F.col(f"_{name}_r").alias("_r"))
-        for name, _, _, sizes in views
-        for n in sizes
+    placed = pairs.select(key, F.col(candidate).alias("_c"), F.col(reference).alias("_r")).repartition(key)
+    tokens = [
+        F.coalesce(tokenize(side), F.array()).alias(f"{side}_{name}") for name, tokenize, _ in views for side in ("_c", "_r")
     ]
-    per_size = placed.select(key, F.inline(F.array(*runs)))
+    runs = [(name, n) for name, _, sizes in views for n in sizes]
 
-    def side(tokens: str, in_candidate: int) -> Column:
+    def counted_once(run: int, side: str) -> Column:
+        name, n = runs[run]
+        in_c, in_r = F.lit(int(side == "_c")).alias("c"), F.lit(int(side == "_r")).alias("r")
         return F.transform(
-            ngrams(F.col(tokens), F.col("n")),
-            lambda g: F.struct(g.alias("gram"), F.lit(in_candidate).alias("c"), F.lit(1 - in_candidate).alias("r")),
+            ngrams(F.col(f"{side}_{name}"), n), lambda g: F.struct(F.lit(run).alias("run"), g.alias("gram"), in_c, in_r)
         )
 
-    # One empty entry per side keeps pairs without any n-gram; it never counts.
-    marker = F.array(F.struct(F.lit("").alias("gram"), F.lit(0).alias("c"), F.lit(0).alias("r")))
-    grams = per_size.select(key, "view", "n", F.inline(F.concat(marker, side("_c", 1), side("_r", 0))))
-    counted = grams.groupBy(key, "view", "n", "gram").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
-    return counted.groupBy(key, "view", "n").agg(
+    # One empty entry per run keeps pairs without any n-gram; it never counts.
+    zero = F.lit(0)
+    markers = F.array(
+        *[F.struct(F.lit(i).alias("run"), F.lit("").alias("gram"), zero.alias("c"), zero.alias("r")) for i in range(len(runs))]
+    )
+    entries = F.concat(markers, *[counted_once(i, side) for i in range(len(runs)) for side in ("_c", "_r")])
+    grams = placed.select(key, *tokens).select(key, F.inline_outer(entries))
+    counted = grams.groupBy(key, "run", "gram").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
+    summed = counted.groupBy(key, "run").agg(
         F.sum(F.least("c", "r")).alias("matches"),
         F.sum("c").alias("candidate_grams"),
         F.sum("r").alias("reference_grams"),
     )
-
-
-def rouge_view(candidate: str, reference: str, sizes: Sequence[int]) -> tuple[str, Column, Column, Sequence[int]]:
-    return "rouge", ascii_terms(candidate), ascii_terms(reference), sizes
-
-
-def bleu_view(candidate: str, reference: str) -> tuple[str, Column, Column, Sequence[int]]:
-    return "bleu", words(candidate), words(reference), (1, 2, 3, 4)
+    names, sizes = F.array(*[F.lit(name) for name, _ in runs]), F.array(*[F.lit(n) for _, n in runs])
+    return summed.select(
+        key,
+        F.get(names, F.col("run")).alias("view"),
+        F.get(sizes, F.col("run")).alias("n"),
+        "matches",
+        "candidate_grams",
+        "reference_grams",
+    )
 
 
 def f_measure(precision: Column, recall: Column) -> Column:
@@ -90,7 +99,7 @@ def rouge_n(
     sizes: Sequence[int] = (1, 2),
 ) -> DataFrame:
     """ROUGE-n precision, recall and F per key and n, over lower-case ASCII words without stemming."""
-    counts = clipped_matches(pairs, key, [rouge_view(candidate, reference, sizes)])
+    counts = clipped_matches(pairs, key, candidate, reference, [rouge_view(sizes)])
     precision, recall = overlap_precision(), overlap_recall()
     return counts.select(
         key, "n", precision.alias("precision"), recall.alias("recall"), f_measure(precision, recall).alias("f")
@@ -121,16 +130,14 @@ def bleu4(
     pairs: DataFrame, key: str = "pair_id", candidate: str = "prediction", reference: str = "answer"
 ) -> DataFrame:
     """Sentence BLEU with n = 1…4, equal weights, brevity penalty and additive smoothing of zero matches."""
-    return bleu_from_counts(clipped_matches(pairs, key, [bleu_view(candidate, reference)]), key)
+    return bleu_from_counts(clipped_matches(pairs, key, candidate, reference, [BLEU_VIEW]), key)
 
 
 def overlap_scores(
     pairs: DataFrame, key: str = "pair_id", candidate: str = "prediction", reference: str = "answer"
 ) -> DataFrame:
     """ROUGE-1, ROUGE-2 and BLEU per key from one shuffle of the texts."""
-    counts = clipped_matches(
-        pairs, key, [rouge_view(candidate, reference, (1, 2)), bleu_view(candidate, reference)]
-    )
+    counts = clipped_matches(pairs, key, candidate, reference, [rouge_view(), BLEU_VIEW])
     f = f_measure(overlap_precision(), overlap_recall())
 
     def rouge(n: int) -> Column:
