@@ -66,8 +66,9 @@ def generate(
     max_attempts: int = 5,
     on_error: str = "error",
     wait: float = 2.0,
+    batch_rows: int = 64,
 ) -> DataFrame:
-    """``df`` with the model's ``output`` and the ``attempts`` it took, one Arrow batch at a time.
+    """``df`` with the model's ``output`` and the ``attempts`` it took, ``batch_rows`` prompts per call.
 
     Only ``inputs`` are handed to ``predict``. Long-form runs use ``max_attempts=1, on_error=""``. The result is
     computed again whenever it is read: write it (see :func:`generate_to_table`) before scoring.
@@ -78,7 +79,12 @@ def generate(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = batch[names].to_dict("records")
-            replies, attempts = answer_batch(rows, predict, fixed, max_attempts, on_error, wait)
+            replies: list[str] = []
+            attempts: list[int] = []
+            for start in range(0, len(rows), batch_rows):
+                some = answer_batch(rows[start : start + batch_rows], predict, fixed, max_attempts, on_error, wait)
+                replies += some[0]
+                attempts += some[1]
             yield batch.assign(**{output: replies, "attempts": attempts})
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]

@@ -14,6 +14,9 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 BROADCAST_MAX_ROWS = 500_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
+# Folders of local sessions that name none, by application.
+_local_roots: dict[str, str] = {}
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for staged tables.
@@ -27,9 +30,10 @@ def scratch_root(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach (master is {master})")
-    root = tempfile.mkdtemp(prefix="qaloom-")
-    spark.conf.set(CHECKPOINT_CONF, root)
-    return root
+    application = spark.sparkContext.applicationId
+    if application not in _local_roots:
+        _local_roots[application] = tempfile.mkdtemp(prefix="qaloom-")
+    return _local_roots[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -127,6 +127,14 @@ def test_retries_only_failed_rows_and_waits_on_rate_limits(monkeypatch):
     assert waits == [2.0, 4.0]
 
 
+def test_prompts_are_sent_in_small_calls(spark):
+    def predict(rows, _):
+        return [str(len(rows))] * len(rows)
+
+    replies = inference.generate(spark.range(10).coalesce(1), predict, ["id"], batch_rows=4).collect()
+    assert [r.reply for r in replies] == ["4"] * 8 + ["2"] * 2
+
+
 def test_one_attempt_gives_the_error_text():
     def broken(rows, _):
         raise RuntimeError("down")
