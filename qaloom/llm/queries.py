@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import language
+from qaloom.llm import jaccard, language
 from qaloom.llm.common import read_table
 
 
@@ -18,8 +18,14 @@ def op1_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by a Jaccard similarity of at least 0.9 on three-word shingles."""
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 QUERIES = {
     "op1_language_ppm": op1_language_ppm,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
 }
 
 SQL: dict[str, str] = {}
