@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import jaccard, language
+from qaloom.llm import jaccard, language, mixing
 from qaloom.llm.common import read_table
 
 
@@ -18,6 +18,12 @@ def op1_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix takes whose sources weigh 1, 2, 3, repeating."""
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of at least 0.9 on three-word shingles."""
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, percent=90)
@@ -25,6 +31,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_ppm": op1_language_ppm,
+    "op3_source_mix": op3_source_mix,
     "op4_ngram_jaccard": op4_ngram_jaccard,
 }
 
