@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import jaccard, language, mixing
+from qaloom.llm import jaccard, language, mixing, secrets
 from qaloom.llm.common import read_table
 
 
@@ -29,10 +29,19 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the fixed patterns, and all spans."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    kinds = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k, *_ in secrets.KINDS]
+    return found.select("doc_id", *kinds, F.sha2(secrets.digest("base"), 256).alias("base_sha256"), secrets.digest("spans").alias("spans"))
+
+
 QUERIES = {
     "op1_language_ppm": op1_language_ppm,
     "op3_source_mix": op3_source_mix,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op8_secret_scan": op8_secret_scan,
 }
 
 SQL: dict[str, str] = {}
