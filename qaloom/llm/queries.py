@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import jaccard, language, mixing, secrets
+from qaloom.llm import jaccard, language, mixing, packing, secrets
 from qaloom.llm.common import read_table
 
 
@@ -29,6 +29,11 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 512, 1024 or 2048 words."""
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts and digest of the fixed patterns, and all spans."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,6 +46,7 @@ QUERIES = {
     "op1_language_ppm": op1_language_ppm,
     "op3_source_mix": op3_source_mix,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_best_fit": op5_best_fit,
     "op8_secret_scan": op8_secret_scan,
 }
 
