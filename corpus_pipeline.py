@@ -1,6 +1,86 @@
-"""Corpus preparation: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""Corpus preparation: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Language identification, near duplicates, secrets, source mixing, packing. Every stage takes the session, the rows
+that its predecessor kept and the folder of the tables; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from qaloom.llm import jaccard, language, mixing, packing, secrets
+from qaloom.session import is_small, stage
+
+# A text is rejected if no language reaches this posterior.
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose language is known; texts that are null or have no letter go, and ambiguous ones.
+
+    The models learn from all labelled documents. The given label stays as it is.
+    """
+    model = language.train(docs, F.lit(True))
+    plain = docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns})
+    found = language.identify(plain, model, "_text")
+    found = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return found.select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest id.
+
+    Of rows that share this id, one stays. Rows without id or words are in no group and stay.
+    """
+    groups = stage(jaccard.near_duplicates(docs, shingle=5, percent=80), "groups")
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    gone = stage(gone, "gone")
+    kept = docs.join(F.broadcast(gone) if is_small(gone) else gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    repeated = stage(repeated, "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    others = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    order = F.struct(*[F.col(c) for c in docs.columns])
+    return others.union(once.groupBy("doc_id").agg(F.min(order).alias("row")).select("row.*").select(*docs.columns))
+
+
+def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret by a placeholder; all documents stay, and ``n_chars`` follows a text that changed."""
+    clean = secrets.redact(docs.withColumn("_before", F.col("text")), secrets.train(docs))
+    changed = ~F.col("text").eqNullSafe(F.col("_before"))
+    return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix by source weights 1, 2, 3: documents as often as they are taken, one of a shard in part."""
+    mixed = mixing.mixed_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of the permitted lengths, with the documents that they hold."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", remove_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+# SQL can express neither the trained models nor the packing; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
