@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import jaccard, language, mixing, packing, secrets
+from qaloom.llm import chat, jaccard, language, mixing, packing, secrets, warc
 from qaloom.llm.common import read_table
+from qaloom.session import scratch_path
 
 
 def op1_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +43,76 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kinds, F.sha2(secrets.digest("base"), 256).alias("base_sha256"), secrets.digest("spans").alias("spans"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.sql(
+        r"""SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, r'\### Assistant: </turn> ok' AS text
+        FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)"""
+    )
+    chats = chat.read_back(chat.format_chats(rows.union(hard)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives, read back and merged into one index."""
+    path = scratch_path(spark, "archives")
+    warc.write_archives(read_table(spark, sf_dir, "pages"), path)
+    index = warc.capture_index(warc.capture_runs(spark, path))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_language_ppm": op1_language_ppm,
     "op3_source_mix": op3_source_mix,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_best_fit": op5_best_fit,
     "op8_secret_scan": op8_secret_scan,
+    "op9_chat_format": op9_chat_format,
+    "op10_warc_index": op10_warc_index,
 }
 
 SQL: dict[str, str] = {}
+
+SQL["op9_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)
+),
+lengths AS (
+  SELECT *, contains(role, ': ') OR suffix(role, '\') OR contains(role, '### ') OR contains(role, '</turn>')
+              OR contains(text, '### ') OR contains(text, '</turn>') AS hard,
+         length(role) + length(text) AS plain_size,
+         length(replace(replace(replace(replace(role, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>'), ': ', ':\ '))
+           + length(replace(replace(replace(replace(text, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>'), ': ', ':\ ')) + 1
+           AS hard_size
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(14 + CASE WHEN hard THEN hard_size ELSE plain_size END) AS BIGINT) AS formatted_chars
+FROM lengths GROUP BY conv_id"""
+
+SQL["op10_warc_index"] = """
+WITH payloads AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+),
+kept AS (
+  SELECT payload_digest, payload_bytes, max(page_id) AS kept FROM payloads WHERE payload_bytes >= 1000
+  GROUP BY payload_digest, payload_bytes HAVING count(*) > 1
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM payloads LEFT JOIN kept USING (payload_digest, payload_bytes)"""
