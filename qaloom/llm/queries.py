@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import chat, jaccard, language, mixing, packing, secrets, warc
+from qaloom.llm import chat, jaccard, language, mixing, packing, repetition, secrets, urls, warc
 from qaloom.llm.common import read_table
 from qaloom.session import scratch_path
 
@@ -35,6 +35,18 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and whether the repetition rules keep it."""
+    found = repetition.quality(read_table(spark, sf_dir, "documents"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("doc_id", *base, "covered_words", "longest_repeat")
+
+
+def op7_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page, by rules and by boosted trees."""
+    return urls.filter_urls(read_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts and digest of the fixed patterns, and all spans."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -75,6 +87,8 @@ QUERIES = {
     "op3_source_mix": op3_source_mix,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_best_fit": op5_best_fit,
+    "op6_suffix_repetition": op6_suffix_repetition,
+    "op7_url_trees": op7_url_trees,
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_warc_index": op10_warc_index,
