@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import chat, jaccard, language, mixing, packing, repetition, secrets, urls, warc
+from qaloom.llm import chat, jaccard, language, mixing, neighbours, packing, repetition, secrets, urls, warc
 from qaloom.llm.common import read_table
 from qaloom.session import scratch_path
 
@@ -19,6 +19,11 @@ def op1_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
+def op2_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every embedding whose id is divisible by 20, by inner product."""
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document a mix takes whose sources weigh 1, 2, 3, repeating."""
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
@@ -84,6 +89,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_ppm": op1_language_ppm,
+    "op2_rp_forest": op2_rp_forest,
     "op3_source_mix": op3_source_mix,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_best_fit": op5_best_fit,
@@ -96,6 +102,22 @@ QUERIES = {
 
 SQL: dict[str, str] = {}
 
+# Small tables are searched whole, so the forest finds exactly the nearest there.
+SQL["op2_rp_forest"] = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS place FROM pairs
+) WHERE place <= 20"""
+
 SQL["op9_chat_format"] = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
