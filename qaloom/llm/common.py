@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,45 +34,88 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer, element by element."""
     x = x + _MIX[0]
-    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes:
-    """64-bit hashes of words. Keeps the values of words seen before, up to a bound, to hash each only once."""
-
-    def __init__(self, most: int = 1_000_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
+    x ^= x >> np.uint64(30)
+    x *= _MIX[1]
+    x ^= x >> np.uint64(27)
+    x *= _MIX[2]
+    x ^= x >> np.uint64(31)
+    return x
+
+
+# Words are hashed as polynomials of their bytes, so that running sums over a slice of texts hash all its words at once.
+_BASE = 0x5851F42D4C957F2D
+_UNBASE = pow(_BASE, -1, 1 << 64)
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[32, *range(9, 14)]] = True
+# Bytes of text that are hashed at once, and the powers for them; a longer text is a slice of its own.
+SLICE = 500_000
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    known = _powers.get(base, np.empty(0, np.uint64))
+    if len(known) >= n:
+        return known[:n]
+    known = np.full(n, base, np.uint64)
+    known[0] = 1
+    known = np.cumprod(known, dtype=np.uint64)
+    if n <= 2 * SLICE:
+        _powers[base] = known
+    return known
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, and where the words of each text begin, with the end."""
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    space = _IS_SPACE[data]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=sums[1:])
+    hashes = mix((sums[ends] - sums[starts]) * _power(_UNBASE, len(data))[starts])
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return hashes, np.searchsorted(starts, at)
+
+
+def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
+    """Per text the distinct shingles of ``size`` words, as ascending 64-bit hashes; A-Z count as a-z.
+
+    A text with fewer words is one shingle; one that is null or has no word has none.
+    """
+    return [found for part in slices(texts) for found in _slice_sets(part, size)]
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
 
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        out = []
-        for word in words:
-            value = known.get(word)
-            if value is None:
-                value = known[word] = xxhash.xxh3_64_intdigest(word)
-            out.append(value)
-        return np.array(out, np.uint64)
+def slices(texts: list[bytes | None]) -> Iterator[list[bytes]]:
+    """Neighbouring texts of about ``SLICE`` bytes together, null as empty; a longer text stands alone."""
+    part: list[bytes] = []
+    room = SLICE
+    for text in texts:
+        if part and len(text or b"") > room:
+            yield part
+            part, room = [], SLICE
+        part.append(text or b"")
+        room -= len(part[-1]) + 1
+    if part:
+        yield part
 
 
-def shingle_set(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
-    """Distinct shingles of ``size`` words in ascending order of their hashes, A-Z lower-cased.
+def _slice_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    words, at = word_hashes([text.lower() for text in texts])
 
-    A text with fewer words is one shingle; one without words has none.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    values = hashes(words)
-    width = min(size, len(values))
-    with np.errstate(over="ignore"):
-        out = np.full(len(values) - width + 1, np.uint64(width))
+    def shingles(values: np.ndarray, width: int) -> np.ndarray:
+        n = len(values) - width + 1
+        mixed = np.full(n, width, np.uint64)
         for i in range(width):
-            out = mix(out ^ values[i : len(values) - width + 1 + i])
-    return np.unique(out)
+            mixed = mix(mixed ^ values[i : n + i])
+        return mixed
+
+    every = shingles(words, size) if len(words) >= size else words[:0]
+    out = []
+    for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if end - begin >= size:
+            out.append(np.unique(every[begin : end - size + 1]))
+        elif end > begin:
+            out.append(shingles(words[begin:end], end - begin))
+        else:
+            out.append(words[:0])
+    return out

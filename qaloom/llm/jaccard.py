@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qaloom.llm.common import WordHashes, shingle_set
+from qaloom.llm.common import shingle_sets
 from qaloom.llm.graph import components
 from qaloom.session import is_small, stage
 
@@ -28,10 +28,18 @@ from qaloom.session import is_small, stage
 LIST = 64
 # So many of the commonest shingles have a place of their own in the order; the others are ordered by their hash.
 COMMON = 50_000
+SKETCH_BITS = 2048
 
 
-def _sets(batch: pa.RecordBatch, shingle: int, hashes: WordHashes) -> list[np.ndarray]:
-    return [shingle_set(text, shingle, hashes) for text in batch.column(1).to_pylist()]
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller pieces, so that a task holds few sets at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
+def _sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
+    return shingle_sets(texts.cast(pa.binary()).to_pylist(), shingle)
 
 
 def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,9 +50,8 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            sets = _sets(batch, shingle, hashes)
+        for batch in _parts(batches, 4000):
+            sets = _sets(batch.column(1), shingle)
             if not sets:
                 continue
             keys, n = np.unique(np.concatenate(sets), return_counts=True)
@@ -59,18 +66,22 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
 
 
 def features(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``doc_id, n, same, head, prefix``: set size, digests of the set and of its prefix, and the prefix in order."""
+    """``doc_id, n, same, head, prefix, sketch``: set size, digests of the set and of its prefix, and the prefix in order.
+
+    The sketch has a bit for each of ``SKETCH_BITS`` parts of the shingles: whether the set holds an odd number of it.
+    """
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
 
         common, weight = held.value
-        hashes = WordHashes()
-        for batch in batches:
-            n, same, head, prefix, offsets = [], [], [], [], [0]
-            for tokens in _sets(batch, shingle, hashes):
+        for batch in _parts(batches):
+            n, same, head, prefix, offsets, sketch = [], [], [], [], [0], []
+            for tokens in _sets(batch.column(1), shingle):
                 size = len(tokens)
+                odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+                sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 n.append(size)
                 same.append(blake2b(tokens.tobytes(), digest_size=16).digest() if size else None)
                 first = tokens[: size - (percent * size + 99) // 100 + 1] if size else tokens
@@ -84,18 +95,34 @@ def features(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 offsets.append(offsets[-1] + len(first))
             values = np.concatenate(prefix).view(np.int64) if prefix else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(head, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "same", "head", "prefix"])
+            bits = pa.array(np.concatenate(sketch) if sketch else np.empty(0, np.int64))
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (SKETCH_BITS // 64), pa.int32()), bits)
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(head, pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, lists, sketches], names=["doc_id", "n", "same", "head", "prefix", "sketch"]
+            )
 
-    return docs.mapInArrow(run, "doc_id long, n long, same binary, head binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, same binary, head binary, prefix array<long>, sketch array<long>")
+
+
+def _not_apart(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs without those whose sketches already differ in more shingles than the similarity allows.
+
+    Every shingle that only one of two sets holds changes one bit, so no two sets differ in fewer shingles than bits.
+    """
+    sketches = known.select("doc_id", "n", "sketch")
+    one = sketches.withColumnsRenamed({"doc_id": "a", "n": "n_a", "sketch": "sketch_a"})
+    two = sketches.withColumnsRenamed({"doc_id": "b", "n": "n_b", "sketch": "sketch_b"})
+    bits = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return pairs.join(one, "a").join(two, "b").where(f"{100 + percent} * {bits} <= {100 - percent} * (n_a + n_b)").select("a", "b")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose texts have the wanted similarity.
+def verify(pairs: DataFrame, known: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose texts have the wanted similarity. ``known`` has the features of ``docs``.
 
     Only texts that some pair needs are shuffled; where few are needed, the list of their ids is broadcast.
     """
-    pairs = stage(pairs, "pairs")
+    pairs = stage(_not_apart(pairs, known, percent).distinct(), "pairs")
     wanted = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
     texts = docs.join(F.broadcast(wanted) if is_small(wanted) else wanted, "doc_id", "left_semi")
     left = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -103,20 +130,14 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
     both = pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            links, last, one = [], None, np.empty(0, np.uint64)
-            for row, (a, b) in enumerate(ids):
-                text = batch.column(2)[row].as_py()
-                if text != last:
-                    last, one = text, shingle_set(text, shingle, hashes)
-                two = shingle_set(batch.column(3)[row].as_py(), shingle, hashes)
+        for batch in _parts(batches):
+            links = []
+            ones, twos = _sets(batch.column(2), shingle), _sets(batch.column(3), shingle)
+            for row, (one, two) in enumerate(zip(ones, twos, strict=True)):
                 shared = len(np.intersect1d(one, two, assume_unique=True))
                 if 100 * shared >= percent * (len(one) + len(two) - shared):
-                    links.append((a, b))
-            table = np.array(links, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], names=["a", "b"])
+                    links.append(row)
+            yield batch.select([0, 1]).take(pa.array(links, pa.int64()))
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -161,13 +182,13 @@ def near_duplicates(
     stars = lists.where(f"size > {LIST} AND first < gid").select(F.col("first").alias("a"), F.col("gid").alias("b"))
     own = members.where("gid < rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     tried = stage(near.union(stars).union(own).distinct(), "tried")
-    links = stage(verify(tried, docs, shingle, percent), "verified")
+    links = stage(verify(tried, known, docs, shingle, percent), "verified")
 
     found = stage(components(links), "components")
     rest = _open_pairs(lists, members, found, percent).join(tried, ["a", "b"], "left_anti")
     rest = stage(rest, "open")
     if not rest.isEmpty():
-        more = verify(rest, docs, shingle, percent)
+        more = verify(rest, known, docs, shingle, percent)
         found = stage(components(links.union(more)), "components")
 
     named = classes.select("same", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
