@@ -60,7 +60,6 @@ def both_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
         documents,
         text_vectors(spark, sf_dir, asked, "query_id"),
         text_vectors(spark, sf_dir, documents, "doc_id"),
-        candidates=CANDIDATES,
     )
 
 
@@ -71,15 +70,42 @@ def mode_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_mode = hits.groupBy("query_id").pivot("mode", ["keyword", "semantic"]).agg(best)
     shared = hits.groupBy("query_id", "doc_id").agg(F.count("*").alias("modes"))
     overlap = shared.groupBy("query_id").agg(F.count_if(F.col("modes") == 2).alias("shared_hits"))
-    return per_mode.join(overlap, "query_id").select(
+    found = queries(spark, sf_dir).select("query_id").join(per_mode.join(overlap, "query_id"), "query_id", "left")
+    return found.select(
         "query_id",
         F.col("keyword").alias("keyword_first"),
         F.col("semantic").alias("semantic_first"),
-        "shared_hits",
-        (F.col("keyword") == F.col("semantic")).cast("int").alias("same_first"),
+        F.coalesce("shared_hits", F.lit(0)).alias("shared_hits"),
+        F.coalesce((F.col("keyword") == F.col("semantic")).cast("int"), F.lit(0)).alias("same_first"),
     )
 
 
+HARD_VECTORS = """
+SELECT vec_id, CASE vec_id % 50
+  WHEN 1 THEN NULL
+  WHEN 2 THEN transform(embedding, (x, i) -> IF(i = 3, float('NaN'), x))
+  WHEN 3 THEN transform(embedding, (x, i) -> IF(i = 5, NULL, x))
+  WHEN 4 THEN transform(embedding, x -> float(0))
+  WHEN 5 THEN slice(embedding, 1, 8)
+  ELSE embedding END AS vector
+FROM {vectors}"""
+
+
+def dense_topk_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest in tiles, where some vectors are null, zero, short or have a null or NaN component."""
+    hard = spark.sql(HARD_VECTORS, vectors=table(spark, sf_dir, "embeddings"))
+    asked, known = hard.withColumnRenamed("vec_id", "query_id"), hard.withColumnRenamed("vec_id", "doc_id")
+    hits = dense_search(asked, known, exclude_same_id=True, broadcast=False)
+    return hits.withColumn("score", F.round("score", 6))
+
+
+def dense_topk_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest by the first eight components."""
+    short = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("vector"))
+    hits = dense_search(short.withColumnRenamed("vec_id", "query_id"), short.withColumnRenamed("vec_id", "doc_id"), exclude_same_id=True)
+    return hits.withColumn("score", F.round("score", 6))
+
+
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of every vector with itself reversed: the row-level cosine expression."""
     flipped = F.reverse("embedding")
@@ -88,6 +114,8 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "dense_topk": dense_topk,
+    "dense_topk_hard": dense_topk_hard,
+    "dense_topk_short": dense_topk_short,
     "rerank_topk": rerank_topk,
     "mode_comparison": mode_comparison,
     "cosine_expression": vector_norms,
@@ -104,10 +132,14 @@ rescored AS (
   FROM candidates c, sized JOIN vec q ON q.vec_id = c.query_id % n_vec JOIN vec d ON d.vec_id = c.doc_id % n_vec
 )"""
 
-SQL_BOTH_MODES = f"""{SQL_QUERIES}, {SQL_POSTINGS}, {sql_bm25()}, {SQL_VECTOR_PAIRS}, {SQL_RERANK},
+SQL_BOTH_MODES = f"""{SQL_QUERIES}, {SQL_POSTINGS}, {sql_bm25()}, {SQL_VECTOR_PAIRS},
+cosines AS (
+  SELECT c.query_id, d.doc_id, list_cosine_similarity(q.v, e.v) AS score
+  FROM queries c, documents d, sized JOIN vec q ON q.vec_id = c.query_id % n_vec JOIN vec e ON e.vec_id = d.doc_id % n_vec
+),
 hits AS (
   SELECT 'keyword' AS mode, * FROM ({sql_top('bm25')})
-  UNION ALL SELECT 'semantic' AS mode, * FROM ({sql_top('rescored')})
+  UNION ALL SELECT 'semantic' AS mode, * FROM ({sql_top('cosines')})
 )"""
 
 SQL = {
@@ -131,9 +163,27 @@ shared AS (
   SELECT query_id, count(*) FILTER (modes = 2) AS shared_hits
   FROM (SELECT query_id, doc_id, count(*) AS modes FROM hits GROUP BY query_id, doc_id) GROUP BY query_id
 )
-SELECT query_id, keyword_first, semantic_first, shared_hits,
-       CAST(keyword_first = semantic_first AS INTEGER) AS same_first
-FROM firsts JOIN shared USING (query_id)""",
+SELECT query_id, keyword_first, semantic_first, coalesce(shared_hits, 0) AS shared_hits,
+       coalesce(CAST(keyword_first = semantic_first AS INTEGER), 0) AS same_first
+FROM queries LEFT JOIN firsts USING (query_id) LEFT JOIN shared USING (query_id)""",
+    "dense_topk_hard": f"""
+WITH vec AS (
+  SELECT vec_id, CASE WHEN vec_id % 50 = 4 THEN list_transform(embedding, lambda x: 0.0) ELSE CAST(embedding AS DOUBLE[]) END AS v
+  FROM embeddings WHERE vec_id % 50 NOT IN (1, 2, 3, 5)
+),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS doc_id,
+         CASE WHEN q.vec_id % 50 = 4 OR d.vec_id % 50 = 4 THEN 0.0 ELSE list_cosine_similarity(q.v, d.v) END AS score
+  FROM vec q, vec d WHERE q.vec_id <> d.vec_id
+), top AS ({sql_top('scored')})
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top""",
+    "dense_topk_short": f"""
+WITH vec AS (SELECT vec_id, CAST(list_slice(embedding, 1, 8) AS DOUBLE[]) AS v FROM embeddings),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_cosine_similarity(q.v, d.v) AS score
+  FROM vec q, vec d WHERE q.vec_id <> d.vec_id
+), top AS ({sql_top('scored')})
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top""",
     "cosine_expression": """
 SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(list_reverse(embedding) AS DOUBLE[])), 6)
   AS cosine FROM embeddings""",

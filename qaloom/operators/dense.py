@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,10 @@ from qaloom import prompts
 from qaloom.operators.lexical import LexicalIndex, bm25_search
 from qaloom.operators.ranking import SCORE_DECIMALS, top_k
 from qaloom.operators.skew import fetch
-from qaloom.operators.tiles import LEFT_BLOCK, RIGHT_BLOCK, best_in_tile, blocks_for, tiled, unit_rows
+from qaloom.operators.tiles import LEFT_ROWS, RIGHT_ROWS, BestHits, blocks_for, tiled, unit_rows, usable
+
+# Rows of a tile's right side that are scored together.
+RIGHT_SLICE = 8_192
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -25,6 +29,11 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
+# The queries are handed to every task while they are no more than this, and the corpus is not shuffled then.
+BROADCAST_QUERIES = 100_000
+BROADCAST_ELEMENTS = 1 << 23
+
+
 def dense_search(
     queries: DataFrame,
     corpus: DataFrame,
@@ -33,46 +42,74 @@ def dense_search(
     doc_id: str = "doc_id",
     vector: str = "vector",
     exclude_same_id: bool = False,
-    left_block: int = LEFT_BLOCK,
-    right_block: int = RIGHT_BLOCK,
+    broadcast: bool | None = None,
 ) -> DataFrame:
     """Top ``k`` corpus vectors per query vector by cosine: ``query_id, doc_id, score, rank``.
 
-    Exact: every query block meets every corpus block in a tile, a tile emits at most ``k`` rows per query, and
-    the tiles' winners are ranked once more. Ids have to be integers or strings and unique per table.
+    Exact. Queries that were counted and are few go to every task, which keeps ``k`` rows per query while it reads its
+    part of the corpus; otherwise blocks of both sides meet in tiles, and at most ``k`` rows per query leave a tile.
+    Scores are computed in slices of bounded size either way. Ids have to be integers or strings and unique per table.
+
+    A vector takes part if it has the commonest length of the query vectors and only finite components: a null, NaN
+    or infinite component, or another length, takes its row out and nothing else. A zero vector has cosine 0.
     """
-    left = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("vector"))
-    right = corpus.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("vector"))
-    sample = left.select(F.size("vector").alias("d")).first()
-    dimensions = sample["d"] if sample else 1
-    n_left = blocks_for(left.count(), dimensions, left_block)
-    n_right = blocks_for(right.count(), dimensions, right_block)
+    left = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("vector")).where("query_id IS NOT NULL")
+    right = corpus.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("vector")).where("doc_id IS NOT NULL")
     id_types = (left.schema["query_id"].dataType.simpleString(), right.schema["doc_id"].dataType.simpleString())
+    schema = f"query_id {id_types[0]}, doc_id {id_types[1]}, score double"
+    lengths = left.where(F.size("vector") > 0).groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"))
+    common = lengths.orderBy(F.desc("n"), "d").first()
+    dimensions = common["d"] if common else 0
+    left, right = left.where(usable("vector", dimensions)), right.where(usable("vector", dimensions))
+    n_left = left.count()
+    if broadcast is None:
+        broadcast = n_left <= BROADCAST_QUERIES and n_left * dimensions <= BROADCAST_ELEMENTS
+    if broadcast:
+        winners = _against_all(left, right, k, exclude_same_id, schema)
+    else:
+        winners = _in_tiles(left, right, n_left, dimensions, k, exclude_same_id, schema)
+    return top_k(winners, k, ["query_id"]).select("query_id", "doc_id", "score", "rank")
+
+
+def _hits(best: BestHits) -> list[pa.Array]:
+    return [pa.array(best.ids[best.rows]), pa.array(best.found), pa.array(best.scores, pa.float64())]
 
+
+def _against_all(left: DataFrame, right: DataFrame, k: int, exclude_same_id: bool, schema: str) -> DataFrame:
+    asked = left.toArrow()
+    ids = asked["query_id"].to_numpy()
+    held = left.sparkSession.sparkContext.broadcast((unit_rows(asked["vector"]), ids))
+    asked_kind = asked.schema.field("query_id").type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = BestHits(*held.value, k, SCORE_DECIMALS, exclude_same_id)
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            best.add(unit_rows(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False))
+        if kind is not None:
+            asked_ids, found, scores = _hits(best)
+            yield pa.RecordBatch.from_arrays(
+                [asked_ids.cast(asked_kind), found.cast(kind), scores], names=["query_id", "doc_id", "score"]
+            )
+
+    return right.mapInArrow(run, schema)
+
+
+def _in_tiles(
+    left: DataFrame, right: DataFrame, n_left: int, dimensions: int, k: int, exclude_same_id: bool, schema: str
+) -> DataFrame:
     def search_tile(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        q_ids = lt["query_id"].to_numpy()
-        d_ids = rt["doc_id"].to_numpy()
-        if not len(q_ids) or not len(d_ids):
-            rows = cols = np.array([], dtype=np.int64)
-            scores = np.zeros((len(q_ids), len(d_ids)))
-        else:
-            scores = unit_rows(lt["vector"]) @ unit_rows(rt["vector"]).T
-            if exclude_same_id:
-                _, q_same, d_same = np.intersect1d(q_ids, d_ids, assume_unique=True, return_indices=True)
-                scores[q_same, d_same] = -np.inf
-            rows, cols = best_in_tile(scores, d_ids, k, SCORE_DECIMALS)
-        return pa.table(
-            {
-                "query_id": lt["query_id"].take(pa.array(rows, pa.int64())),
-                "doc_id": rt["doc_id"].take(pa.array(cols, pa.int64())),
-                "score": pa.array(scores[rows, cols], pa.float64()),
-            }
-        )
-
-    winners = tiled(left, right, "query_id", "doc_id", n_left, n_right).applyInArrow(
-        search_tile, f"query_id {id_types[0]}, doc_id {id_types[1]}, score double"
-    )
-    return top_k(winners, k, ["query_id"]).select("query_id", "doc_id", "score", "rank")
+        kinds = (lt.schema.field("query_id").type, rt.schema.field("doc_id").type)
+        best = BestHits(unit_rows(lt["vector"]), lt["query_id"].to_numpy(), k, SCORE_DECIMALS, exclude_same_id)
+        for begin in range(0, rt.num_rows, RIGHT_SLICE):
+            part = rt.slice(begin, RIGHT_SLICE)
+            best.add(unit_rows(part["vector"]), part["doc_id"].to_numpy())
+        found = _hits(best)
+        return pa.table([found[0].cast(kinds[0]), found[1].cast(kinds[1]), found[2]], names=["query_id", "doc_id", "score"])
+
+    parts = blocks_for(n_left, dimensions, LEFT_ROWS), blocks_for(right.count(), dimensions, RIGHT_ROWS)
+    return tiled(left, right, "query_id", "doc_id", *parts).applyInArrow(search_tile, schema)
 
 
 def rerank(

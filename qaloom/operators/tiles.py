@@ -1,29 +1,33 @@
-"""Exact similarity between two vector tables, computed tile by tile.
-
-Both tables are cut into blocks; a tile is one block of each. Every row travels once per block of the other
-side, a task holds two blocks at a time, and only the best rows of a tile leave it.
-"""
+"""Exact similarity between two vector tables in blocks of bounded size."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Elements (rows x dimensions) per block.
-LEFT_BLOCK = 1 << 18
-RIGHT_BLOCK = 1 << 21
+# Scores that are computed at once (64 MB), rows of a tile's two sides, and elements (rows x dimensions) of a side.
+SCORE_CELLS = 1 << 23
+LEFT_ROWS = 1 << 12
+RIGHT_ROWS = 1 << 16
+BLOCK_ELEMENTS = 1 << 22
 
 
-def blocks_for(rows: int, dimensions: int, block_elements: int) -> int:
-    per_block = max(1, block_elements // max(1, dimensions))
+def blocks_for(rows: int, dimensions: int, block_rows: int) -> int:
+    """Blocks of at most ``block_rows`` rows and ``BLOCK_ELEMENTS`` elements that hold ``rows`` vectors."""
+    per_block = max(1, min(block_rows, BLOCK_ELEMENTS // max(1, dimensions)))
     return max(1, -(-rows // per_block))
 
 
-def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+def usable(vector: str, dimensions: int) -> Column:
+    """Whether a vector has the wanted length and only finite components."""
+    bad = F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce((F.size(vector) == dimensions) & ~bad, F.lit(False))
+
+
+def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of a list column as float64 unit vectors; a zero vector stays zero."""
-    column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
     matrix = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -33,7 +37,8 @@ def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def best_in_tile(scores: np.ndarray, tie: np.ndarray, k: int, decimals: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the ``k`` best columns per row by rounded score, ties by ``tie``; -inf is excluded."""
+    """Row and column numbers of the ``k`` best columns per row by rounded score, ties by ``tie``; no score that is not finite."""
+    scores = np.where(np.isfinite(scores), scores, -np.inf)
     if scores.shape[1] > k:
         # Whatever may round up to the k-th best score stays in.
         threshold = np.partition(scores, -k, axis=1)[:, -k] - 10.0**-decimals
@@ -43,13 +48,45 @@ def best_in_tile(scores: np.ndarray, tie: np.ndarray, k: int, decimals: int) ->
     values = np.round(scores[rows, cols], decimals)
     kept = np.isfinite(values)
     rows, cols, values = rows[kept], cols[kept], values[kept]
-    order = np.lexsort((tie[cols], -values, rows))
-    rows, cols = rows[order], cols[order]
-    first = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(len(rows)) - first < k
+    keep = best_per_row(rows, values, tie[cols], k)
     return rows[keep], cols[keep]
 
 
+def best_per_row(rows: np.ndarray, values: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` best values of every row, best first, ties by ``tie``."""
+    order = np.lexsort((np.unique(tie, return_inverse=True)[1] if tie.dtype == object else tie, -values, rows))
+    own = rows[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own, side="left") < k]
+
+
+class BestHits:
+    """The ``k`` best right rows of every left row, over slices of the right side as they come."""
+
+    def __init__(self, left: np.ndarray, left_ids: np.ndarray, k: int, decimals: int, exclude_same_id: bool):
+        self.left, self.ids, self.k, self.decimals = left, left_ids, k, decimals
+        self.exclude = exclude_same_id
+        self.rows, self.found, self.scores = np.empty(0, np.int64), left_ids[:0], np.empty(0)
+        self.peak = 0
+
+    def add(self, right: np.ndarray, right_ids: np.ndarray) -> None:
+        step = max(1, SCORE_CELLS // max(1, len(self.left)))
+        for begin in range(0, len(right_ids) if len(self.left) else 0, step):
+            ids = right_ids[begin : begin + step]
+            scores = self.left @ right[begin : begin + step].T
+            self.peak = max(self.peak, scores.size)
+            if self.exclude:
+                order = np.argsort(self.ids, kind="stable")
+                at = np.minimum(np.searchsorted(self.ids, ids, sorter=order), len(order) - 1)
+                same = order[at]
+                hit = self.ids[same] == ids
+                scores[same[hit], np.flatnonzero(hit)] = -np.inf
+            rows, cols = best_in_tile(scores, ids, self.k, self.decimals)
+            rows, found = np.concatenate([self.rows, rows]), np.concatenate([self.found, ids[cols]])
+            values = np.concatenate([self.scores, scores[rows[len(self.rows) :], cols]])
+            keep = best_per_row(rows, np.round(values, self.decimals), found, self.k)
+            self.rows, self.found, self.scores = rows[keep], found[keep], values[keep]
+
+
 def tiled(left: DataFrame, right: DataFrame, left_id: str, right_id: str, n_left: int, n_right: int):
     """Cogroup two tables by tile: each row is repeated once per block of the other side."""
     left_tiles = left.withColumn("_lb", F.pmod(F.xxhash64(left_id), F.lit(n_left)).cast("int")).withColumn(

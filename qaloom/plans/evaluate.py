@@ -13,7 +13,7 @@ from qaloom.functions.chat import build_prompt
 from qaloom.functions.text import strip_ws, truncate_words
 from qaloom.operators.answers import RUN, accuracy, score_close_ended
 from qaloom.operators.context import rag_context
-from qaloom.operators.dense import rerank, side_by_side
+from qaloom.operators.dense import dense_search, side_by_side
 from qaloom.operators.inference import Predict, generate_to_table
 from qaloom.operators.lexical import LexicalIndex, bm25_search
 from qaloom.operators.overlap import overlap_scores, rouge_l
@@ -30,18 +30,14 @@ def search_both_modes(
     query_vectors: DataFrame,
     doc_vectors: DataFrame,
     k: int = prompts.TOP_K,
-    candidates: int = 50,
 ) -> DataFrame:
     """Keyword and semantic hits (``mode, query_id, doc_id, score, rank``) of queries cut to the word limit.
 
-    One lexical search serves both modes: its first ``k`` hits are the keyword result, all ``candidates`` are
-    re-scored for the semantic one.
+    Each mode searches the whole corpus: the words by BM25, the vectors by cosine. Re-scoring lexical candidates is
+    a mode of its own, :func:`qaloom.operators.dense.rerank_search`.
     """
     cut = queries.select("query_id", truncate_words("query").alias("query"))
-    found = stage(bm25_search(cut, corpus, max(k, candidates)), "candidates")
-    keyword = found.where(F.col("rank") <= k)
-    semantic = rerank(found.where(F.col("rank") <= candidates), query_vectors, doc_vectors, k)
-    return side_by_side({"keyword": keyword, "semantic": semantic})
+    return side_by_side({"keyword": bm25_search(cut, corpus, k), "semantic": dense_search(query_vectors, doc_vectors, k)})
 
 
 def evaluate_retrieval(hits: DataFrame, qrels: DataFrame, queries: DataFrame, **options: Any) -> DataFrame:
