@@ -12,20 +12,22 @@ from qaloom import prompts
 from qaloom.catalog.tables import (
     SQL_PAIRS,
     SQL_POSTINGS,
-    SQL_QUERIES,
+    SQL_WHOLE_QUERIES,
     corpus,
     json_text,
     qa_pairs,
     queries,
+    questions,
     sql_bm25,
     sql_strip,
     sql_top,
+    sql_words,
     table,
 )
 from qaloom.functions import text
 from qaloom.functions.chat import build_prompt, chat_field, to_chat
 from qaloom.operators.context import rag_context
-from qaloom.operators.inference import generate, model_score
+from qaloom.operators.inference import RateLimited, generate, model_score
 from qaloom.operators.lexical import bm25_search
 from qaloom.operators.report import each, experiment_grid, leaderboard, retrieval_gain, retrieval_grid
 from qaloom.plans.evaluate import prompts_with_and_without_context, run_close_ended
@@ -99,7 +101,7 @@ def first_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passage_contexts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    asked, documents = queries(spark, sf_dir), corpus(spark, sf_dir)
+    asked, documents = questions(spark, sf_dir), corpus(spark, sf_dir)
     return asked.withColumnRenamed("query", "question"), bm25_search(asked, documents), documents
 
 
@@ -115,6 +117,20 @@ def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LONG_QUESTION = 3_500
+
+
+def rag_prompt_long_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts without context whose questions, passages repeated, exceed every word limit: the question stays whole."""
+    times = (F.floor(F.lit(LONG_QUESTION) / F.greatest(F.lit(1), F.size(text.words("query")))) + 1).cast("int")
+    asked = questions(spark, sf_dir).select("query_id", F.array_join(F.array_repeat("query", times), "\n").alias("question"))
+    documents = corpus(spark, sf_dir)
+    nothing = documents.limit(0).select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(1).alias("rank"))
+    runs = prompts_with_and_without_context(asked, nothing, documents, ["base"], "yesno")
+    question = chat_field("messages", "user")
+    return runs.where(~F.col("use_rag")).select("query_id", F.length(question).alias("chars"), F.md5(question).alias("asked_md5"))
+
+
 def rag_prompt_long_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long-form prompts with and without context, flattened."""
     asked, hits, documents = passage_contexts(spark, sf_dir)
@@ -139,7 +155,7 @@ def rag_prompt_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompt_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instructions of all question types over the pairs."""
     pairs = qa_pairs(spark, sf_dir).withColumn("question_type", each(list(prompts.CLOSE_ENDED_INSTRUCTIONS)))
-    messages = build_prompt("question", "answer", F.pmod("pair_id", F.lit(2)) == 0, F.col("question_type"))
+    messages = build_prompt("question", "answer", F.pmod(F.col("conv_id") + F.col("turn"), F.lit(2)) == 0, F.col("question_type"))
     return pairs.select(
         "pair_id",
         "question_type",
@@ -181,6 +197,34 @@ def close_ended_scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     return run_close_ended(close_ended_prompts(spark, sf_dir), stub_reply)
 
 
+class MoodyModel:
+    """Stand-in service: raises for every call that holds a prompt it cannot read, and limits some prompts once."""
+
+    def __init__(self):
+        self.seen: set[str] = set()
+
+    def __call__(self, rows: list[dict[str, Any]], settings: Mapping[str, Any]) -> Sequence[Any]:
+        sizes = [len(row["messages"][-1]["content"]) for row in rows]
+        if any(size % 11 == 0 for size in sizes):
+            raise ValueError("unreadable")
+        replies: list[Any] = []
+        for row, size in zip(rows, sizes, strict=True):
+            content = row["messages"][-1]["content"]
+            limited = size % 13 == 0 and content not in self.seen
+            self.seen.add(content)
+            replies.append(RateLimited() if limited else f"reply {size}")
+        return replies
+
+
+def generate_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies and attempts where some prompts always fail their call and others are limited once."""
+    asked = table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL").dropDuplicates(["text"])
+    user = F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))
+    asked = asked.select(F.col("text").alias("content"), F.array(user).alias("messages"))
+    replies = generate(asked, MoodyModel(), ["messages"], wait=0.0, batch_rows=16)
+    return replies.select(F.md5("content").alias("content_md5"), "reply", "attempts")
+
+
 def generate_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies of the stand-in model to every prompt, with the attempts they took."""
     replies = generate(close_ended_prompts(spark, sf_dir), stub_reply, ["model", "messages"])
@@ -210,17 +254,24 @@ def accuracy_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every language as a dataset, with every model and mode, and the questions each run would ask."""
-    sizes = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("questions"))
+    """Every language of the documents as a dataset, with every model and mode, and the questions each run would ask.
+
+    A language without settings of its own is asked for yes, no or maybe by both models.
+    """
+    sizes = table(spark, sf_dir, "documents").where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("questions"))
     settings = experiment_config(
         spark,
         [
             {"task": "close-ended", "dataset": lang, "question_type": kind, "models": ["tuned", "base"]}
-            for lang, kind in (("en", "mc"), ("fr", "yesno"), ("de", "ynm"), ("es", "ynm"))
+            for lang, kind in (("en", "mc"), ("fr", "yesno"), ("de", "ynm"))
         ],
     )
+    both = F.array(F.lit("tuned"), F.lit("base"))
     datasets = sizes.join(settings, sizes["lang"] == settings["dataset"], "left").select(
-        F.col("lang").alias("dataset"), "question_type", "questions", "models"
+        F.col("lang").alias("dataset"),
+        F.coalesce("question_type", F.lit("ynm")).alias("question_type"),
+        "questions",
+        F.coalesce("models", both).alias("models"),
     )
     runs = experiment_grid(datasets).select("dataset", "question_type", "model", "use_rag", "questions")
     searches = retrieval_grid(datasets).select(
@@ -248,10 +299,12 @@ QUERIES = {
     "reference_answers_join": reference_answers_join,
     "first_answer": first_answers,
     "rag_prompt": rag_prompt,
+    "rag_prompt_long_question": rag_prompt_long_question,
     "rag_prompt_long_form": rag_prompt_long_form,
     "rag_prompt_empty": rag_prompt_empty,
     "prompt_types": prompt_types,
     "generate_stub": generate_stub,
+    "generate_failures": generate_failures,
     "clean_and_match": clean_and_match,
     "accuracy_by_model": accuracy_by_model,
     "leaderboard": accuracy_leaderboard,
@@ -267,7 +320,7 @@ def quoted(value: str) -> str:
 
 YES_NO = quoted(prompts.CLOSE_ENDED_INSTRUCTIONS["yesno"])
 
-SQL_CONTEXTS = f"""{SQL_QUERIES}, {SQL_POSTINGS}, {sql_bm25()}, hits AS ({sql_top('bm25')}),
+SQL_CONTEXTS = f"""{SQL_WHOLE_QUERIES}, {SQL_POSTINGS}, {sql_bm25()}, hits AS ({sql_top('bm25')}),
 contexts AS (
   SELECT query_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) AS context
   FROM hits JOIN documents USING (doc_id) GROUP BY query_id
@@ -343,6 +396,12 @@ SELECT conv_id, turn, answer FROM t WHERE answer <> ''""",
     "first_answer": f"""
 SELECT conv_id, turn, CASE WHEN role = 'user' THEN text ELSE {SQL_LINES}[1] END AS answer
 FROM conversations WHERE role <> 'system' AND text <> ''""",
+    "rag_prompt_long_question": f"""
+WITH repeated AS (
+  SELECT item_id, rtrim(repeat(text || chr(10), CAST(floor(3500 / greatest(1, len({sql_words('text')}))) + 1 AS INTEGER)), chr(10))
+    AS asked FROM benchmark
+)
+SELECT item_id AS query_id, CAST(length(asked) AS INTEGER) AS chars, md5(asked) AS asked_md5 FROM repeated""",
     "rag_prompt": f"WITH {SQL_CONTEXTS} SELECT query_id, use_rag, {YES_NO} AS system, asked FROM runs",
     "rag_prompt_long_form": f"""
 WITH {SQL_CONTEXTS}
@@ -354,9 +413,13 @@ WITH {SQL_PAIRS}, kinds AS (
   {" UNION ALL ".join(f"SELECT {quoted(k)} AS question_type, {quoted(v)} AS system"
                       for k, v in prompts.CLOSE_ENDED_INSTRUCTIONS.items())}
 )
-SELECT pair_id, question_type, system, CASE WHEN pair_id % 2 = 0
+SELECT pair_id, question_type, system, CASE WHEN (conv_id + turn) % 2 = 0
          THEN 'Question: ' || question || chr(10) || chr(10) || 'Context: ' || answer ELSE question END AS asked
 FROM pairs, kinds""",
+    "generate_failures": """
+SELECT md5(text) AS content_md5, CASE WHEN length(text) % 11 = 0 THEN 'error' ELSE 'reply ' || length(text) END AS reply,
+       CAST(CASE WHEN length(text) % 11 = 0 THEN 5 WHEN length(text) % 13 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts
+FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)""",
     "generate_stub": f"""
 WITH {SQL_REPLIES}
 SELECT dataset, query_id, model, use_rag, reply, CAST(1 AS INTEGER) AS attempts FROM replies""",
@@ -374,14 +437,12 @@ WITH {SQL_REPLIES}, sides AS (
 )
 SELECT *, round(with_retrieval - without_retrieval, 5) AS gain FROM sides""",
     "experiment_grid": """
-WITH sizes AS (SELECT lang AS dataset, count(*) AS questions FROM documents GROUP BY lang),
+WITH sizes AS (SELECT lang AS dataset, count(*) AS questions FROM documents WHERE lang IS NOT NULL GROUP BY lang),
 datasets AS (
-  SELECT dataset, CASE dataset WHEN 'en' THEN 'mc' WHEN 'fr' THEN 'yesno' WHEN 'de' THEN 'ynm' WHEN 'es' THEN 'ynm' END
-    AS question_type, questions FROM sizes
+  SELECT dataset, CASE dataset WHEN 'en' THEN 'mc' WHEN 'fr' THEN 'yesno' ELSE 'ynm' END AS question_type, questions FROM sizes
 )
 SELECT dataset, question_type, model, use_rag, questions
 FROM datasets, (SELECT unnest(['tuned', 'base']) AS model), (SELECT unnest([true, false]) AS use_rag)
-WHERE question_type IS NOT NULL
 UNION ALL
 SELECT dataset, question_type, mode, true, questions FROM datasets, (SELECT unnest(['semantic', 'keyword']) AS mode)""",
     "model_score": f"""

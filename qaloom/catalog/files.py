@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from qaloom import prompts, schemas
 from qaloom.catalog.chats import quoted
 from qaloom.catalog.rows import SQL_PAGES, SQL_URL, page_metadata
-from qaloom.catalog.tables import SQL_PAIRS, SQL_QRELS, SQL_QUERIES, json_text, qa_pairs, qrels, queries, sql_strip, table
+from qaloom.catalog.tables import SQL_PAIRS, SQL_QRELS, SQL_WHOLE_QUERIES, json_text, qa_pairs, qrels, questions, sql_strip, table
 from qaloom.functions.chat import chat_field, to_chat
 from qaloom.operators.numbering import global_index
 from qaloom.operators.ranking import first_judgments
@@ -151,7 +151,7 @@ def qrels_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topics_file(spark: SparkSession, sf_dir: str) -> str:
     """Passages as topics; every third has no narrative, every second an empty question."""
     path = scratch_path(spark, "topics")
-    topics = queries(spark, sf_dir).select(
+    topics = questions(spark, sf_dir).select(
         F.col("query_id").cast("string").alias("_number"),
         "query",
         F.when(F.pmod("query_id", F.lit(2)) == 0, F.lit("")).otherwise(F.reverse("query")).alias("question"),
@@ -475,7 +475,7 @@ SELECT position, body, exact_answer, CAST(coalesce(len(lines), -1) AS INTEGER) A
 WITH {SQL_QRELS}
 SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, relevance FROM qrels""",
     "topics_xml_scan": f"""
-WITH {SQL_QUERIES}
+WITH {SQL_WHOLE_QUERIES}
 SELECT CAST(query_id AS VARCHAR) AS query_id, query,
        CASE WHEN query_id % 2 = 0 THEN '' ELSE reverse(query) END AS question,
        CASE WHEN query_id % 3 <> 0 THEN '<About> ' || query ELSE '' END AS narrative FROM queries""",
@@ -568,7 +568,7 @@ WITH {SQL_PAGES}
 SELECT cord_uid AS id, coalesce(title, '') || ' ' || coalesce(abstract, '') AS title
 FROM page_metadata WHERE cord_uid IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)""",
     "prep_judgments": f"""
-WITH {SQL_QUERIES}, {SQL_QRELS},
+WITH {SQL_WHOLE_QUERIES}, {SQL_QRELS},
 counted AS (SELECT query_id, 2 * count(*) AS judgments, max(relevance) AS best FROM qrels GROUP BY query_id)
 SELECT CAST(query_id AS VARCHAR) AS query_id, query, judgments, best FROM queries LEFT JOIN counted USING (query_id)""",
 }

@@ -52,7 +52,21 @@ def bm25_topk_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("score", F.round("score", 6))
 
 
+def bm25_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents per passage by the pruned way, which large inputs take."""
+    hits = bm25_search(queries(spark, sf_dir), corpus(spark, sf_dir), direct=False)
+    return hits.withColumn("score", F.round("score", 6))
+
+
+def bm25_top_1200(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 1,200 best documents per passage."""
+    hits = bm25_search(queries(spark, sf_dir), corpus(spark, sf_dir), k=1200)
+    return hits.withColumn("score", F.round("score", 6))
+
+
 QUERIES = {
+    "bm25_topk_pruned": bm25_topk_pruned,
+    "bm25_top_1200": bm25_top_1200,
     "bm25_term_stats": bm25_term_stats,
     "bm25_corpus_stats": bm25_corpus_stats,
     "bm25_topk": bm25_topk,
@@ -69,6 +83,12 @@ WITH {SQL_POSTINGS}
 SELECT doc_id, length, CAST(n AS BIGINT) AS documents, round(mean_length, 6) AS mean_length FROM lengths, figures""",
     "bm25_topk": f"""
 WITH {SQL_QUERIES}, {SQL_POSTINGS}, {sql_bm25()}, top AS ({sql_top('bm25')})
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top""",
+    "bm25_topk_pruned": f"""
+WITH {SQL_QUERIES}, {SQL_POSTINGS}, {sql_bm25()}, top AS ({sql_top('bm25')})
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top""",
+    "bm25_top_1200": f"""
+WITH {SQL_QUERIES}, {SQL_POSTINGS}, {sql_bm25()}, top AS ({sql_top('bm25', 1200)})
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top""",
     "bm25_topk_stored_index": f"""
 WITH {SQL_PAIRS}, asked AS (SELECT pair_id AS query_id, question AS query FROM pairs),

@@ -9,14 +9,18 @@ from qaloom.catalog.tables import (
     SQL_POSTINGS,
     SQL_QRELS,
     SQL_QUERIES,
+    containing,
     corpus,
     qrels,
     queries,
+    questions,
     sql_bm25,
     sql_top,
+    sql_words,
     table,
 )
 from qaloom.catalog.vectors import SQL_BOTH_MODES, both_modes, vectors
+from qaloom.functions.text import words
 from qaloom.operators.dense import dense_search
 from qaloom.operators.lexical import bm25_search
 from qaloom.operators.ranking import (
@@ -48,6 +52,23 @@ def qrels_by_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qrels(spark, sf_dir)
 
 
+def qrels_short_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain the last word of a passage, or its last two words."""
+    parts = words("query")
+    tail = F.slice(parts, -F.least(F.size(parts), F.col("n")), F.least(F.size(parts), F.col("n")))
+    asked = questions(spark, sf_dir).withColumn("n", (F.pmod("query_id", F.lit(2)) + 1).cast("int"))
+    asked = asked.where(F.size(parts) > 0).select("query_id", F.array_join(tail, " ").alias("passage"))
+    return containing(asked, corpus(spark, sf_dir))
+
+
+def judged_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword hits against judgments that come twice with other grades: the first one counts."""
+    judged = qrels(spark, sf_dir)
+    again = judged.select("query_id", "doc_id", (F.col("relevance") + 1).alias("relevance"), F.lit(1).alias("at"))
+    twice = stage(judged.withColumn("at", F.lit(0)).unionByName(again), "qrels")
+    return judge_hits(keyword_hits(spark, sf_dir), twice, "at").select("query_id", "doc_id", "rank", "relevance")
+
+
 def judged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword hits with their judged relevance, 0 where unjudged."""
     judged = judge_hits(keyword_hits(spark, sf_dir), qrels(spark, sf_dir))
@@ -153,7 +174,9 @@ def qrels_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "qrels_by_containment": qrels_by_containment,
     "qrels_restricted": qrels_restricted,
+    "qrels_short_passages": qrels_short_passages,
     "judged_hits": judged_hits,
+    "judged_twice": judged_twice,
     "ideal_relevance": ideal_relevance,
     "ranking_metrics": ranking_per_query,
     "ranking_average": ranking_average,
@@ -222,6 +245,13 @@ SQL = {
     "qrels_by_containment": f"WITH {SQL_QRELS} SELECT query_id, doc_id, relevance FROM qrels",
     "qrels_restricted": f"""
 WITH {SQL_QRELS} SELECT query_id, doc_id, relevance FROM qrels WHERE doc_id IN (SELECT doc_id FROM labels)""",
+    "qrels_short_passages": f"""
+WITH tails AS (
+  SELECT item_id AS query_id, array_to_string(list_slice({sql_words('text')}, -(item_id % 2 + 1), -1), ' ') AS passage
+  FROM benchmark WHERE len({sql_words('text')}) > 0
+)
+SELECT query_id, doc_id FROM tails JOIN documents ON contains(documents.text, passage)""",
+    "judged_twice": f"WITH {SQL_KEYWORD} SELECT query_id, doc_id, rank, relevance FROM judged_hits",
     "judged_hits": f"WITH {SQL_KEYWORD} SELECT query_id, doc_id, rank, relevance FROM judged_hits",
     "ideal_relevance": f"""
 WITH {SQL_QRELS}

@@ -11,62 +11,78 @@ from qaloom.session import broadcast_if_small, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. A file too small to be read by all cores is spread over them; large scans stay as they are."""
-    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_id, query``: the whole benchmark passages."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, query``: the benchmark passages under the query word limit."""
-    return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), truncate_words("text").alias("query")
-    )
+    """``query_id, query``: the benchmark passages under the query word limit of the retrieval evaluation."""
+    return questions(spark, sf_dir).select("query_id", truncate_words("query").alias("query"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, doc_id, relevance``: documents that contain a benchmark passage, graded by their quality label.
+# Short passages that are looked for in one pass over the documents.
+SHORT_BLOCK = 1_000
+
+
+def containing(passages: DataFrame, documents: DataFrame) -> DataFrame:
+    """``query_id, doc_id``: documents whose text contains a passage (``query_id, passage``).
 
-    A containing document holds every inner word of the passage as a word of its own, so the passage's rarest
-    inner word finds all candidates by an equi-join; containment is then checked on the texts.
+    A containing document holds every inner word of the passage as a word of its own, so the passage's rarest inner
+    word finds all candidates by an equi-join, and containment is then checked on the texts. Documents are cut into
+    words once. A passage of fewer than three words has no inner word; such passages are looked for in every text.
     """
-    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    documents = corpus(spark, sf_dir)
     parts = words("passage")
-    short = F.raise_error(F.lit("a passage needs at least three words to be located")).cast("array<string>")
-    inner = F.when(F.size(parts) >= 3, F.slice(parts, F.lit(2), F.size(parts) - 2)).otherwise(short)
-    passage_words = passages.select("query_id", F.explode(F.array_distinct(inner)).alias("word"))
+    split = passages.where("passage IS NOT NULL").withColumn("_words", parts)
+    long = split.where(F.size("_words") >= 3)
+    inner = F.slice("_words", F.lit(2), F.size("_words") - 2)
+    passage_words = long.select("query_id", F.explode(F.array_distinct(inner)).alias("word"))
+    vocabulary = broadcast_if_small(stage(passage_words.select("word").distinct(), "vocabulary"))
     document_words = documents.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word"))
-    vocabulary = broadcast_if_small(passage_words.select("word").distinct())
-    known = document_words.join(vocabulary, "word", "left_semi")
+    known = stage(document_words.join(vocabulary, "word", "left_semi"), "known-words")
     frequency = known.groupBy("word").agg(F.count("*").alias("df"))
     anchors = (
         passage_words.join(frequency, "word", "left")
         .groupBy("query_id")
         .agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("word"))).alias("word"))
     )
-    candidates = document_words.join(broadcast_if_small(stage(anchors, "anchors")), "word").select("query_id", "doc_id")
-    found = fetch(candidates, documents, "doc_id", "query_id").join(passages, "query_id")
-    found = found.where(F.contains("text", "passage"))
+    candidates = known.join(broadcast_if_small(stage(anchors, "anchors")), "word").select("query_id", "doc_id")
+    found = fetch(candidates, documents, "doc_id", "query_id").join(long.select("query_id", "passage"), "query_id")
+    found = found.where(F.contains("text", "passage")).select("query_id", "doc_id")
+
+    short = stage(split.where(F.size("_words") < 3).select("query_id", "passage"), "short-passages")
+    n = short.count()
+    if not n:
+        return found
+    block = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // SHORT_BLOCK)))
+    blocks = short.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", "passage")).alias("block_passages"))
+    # A given set of passages against all texts: a row of the small side is a block of them.
+    hits = F.filter("block_passages", lambda p: F.contains(F.col("text"), p["passage"]))
+    met = documents.join(F.broadcast(blocks.drop("block")), how="cross").select("doc_id", F.explode(hits).alias("hit"))
+    return found.unionByName(met.select("hit.query_id", "doc_id"))
+
+
+def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_id, doc_id, relevance``: documents that contain a benchmark passage, graded by their quality label."""
+    passages = questions(spark, sf_dir).withColumnRenamed("query", "passage")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return found.join(labels, "doc_id", "left").select(
+    return containing(passages, corpus(spark, sf_dir)).join(labels, "doc_id", "left").select(
         "query_id", "doc_id", (F.lit(1) + F.coalesce("quality", F.lit(0))).alias("relevance")
     )
 
 
-# A conversation turn fits this many positions, so a pair id packs conversation and turn.
-PAIR_SHIFT = 1_000_000
-
-
 def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pair_id, question, answer``: user turns with the assistant turn right after them."""
+    """``pair_id, conv_id, turn, question, answer``: user turns with the assistant turn right after them."""
     turns = table(spark, sf_dir, "conversations")
     asked = turns.where(F.col("role") == "user").select(
-        "conv_id", F.col("turn"), (F.col("conv_id") * PAIR_SHIFT + F.col("turn")).alias("pair_id"), F.col("text").alias("question")
+        "conv_id", "turn", F.concat_ws("/", "conv_id", "turn").alias("pair_id"), F.col("text").alias("question")
     )
     replied = turns.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
@@ -124,6 +140,9 @@ queries AS (
   SELECT item_id AS query_id, array_to_string(list_slice({sql_words('text')}, 1, 2999), ' ') AS query FROM benchmark
 )"""
 
+SQL_WHOLE_QUERIES = """
+queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"""
+
 SQL_QRELS = """
 qrels AS (
   SELECT b.item_id AS query_id, d.doc_id, CAST(1 + coalesce(l.quality, 0) AS INTEGER) AS relevance
@@ -166,7 +185,7 @@ def sql_top(source: str, k: int = 10, by: str = "query_id") -> str:
 
 SQL_PAIRS = f"""
 pairs AS (
-  SELECT u.conv_id * {PAIR_SHIFT} + u.turn AS pair_id, u.conv_id, u.turn, u.text AS question, a.text AS answer
+  SELECT concat_ws('/', u.conv_id, u.turn) AS pair_id, u.conv_id, u.turn, u.text AS question, a.text AS answer
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant'
 )"""

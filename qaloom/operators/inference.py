@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from qaloom import prompts
@@ -21,6 +23,25 @@ class RateLimited(Exception):
 Predict = Callable[[list[dict[str, Any]], Mapping[str, Any]], Sequence[Any]]
 
 
+def _call(rows: list[dict[str, Any]], predict: Predict, settings: Mapping[str, Any]) -> list[Any]:
+    """One reply or exception per row. A call that fails as a whole is halved until the rows that fail it stand alone.
+
+    A rate limit holds for the service, so the rows of such a call are not tried again at once.
+    """
+    try:
+        results = list(predict(rows, settings))
+        if len(results) != len(rows):
+            raise ValueError(f"{len(results)} replies for {len(rows)} prompts")
+        return results
+    except RateLimited as limit:
+        return [limit] * len(rows)
+    except Exception as problem:
+        if len(rows) == 1:
+            return [problem]
+        half = len(rows) // 2
+        return _call(rows[:half], predict, settings) + _call(rows[half:], predict, settings)
+
+
 def answer_batch(
     rows: list[dict[str, Any]],
     predict: Predict,
@@ -29,21 +50,19 @@ def answer_batch(
     on_error: str,
     wait: float,
 ) -> tuple[list[str], list[int]]:
-    """Replies and attempts per row; only failed rows are tried again, and rate limits double the wait."""
+    """Replies and attempts per row; only failed rows are tried again, and rate limits double the wait.
+
+    A row is charged one attempt per round, however many calls it took to find the rows that fail.
+    """
     replies: list[str] = [on_error] * len(rows)
     attempts = [0] * len(rows)
     open_rows = list(range(len(rows)))
     for attempt in range(max_attempts):
         if not open_rows:
             break
-        try:
-            results = list(predict([rows[i] for i in open_rows], settings))
-            if len(results) != len(open_rows):
-                raise ValueError(f"{len(results)} replies for {len(open_rows)} prompts")
-        except Exception as problem:
-            results = [problem] * len(open_rows)
+        results = _call([rows[i] for i in open_rows], predict, settings)
         limited, failed = False, []
-        for i, result in zip(open_rows, results):
+        for i, result in zip(open_rows, results, strict=True):
             attempts[i] += 1
             if isinstance(result, Exception) or result is None:
                 failed.append(i)
@@ -92,21 +111,30 @@ def generate(
 
 
 def generate_to_table(
-    df: DataFrame, predict: Predict, inputs: Sequence[str], keys: Sequence[str], path: str, **options: Any
+    df: DataFrame, predict: Predict, inputs: Sequence[str], keys: Sequence[str], path: str, waves: int = 1, **options: Any
 ) -> DataFrame:
     """Run :func:`generate` for the rows whose keys are not in the table at ``path`` yet, append, and read it all.
 
-    A restarted job repeats no call whose reply was committed.
+    The rows are asked in ``waves`` by the hash of their keys, and each wave is committed by itself: a restarted job
+    repeats no call of a wave that ended. Null keys are keys like any other. Two rows of one key are an error, since a
+    restart could not tell them apart.
     """
     spark = df.sparkSession
-    todo = df
-    try:
-        done = spark.read.parquet(path).select(*keys)
-        todo = df.join(done, list(keys), "left_anti")
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-    generate(todo, predict, inputs, **options).write.mode("append").parquet(path)
+    twice = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if twice:
+        raise ValueError(f"the keys {list(keys)} name more than one row")
+    wave = F.pmod(F.xxhash64(*keys), F.lit(waves))
+    for number in range(waves):
+        todo = df.where(wave == number)
+        try:
+            done = spark.read.parquet(path).select(*[F.col(key).alias(f"_done_{key}") for key in keys])
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+        else:
+            same = [F.col(key).eqNullSafe(F.col(f"_done_{key}")) for key in keys]
+            todo = todo.join(done, reduce(Column.__and__, same), "left_anti")
+        generate(todo, predict, inputs, **options).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -17,23 +17,37 @@ QUERY = ("query_id",)
 SCORE_DECIMALS = 6
 
 
+# Spark limits the rows of a group in every task only below this k; from there on a group is cut into parts first.
+OWN_LIMIT = 1_000
+PARTS = 64
+
+
 def top_k(
     df: DataFrame, k: int, by: Sequence[str], score: str = "score", tie: str = "doc_id", rank: str = "rank"
 ) -> DataFrame:
-    """Best ``k`` rows per group, ranked by rounded score and then by id.
+    """Best ``k`` rows per group, ranked by rounded score and then by id, for a group of any size.
 
-    Spark limits every task to ``k`` rows per group before the shuffle, so a group may be of any size.
+    For a small ``k`` Spark limits every task to ``k`` rows per group before the shuffle. For a large one, the group
+    is cut into parts by the hash of the id, each part keeps its best ``k``, and these meet.
     """
-    best = Window.partitionBy(*by).orderBy(F.round(score, SCORE_DECIMALS).desc(), F.col(tie).asc())
-    return df.withColumn(rank, F.row_number().over(best)).where(F.col(rank) <= k)
+    order = F.round(score, SCORE_DECIMALS).desc(), F.col(tie).asc()
+    if k >= OWN_LIMIT:
+        parts = df.withColumn("_part", F.pmod(F.xxhash64(tie), F.lit(PARTS)))
+        placed = parts.withColumn("_nth", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+        df = placed.where(F.col("_nth") <= k).drop("_nth", "_part")
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
 def first_judgments(
     qrels: DataFrame, order: Column | str | None = None, query: Sequence[str] = QUERY
 ) -> DataFrame:
-    """One judgment per (query, document): the first in ``order``, or the highest grade without one."""
+    """One judgment per (query, document): the first in ``order``.
+
+    Without an order there is no first one, so a pair that is judged more than once is an error then.
+    """
     if order is None:
-        chosen = F.max("relevance")
+        only = F.when(F.count("*") == 1, F.max("relevance"))
+        chosen = only.otherwise(F.raise_error(F.lit("a pair is judged twice; name the column that orders the judgments")).cast("int"))
     else:
         chosen = F.min_by("relevance", F.col(order) if isinstance(order, str) else order)
     return qrels.groupBy(*query, "doc_id").agg(chosen.alias("relevance"))
@@ -42,7 +56,7 @@ def first_judgments(
 def judge_hits(
     hits: DataFrame, qrels: DataFrame, order: Column | str | None = None, query: Sequence[str] = QUERY
 ) -> DataFrame:
-    """Attach the judged relevance to every hit; an unjudged document counts 0."""
+    """Attach the judged relevance to every hit, the first in ``order``; an unjudged document counts 0."""
     judged = hits.join(first_judgments(qrels, order, query), [*query, "doc_id"], "left")
     return judged.withColumn("relevance", F.coalesce("relevance", F.lit(0)))
 
