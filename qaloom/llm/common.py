@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,7 +82,19 @@ def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
 
     A text with fewer words is one shingle; one that is null or has no word has none.
     """
-    return [found for part in slices(texts) for found in _slice_sets(part, size)]
+    return [np.unique(found) for part in slices(texts) for found, _ in _slice_shingles(part, size, None)]
+
+
+def weighed_shingle_sets(
+    texts: list[bytes | None], size: int, weigh: Callable[[np.ndarray], np.ndarray]
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Like ``shingle_sets``, with the sums of the weights of the shingles' words."""
+    out = []
+    for part in slices(texts):
+        for found, weights in _slice_shingles(part, size, weigh):
+            tokens, first = np.unique(found, return_index=True)
+            out.append((tokens, weights[first]))
+    return out
 
 
 def slices(texts: list[bytes | None]) -> Iterator[list[bytes]]:
@@ -99,23 +111,26 @@ def slices(texts: list[bytes | None]) -> Iterator[list[bytes]]:
         yield part
 
 
-def _slice_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+def _slice_shingles(
+    texts: list[bytes], size: int, weigh: Callable[[np.ndarray], np.ndarray] | None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All shingles of each text in their order, with their weights."""
     words, at = word_hashes([text.lower() for text in texts])
+    weights = weigh(words) if weigh else np.zeros(len(words))
 
-    def shingles(values: np.ndarray, width: int) -> np.ndarray:
+    def shingles(values: np.ndarray, own: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(values) - width + 1
-        mixed = np.full(n, width, np.uint64)
+        mixed, sums = np.full(n, width, np.uint64), np.zeros(n)
         for i in range(width):
             mixed = mix(mixed ^ values[i : n + i])
-        return mixed
+            sums += own[i : n + i]
+        return mixed, sums
 
-    every = shingles(words, size) if len(words) >= size else words[:0]
-    out = []
+    every, sums = shingles(words, weights, size) if len(words) >= size else (words[:0], weights[:0])
     for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if end - begin >= size:
-            out.append(np.unique(every[begin : end - size + 1]))
+            yield every[begin : end - size + 1], sums[begin : end - size + 1]
         elif end > begin:
-            out.append(shingles(words[begin:end], end - begin))
+            yield shingles(words[begin:end], weights[begin:end], end - begin)
         else:
-            out.append(words[:0])
-    return out
+            yield words[:0], weights[:0]

@@ -1,7 +1,7 @@
 """Set-similarity self-join of documents on word shingles, by grouped prefixes.
 
 1. Documents with equal shingle sets are one class, represented by its smallest id.
-2. All sets are put in one order, common shingles last. Two sets of at least the wanted similarity share a shingle
+2. All sets are put in one order, shingles that are to be expected often last. Two sets of at least the wanted similarity share a shingle
    among their first ``n - ceil(t n) + 1``: the prefix. Classes of equal size and prefix collapse into one group.
 3. Groups that share a prefix shingle are candidates if their sizes and the places of the shingle allow the
    similarity. In a list of more than ``LIST`` groups, each is paired with the list's first one only.
@@ -20,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qaloom.llm.common import shingle_sets
+from qaloom.llm.common import shingle_sets, slices, weighed_shingle_sets, word_hashes
 from qaloom.llm.graph import components
 from qaloom.session import is_small, stage
 
 # Lists of more groups are compared by their first group, then by component.
 LIST = 64
-# So many of the commonest shingles have a place of their own in the order; the others are ordered by their hash.
+# The order of shingles knows so many of the commonest words, and of the commonest shingles.
 COMMON = 50_000
+WORDS, SHINGLES, TOTAL = 0, 1, 2
 SKETCH_BITS = 2048
 
 
@@ -42,27 +43,74 @@ def _sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
     return shingle_sets(texts.cast(pa.binary()).to_pylist(), shingle)
 
 
-def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest shingles of all documents, sorted, with about how many documents hold them.
+class Rarity:
+    """How often a shingle is to be expected: from the shares of its words, or more often if it was seen more often.
 
-    Counted over every document; a batch reports those that several of its documents hold. The order of shingles
-    only has to be the same everywhere, so the counts need not be exact. At most ``COMMON`` reach the driver.
+    Only the commonest words and shingles have an entry, so the size is bounded. All that matters for results is that
+    a shingle has the same value everywhere.
+    """
+
+    def __init__(self, words: tuple[np.ndarray, np.ndarray], shingles: tuple[np.ndarray, np.ndarray], total: int):
+        self.words, counts = words
+        self.shingles, self.seen = shingles
+        self.log_total = float(np.log(max(total, 1)))
+        self.logs = np.log(counts) - self.log_total
+        self.rare = float(self.logs.min(initial=0.0)) - 1.0
+
+    def weigh(self, words: np.ndarray) -> np.ndarray:
+        """Logarithms of the shares of words."""
+        if not len(self.words):
+            return np.full(len(words), self.rare)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.logs[at], self.rare)
+
+    def rank(self, tokens: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Logarithms of the expected numbers of occurrences."""
+        expected = weights + self.log_total
+        if len(self.shingles):
+            at = np.minimum(np.searchsorted(self.shingles, tokens), len(self.shingles) - 1)
+            expected = np.where(self.shingles[at] == tokens, np.maximum(expected, np.log(self.seen[at])), expected)
+        return expected
+
+
+def rarity(docs: DataFrame, shingle: int) -> Rarity:
+    """Counted over all documents; a piece of a batch reports the words and shingles that it holds several times.
+
+    At most ``COMMON`` words and shingles reach the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches, 4000):
-            sets = _sets(batch.column(1), shingle)
-            if not sets:
-                continue
-            keys, n = np.unique(np.concatenate(sets), return_counts=True)
-            often = n >= max(4, len(sets) // 500)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            sets = shingle_sets(texts, shingle)
+            least = max(4, len(sets) // 500)
+            total, words, n = 0, [], []
+            for part in slices(texts):
+                own, _ = word_hashes([text.lower() for text in part])
+                keys, counts = np.unique(own, return_counts=True)
+                total, words, n = total + len(own), [*words, keys], [*n, counts]
+            keys, where = np.unique(np.concatenate(words), return_inverse=True)
+            counts = np.bincount(where, np.concatenate(n), len(keys)).astype(np.int64)
+            tokens, held = np.unique(np.concatenate(sets), return_counts=True)
+            some, often = counts >= least, held >= least
+            found = np.concatenate([keys[some], tokens[often], np.zeros(1, np.uint64)])
+            kinds = np.repeat([WORDS, SHINGLES, TOTAL], [some.sum(), often.sum(), 1])
+            sums = np.concatenate([counts[some], held[often], [total]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kinds, pa.int64()), pa.array(found.view(np.int64)), pa.array(sums, pa.int64())], names=["kind", "token", "n"]
+            )
+
+    found = docs.mapInArrow(run, "kind long, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
+    found = stage(found, "common")
+
+    def commonest(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        table = found.where(F.col("kind") == kind).orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
+        tokens = table["token"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(tokens)
+        return tokens[order], table["n"].to_numpy(np.int64)[order]
 
-    found = docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    table = found.orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
-    tokens = table["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], table["n"].to_numpy(np.int64)[order]
+    _, total = commonest(TOTAL)
+    return Rarity(commonest(WORDS), commonest(SHINGLES), int(total.sum()))
 
 
 def features(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -70,26 +118,23 @@ def features(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     The sketch has a bit for each of ``SKETCH_BITS`` parts of the shingles: whether the set holds an odd number of it.
     """
-    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+    held = docs.sparkSession.sparkContext.broadcast(rarity(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
 
-        common, weight = held.value
+        known = held.value
         for batch in _parts(batches):
             n, same, head, prefix, offsets, sketch = [], [], [], [], [0], []
-            for tokens in _sets(batch.column(1), shingle):
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for tokens, weights in weighed_shingle_sets(texts, shingle, known.weigh):
                 size = len(tokens)
                 odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
                 sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 n.append(size)
                 same.append(blake2b(tokens.tobytes(), digest_size=16).digest() if size else None)
-                first = tokens[: size - (percent * size + 99) // 100 + 1] if size else tokens
-                if size and len(common):
-                    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-                    rank = np.where(common[at] == tokens, weight[at], 0)
-                    if rank.any():
-                        first = tokens[np.argsort(rank, kind="stable")[: len(first)]]
+                length = size - (percent * size + 99) // 100 + 1 if size else 0
+                first = tokens[np.argsort(known.rank(tokens, weights), kind="stable")[:length]]
                 head.append(blake2b(first.tobytes(), digest_size=16).digest() if size else None)
                 prefix.append(first)
                 offsets.append(offsets[-1] + len(first))
