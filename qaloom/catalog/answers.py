@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qaloom.catalog.chats import length_ratio
 from qaloom.catalog.tables import (
+    SQL_PAIRS,
     SQL_PREDICTIONS,
     predictions,
+    qa_pairs,
     sql_ascii_terms,
+    sql_strip,
     sql_words,
     table,
 )
+from qaloom.functions.text import words
 from qaloom.operators.overlap import bleu4, greedy_match_f1, rouge_l, rouge_n
-from qaloom.plans.evaluate import long_form_scores, long_form_summary
+from qaloom.plans.evaluate import evaluate_long_form, long_form_scores, long_form_summary
+from qaloom.session import stage
 
 
 def rouge_n_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,13 +55,13 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_form_scores(predictions(spark, sf_dir), "row_id")
+    return long_form_scores(stage(predictions(spark, sf_dir), "predictions"), "row_id")
 
 
 def long_form_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All text scores of every prediction in one row."""
     return scored_predictions(spark, sf_dir).select(
-        "row_id", "model", *[F.round(c, 6).alias(c) for c in ("rouge1", "rouge2", "bleu")]
+        "row_id", "model", *[F.round(c, 6).alias(c) for c in ("rouge1", "rouge2", "rougel", "bleu")]
     )
 
 
@@ -62,7 +71,39 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("model", "answers", *[F.round(c, 6).alias(c) for c in ("rouge1", "rouge2", "rougel", "bleu")])
 
 
+def terse_model(rows: list[dict[str, Any]], settings: Mapping[str, Any]) -> Sequence[Any]:
+    """Stand-in model: says the question without every third word, with blanks around; fails on some questions."""
+    replies: list[Any] = []
+    for row in rows:
+        asked = row["messages"][-1]["content"]
+        said = " ".join(w for i, w in enumerate(asked.split(" ")) if i % 3 != 2)
+        replies.append(ValueError("refused") if len(asked) % 7 == 0 else f"  {said}\n")
+    return replies
+
+
+def token_numbers(rows: DataFrame) -> DataFrame:
+    """Stand-in token vectors: one, the length of a word, and how often it has an e."""
+    sides = F.array(*[
+        F.struct(F.lit(side).alias("side"), words(column).alias("words")) for side, column in (("candidate", "prediction"), ("reference", "answer"))
+    ])
+    texts = rows.select("row_id", F.inline(sides)).select("row_id", "side", F.posexplode("words").alias("position", "word"))
+    length = F.length("word")
+    numbers = F.array(F.lit(1), length, length - F.length(F.replace("word", F.lit("e"), F.lit(""))))
+    return texts.select("row_id", "side", "position", F.transform(numbers, lambda x: x.cast("double")).alias("vector"))
+
+
+def long_form_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long-form run from prompts to scores, one row per answer: failed prompts score on the empty reply."""
+    pairs = qa_pairs(spark, sf_dir).select(F.lit("chats").alias("dataset"), F.col("pair_id").alias("query_id"), "question", "answer")
+    user = F.struct(F.lit("user").alias("role"), F.col("question").alias("content"))
+    asked = pairs.withColumn("model", F.lit("terse")).withColumn("use_rag", F.lit(False)).withColumn("messages", F.array(user))
+    scored, _ = evaluate_long_form(asked, terse_model, length_ratio, token_numbers, baseline=0.2, waves=2)
+    metrics = ("rouge1", "rouge2", "rougel", "bleu", "match", "model_score")
+    return scored.select("query_id", F.length("prediction").alias("chars"), *[F.round(c, 6).alias(c) for c in metrics])
+
+
 QUERIES = {
+    "long_form_run": long_form_run,
     "rouge_n": rouge_n_rows,
     "rouge_l": rouge_l_rows,
     "bleu4": bleu_rows,
@@ -172,6 +213,41 @@ SELECT model, count(*) AS answers, round(avg(rouge1), 6) AS rouge1, round(avg(ro
        round(avg(rougel), 6) AS rougel, round(avg(bleu), 6) AS bleu
 FROM scores JOIN longest USING (row_id) GROUP BY model""",
     "long_form_rows": f"""
-WITH {SQL_LONG_FORM}
-SELECT row_id, model, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(bleu, 6) AS bleu FROM scores""",
+WITH RECURSIVE {SQL_LONG_FORM}, {SQL_LCS}
+SELECT row_id, model, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rougel, 6) AS rougel, round(bleu, 6) AS bleu
+FROM scores JOIN longest USING (row_id)""",
+    "long_form_run": f"""
+WITH RECURSIVE {SQL_PAIRS},
+said AS (
+  SELECT *, array_to_string(list_filter(string_split(question, ' '), lambda w, i: i % 3 <> 0), ' ') AS reply FROM pairs
+),
+predictions AS (
+  SELECT pair_id AS row_id, 'terse' AS model, {sql_strip('answer')} AS answer,
+         CASE WHEN length(question) % 7 = 0 THEN '' ELSE {sql_strip('reply')} END AS prediction FROM said
+), {SQL_ROUGE}, {SQL_BLEU}, {SQL_LCS},
+sides AS (
+  SELECT row_id, 'c' AS side, {sql_words('prediction')} AS w FROM predictions
+  UNION ALL SELECT row_id, 'r', {sql_words('answer')} FROM predictions
+),
+tokens AS (
+  SELECT row_id, side, place, [1.0, length(word), length(word) - length(replace(word, 'e', ''))]::DOUBLE[] AS v
+  FROM (SELECT row_id, side, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM sides)
+),
+best AS (
+  SELECT a.row_id, a.side, a.place, max(list_cosine_similarity(a.v, b.v)) AS best
+  FROM tokens a LEFT JOIN tokens b ON b.row_id = a.row_id AND b.side <> a.side GROUP BY ALL
+),
+means AS (
+  SELECT row_id, coalesce(avg(CASE WHEN side = 'c' THEN coalesce(best, 0) END), 0) AS p,
+         coalesce(avg(CASE WHEN side = 'r' THEN coalesce(best, 0) END), 0) AS r FROM best GROUP BY row_id
+),
+scores AS (
+  SELECT row_id, max(CASE WHEN n = 1 THEN f END) AS rouge1, max(CASE WHEN n = 2 THEN f END) AS rouge2, max(bleu) AS bleu
+  FROM rouge JOIN bleus USING (row_id) GROUP BY row_id
+)
+SELECT row_id AS query_id, CAST(length(prediction) AS INTEGER) AS chars, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2,
+       round(rougel, 6) AS rougel, round(bleu, 6) AS bleu,
+       round((coalesce(2 * p * r / nullif(p + r, 0), 0) - 0.2) / 0.8, 6) AS match,
+       round(least(length(answer), length(prediction)) / greatest(length(answer), length(prediction), 1), 6) AS model_score
+FROM predictions JOIN scores USING (row_id) JOIN longest USING (row_id) LEFT JOIN means USING (row_id)""",
 }

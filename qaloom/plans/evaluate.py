@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -14,9 +14,9 @@ from qaloom.functions.text import strip_ws, truncate_words
 from qaloom.operators.answers import RUN, accuracy, score_close_ended
 from qaloom.operators.context import rag_context
 from qaloom.operators.dense import dense_search, side_by_side
-from qaloom.operators.inference import Predict, generate_to_table
+from qaloom.operators.inference import Predict, generate_to_table, model_score
 from qaloom.operators.lexical import LexicalIndex, bm25_search
-from qaloom.operators.overlap import overlap_scores, rouge_l
+from qaloom.operators.overlap import greedy_match_f1, overlap_scores, rouge_l
 from qaloom.operators.ranking import evaluate_ranking
 from qaloom.operators.report import each
 from qaloom.session import scratch_path, stage
@@ -79,17 +79,18 @@ def run_long_form(
     path: str | None = None,
     keys: Sequence[str] = ("dataset", "query_id", "model", "use_rag"),
     settings: Mapping[str, Any] = prompts.LONG_FORM_SETTINGS,
+    **options: Any,
 ) -> DataFrame:
     """Generate long-form replies: one attempt, an empty reply on failure, stripped."""
     path = path or scratch_path(asked.sparkSession, "replies")
     replies = generate_to_table(
-        asked, predict, ["model", "messages"], keys, path, settings=settings, max_attempts=1, on_error=""
+        asked, predict, ["model", "messages"], keys, path, settings=settings, max_attempts=1, on_error="", **options
     )
     return replies.withColumn("prediction", strip_ws("reply")).withColumn("answer", strip_ws("answer"))
 
 
 def long_form_scores(rows: DataFrame, key: str = "pair_id") -> DataFrame:
-    """ROUGE-1, ROUGE-2, ROUGE-L and BLEU of every row; ``key`` has to be unique.
+    """ROUGE-1, ROUGE-2, ROUGE-L and BLEU of every row; ``key`` has to be unique. ``rows`` is read twice: stage it.
 
     The overlap scores partition the texts by the key, so joining them to the rows shuffles only the rows.
     """
@@ -97,6 +98,48 @@ def long_form_scores(rows: DataFrame, key: str = "pair_id") -> DataFrame:
     return texts.join(overlap_scores(rows, key), key)
 
 
-def long_form_summary(scored: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
+def long_form_summary(
+    scored: DataFrame, by: Sequence[str] = RUN, metrics: Sequence[str] = LONG_FORM_METRICS
+) -> DataFrame:
     """Mean of every score per run."""
-    return scored.groupBy(*by).agg(F.count("*").alias("answers"), *[F.avg(m).alias(m) for m in LONG_FORM_METRICS])
+    return scored.groupBy(*by).agg(F.count("*").alias("answers"), *[F.avg(m).alias(m) for m in metrics])
+
+
+# Takes rows with the key, prediction and answer; returns (key, side, position, vector) of the tokens of both texts.
+TokenVectors = Callable[[DataFrame], DataFrame]
+Scorer = Callable[[Sequence[str], Sequence[str]], Sequence[float]]
+
+
+def evaluate_long_form(
+    asked: DataFrame,
+    predict: Predict,
+    scorer: Scorer | None = None,
+    token_vectors: TokenVectors | None = None,
+    path: str | None = None,
+    keys: Sequence[str] = ("dataset", "query_id", "model", "use_rag"),
+    by: Sequence[str] = RUN,
+    baseline: float = 0.0,
+    **options: Any,
+) -> tuple[DataFrame, DataFrame]:
+    """The whole long-form run: replies, all scores per row, and their means per run.
+
+    Rows get ``row_id``, ``prediction``, ROUGE-1/2/L and BLEU, with a ``scorer`` the learned score ``model_score`` and
+    with ``token_vectors`` the embedding match ``match``. A prompt that failed scores on the empty reply. Replies and
+    scored rows are staged, so that no model is asked and no text is scored twice.
+    """
+    replies = run_long_form(asked, predict, path, keys, **options)
+    # Keys as JSON, so that no value can run into the next one.
+    rows = replies.withColumn("row_id", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    rows = rows.withColumn("answer", F.coalesce("answer", F.lit("")))
+    rows = stage(rows.select("row_id", *keys, "answer", "prediction"), "answers")
+    scored, metrics = long_form_scores(rows, "row_id"), [*LONG_FORM_METRICS]
+    if token_vectors is not None:
+        matched = greedy_match_f1(token_vectors(rows), "row_id", baseline=baseline)
+        scored = scored.join(matched.select("row_id", F.col("f1").alias("match")), "row_id", "left")
+        scored = scored.withColumn("match", F.coalesce("match", F.lit(-baseline / (1.0 - baseline))))
+        metrics.append("match")
+    if scorer is not None:
+        scored = model_score(scored, scorer)
+        metrics.append("model_score")
+    scored = stage(scored, "long-form-scores")
+    return scored, long_form_summary(scored, by, metrics)
