@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -370,6 +372,40 @@ def prep_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("file", F.lit("csv")).select(columns).unionByName(from_chats.select(columns))
 
 
+def prep_judged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged pages written as CSV parts of 50,000 rows, read back with their part."""
+    path = scratch_path(spark, "judged-parts")
+    texts = prep.judged_corpus_texts(metadata_scan(spark, sf_dir), judged_ids(spark, sf_dir))
+    writers.write_chunked(texts, path, ["id", "title"])
+    back = spark.read.options(header=True, escape='"', multiLine=True).schema("id STRING, title STRING, part INT").csv(path)
+    return back.select("id", F.length(F.coalesce("title", F.lit(""))).alias("chars"), "part")
+
+
+def prep_passage_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training documents with ids, test documents and queries without, and the queries' own ids, as four tables."""
+    passages = readers.read_id_text_tsv(spark, passage_file(spark, sf_dir))
+    folder = scratch_path(spark, "passage-tables")
+    asked = passages.where(F.pmod(F.col("id").cast("bigint"), F.lit(2)) == 0)
+    prep.write_passage_tables(passages, passages, asked, folder)
+    with_id = readers.read_qa_csv(spark, f"{folder}/train.csv", schemas.QA_PAIR_WITH_ID).withColumn("id", F.col("id").cast("string"))
+    tables = {"train": with_id}
+    for name in ("test", "test_queries"):
+        tables[name] = readers.read_qa_csv(spark, f"{folder}/{name}.csv", "question STRING, answer STRING").withColumn("id", F.lit(None).cast("string"))
+    ids = spark.read.options(header=True, escape='"').schema("id STRING, question STRING").csv(f"{folder}/query_ids.csv")
+    tables["query_ids"] = ids.withColumn("answer", F.col("question"))
+    named = [t.select(F.lit(name).alias("name"), "id", F.md5("question").alias("question_md5")) for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
+def keyed_json_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed objects in which every key comes twice: once per file, at its first place, with its last value."""
+    path = scratch_path(spark, "repeated")
+    value = F.to_json(F.struct(F.col("source").alias("QUESTION"), F.col("doc_id").cast("string").alias("final_decision")))
+    entry = F.concat(F.lit('"'), F.pmod("doc_id", F.lit(100)), F.lit('": '), value)
+    write_bundles(table(spark, sf_dir, "documents"), entry, "doc_id", "{", "}", path)
+    return readers.read_keyed_json(spark, path).select("position", "key", "QUESTION", "final_decision")
+
+
 def judged_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("doc_id"))
 
@@ -421,6 +457,9 @@ QUERIES = {
     "prep_consumer_test": prep_consumer_test,
     "prep_medication": prep_medication,
     "prep_passages": prep_passages,
+    "prep_passage_tables": prep_passage_tables,
+    "prep_judged_parts": prep_judged_parts,
+    "keyed_json_repeated": keyed_json_repeated,
     "prep_judged_corpus": prep_judged_corpus,
     "prep_judged_texts": prep_judged_texts,
     "prep_judgments": prep_judgments,
@@ -558,6 +597,28 @@ FROM mixed""",
 WITH passages AS (SELECT doc_id AS id, {ONE_LINE} AS question FROM documents)
 SELECT 'csv' AS file, id, question, question AS answer FROM passages
 UNION ALL SELECT 'jsonl', NULL, question, question FROM passages""",
+    "prep_passage_tables": f"""
+WITH passages AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, md5({ONE_LINE}) AS question_md5 FROM documents)
+SELECT 'train' AS name, id, question_md5 FROM passages
+UNION ALL SELECT 'test', NULL, question_md5 FROM passages
+UNION ALL SELECT 'test_queries', NULL, question_md5 FROM passages WHERE doc_id % 2 = 0
+UNION ALL SELECT 'query_ids', id, question_md5 FROM passages WHERE doc_id % 2 = 0""",
+    "prep_judged_parts": f"""
+WITH {SQL_PAGES},
+kept AS (
+  SELECT cord_uid AS id, coalesce(title, '') || ' ' || coalesce(abstract, '') AS title
+  FROM page_metadata WHERE cord_uid IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)
+)
+SELECT id, CAST(length(title) AS INTEGER) AS chars, CAST((row_number() OVER (ORDER BY id, title) - 1) // 50000 + 1 AS INTEGER) AS part
+FROM kept""",
+    "keyed_json_repeated": """
+WITH numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents),
+keyed AS (
+  SELECT idx // 200 AS file, doc_id % 100 AS key, min(idx) AS place, max_by(source, idx) AS QUESTION,
+         max_by(CAST(doc_id AS VARCHAR), idx) AS final_decision
+  FROM numbered GROUP BY ALL
+)
+SELECT row_number() OVER (ORDER BY place) - 1 AS position, CAST(key AS VARCHAR) AS key, QUESTION, final_decision FROM keyed""",
     "prep_judged_corpus": f"""
 WITH {SQL_PAGES}
 SELECT cord_uid AS _id, coalesce(nullif(title, ''), 'Unknown') AS title,

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaloom import prompts
-from qaloom.session import broadcast_if_small, stage
+from qaloom.operators.skew import hot_keys, salted_join
+from qaloom.session import is_small, stage
 
 
 def _offsets(counts: DataFrame, slice_col: str, size_col: str) -> DataFrame:
@@ -48,14 +49,36 @@ def global_index(
     return numbered.select(*df.columns, (F.col("_start") + F.col("_pos")).alias(name), *extra)
 
 
+def running_starts(sizes: DataFrame, key: str, size_col: str) -> DataFrame:
+    """``key`` and ``_start``: the sum of the sizes of all smaller keys, for a table of any number of rows.
+
+    The rows are range-partitioned by key and staged. A running sum inside every partition and the sums of the earlier
+    partitions give the start, so no task sees more than its range.
+    """
+    placed = sizes.select(key, size_col).repartitionByRange(key).select(key, size_col, F.spark_partition_id().alias("_slice"))
+    placed = stage(placed, "sizes")
+    slices = placed.groupBy("_slice").agg(F.sum(size_col).alias("_slice_size"))
+    # One row per range partition, so never more than spark.sql.shuffle.partitions rows.
+    before = F.broadcast(_offsets(slices, "_slice", "_slice_size").select("_slice", F.col("_start").alias("_before")))
+    inside = Window.partitionBy("_slice").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("_local", F.coalesce(F.sum(size_col).over(inside), F.lit(0)))
+    return local.join(before, "_slice").select(key, (F.col("_before") + F.col("_local")).alias("_start"))
+
+
 def stacked_index(df: DataFrame, file_col: str, pos_col: str, name: str = "idx") -> DataFrame:
     """Consecutive numbers over files in path order, given each row's position inside its file.
 
-    ``df`` has to be a table (its rows are counted once before they are numbered).
+    ``df`` has to be a table (its rows are counted once before they are numbered). Where the files are too many to
+    broadcast their starts, a file with very many rows is cut into slices for the join.
     """
     sizes = df.groupBy(file_col).agg((F.max(pos_col) + 1).alias("_size"))
-    starts = broadcast_if_small(_offsets(sizes, file_col, "_size"))
-    return df.join(starts, file_col).withColumn(name, F.col("_start") + F.col(pos_col)).drop("_start", "_total")
+    sizes = stage(sizes, "file-sizes")
+    starts = stage(running_starts(sizes, file_col, "_size"), "file-starts")
+    if is_small(starts):
+        joined = df.join(F.broadcast(starts), file_col)
+    else:
+        joined = salted_join(df, starts, file_col, pos_col, hot_keys(sizes, file_col, "_size"))
+    return joined.withColumn(name, F.col("_start") + F.col(pos_col)).drop("_start")
 
 
 def seeded_order(key: Column | str, seed: int) -> Column:

@@ -201,3 +201,17 @@ def write_prepared(prepared: DataFrame, folder: str, name: str, with_id: bool =
     write_chat_jsonl(prepared, f"{folder}/{name}.jsonl")
     columns = ["id", "question", "answer"] if with_id else ["question", "answer"]
     write_qa_csv(prepared, f"{folder}/{name}.csv", columns)
+
+
+def write_passage_tables(
+    train: DataFrame, test: DataFrame, queries: DataFrame, folder: str, system: str = prompts.EXPLAIN_SYSTEM
+) -> None:
+    """Passages (``id, text``) as training set, test documents and test queries, each with files of its own.
+
+    Training files keep the ids, the other two have none; ``query_ids.csv`` keeps the ids of the queries for scoring.
+    """
+    write_prepared(passage_qa(train, system), folder, "train")
+    write_prepared(passage_qa(test, system), folder, "test", with_id=False)
+    asked = passage_qa(queries, system)
+    write_prepared(asked, folder, "test_queries", with_id=False)
+    write_qa_csv(asked, f"{folder}/query_ids.csv", ["id", "question"])

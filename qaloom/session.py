@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,19 +40,57 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_roots[application]
 
 
+# Folders that this process made in the scratch folder, by application, until they are dropped.
+_made: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the scratch folder; what is written there goes with :func:`drop_stages`."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_stages(spark: SparkSession, since: int = 0) -> None:
+    """Delete what was staged, from the given place in the list on. Tables that still read it are lost."""
+    paths = _made.get(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while len(paths) > since:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """Everything that is staged inside goes at the end: compute and write results inside."""
+    made = _made.setdefault(spark.sparkContext.applicationId, [])
+    since = len(made)
+    try:
+        yield
+    finally:
+        drop_stages(spark, since)
+
+
+@atexit.register
+def _drop_all() -> None:
+    """At the end of the process, what is left of its sessions' stages."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with suppress(Exception):
+            drop_stages(spark)
+    for root in _local_roots.values():
+        shutil.rmtree(root, ignore_errors=True)
 
 
 def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the scratch folder and return a scan of it.
 
-    Cuts the lineage with data that outlives any executor, and keeps column pruning and filter
-    pushdown for whatever reads it next.
+    Cuts the lineage with data that outlives any executor, and keeps column pruning and filter pushdown for whatever
+    reads it next. A ``path`` of the caller's is kept, and must not exist yet.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

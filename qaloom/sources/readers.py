@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qaloom import schemas
@@ -55,12 +55,25 @@ def read_question_bundle(
 def read_keyed_json(spark: SparkSession, path: Paths, schema: str = schemas.KEYED_ARTICLE) -> DataFrame:
     """Root objects ``{id: {…}}``: one row per entry with ``key`` and ``position`` in file order.
 
-    The map type keeps the file order of the keys. As with bundles, one file is one task.
+    The map type keeps the file order of the keys. A key that comes again in its file has its last value, at the place
+    of its first one. As with bundles, one file is one task, and a string of at most 2 GB: deliver more as many files.
     """
     whole = spark.read.text(path, wholetext=True)
     entries = F.map_entries(F.from_json("value", f"MAP<STRING, STRUCT<{_struct_body(schema)}>>"))
     exploded = whole.select(F.col("_metadata.file_path").alias("_file"), F.posexplode(entries).alias("_pos", "e"))
-    return _with_positions(spark, exploded.select("_file", "_pos", F.col("e.key").alias("key"), "e.value.*"), "keyed")
+    landed = stage(exploded.select("_file", "_pos", F.col("e.key").alias("key"), "e.value.*"), "keyed-entries")
+    again = stage(landed.groupBy("_file", "key").agg(F.min("_pos").alias("_pos"), F.max("_pos").alias("_last"), F.count("*").alias("_n"))
+                  .where("_n > 1").drop("_n"), "repeated-keys")
+    if not again.isEmpty():
+        fields = [c for c in landed.columns if c not in ("_file", "_pos", "key")]
+        first = landed.join(again.select("_file", "key", F.col("_pos").alias("_first")), ["_file", "key"], "left")
+        last = landed.join(again.select("_file", "key", F.col("_last").alias("_pos")), ["_file", "key", "_pos"])
+        last = last.select("_file", "key", F.struct(*fields).alias("_value"))
+        kept = first.where("_first IS NULL OR _first = _pos").join(last, ["_file", "key"], "left")
+        values = [F.when(F.col("_value").isNotNull(), F.col(f"_value.{c}")).otherwise(F.col(c)).alias(c) for c in fields]
+        nth = F.row_number().over(Window.partitionBy("_file").orderBy("_pos")) - 1
+        landed = stage(kept.select("_file", nth.alias("_pos"), "key", *values), "keyed")
+    return stacked_index(landed, "_file", "_pos", "position").drop("_file", "_pos")
 
 
 def _struct_body(schema: str) -> str:
