@@ -31,13 +31,39 @@ MARGIN = 1e-5
 LENGTH_TERM = ""
 
 
+# Folders of a stored index, by the hash of the term, and files per folder and task of its commonest terms.
+BUCKETS = 64
+SPREAD = 8
+# A search for no more terms than this names them to the scan.
+NAMED_TERMS = 500
+
+
+def bucket_of(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Postings ``(term, doc_id, length, tf)`` as a table, with the two corpus figures BM25 needs."""
+    """Postings ``(term, doc_id, length, tf)`` as a table, with the two corpus figures BM25 needs.
+
+    A stored index also has its term statistics, and its postings lie in folders by ``bucket``.
+    """
 
     postings: DataFrame
     documents: int
     mean_length: float
+    statistics: DataFrame | None = None
+
+    def of_terms(self, vocabulary: DataFrame) -> LexicalIndex:
+        """The part of a stored index that can hold the terms (a table ``term``): other folders are not read."""
+        if self.statistics is None:
+            return self
+        buckets = [row["bucket"] for row in vocabulary.select(bucket_of("term").alias("bucket")).distinct().collect()]
+        postings = self.postings.where(F.col("bucket").isin(buckets))
+        named = [row["term"] for row in vocabulary.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
+        if len(named) <= NAMED_TERMS:
+            postings = postings.where(F.col("term").isin(named))
+        return LexicalIndex(postings, self.documents, self.mean_length, self.statistics)
 
     def impact(self) -> Column:
         """Length-normalized term frequency of a posting, without the weight of the term."""
@@ -68,8 +94,8 @@ def bm25_index(
     """Tokenize the corpus once into a postings table.
 
     With a ``vocabulary`` (``term``) that is small, other terms are dropped before anything is shuffled; document
-    lengths always count every term. Terms are combined per document before the shuffle. An index of all terms
-    is ordered by term inside its files, so a search reads the row groups of its terms only.
+    lengths always count every term. Terms are combined per document before the shuffle. With a ``path``, which must
+    not exist, the index is stored there in folders by term, so a search reads the folders of its terms only.
     """
     tokenized = corpus.select(F.col(doc_id).alias("doc_id"), F.coalesce(terms(text), F.array()).alias("_terms"))
     measured = tokenized.select(
@@ -81,18 +107,37 @@ def bm25_index(
         kept = vocabulary.select(F.explode(F.array(F.col("term"), F.lit(LENGTH_TERM))).alias("term")).distinct()
         occurrences = occurrences.join(F.broadcast(kept), "term", "left_semi")
     postings = occurrences.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
-    if vocabulary is None:
-        postings = postings.sortWithinPartitions("term")
-    return _open_index(stage(postings, "postings", path))
+    if path is None:
+        return _open_index(stage(postings, "postings"))
+    _store(postings, path)
+    return open_bm25_index(corpus.sparkSession, path)
+
+
+def _store(postings: DataFrame, path: str) -> None:
+    """Postings in folders by bucket, sorted by term; term statistics and corpus figures as small tables beside them."""
+    spark = postings.sparkSession
+    placed = postings.withColumn("bucket", bucket_of("term"))
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))
+    placed = placed.repartition("bucket", spread).sortWithinPartitions("bucket", "term")
+    placed.write.partitionBy("bucket").parquet(f"{path}/postings")
+    index = _open_index(spark.read.parquet(f"{path}/postings"))
+    term_statistics(index).sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    figures = spark.range(1).select(F.lit(index.documents).alias("documents"), F.lit(index.mean_length).alias("mean_length"))
+    figures.write.parquet(f"{path}/corpus")
 
 
 def open_bm25_index(spark: SparkSession, path: str) -> LexicalIndex:
     """An index written earlier by :func:`bm25_index` with a ``path``."""
-    return _open_index(spark.read.parquet(path))
+    figures = spark.read.parquet(f"{path}/corpus").first()
+    postings, terms = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
+    return LexicalIndex(postings, figures["documents"], figures["mean_length"], terms)
 
 
 def term_statistics(index: LexicalIndex, vocabulary: DataFrame | None = None) -> DataFrame:
     """Per term (of a ``vocabulary``): documents, occurrences, weight, and the largest impact a document reaches."""
+    if index.statistics is not None:
+        known = index.statistics
+        return known if vocabulary is None else known.join(broadcast_if_small(vocabulary.select("term")), "term", "left_semi")
     postings = index.postings.where(F.col("term") != LENGTH_TERM)
     if vocabulary is not None:
         postings = postings.join(broadcast_if_small(vocabulary.select("term")), "term", "left_semi")
@@ -137,7 +182,8 @@ def bm25_search(
     wanted = stage(query_terms(queries, query_id, query), "query-terms")
     vocabulary = wanted.select("term").distinct()
     if isinstance(corpus, LexicalIndex):
-        index, statistics = corpus, term_statistics(corpus, vocabulary)
+        index = corpus.of_terms(vocabulary)
+        statistics = term_statistics(index, vocabulary)
     else:
         index = bm25_index(corpus, doc_id, text, vocabulary)
         statistics = term_statistics(index)

@@ -127,6 +127,57 @@ def test_retries_only_failed_rows_and_waits_on_rate_limits(monkeypatch):
     assert waits == [2.0, 4.0]
 
 
+def test_one_bad_prompt_fails_alone():
+    calls = []
+
+    def predict(rows, _):
+        calls.append(len(rows))
+        if any(r["i"] == 3 for r in rows):
+            raise RuntimeError("unreadable")
+        return [f"reply {r['i']}" for r in rows]
+
+    replies, attempts = inference.answer_batch([{"i": i} for i in range(8)], predict, {}, 5, "error", 0.0)
+    assert replies == [f"reply {i}" if i != 3 else "error" for i in range(8)]
+    assert attempts == [5 if i == 3 else 1 for i in range(8)]
+
+
+def test_restart_with_null_keys_and_after_a_failed_wave(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "a"), *((i, f"t{i}") for i in range(20))], "id bigint, text string")
+    path, asked = str(tmp_path / "waves"), str(tmp_path / "asked")
+
+    def predict(rows, _):
+        with open(asked, "a") as log:
+            log.writelines(f"{r['text']}\n" for r in rows)
+        return [r["text"].upper() for r in rows]
+
+    def crash(frames):
+        raise RuntimeError("the cluster went down")
+
+    real = inference.generate
+    waves = []
+
+    def generate(todo, *args, **options):
+        if len(waves) == 2:
+            crash(todo)
+        waves.append(todo)
+        return real(todo, *args, **options)
+
+    inference.generate = generate
+    try:
+        with pytest.raises(RuntimeError, match="went down"):
+            inference.generate_to_table(rows, predict, ["text"], ["id"], path, waves=4)
+    finally:
+        inference.generate = real
+    kept = spark.read.parquet(path).count()
+    assert 0 < kept < 21
+    table = inference.generate_to_table(rows, predict, ["text"], ["id"], path, waves=4)
+    assert table.count() == 21
+    assert inference.generate_to_table(rows, predict, ["text"], ["id"], path, waves=4).count() == 21
+    assert len(open(asked).readlines()) == 21
+    with pytest.raises(ValueError, match="more than one row"):
+        inference.generate_to_table(rows.union(rows), predict, ["text"], ["id"], path)
+
+
 def test_prompts_are_sent_in_small_calls(spark):
     def predict(rows, _):
         return [str(len(rows))] * len(rows)

@@ -114,3 +114,10 @@ def test_top_k_breaks_ties_by_id(spark):
     )
     best = ranking.top_k(rows, 3, ["query_id"]).orderBy("rank").collect()
     assert [r.doc_id for r in best] == [9, 1, 2]
+
+
+def test_two_judgments_of_a_pair_need_an_order(spark):
+    qrels = spark.createDataFrame([(1, 5, 1, 0), (1, 5, 2, 1)], "query_id bigint, doc_id bigint, relevance int, at int")
+    assert ranking.first_judgments(qrels, "at").first().relevance == 1
+    with pytest.raises(Exception, match="judged twice"):
+        ranking.first_judgments(qrels).collect()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qaloom import prompts
-from qaloom.operators import dense, lexical
+from qaloom.operators import dense, lexical, ranking, tiles
 from qaloom.operators.context import rag_context
 from qaloom.operators.skew import fetch, hot_keys, salted_join
 from qaloom.operators.tiles import best_in_tile
@@ -94,8 +94,10 @@ def test_pruned_search_reads_fewer_terms(collection, monkeypatch):
     assert staged["query-plan"].where("put_off").count() > 0
 
 
-@pytest.mark.parametrize("blocks", [(1 << 18, 1 << 21), (16, 40)])
-def test_dense_matches_brute_force(spark, blocks):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_dense_matches_brute_force(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(dense, "LEFT_ROWS", 4)
+    monkeypatch.setattr(dense, "RIGHT_ROWS", 30)
     rng = np.random.default_rng(5)
     q, d = rng.normal(size=(9, 8)), rng.normal(size=(70, 8))
     d[3] = d[4]
@@ -106,7 +108,7 @@ def test_dense_matches_brute_force(spark, blocks):
         want += [(i, j, r, scores[i, j]) for r, j in enumerate(order, 1)]
     qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id bigint, vector array<double>")
     ds = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(d)], "doc_id bigint, vector array<double>")
-    hits = dense.dense_search(qs, ds, 4, exclude_same_id=True, left_block=blocks[0], right_block=blocks[1])
+    hits = dense.dense_search(qs, ds, 4, exclude_same_id=True, broadcast=broadcast)
     assert found(hits) == [(i, j, r, pytest.approx(s)) for i, j, r, s in sorted(want)]
 
 
@@ -152,3 +154,46 @@ def test_salted_join_and_fetch_keep_every_pair(spark, shuffle_only):
     assert sorted(map(tuple, salted_join(big, small, "key", "id", hot).select("key", "id", "value").collect())) == plain
     assert sorted(map(tuple, fetch(big, small, "key", "id").select("key", "id", "value").collect())) == plain
     assert hot_keys(big.groupBy("key").agg(F.count("*").alias("n")), "key", "n", slice_rows=1000) is None
+
+
+def test_a_stored_index_reads_the_folders_of_its_terms(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i} common text{i % 7}") for i in range(200)], "doc_id bigint, text string")
+    index = lexical.bm25_index(docs, path=str(tmp_path / "index"))
+    wanted = spark.createDataFrame([("word3",), ("text2",)], "term string")
+    part = index.of_terms(wanted)
+    plan = part.postings._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert "In(term" in plan
+    assert part.postings.select("term").distinct().count() == 2
+    stats = {r["term"]: r["df"] for r in lexical.term_statistics(part, wanted).collect()}
+    assert stats == {"word3": 1, "text2": 29}
+    with pytest.raises(Exception, match="already exists"):
+        lexical.bm25_index(docs, path=str(tmp_path / "index"))
+
+
+def test_vectors_that_take_no_part(spark):
+    rows = [(0, [1.0, 0.0]), (1, [float("nan"), 1.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0]), (5, [0.9, 0.1]), (6, [None, 1.0])]
+    known = spark.createDataFrame(rows, "doc_id bigint, vector array<double>")
+    asked = spark.createDataFrame([(9, [1.0, 0.0])], "query_id bigint, vector array<double>")
+    for broadcast in (True, False):
+        got = dense.dense_search(asked, known, 10, broadcast=broadcast).orderBy("rank").collect()
+        assert [r.doc_id for r in got] == [0, 5, 4]
+        assert len(dense.dense_search(asked, known, 1, broadcast=broadcast).collect()) == 1
+
+
+def test_scores_are_computed_in_bounded_slices(monkeypatch):
+    monkeypatch.setattr(tiles, "SCORE_CELLS", 1_000)
+    rng = np.random.default_rng(0)
+    left, right = rng.normal(size=(100, 8)), rng.normal(size=(500, 8))
+    best = tiles.BestHits(left, np.arange(100), 3, 6, False)
+    best.add(right, np.arange(500))
+    assert best.peak <= 1_000
+    want = np.argsort(-(left @ right.T), axis=1)[:, :3]
+    assert (best.found.reshape(100, 3) == want).all()
+
+
+def test_top_k_beyond_the_limit_of_the_engine(spark):
+    rows = spark.range(5000).select(F.lit("q").alias("query_id"), F.col("id").alias("doc_id"), (F.col("id") % 100).cast("double").alias("score"))
+    got = ranking.top_k(rows, 1200, ["query_id"]).orderBy("rank").collect()
+    want = sorted(range(5000), key=lambda i: (-(i % 100), i))[:1200]
+    assert [r.doc_id for r in got] == want

@@ -40,3 +40,23 @@ def test_stage_keeps_rows_and_types(spark):
     staged = session.stage(frame, "probe")
     assert sorted(map(tuple, staged.collect())) == sorted(map(tuple, frame.collect()))
     assert staged.inputFiles()
+
+
+def test_stages_go_at_the_end_of_their_scope(spark):
+    import os
+
+    root = session.scratch_root(spark)
+    before = set(os.listdir(root))
+    with session.stages(spark):
+        staged = session.stage(spark.range(10), "scoped")
+        assert staged.count() == 10 and set(os.listdir(root)) - before
+    assert set(os.listdir(root)) == before
+
+
+def test_a_path_of_the_caller_is_not_overwritten(spark, tmp_path):
+    session.stage(spark.range(3), "own", str(tmp_path / "own"))
+    with pytest.raises(Exception, match="already exists"):
+        session.stage(spark.range(4), "own", str(tmp_path / "own"))
+    with session.stages(spark):
+        pass
+    assert spark.read.parquet(str(tmp_path / "own")).count() == 3
