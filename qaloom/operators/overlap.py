@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 
 from qaloom.functions.text import ascii_terms, words
 from qaloom.operators.tiles import unit_rows
+from qaloom.session import broadcast_if_small, stage
 
 # Fixed value: the numerator BLEU smoothing puts in place of zero matches.
 SMOOTHING = 0.1
@@ -173,7 +174,7 @@ def rouge_l(candidate: Column | str, reference: Column | str) -> Column:
     return F.coalesce(F.try_divide(2 * common, F.size(c) + F.size(r)), F.lit(0.0))
 
 
-# Token vectors of one side of a pair that a task holds at a time.
+# Token vectors of one side of a pair that a task holds at a time; a pair of no more tokens is compared in one piece.
 TOKEN_BLOCK = 2048
 
 
@@ -188,18 +189,67 @@ def greedy_match_f1(
 ) -> DataFrame:
     """Embedding match of ``candidate`` and ``reference`` tokens: precision, recall and rescaled F per pair.
 
-    Every token takes its best cosine on the other side. A pair is cut into blocks of positions and compared
-    block by block, so a text of any length fits, and only one maximum per token leaves a block.
+    Every token takes its best cosine on the other side. Pairs are dealt by key and compared in batches of many; a
+    pair of more than ``block`` tokens is cut into blocks of positions and compared block by block, so a text of any
+    length fits, and only one maximum per token leaves a block.
     """
-    cut = tokens.select(
-        F.col(key).alias("_key"),
-        F.col(side).alias("_side"),
-        F.col(position).cast("bigint").alias("_at"),
-        F.floor(F.col(position) / F.lit(block)).cast("int").alias("_block"),
-        F.col(vector).alias("_vector"),
-    )
+    own = tokens.select(
+        F.col(key).alias("_key"), F.col(side).alias("_side"), F.col(position).cast("bigint").alias("_at"), F.col(vector).alias("_vector")
+    ).where("_key IS NOT NULL AND _side IN ('candidate', 'reference')")
+    long = own.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > block).select("_key")
+    long = stage(long, "long-pairs")
+    if long.isEmpty():
+        per_pair = _short_pairs(own)
+    else:
+        long = broadcast_if_small(long)
+        per_pair = _short_pairs(own.join(long, "_key", "left_anti")).unionByName(
+            _long_pairs(own.join(long, "_key", "left_semi"), block)
+        )
+    rescaled = (f_measure(F.col("precision"), F.col("recall")) - F.lit(baseline)) / F.lit(1.0 - baseline)
+    return per_pair.select(F.col("_key").alias(key), "precision", "recall", rescaled.alias("f1"))
+
+
+def _short_pairs(tokens: DataFrame) -> DataFrame:
+    """``_key, precision, recall`` of pairs whose tokens lie together, many pairs per call."""
+    kind = tokens.schema["_key"].dataType.simpleString()
+
+    def best(table: pa.Table) -> tuple[float, float]:
+        left = np.array(table["_side"].to_pylist()) == "candidate"
+        rows = unit_rows(table["_vector"])
+        if not left.any() or left.all():
+            return 0.0, 0.0
+        cosines = rows[left] @ rows[~left].T
+        return float(cosines.max(axis=1).mean()), float(cosines.max(axis=0).mean())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def scored(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+            parts = [table.slice(int(a), int(b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            keys = table["_key"].combine_chunks().take(pa.array(cuts[:-1]))
+            values = np.array([best(part) for part in parts]).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([keys, pa.array(values[:, 0]), pa.array(values[:, 1])], names=["_key", "precision", "recall"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            keys = held["_key"].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+            if len(starts) > 1:
+                yield scored(held, starts)
+                held = held.slice(int(starts[-1]))
+        if held is not None and held.num_rows:
+            yield scored(held, np.array([0, held.num_rows]))
+
+    placed = tokens.repartition("_key").sortWithinPartitions("_key", "_side", "_at").select("_key", "_side", "_vector")
+    return placed.mapInArrow(run, f"_key {kind}, precision double, recall double")
+
+
+def _long_pairs(tokens: DataFrame, block: int) -> DataFrame:
+    """``_key, precision, recall``, block against block."""
+    cut = tokens.withColumn("_block", F.floor(F.col("_at") / F.lit(block)).cast("int"))
     extents = cut.groupBy("_key").pivot("_side", ["candidate", "reference"]).agg(F.max("_block") + 1)
-    key_type = tokens.schema[key].dataType.simpleString()
+    key_type = tokens.schema["_key"].dataType.simpleString()
 
     def blocks(own: str, other: str, own_name: str, other_name: str) -> DataFrame:
         matching = extents.select("_key", F.col(other).alias("_n"))
@@ -240,6 +290,4 @@ def greedy_match_f1(
     def mean(name: str) -> Column:
         return F.coalesce(F.avg(F.when(F.col("_side") == name, F.col("_best"))), F.lit(0.0))
 
-    per_pair = per_token.groupBy("_key").agg(mean("candidate").alias("precision"), mean("reference").alias("recall"))
-    rescaled = (f_measure(F.col("precision"), F.col("recall")) - F.lit(baseline)) / F.lit(1.0 - baseline)
-    return per_pair.select(F.col("_key").alias(key), "precision", "recall", rescaled.alias("f1"))
+    return per_token.groupBy("_key").agg(mean("candidate").alias("precision"), mean("reference").alias("recall"))
