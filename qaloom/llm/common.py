@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sent(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A broadcast of a value whose class travels with it: workers need no copy of this package."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
+
+
 def n_words(text: str | Column) -> Column:
     """Number of words of a text; 0 for null. Counts the places where a word ends."""
     text = F.col(text) if isinstance(text, str) else text

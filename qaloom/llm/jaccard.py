@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qaloom.llm.common import shingle_sets, slices, weighed_shingle_sets, word_hashes
+from qaloom.llm.common import sent, shingle_sets, slices, weighed_shingle_sets, word_hashes
 from qaloom.llm.graph import components
 from qaloom.session import is_small, stage
 
@@ -118,12 +118,12 @@ def features(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     The sketch has a bit for each of ``SKETCH_BITS`` parts of the shingles: whether the set holds an odd number of it.
     """
-    held = docs.sparkSession.sparkContext.broadcast(rarity(docs, shingle))
+    held = sent(docs.sparkSession, rarity(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
 
-        known = held.value
+        known = held()
         for batch in _parts(batches):
             n, same, head, prefix, offsets, sketch = [], [], [], [], [0], []
             texts = batch.column(1).cast(pa.binary()).to_pylist()

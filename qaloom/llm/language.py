@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qaloom.llm.common import sent
+
 ORDER = 3
 # A text starts in this context.
 START = b"\n" * ORDER
@@ -230,11 +232,11 @@ def identify(docs: DataFrame, model: PpmModel, text: str = "text") -> DataFrame:
     """
     docs = docs.drop("lang_pred", "score")
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = sent(docs.sparkSession, model)
     value = F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("_lettered")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model = held()
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             values = batch.column(batch.num_columns - 1).cast(pa.binary())

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from qaloom.llm.common import sent
 from qaloom.session import stage
 
 TREES = 8
@@ -178,12 +179,13 @@ def nearest(
     n = found.count()
     forest = Forest(_sampled(found, n, sample), n, trees, seed)
     spark = vectors.sparkSession
-    grown = spark.sparkContext.broadcast(forest)
+    grown = sent(spark, forest.trees)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = grown()
         for batch in batches:
             rows = _matrix(batch.column(1))
-            for t, tree in enumerate(grown.value.trees):
+            for t, tree in enumerate(trees):
                 leaf = pa.array(tree.place(rows), pa.int64())
                 which = pa.array(np.full(len(rows), t), pa.int64())
                 yield pa.RecordBatch.from_arrays([which, leaf, *batch.columns], names=["tree", "leaf", "entry", "vector", "ids"])
@@ -194,7 +196,7 @@ def nearest(
     forest.counts = [np.zeros(tree.leaves, np.int64) for tree in forest.trees]
     for row in sizes:
         forest.counts[row["tree"]][row["leaf"]] = row["n"]
-    ready = spark.sparkContext.broadcast(forest)
+    ready = sent(spark, forest)
     enough = max(float(least) * trees, share * n)
 
     asking = vectors.where("_asks").select(F.col(vec_id).cast("long").alias("query_id"), F.col(vector).alias("vector"))
@@ -203,7 +205,7 @@ def nearest(
     distinct = found.join(asking.select("entry").distinct(), "entry", "left_semi").select("entry", "vector")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = ready.value
+        forest = ready()
         for batch in batches:
             rows = _matrix(batch.column(1))
             for begin in range(0, len(rows), 256):
