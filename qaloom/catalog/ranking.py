@@ -34,7 +34,7 @@ from qaloom.operators.ranking import (
 from qaloom.operators.report import leaderboard, metrics_long
 from qaloom.plans.evaluate import evaluate_retrieval
 from qaloom.plans.prep import restrict_to_corpus
-from qaloom.session import stage
+from qaloom.session import broadcast_if_small, stage
 
 
 def rounded(scores: DataFrame) -> DataFrame:
@@ -153,7 +153,8 @@ def dense_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     ideal = F.lit(0.0)
     for i in range(1, 11):
         ideal = ideal + F.when(F.col("relevant") >= i, F.lit(1.0) / F.log2(F.lit(float(i + 1)))).otherwise(F.lit(0.0))
-    profile = query_labels.join(others.where(F.col("relevant") > 0), "_query").select(
+    others = broadcast_if_small(stage(others.where(F.col("relevant") > 0), "labels"))
+    profile = query_labels.join(others, "_query").select(
         "query_id", ideal.alias("ideal_dcg"), F.col("relevant").alias("judged"), "relevant"
     )
     return ranking_metrics(judged, profile, query_labels)

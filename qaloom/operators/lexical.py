@@ -188,7 +188,14 @@ def bm25_search(
         index = bm25_index(corpus, doc_id, text, vocabulary)
         statistics = term_statistics(index)
 
-    weighted = wanted.join(statistics, "term").select(
+    # A common word is a term of very many queries.
+    statistics = stage(statistics, "term-statistics")
+    if is_small(statistics):
+        joined = wanted.join(F.broadcast(statistics), "term")
+    else:
+        askers = hot_keys(wanted.groupBy("term").agg(F.count("*").alias("rows")), "term", "rows")
+        joined = salted_join(wanted, statistics, "term", "query_id", askers)
+    weighted = joined.select(
         "query_id",
         "term",
         "df",
@@ -211,7 +218,12 @@ def bm25_search(
 
     def looked_up(pairs: DataFrame, some_weights: DataFrame, few: bool) -> DataFrame:
         """Contributions of the given terms to the given (query, document) pairs."""
-        wanted_postings = pairs.join(F.broadcast(some_weights) if small else some_weights, "query_id")
+        if small:
+            wanted_postings = pairs.join(F.broadcast(some_weights), "query_id")
+        else:
+            pairs = stage(pairs, "pairs")
+            many = hot_keys(pairs.groupBy("query_id").agg(F.count("*").alias("rows")), "query_id", "rows")
+            wanted_postings = salted_join(pairs, some_weights, "query_id", "doc_id", many)
         return (F.broadcast(wanted_postings) if few else wanted_postings).join(postings, ["term", "doc_id"])
 
     contribution = F.sum(F.col("weight") * F.col("impact")).alias("score")

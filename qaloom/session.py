@@ -99,11 +99,16 @@ def fits_broadcast(rows: int, size: int) -> bool:
 
 
 def measure(df: DataFrame) -> tuple[int, int]:
-    """Rows and serialized bytes of a (staged) table; counting stops just past the broadcast bound."""
+    """Rows and serialized bytes of a (staged) table.
+
+    Rows of a staged table are counted from its footers. Only a table within the bound of rows is read for its bytes,
+    added up in the tasks that read it; a larger one counts as larger than the bound.
+    """
+    rows = df.count()
+    if rows > BROADCAST_MAX_ROWS:
+        return rows, BROADCAST_MAX_BYTES + 1
     width = F.length(F.to_json(F.struct(*df.columns)))
-    seen = df.limit(BROADCAST_MAX_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b"))
-    figures = seen.first()
-    return figures["n"], figures["b"]
+    return rows, df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()["b"]
 
 
 def is_small(df: DataFrame) -> bool:

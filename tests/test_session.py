@@ -27,9 +27,9 @@ def test_a_local_session_keeps_one_folder():
     assert first != session.scratch_root(fake("local[2]", application="app-b"))
 
 
-def test_measure_stops_past_the_bound(spark, monkeypatch):
+def test_measure_reads_no_bytes_past_the_bound(spark, monkeypatch):
     monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", 10)
-    assert session.measure(spark.range(1000))[0] == 11
+    assert session.measure(spark.range(1000)) == (1000, session.BROADCAST_MAX_BYTES + 1)
     assert not session.is_small(spark.range(11)) and session.is_small(spark.range(10))
     monkeypatch.setattr(session, "BROADCAST_MAX_BYTES", 5)
     assert not session.is_small(spark.range(10))
