@@ -20,7 +20,13 @@ def test_every_sql_has_its_query():
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="driver tables are not here")
-@pytest.mark.parametrize("name", ["rouge_n", "ranking_metrics_dense", "prep_yes_no", "exact_split_rows", "rag_prompt"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "rouge_n", "ranking_metrics_dense", "prep_yes_no", "exact_split_rows", "rag_prompt", "generate_failures", "dense_topk_hard",
+        "keyed_json_repeated", "qrels_short_passages", "judged_twice",
+    ],
+)
 def test_queries_agree_with_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from check_queries import norm
