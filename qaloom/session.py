@@ -60,6 +60,20 @@ def drop_stages(spark: SparkSession, since: int = 0) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def staged_so_far(spark: SparkSession) -> int:
+    """A place in the list of staged tables, for :func:`settle`."""
+    return len(_made.setdefault(spark.sparkContext.applicationId, []))
+
+
+def settle(df: DataFrame, label: str, since: int) -> DataFrame:
+    """Stage a result and drop what was staged on the way to it, from the given place on."""
+    settled = stage(df, label)
+    path = _made[df.sparkSession.sparkContext.applicationId].pop()
+    drop_stages(df.sparkSession, since)
+    _made[df.sparkSession.sparkContext.applicationId].append(path)
+    return settled
+
+
 @contextmanager
 def stages(spark: SparkSession) -> Iterator[None]:
     """Everything that is staged inside goes at the end: compute and write results inside."""
