@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from qaloom.llm.common import sent, shingle_sets, slices, weighed_shingle_sets, word_hashes
 from qaloom.llm.graph import components
-from qaloom.session import is_small, stage
+from qaloom.session import broadcast_if_small, is_small, settle, stage, staged_so_far
 
 # Lists of more groups are compared by their first group, then by component.
 LIST = 64
 # The order of shingles knows so many of the commonest words, and of the commonest shingles.
-COMMON = 50_000
+COMMON = 200_000
 WORDS, SHINGLES, TOTAL = 0, 1, 2
 SKETCH_BITS = 2048
 
@@ -80,10 +80,10 @@ def rarity(docs: DataFrame, shingle: int) -> Rarity:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches, 4000):
+        for batch in _parts(batches, 8000):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             sets = shingle_sets(texts, shingle)
-            least = max(4, len(sets) // 500)
+            least = max(3, len(sets) // 2000)
             total, words, n = 0, [], []
             for part in slices(texts):
                 own, _ = word_hashes([text.lower() for text in part])
@@ -207,6 +207,7 @@ def near_duplicates(
     text that is null or has no word has an empty set, links with nothing and is its own component. A row without id
     links with nothing and has no component. Rows that share an id are one node. Other columns are not read.
     """
+    since = staged_so_far(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = stage(features(docs, shingle, percent), "features")
     usable = known.where("n > 0 AND doc_id IS NOT NULL")
@@ -239,33 +240,35 @@ def near_duplicates(
     named = classes.select("same", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("same", F.coalesce("component", "rep").alias("_component"))
     rows = known.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same"))
-    return rows.join(named, "same", "left").select(
+    found = rows.join(named, "same", "left").select(
         "doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id")
     )
+    return settle(found, "near-duplicates", since)
 
 
 def _open_pairs(lists: DataFrame, members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that share a list but no component, where the first round compared only some of the pairs."""
+    others = stage(members.where("gid <> rep").select("gid", "rep"), "others")
+    grouped = lists.join(broadcast_if_small(others.select("gid").distinct()), "gid", "left_semi").select("token")
+    wanted = stage(grouped.union(lists.where(F.col("size") > LIST).select("token")).distinct(), "open-lists")
     # A class stands in the lists of its group; members of one group have a list of their own.
-    placed = lists.select(F.col("token").alias("list"), "gid", "n", "pos", (F.col("size") > LIST).alias("wide"))
-    others = members.where("gid <> rep").select("gid", "rep")
-    entries = placed.select("list", F.col("gid").alias("rep"), "n", "pos", "wide").union(
-        placed.join(others, "gid").select("list", "rep", "n", "pos", F.lit(True))
+    placed = lists.join(broadcast_if_small(wanted), "token", "left_semi").select("token", "gid", "n", "pos")
+    entries = placed.select("token", F.col("gid").alias("rep"), "n", "pos").union(
+        placed.join(others, "gid").select("token", "rep", "n", "pos")
     )
-    inside = members.select(F.struct(F.lit(0), "gid").alias("list"), "rep", "n", F.lit(0).alias("pos"), F.lit(True))
-    entries = entries.select(F.struct(F.lit(1).alias("kind"), F.col("list").alias("key")).alias("list"), "rep", "n", "pos", "wide")
+    entries = entries.select(F.struct(F.lit(1).alias("kind"), F.col("token").alias("key")).alias("list"), "rep", "n", "pos")
+    inside = members.select(F.struct(F.lit(0), "gid").alias("list"), "rep", "n", F.lit(0).alias("pos"))
     entries = entries.union(inside)
     entries = entries.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     entries = stage(entries.withColumn("component", F.coalesce("component", "rep")), "entries")
     # Only lists that hold several components are open; all but the largest component meet all others.
-    shares = entries.groupBy("list", "component").agg(F.count("*").alias("rows"), F.max("wide").alias("wide"))
+    shares = entries.groupBy("list", "component").agg(F.count("*").alias("rows"))
     heads = shares.groupBy("list").agg(
         F.max_by("component", F.struct("rows", "component")).alias("main"),
         F.count("*").alias("kinds"),
-        F.max("wide").alias("wide"),
     )
-    unsettled = stage(heads.where("kinds > 1 AND wide").select("list", "main"), "unsettled")
-    rows = entries.drop("wide").join(unsettled, "list")
+    unsettled = stage(heads.where("kinds > 1").select("list", "main"), "unsettled")
+    rows = entries.join(unsettled, "list")
     minor = rows.where("component <> main")
     either = minor.alias("x").join(
         rows.alias("y"), F.expr(f"x.list = y.list AND x.component <> y.component AND {_possible(percent)}")
