@@ -25,7 +25,7 @@ from qaloom.llm.graph import components
 from qaloom.session import broadcast_if_small, is_small, settle, stage, staged_so_far
 
 # Lists of more groups are compared by their first group, then by component.
-LIST = 64
+LIST = 32
 # The order of shingles knows so many of the commonest words, and of the commonest shingles.
 COMMON = 200_000
 WORDS, SHINGLES, TOTAL = 0, 1, 2

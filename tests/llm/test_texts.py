@@ -162,7 +162,7 @@ def copies(seed):
     return [*docs, (len(docs), None), (len(docs) + 1, ""), (len(docs) + 2, " \n")]
 
 
-@pytest.mark.parametrize(("size", "percent", "most"), [(3, 90, 64), (5, 80, 3)])
+@pytest.mark.parametrize(("size", "percent", "most"), [(3, 90, 32), (5, 80, 3)])
 def test_components_match_brute_force(spark, monkeypatch, size, percent, most):
     monkeypatch.setattr(jaccard, "LIST", most)
     docs = copies(size)
