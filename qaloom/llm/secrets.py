@@ -24,8 +24,6 @@ _QUICK = {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
 # Strings that the models judge, if they hold a letter and a digit.
 CANDIDATE = r"(?<![A-Za-z0-9_+])[A-Za-z0-9_+]{16,}"
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+"
-# About so many documents, drawn by hash, give the labelled strings.
-SAMPLE_DOCS = 20_000
 # A span needs this mean log-likelihood ratio per step, in nats.
 RATIO = 0.5
 PLACEHOLDER = "[SECRET]"
@@ -60,31 +58,28 @@ def _fixed_spans(text: Column, kind: str, rank: int, pattern: str, group: int, l
     return F.filter(spans, lambda s: F.length(F.regexp_extract(s["value"], pattern, group)) >= least)
 
 
-def labelled_strings(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """``value, random``: labelled strings of about ``sample_docs`` documents, drawn by the hash of their texts.
+def labelled_strings(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``value, random``: the labelled strings of all documents.
 
     Random are long runs of hexadecimal digits and access keys that stand alone, ordinary are words of ASCII
     letters, digits and underscores that are neither.
     """
-    docs = docs.where(F.col(text).isNotNull())
-    n = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64(text, F.lit(2)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_docs / max(1, n))))
     word = F.regexp_extract_all(F.col(text), F.lit(r"(?<![\p{L}\p{N}_])[A-Za-z][A-Za-z0-9_]{5,30}(?![\p{L}\p{N}_])"), F.lit(0))
     secret = F.regexp_extract_all(
         F.col(text), F.lit(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{12,}|[0-9a-f]{32,})(?![A-Za-z0-9])"), F.lit(0)
     )
-    ordinary = drawn.select(F.explode(word).alias("value"), F.lit(False).alias("random")).where(~F.col("value").rlike("^AKIA[A-Z0-9]{12}"))
-    return drawn.select(F.explode(secret).alias("value"), F.lit(True).alias("random")).union(ordinary)
+    ordinary = docs.select(F.explode(word).alias("value"), F.lit(False).alias("random")).where(~F.col("value").rlike("^AKIA[A-Z0-9]{12}"))
+    return docs.select(F.explode(secret).alias("value"), F.lit(True).alias("random")).union(ordinary)
 
 
-def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[float] | None:
-    """Log-likelihood ratio of every step between two symbols, row by row; None if a class has no string.
+def train(docs: DataFrame, text: str = "text") -> list[float] | None:
+    """Log-likelihood ratio of every step between two symbols, row by row; None if a class has no string at all.
 
-    The counts are at most two times the square of the alphabet, whatever the size of the input.
+    Every string of every document counts, so a class is learned however rare it is. The counts are summed in tasks
+    first and are at most two times the square of the alphabet, whatever the size of the input.
     """
-    strings = labelled_strings(docs, text, sample_docs).where(F.length("value") > 1)
-    at = F.explode(F.sequence(F.lit(1), F.length("value") - 1))
-    steps = strings.select("random", "value", at.alias("at")).select("random", F.expr("substring(value, at, 2)").alias("step"))
+    step = F.explode(F.regexp_extract_all("value", F.lit("(?=(..))"), F.lit(1))).alias("step")
+    steps = labelled_strings(docs, text).select("random", step)
     counts = {(r["random"], r["step"]): r["n"] for r in steps.groupBy("random", "step").agg(F.count("*").alias("n")).collect()}
     if {label for label, _ in counts} != {True, False}:
         return None

@@ -264,6 +264,23 @@ def test_random_strings_are_found_and_identifiers_are_not(spark):
     assert clean == {0: "see [SECRET] there", 1: tests[1][1], 2: "[SECRET] [SECRET]"}
 
 
+def test_rare_random_strings_are_learned_in_a_large_table(spark):
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(3)]
+    # The last one is in one text with 50,000 digits.
+    rare = [f"key {k} end" for k in keys] + ["f3a9c41e7b2d85f0" * 3_000]
+    plain = spark.range(400_000).selectExpr("concat('ordinary words number ', id % 10) AS text")
+    ratios = secrets.train(plain.union(spark.createDataFrame([(t,) for t in rare], "text string")).union(spark.createDataFrame([(None,)], "text string")))
+    counts = {True: {}, False: {}}
+    for value, label, n in [*[(k, True, 1) for k in [*keys, rare[-1]]], *[(w, False, 400_000) for w in ("ordinary", "number")]]:
+        for a, b in zip(value, value[1:], strict=False):
+            counts[label][a + b] = counts[label].get(a + b, 0) + n
+    want = []
+    for a in secrets.SYMBOLS:
+        sums = {k: sum(c.get(a + b, 0) for b in secrets.SYMBOLS) + len(secrets.SYMBOLS) for k, c in counts.items()}
+        want += [np.log((counts[True].get(a + b, 0) + 1) / sums[True] * sums[False] / (counts[False].get(a + b, 0) + 1)) for b in secrets.SYMBOLS]
+    assert ratios == pytest.approx(want)
+
+
 def test_overlapping_spans_are_redacted_once(spark):
     value = "0123456789abcdef" * 3
     frame = spark.createDataFrame([(0, f"a token = {value} b"), (1, None)], "doc_id bigint, text string")
