@@ -26,8 +26,10 @@ START = b"\n" * ORDER
 UNIT = 1 << 16
 # Bytes that are scored at once in a task.
 SLICE = 4_000_000
-# Bytes of training text per language. The sample is drawn by a hash of id and text and holds whole texts.
+# Bytes of training text per language. The sample is drawn by a hash of the text and holds whole texts, each once.
 SAMPLE_BYTES = 2_000_000
+# The sizes of texts are summed in so many steps for each power of two of the hash.
+STEPS = 16
 UNKNOWN = "und"
 
 
@@ -187,10 +189,12 @@ def count_grams(sample: DataFrame, text: str, lang: str) -> DataFrame:
             for language, texts in batch.groupby("lang")["text"]:
                 streams: list[np.ndarray] = []
                 for value in texts:
-                    streams.append(_grams(START + value.encode("utf-8", "surrogatepass")))
-                    if sum(map(len, streams)) >= SLICE:
-                        yield counted(language, streams)
-                        streams = []
+                    stream = START + value.encode("utf-8", "surrogatepass")
+                    for start in range(0, len(stream) - ORDER, SLICE):
+                        streams.append(_grams(stream[start : start + SLICE + ORDER]))
+                        if sum(map(len, streams)) >= SLICE:
+                            yield counted(language, streams)
+                            streams = []
                 if streams:
                     yield counted(language, streams)
 
@@ -202,20 +206,29 @@ def count_grams(sample: DataFrame, text: str, lang: str) -> DataFrame:
 def training_sample(
     docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", sample_bytes: int = SAMPLE_BYTES
 ) -> DataFrame:
-    """Whole labelled texts, about ``sample_bytes`` per language, drawn by hash; all texts of a small language.
+    """``lang, text``: different whole labelled texts of the smallest hashes, ``sample_bytes`` per language or a little more.
 
-    Texts longer than the bound are not drawn. A language label that is null teaches nothing.
+    All texts of a language that has less. Texts are measured and drawn without their copies, so no text is more than
+    one, however often it is repeated. A text longer than the bound is drawn only where a language has no other. A
+    language label that is null teaches nothing.
     """
     labelled = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
     labelled = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    labelled = labelled.where(F.octet_length("text") <= sample_bytes)
-    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).collect()
-    draw = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1_000_000))
-    most = F.lit(0)
-    for row in sizes:
-        share = min(1.0, sample_bytes / max(1, row["size"]))
-        most = F.when(F.col("lang") == row["lang"], int(share * 1_000_000)).otherwise(most)
-    return labelled.where(draw < most)
+    size = F.octet_length("text")
+    labelled = labelled.select("*", F.shiftrightunsigned(F.xxhash64("text", F.lit(1)), 1).alias("draw"), (size > sample_bytes).alias("long"))
+    texts = labelled.groupBy("lang", "draw", "long").agg(F.max(size).alias("size"))
+    # Steps grow with the hash, so that one step adds a small part of what the smaller hashes hold, in any table.
+    step = F.floor(F.log2(F.col("draw") + 1.0) * STEPS).alias("step")
+    steps = texts.groupBy("lang", "long", step).agg(F.sum("size").alias("size"), F.max("draw").alias("last")).collect()
+    held: dict[str, tuple[int, bool, int]] = {}
+    for row in sorted(steps, key=lambda r: (r["long"], r["last"])):
+        size, long, _ = held.get(row["lang"], (0, row["long"], 0))
+        if size < sample_bytes and long == row["long"]:
+            held[row["lang"]] = size + row["size"], long, row["last"]
+    drawn = F.lit(False)
+    for name, (_, long, last) in held.items():
+        drawn = F.when(F.col("lang") == name, (F.col("long") == long) & (F.col("draw") <= last)).otherwise(drawn)
+    return labelled.where(drawn).select("lang", "text").distinct()
 
 
 def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> PpmModel:

@@ -89,6 +89,29 @@ def test_languages_are_told_apart_on_held_out_texts(spark):
     assert found.where("lang_pred <> lang OR score < 0.99 OR score > 1").count() == 0
 
 
+def test_every_language_is_drawn_whatever_its_copies_and_lengths(spark):
+    many = spark.range(20_000).selectExpr("'copies' AS lang", "repeat('the same again ', 4) AS text")
+    own = [("copies", f"a text of its own with number {i}") for i in range(40)]
+    own += [("few", f"{c} " * 400) for c in "abcdefgh"] + [("long", f"{c} " * 900) for c in "uvwxyz"]
+    own += [("small", "short"), ("small", "short"), ("small", "q " * 900)]
+    docs = many.union(spark.createDataFrame(own, "lang string, text string")).repartition(4)
+    sample = [tuple(r) for r in language.training_sample(docs, F.lit(True), sample_bytes=1000).select("lang", "text").collect()]
+    assert len(sample) == len(set(sample)) and set(sample) <= {*own, ("copies", "the same again " * 4)}
+    texts = {name: [t for other, t in sample if other == name] for name in ("copies", "few", "long", "small")}
+    assert 1000 <= sum(map(len, texts["copies"])) <= 1300 and len(texts["copies"]) > 20
+    assert texts["small"] == ["short"] and 2 <= len(texts["few"]) <= 4 and 1 <= len(texts["long"]) <= 2
+    everything = language.training_sample(docs, F.lit(True), sample_bytes=1_000_000)
+    assert {tuple(r) for r in everything.select("lang", "text").collect()} == {*own, ("copies", "the same again " * 4)}
+
+
+def test_grams_of_a_text_do_not_depend_on_slices(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "banana bandana"), ("a", "x")], "lang string, text string").coalesce(1)
+    whole = {tuple(r) for r in language.count_grams(docs, "text", "lang").collect()}
+    assert sum(n for _, _, n in whole) == 15
+    monkeypatch.setattr(language, "SLICE", 4)
+    assert {tuple(r) for r in language.count_grams(docs, "text", "lang").collect()} == whole
+
+
 def test_language_of_awkward_rows(spark, awkward, nothing):
     trained = language.train(awkward, F.lit(True))
     found = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in language.identify(awkward, trained).collect()}
