@@ -97,9 +97,14 @@ def url_key(url: str) -> str:
 
 
 def _captures(stream: bytearray, base: int) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """Complete records at the head of ``stream``, which they leave: offset, length, headers and block."""
+    """Complete records at the head of ``stream``, which they leave: offset, length, headers and block.
+
+    Line ends before a record are no header: a file whose last payload ends in one comes back with a blank too many.
+    """
     begin = 0
     while True:
+        while stream.startswith(CRLF.encode(), begin):
+            begin += len(CRLF)
         head = stream.find(BLANK.encode(), begin)
         if head < 0:
             break

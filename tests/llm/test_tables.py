@@ -323,6 +323,15 @@ def test_archives_come_back_in_order(spark, tmp_path, monkeypatch):
     assert warc.capture_index(warc.capture_runs(spark, str(tmp_path / "none"))).count() == 0
 
 
+@pytest.mark.parametrize("html", ["ab\r\n", "\r\n", "ab\r\n\r\n", "ab\r\n\r\n\r\n", "ab\r", ""])
+def test_last_page_of_an_archive_may_end_in_line_ends(spark, tmp_path, html):
+    pages = spark.createDataFrame([(1, "http://a.b/", "x"), (2, "http://a.b/", html)], "page_id bigint, url string, html string")
+    warc.write_archives(pages.coalesce(1).sortWithinPartitions("page_id"), str(tmp_path / "archives"))
+    index = warc.capture_index(warc.capture_runs(spark, str(tmp_path / "archives")))
+    found = [(r.page_id, r.payload_bytes, r.payload_digest) for r in index.collect()]
+    assert found == [(i, len(h), hashlib.sha1(h.encode()).hexdigest()) for i, h in ((1, "x"), (2, html))]
+
+
 def test_url_keys():
     assert warc.url_key("https://User@WWW.Example.com/a/b?c#d") == "com,example,www)/a/b?c"
     assert warc.url_key("http://x.y") == "y,x)/" and warc.url_key("") == ")/"
