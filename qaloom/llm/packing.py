@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -21,32 +22,50 @@ SEPARATOR = "\n\n"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def _reach(free: int, counts: dict[int, int], present: int) -> int:
+    """Words of ``free`` that remaining sizes fill, each time the largest that fits.
+
+    ``counts`` has the remaining sizes, and ``present`` a bit for each size that remains.
+    """
+    filled, most = 0, free
+    while below := present & ((1 << most + 1) - 2):
+        size = below.bit_length() - 1
+        taken = min(counts[size], (free - filled) // size) * size
+        filled += taken
+        most = min(size - 1, free - filled)
+    return filled
+
+
 def best_fit(sizes: Sequence[int], capacities: Sequence[int], overhead: int = OVERHEAD) -> list[tuple[int, list[int]]]:
     """Bins as ``(capacity, positions in sizes)``. No size is above the largest capacity.
 
     Sizes are placed from large to small, each into the open bin that it fills best (the older one of equals). Where
     none has room, a bin of that permitted length is opened whose cost, length plus overhead, is least per word that
-    this and the remaining sizes can fill it with; the smaller one of equals. At last every bin shrinks to the
-    smallest permitted length that holds its contents.
+    this size and the remaining ones, the largest that fits first, fill it with; the smaller one of equals. At last
+    every bin shrinks to the smallest permitted length that holds its contents.
     """
     capacities = sorted(capacities)
-    left = sum(sizes)
+    counts = Counter(sizes)
+    present = sum(1 << size for size in counts)
     room: list[tuple[int, int]] = []
     bins: list[list[int]] = []
     filled: list[int] = []
     for at in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
         size = sizes[at]
+        counts[size] -= 1
+        if not counts[size]:
+            present ^= 1 << size
         place = bisect_left(room, (size, -1))
         if place < len(room):
             free, chosen = room.pop(place)
         else:
-            free = min((c for c in capacities if c >= size), key=lambda c: ((c + overhead) / max(1, min(c, left)), c))
+            fills = {c: size + _reach(c - size, counts, present) for c in capacities if c >= size}
+            free = min(fills, key=lambda c: ((c + overhead) / max(1, fills[c]), c))
             chosen = len(bins)
             bins.append([])
             filled.append(0)
         bins[chosen].append(at)
         filled[chosen] += size
-        left -= size
         if free > size:
             insort(room, (free - size, chosen))
     return [(next(c for c in capacities if c >= used), own) for used, own in zip(filled, bins, strict=True)]

@@ -192,6 +192,12 @@ def test_best_fit_by_hand():
         assert used <= capacity and all(c < used for c in (16, 32) if c < capacity)
 
 
+def test_a_bin_is_opened_as_long_as_remaining_sizes_fill_it():
+    # 1020 and one 560 leave 468 of 2048 empty, while three 560 fill it better.
+    assert packing.best_fit([1020, 560, 560, 560], packing.CAPACITIES) == [(1024, [0]), (2048, [1, 2, 3])]
+    assert packing.best_fit([1020, 560, 460], packing.CAPACITIES) == [(2048, [0, 1, 2])]
+
+
 def test_packing_holds_every_word_once(spark, awkward, nothing):
     rng = random.Random(4)
     docs = [(i, "\n".join(f"w{i}.{j}" for j in range(rng.choice([0, 1, 9, 40, 200])))) for i in range(120)]
