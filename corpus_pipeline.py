@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaloom.llm import jaccard, language, mixing, packing, secrets
-from qaloom.session import is_small, stage
+from qaloom.session import broadcast_if_small, stage
 
 # A text is rejected if no language reaches this posterior.
 LEAST_SCORE = 0.5
@@ -33,20 +33,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest id.
 
-    Of rows that share this id, one stays. Rows without id or words are in no group and stay.
+    Every row stands for itself, with a key that is the hash of all its columns: rows that share an id are compared by
+    their texts like others, and so are rows without id, which stay only if their group has no id. Of rows that are
+    equal in all columns one stays. Rows without words are in no group and stay.
     """
-    groups = stage(jaccard.near_duplicates(docs, shingle=5, percent=80), "groups")
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    gone = stage(gone, "gone")
-    kept = docs.join(F.broadcast(gone) if is_small(gone) else gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    # Nulls leave a hash as it is, so it also takes in where they are.
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+    groups = stage(jaccard.near_duplicates(keyed, "_key", shingle=5, percent=80), "groups")
+    linked = groups.where("component_id <> doc_id").select("doc_id", "component_id")
+    members = linked.union(linked.select("component_id", "component_id")).distinct().withColumnRenamed("doc_id", "_key")
+    members = stage(members, "members")
+    members = stage(keyed.select("_key", "doc_id").join(broadcast_if_small(members), "_key"), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"]
+    gone = members.select("_key").join(members.groupBy("component_id").agg(first.alias("_key")), "_key", "left_anti").distinct()
+    kept = keyed.join(broadcast_if_small(stage(gone, "gone")), "_key", "left_anti")
+    repeated = groups.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("n")).where("n > 1").select("_key")
     repeated = stage(repeated, "repeated")
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    others = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    order = F.struct(*[F.col(c) for c in docs.columns])
-    return others.union(once.groupBy("doc_id").agg(F.min(order).alias("row")).select("row.*").select(*docs.columns))
+        return kept.select(*docs.columns)
+    repeated = broadcast_if_small(repeated)
+    once = kept.join(repeated, "_key", "left_semi").select(*docs.columns).distinct()
+    return kept.join(repeated, "_key", "left_anti").select(*docs.columns).union(once)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -369,5 +369,19 @@ def test_pipeline_over_awkward_rows(spark, awkward, nothing):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="driver tables are not here")
+def test_rows_that_share_an_id_or_have_none_are_compared_by_text(spark, nothing):
+    same, other, third = ("one text that several rows of the table hold", "quite another text about some other things", "a third text which stands alone")
+    rows = [(9, same, "en", "a", 1), (7, same, "en", "b", 1), (7, other, "en", "b", 1), (7, third, None, "c", 1)]
+    rows += [(None, same, "en", "a", 1), (None, third, "c", None, 1), (None, "x y z", None, "en", 1), (None, "x y z", "en", None, 1)]
+    rows += [(5, "u v w", "en", "a", 1)] * 3 + [(6, "", "en", "a", 1), (None, None, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, nothing.schema)
+    found = sorted(map(str, map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())))
+    unnamed = [r for r in rows if r[1] == "x y z"]
+    kept = [r for r in unnamed if str(r) in found]
+    assert len(kept) == 1
+    assert found == sorted(map(str, [rows[1], rows[2], rows[3], *kept, *rows[-3:]]))
+    assert corpus_pipeline.drop_near_duplicates(spark, nothing, "").columns == nothing.columns
+
+
 def test_pipeline_runs_over_the_tables(spark):
     assert corpus_pipeline.run(spark, str(DATA)).count() > 0
