@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import chat, jaccard, language, mixing, neighbours, packing, repetition, secrets, urls, warc
+from qaloom.llm import chat, jaccard, language, mixing, neighbours, packing, repetition, secrets, suffix_tree, urls, warc
 from qaloom.llm.common import read_table
 from qaloom.session import scratch_path
 
@@ -87,6 +87,23 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of all documents under a tree of the training documents. A row without id is neither held out nor learned from."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(5))
+    tree = suffix_tree.train(docs.where(fold != 1))
+    found = suffix_tree.score(docs, tree)
+    return found.select(
+        "doc_id",
+        F.coalesce(fold == 1, F.lit(False)).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(tree.train_tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 QUERIES = {
     "op1_language_ppm": op1_language_ppm,
     "op2_rp_forest": op2_rp_forest,
@@ -98,6 +115,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_warc_index": op10_warc_index,
+    "op11_suffix_tree": op11_suffix_tree,
 }
 
 SQL: dict[str, str] = {}
