@@ -83,12 +83,13 @@ class TreeByHand:
 def prose(n, seed):
     rng = random.Random(seed)
     names = ["alpha", "be", "Ça", "delta-and-more-than-eight", "e", "f,", "gg", "ÜBER", "x1", "漢字"]
-    passage = [rng.choice(names[:3]) + (str(i) if i % 5 == 4 else "") for i in range(16)]
+    # What ends a passage follows from its first word only.
+    passages = [[f"p{v}", "q", "r", f"t{v}"] for v in range(4)]
     texts = []
     for _ in range(n):
         words = rng.choices(names, weights=range(1, 11), k=rng.randrange(0, 30))
         if rng.random() < 0.4:
-            words[3:3] = passage
+            words[3:3] = rng.choice(passages)
         texts.append(rng.choice([" ", "\n", " \t "]).join(w.upper() if rng.random() < 0.1 else w for w in words))
     return [*texts, None, "", "  ", "Ça Ça", "Ça Ça", "word " * 3000, "never seen words"]
 
