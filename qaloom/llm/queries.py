@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import chat, jaccard, language, mixing, neighbours, packing, repetition, secrets, suffix_tree, urls, warc
+from qaloom.llm import chat, jaccard, language, mixing, negatives, neighbours, packing, ranked, repetition, secrets, suffix_tree, urls, warc
 from qaloom.llm.common import read_table
 from qaloom.session import scratch_path
 
@@ -104,6 +104,19 @@ def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of highest score for every benchmark item."""
+    found = ranked.rank(read_table(spark, sf_dir, "benchmark"), read_table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("query", "item_id")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives for the first five rows of the label of every embedding whose id is divisible by 100."""
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES = {
     "op1_language_ppm": op1_language_ppm,
     "op2_rp_forest": op2_rp_forest,
@@ -116,6 +129,8 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_warc_index": op10_warc_index,
     "op11_suffix_tree": op11_suffix_tree,
+    "op12_norm_buckets": op12_norm_buckets,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {}
@@ -170,3 +185,54 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id <> kept THEN kept END AS refers_to
 FROM payloads LEFT JOIN kept USING (payload_digest, payload_bytes)"""
+
+SQL["op12_norm_buckets"] = r"""
+WITH found AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+),
+sized AS (SELECT r, doc_id, len(terms) AS n, terms FROM found WHERE len(terms) > 0),
+figures AS (SELECT count(*) AS documents, sum(n) AS occurrences FROM sized),
+counts AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM sized) GROUP BY r, term),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL
+),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * documents + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counts, figures GROUP BY term, documents
+),
+scores AS (
+  SELECT item_id, r, any_value(doc_id) AS doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + CAST((90 * n * documents) // occurrences AS BIGINT))))) AS BIGINT) AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term), figures GROUP BY item_id, r
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10"""
+
+SQL["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, o.vec_id AS other_id, a.label = o.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.e, o.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v o ON a.vec_id <> o.vec_id WHERE a.vec_id % 100 = 0
+),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""

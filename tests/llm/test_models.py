@@ -7,10 +7,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from qaloom.llm import suffix_tree
+from qaloom.llm import negatives, ranked, suffix_tree
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RATIO = 2.5
@@ -128,3 +129,157 @@ def test_suffix_tree_on_awkward_rows(spark, awkward, nothing):
     assert suffix_tree.score(nothing, tree).count() == 0
     blank = suffix_tree.score(awkward, empty).where(F.col("n_tokens") == 1).collect()
     assert len(blank) == 3 and all(r.n_known == 0 and r.score == r.base_score == 0 for r in blank)
+
+
+def test_evidence_grows_with_the_root_of_the_corpus(spark):
+    docs = spark.createDataFrame([(t,) for t in prose(150, 3)], "text string")
+    strict, loose = (suffix_tree.train(docs, depth=1, least=2, ratio=RATIO, root_share=s) for s in (0.2, 0.02))
+    assert strict.values.where("known = 0").count() < loose.values.where("known = 0").count()
+
+
+# --- hard negatives --------------------------------------------------------------------------------------------------
+
+
+def mined_by_hand(rows, asks, positives=5, each=10):
+    width = Counter(len(v) for i, v, k in rows if usable(i, v, k)).most_common(1)[0][0]
+    good = sorted({(i, k, tuple(math.floor(256 * x) for x in v)) for i, v, k in rows if usable(i, v, k) and len(v) == width})
+    out = []
+    for i, k, v in good:
+        if not asks(i):
+            continue
+        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j, label) for j, label, w in good if j != i)
+        for p, j, _ in [s for s in scores if s[2] == k][:positives]:
+            fits = [s for s in scores if s[2] != k and -30 * p <= -100 * s[0] <= -90 * p][:each]
+            out += [(i, j, r, x, -p, -n) for r, (n, x, _) in enumerate(fits, 1)]
+    return sorted(out)
+
+
+def usable(i, v, k):
+    return i is not None and k is not None and bool(v) and all(x is not None and math.isfinite(x) for x in v)
+
+
+def labelled(n, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(i, (rng.normal(size=4) + (i % 3)).round(2).tolist(), i % 3) for i in range(n)]
+    # A common vector, equal scores, shared ids, equal rows, zero vectors, and rows that take no part.
+    rows += [(n + i, rows[6][1], i % 2) for i in range(90)]
+    rows += [(20, [3.0, 1.0, 0.0, 2.0], 1), rows[30], rows[40], (1000, [0.0] * 4, 1), (1100, [0.0] * 4, 1)]
+    rows += [(1, None, 1), (2, [1.0, None, 0.0, 0.0], 1), (3, [float("inf")] * 4, 0), (None, rows[1][1], 1), (4, rows[1][1], None), (5, [], 1), (6, [1.0], 1)]
+    return rows
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_negatives_are_those_by_hand(spark, monkeypatch, small):
+    if small:
+        for name, value in (("TILE_ANCHORS", 5), ("TILE_ROWS", 33), ("CELLS", 64)):
+            monkeypatch.setattr(negatives, name, value)
+    rows = labelled(240, 3)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS `group`", "'k' AS key")
+    found = negatives.mine(frame, F.col("vec_id") % 10 == 0)
+    assert sorted(tuple(r) for r in found.collect()) == mined_by_hand(rows, lambda i: i % 10 == 0)
+
+
+def test_negatives_of_nothing_and_of_huge_vectors(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    assert negatives.mine(spark.createDataFrame([], schema), F.lit(True)).count() == 0
+    assert negatives.mine(spark.createDataFrame([(1, None, 1), (2, [1.0], None)], schema), F.lit(True)).count() == 0
+    assert negatives.mine(spark.createDataFrame([(1, [1.0], 1), (2, [0.5], 2)], schema), F.lit(None).cast("boolean")).count() == 0
+    big = [(1, [1e7, 1e6], 1), (2, [1e7, 1e6], 1), (3, [5e6, 1.0], 2), (4, [1e308, -1e308], 2)]
+    found = negatives.mine(spark.createDataFrame(big, schema), F.col("vec_id") == 1)
+    assert [tuple(r) for r in found.collect()] == [(1, 2, 1, 3, 65536 * (10**14 + 10**12), 65536 * (5 * 10**13 + 10**6))]
+
+
+def test_keys_sort_as_their_parts():
+    rng = random.Random(4)
+    ends = [-(2**63), -5, 0, 7, 2**63 - 1]
+    rows = [(rng.choice(ends), rng.choice(ends), rng.random() < 0.5, rng.choice(ends)) for _ in range(200)]
+    columns = [np.array(x) for x in zip(*rows, strict=True)]
+    packed = negatives.pack(*columns).to_pylist()
+    order = sorted(range(200), key=lambda i: packed[i])
+    assert [rows[i] for i in order] == sorted(rows, key=lambda r: (r[0], -r[1], r[2], r[3]))
+    assert list(zip(*(x.tolist() for x in negatives.unpack(negatives.pack(*columns))), strict=True)) == rows
+
+
+# --- ranked search ---------------------------------------------------------------------------------------------------
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms_of(text):
+    return TERM.findall(lower(text or ""))
+
+
+def ranked_by_hand(items, docs, k):
+    counts = [(i, Counter(terms_of(t))) for i, t in docs]
+    counts = [(i, c, sum(c.values())) for i, c in counts if c]
+    n, total = len(counts), sum(x for *_, x in counts)
+    df = Counter(t for _, c, _ in counts for t in c)
+    asked = {}
+    for i, t in items:
+        if i is not None:
+            asked.setdefault(i, set()).update(terms_of(t))
+    out = []
+    for item, terms in asked.items():
+        scores = []
+        for i, c, size in counts:
+            m = 100 - 90 + (90 * size * n) // total
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 8 * m)) for t in terms if t in c)
+            if s > 0:
+                scores.append((-s, i is None, i))
+        out += [(item, r, i, -s) for r, (s, _, i) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return sorted(out)
+
+
+def library(n, seed):
+    rng = random.Random(seed)
+    names = [f"w{i}" for i in range(60)] + ["Ünï", "漢字", "A-B", "x_y"]
+    docs = [(i, rng.choice([" ", "-", "\n"]).join(rng.choices(names, weights=[1 / (j + 1) for j in range(64)], k=rng.randrange(0, 40)))) for i in range(n)]
+    docs += [(n + i, docs[5][1]) for i in range(80)]
+    docs += [(3, "W1 w2 w50"), (3, "w1 w2 w50"), (None, "w1 w2 w50 w51"), (None, "w1 w2 w50 w51"), (900, None), (901, ""), (902, "-- !"), (903, "w1 " * 2000)]
+    items = [(i, " ".join(rng.choices(names, k=rng.randrange(1, 12)))) for i in range(25)]
+    return docs, [*items, (1, "w50, w51"), (2, None), (100, ""), (101, "nowhere"), (None, "w1"), (102, docs[5][1]), (102, docs[5][1])]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_ranking_is_that_by_hand(spark, monkeypatch, small):
+    if small:
+        for name, value in (("SEED_VECTORS", 9), ("BUCKET", 7), ("BUCKET_ENTRIES", 40), ("QUERY_TERMS", 60)):
+            monkeypatch.setattr(ranked, name, value)
+    docs, items = library(250, 8)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS n", "'t' AS norm", "2.0 AS score")
+    asked = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS term", "3 AS query")
+    found = ranked.rank(asked, frame, k=6)
+    order = sorted((tuple(r) for r in found.collect()), key=lambda r: (r[0], r[1]))
+    assert order == ranked_by_hand(items, docs, 6)
+
+
+def test_ranking_of_nothing(spark):
+    docs, items = (spark.createDataFrame([], s) for s in ("doc_id long, text string", "item_id long, text string"))
+    some = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert ranked.rank(items, some).count() == 0
+    assert ranked.rank(some, docs, query_id="doc_id").count() == 0
+    assert [tuple(r) for r in ranked.rank(some, some, query_id="doc_id").collect()] == [(1, 1, 1, 2 * 287 * (10**9 // (1000 + 800)))]
+
+
+def test_bounds_drop_most_vectors_and_no_result():
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(1, 30, 4000)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.concatenate([rng.choice(300, s, replace=False) for s in sizes])
+    weights = np.round(1e4 / (1 + np.arange(300)[::-1])).astype(np.int64) + 1
+    impacts = weights[at] * rng.integers(1, 1000, len(at))
+    norms = np.sqrt(np.add.reduceat(impacts.astype(float) ** 2, offsets[:-1]))
+    order = np.argsort(-norms)
+    queries = {q: np.sort(rng.choice(300, 8, replace=False)) for q in range(40)}
+    search = ranked.Search(queries, {}, 10, 300)
+    for begin in range(0, 4000, 250):
+        some = order[begin : begin + 250]
+        entries = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in some])
+        own = np.concatenate([[0], np.cumsum(sizes[some])])
+        search.add(ranked.Bucket(some, norms[some], own, at[entries], impacts[entries]))
+    for q, terms in queries.items():
+        scores = np.add.reduceat(np.where(np.isin(at, terms), impacts, 0), offsets[:-1])
+        want = [(s, i) for s, i in sorted(zip((-scores).tolist(), range(4000), strict=True)) if s < 0][:10]
+        assert [(-s, i) for s, i in zip(*(x.tolist() for x in search.best[q]), strict=True)] == want
+    # Of 640 meetings of a query and a bucket, and 160,000 of a query and a vector:
+    assert search.met < 500 and search.scored < 30_000
