@@ -15,8 +15,9 @@ from qaloom.catalog.tables import (
     table,
 )
 from qaloom.operators.dense import cosine, dense_search, rerank_search
+from qaloom.operators.pivots import open_pivot_index, pivot_index
 from qaloom.plans.evaluate import search_both_modes
-from qaloom.session import stage
+from qaloom.session import scratch_path, stage
 
 CANDIDATES = 50
 
@@ -99,10 +100,19 @@ def dense_topk_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("score", F.round("score", 6))
 
 
-def dense_topk_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten nearest by the first eight components."""
-    short = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("vector"))
-    hits = dense_search(short.withColumnRenamed("vec_id", "query_id"), short.withColumnRenamed("vec_id", "doc_id"), exclude_same_id=True)
+def dense_topk_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest other vectors of every vector, from an index of pivots that was written and opened again."""
+    path = scratch_path(spark, "pivots")
+    pivot_index(vectors(spark, sf_dir, "doc_id"), path)
+    hits = dense_search(vectors(spark, sf_dir, "query_id"), open_pivot_index(spark, path), exclude_same_id=True)
+    return hits.withColumn("score", F.round("score", 6))
+
+
+def dense_topk_pivots_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest by pivots, where some vectors are null, zero, short or have a null or NaN component."""
+    hard = spark.sql(HARD_VECTORS, vectors=table(spark, sf_dir, "embeddings"))
+    index = pivot_index(hard.withColumnRenamed("vec_id", "doc_id"))
+    hits = dense_search(hard.withColumnRenamed("vec_id", "query_id"), index, exclude_same_id=True)
     return hits.withColumn("score", F.round("score", 6))
 
 
@@ -115,7 +125,8 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "dense_topk": dense_topk,
     "dense_topk_hard": dense_topk_hard,
-    "dense_topk_short": dense_topk_short,
+    "dense_topk_pivots": dense_topk_pivots,
+    "dense_topk_pivots_hard": dense_topk_pivots_hard,
     "rerank_topk": rerank_topk,
     "mode_comparison": mode_comparison,
     "cosine_expression": vector_norms,
@@ -176,15 +187,10 @@ scored AS (
          CASE WHEN q.vec_id % 50 = 4 OR d.vec_id % 50 = 4 THEN 0.0 ELSE list_cosine_similarity(q.v, d.v) END AS score
   FROM vec q, vec d WHERE q.vec_id <> d.vec_id
 ), top AS ({sql_top('scored')})
-SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top""",
-    "dense_topk_short": f"""
-WITH vec AS (SELECT vec_id, CAST(list_slice(embedding, 1, 8) AS DOUBLE[]) AS v FROM embeddings),
-scored AS (
-  SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_cosine_similarity(q.v, d.v) AS score
-  FROM vec q, vec d WHERE q.vec_id <> d.vec_id
-), top AS ({sql_top('scored')})
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top""",
     "cosine_expression": """
 SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(list_reverse(embedding) AS DOUBLE[])), 6)
   AS cosine FROM embeddings""",
 }
+SQL["dense_topk_pivots"] = SQL["dense_topk"]
+SQL["dense_topk_pivots_hard"] = SQL["dense_topk_hard"]

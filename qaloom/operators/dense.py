@@ -1,4 +1,4 @@
-"""Vector search: exact cosine top-k, and re-scoring of lexical candidates."""
+"""Vector search: exact cosine top-k, over a plain corpus or an index of pivots, and re-scoring of lexical candidates."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from qaloom import prompts
 from qaloom.operators.lexical import LexicalIndex, bm25_search
+from qaloom.operators.pivots import PivotIndex, pivot_search
 from qaloom.operators.ranking import SCORE_DECIMALS, top_k
 from qaloom.operators.skew import fetch
 from qaloom.operators.tiles import LEFT_ROWS, RIGHT_ROWS, BestHits, blocks_for, tiled, unit_rows, usable
@@ -36,7 +37,7 @@ BROADCAST_ELEMENTS = 1 << 23
 
 def dense_search(
     queries: DataFrame,
-    corpus: DataFrame,
+    corpus: DataFrame | PivotIndex,
     k: int = prompts.TOP_K,
     query_id: str = "query_id",
     doc_id: str = "doc_id",
@@ -52,7 +53,11 @@ def dense_search(
 
     A vector takes part if it has the commonest length of the query vectors and only finite components: a null, NaN
     or infinite component, or another length, takes its row out and nothing else. A zero vector has cosine 0.
+
+    A corpus that was indexed by its pivots (:mod:`qaloom.operators.pivots`) is read in part only, with the same result.
     """
+    if isinstance(corpus, PivotIndex):
+        return pivot_search(queries, corpus, k, query_id, vector, exclude_same_id)
     left = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("vector")).where("query_id IS NOT NULL")
     right = corpus.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("vector")).where("doc_id IS NOT NULL")
     id_types = (left.schema["query_id"].dataType.simpleString(), right.schema["doc_id"].dataType.simpleString())

@@ -30,7 +30,8 @@ def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of a list column as float64 unit vectors; a zero vector stays zero."""
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    matrix = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    matrix = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
     norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
     norms[norms == 0] = 1.0
     return matrix / norms[:, None]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qaloom import prompts
-from qaloom.operators import dense, lexical, ranking, tiles
+from qaloom.operators import dense, lexical, pivots, ranking, tiles
 from qaloom.operators.context import rag_context
 from qaloom.operators.skew import fetch, hot_keys, salted_join
 from qaloom.operators.tiles import best_in_tile
@@ -197,3 +197,80 @@ def test_top_k_beyond_the_limit_of_the_engine(spark):
     got = ranking.top_k(rows, 1200, ["query_id"]).orderBy("rank").collect()
     want = sorted(range(5000), key=lambda i: (-(i % 100), i))[:1200]
     assert [r.doc_id for r in got] == want
+
+
+@pytest.mark.parametrize("broadcast", [None, True, False])
+@pytest.mark.parametrize("rows", [[], [(9, None)], [(9, [float("nan")])]])
+def test_a_search_without_usable_queries_finds_nothing(spark, broadcast, rows):
+    known = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "doc_id bigint, vector array<double>")
+    asked = spark.createDataFrame(rows, "query_id bigint, vector array<double>")
+    assert dense.dense_search(asked, known, 3, broadcast=broadcast).count() == 0
+    assert dense.dense_search(asked, pivots.pivot_index(known), 3).count() == 0
+    assert dense.dense_search(known.withColumnRenamed("doc_id", "query_id"), known.limit(0), 3, broadcast=broadcast).count() == 0
+
+
+def clustered(n, clusters, width, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, width))
+    return (centres[rng.integers(0, clusters, n)] + 0.08 * rng.normal(size=(n, width))).round(4)
+
+
+@pytest.mark.parametrize("queries_at_once", [None, 7])
+def test_pivots_skip_cells_and_lose_no_hit(spark, monkeypatch, tmp_path, queries_at_once):
+    monkeypatch.setattr(pivots, "CELL_ROWS", 25)
+    monkeypatch.setattr(pivots, "RUN", 16)
+    if queries_at_once:
+        monkeypatch.setattr(pivots, "QUERY_ELEMENTS", 8 * queries_at_once)
+    rows = clustered(1500, 30, 8, 4)
+    rows[100:140] = rows[100]
+    known = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)] + [(3000, [0.0] * 8), (None, [1.0] * 8)], "doc_id bigint, vector array<double>")
+    asked = known.withColumnRenamed("doc_id", "query_id").where("query_id % 50 = 0")
+    pivots.pivot_index(known, str(tmp_path / "index"))
+    index, report = pivots.open_pivot_index(spark, str(tmp_path / "index")), {}
+    got = pivots.pivot_search(asked, index, 6, exclude_same_id=True, report=report)
+    want = dense.dense_search(asked, known, 6, exclude_same_id=True)
+    assert found(got) == found(want)
+    # The zero query reads all; the others search a small part, and few cells are read for most of them.
+    assert len(index.pivots) == 61 and report["pairs_searched"] < 0.2 * report["pairs"]
+    one, report = asked.where("query_id = 200"), {}
+    assert found(pivots.pivot_search(one, index, 6, report=report)) == found(dense.dense_search(one, known, 6))
+    assert report["cells_read"] <= 10 < report["cells"]
+    with pytest.raises(Exception, match="already exists"):
+        pivots.pivot_index(known, str(tmp_path / "index"))
+
+
+def test_pivot_search_prunes_folders_and_does_not_shuffle_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "CELL_ROWS", 20)
+    known = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(clustered(300, 6, 5, 2))], "doc_id string, vector array<float>")
+    index = pivots.pivot_index(known)
+    asked = known.selectExpr("concat('q', doc_id) AS query_id", "vector").limit(4)
+    hits = dense.dense_search(asked, index, 3)
+    assert found(hits) == found(dense.dense_search(asked, known, 3))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
+    # What is shuffled are the hits, by query.
+    assert plan.count("Exchange ") == 1 and "Exchange hashpartitioning(_row" in plan
+
+
+def test_reach_bounds_every_cosine():
+    rng = np.random.default_rng(3)
+    rows, query, pivot = (x / np.linalg.norm(x, axis=-1, keepdims=True) for x in (rng.normal(size=(500, 4)), rng.normal(size=4), rng.normal(size=4)))
+    near = rows @ pivot
+    for low in np.linspace(-1, 0.8, 10):
+        part = rows[(near >= low) & (near <= low + 0.2)]
+        assert not len(part) or (part @ query).max() <= reach_of(query @ pivot, low, low + 0.2) + 1e-9
+
+
+def reach_of(near, least, most):
+    return float(pivots.reach(np.array([near]), np.array([least]), np.array([most]))[0])
+
+
+def test_dense_search_by_short_vectors(spark):
+    rows = clustered(120, 5, 8, 9)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "doc_id bigint, vector array<double>")
+    short = table.select("doc_id", F.slice("vector", 1, 2).alias("vector"))
+    unit = rows[:, :2] / np.linalg.norm(rows[:, :2], axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 6)
+    want = [(i, j, r, scores[i, j]) for i in range(120) for r, j in enumerate(sorted((j for j in range(120) if j != i), key=lambda j: (-scores[i, j], j))[:3], 1)]
+    got = found(dense.dense_search(short.withColumnRenamed("doc_id", "query_id"), short, 3, exclude_same_id=True))
+    assert [(q, r, round(s, 5)) for q, _, r, s in got] == [(q, r, round(s, 5)) for q, _, r, s in want]
