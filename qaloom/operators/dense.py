@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaloom import prompts
+from qaloom.operators.blockmax import BlockIndex
 from qaloom.operators.lexical import LexicalIndex, bm25_search
 from qaloom.operators.pivots import PivotIndex, pivot_search
 from qaloom.operators.ranking import SCORE_DECIMALS, top_k
@@ -130,7 +131,7 @@ def rerank(
 
 def rerank_search(
     queries: DataFrame,
-    corpus: DataFrame | LexicalIndex,
+    corpus: DataFrame | LexicalIndex | BlockIndex,
     query_vectors: DataFrame,
     doc_vectors: DataFrame,
     k: int = prompts.TOP_K,

@@ -9,14 +9,11 @@ from pyspark.sql import functions as F
 
 from qaloom import prompts
 from qaloom.functions.text import terms
+from qaloom.operators.blockmax import BlockIndex, block_scores, impact, open_index, store_index, weight
 from qaloom.operators.ranking import top_k
 from qaloom.operators.skew import hot_keys, salted_join
 from qaloom.session import broadcast_if_small, fits_broadcast, is_small, measure, stage
 
-# BM25 saturation and length parameters.
-K1 = 1.2
-B = 0.75
-
 # Postings read per query, and documents per result place completed, to find a bound on the k-th best score.
 SEED_POSTINGS = 2_000
 SEED_FACTOR = 5
@@ -31,48 +28,20 @@ MARGIN = 1e-5
 LENGTH_TERM = ""
 
 
-# Folders of a stored index, by the hash of the term, and files per folder and task of its commonest terms.
-BUCKETS = 64
-SPREAD = 8
-# A search for no more terms than this names them to the scan.
-NAMED_TERMS = 500
-
-
-def bucket_of(term: Column | str) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Postings ``(term, doc_id, length, tf)`` as a table, with the two corpus figures BM25 needs.
-
-    A stored index also has its term statistics, and its postings lie in folders by ``bucket``.
-    """
+    """Postings ``(term, doc_id, length, tf)`` as a table, with the two corpus figures BM25 needs."""
 
     postings: DataFrame
     documents: int
     mean_length: float
-    statistics: DataFrame | None = None
-
-    def of_terms(self, vocabulary: DataFrame) -> LexicalIndex:
-        """The part of a stored index that can hold the terms (a table ``term``): other folders are not read."""
-        if self.statistics is None:
-            return self
-        buckets = [row["bucket"] for row in vocabulary.select(bucket_of("term").alias("bucket")).distinct().collect()]
-        postings = self.postings.where(F.col("bucket").isin(buckets))
-        named = [row["term"] for row in vocabulary.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
-        if len(named) <= NAMED_TERMS:
-            postings = postings.where(F.col("term").isin(named))
-        return LexicalIndex(postings, self.documents, self.mean_length, self.statistics)
 
     def impact(self) -> Column:
         """Length-normalized term frequency of a posting, without the weight of the term."""
-        norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(self.mean_length or 1.0))
-        return F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + norm)
+        return impact(F.col("tf"), F.col("length"), self.mean_length)
 
     def idf(self, df: Column) -> Column:
-        n = F.lit(float(self.documents))
-        return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
+        return weight(self.documents, df)
 
 
 def _open_index(postings: DataFrame) -> LexicalIndex:
@@ -90,13 +59,15 @@ def bm25_index(
     text: str = "text",
     vocabulary: DataFrame | None = None,
     path: str | None = None,
-) -> LexicalIndex:
+) -> LexicalIndex | BlockIndex:
     """Tokenize the corpus once into a postings table.
 
     With a ``vocabulary`` (``term``) that is small, other terms are dropped before anything is shuffled; document
     lengths always count every term. Terms are combined per document before the shuffle. With a ``path``, which must
-    not exist, the index is stored there in folders by term, so a search reads the folders of its terms only.
+    not exist, the index of all terms is stored there in blocks, of which a search unpacks those that it needs.
     """
+    if path is not None:
+        return store_index(corpus, path, doc_id, text)
     tokenized = corpus.select(F.col(doc_id).alias("doc_id"), F.coalesce(terms(text), F.array()).alias("_terms"))
     measured = tokenized.select(
         "doc_id", F.size("_terms").alias("length"), F.concat(F.array(F.lit(LENGTH_TERM)), "_terms").alias("_terms")
@@ -107,35 +78,17 @@ def bm25_index(
         kept = vocabulary.select(F.explode(F.array(F.col("term"), F.lit(LENGTH_TERM))).alias("term")).distinct()
         occurrences = occurrences.join(F.broadcast(kept), "term", "left_semi")
     postings = occurrences.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
-    if path is None:
-        return _open_index(stage(postings, "postings"))
-    _store(postings, path)
-    return open_bm25_index(corpus.sparkSession, path)
-
-
-def _store(postings: DataFrame, path: str) -> None:
-    """Postings in folders by bucket, sorted by term; term statistics and corpus figures as small tables beside them."""
-    spark = postings.sparkSession
-    placed = postings.withColumn("bucket", bucket_of("term"))
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))
-    placed = placed.repartition("bucket", spread).sortWithinPartitions("bucket", "term")
-    placed.write.partitionBy("bucket").parquet(f"{path}/postings")
-    index = _open_index(spark.read.parquet(f"{path}/postings"))
-    term_statistics(index).sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    figures = spark.range(1).select(F.lit(index.documents).alias("documents"), F.lit(index.mean_length).alias("mean_length"))
-    figures.write.parquet(f"{path}/corpus")
-
-
-def open_bm25_index(spark: SparkSession, path: str) -> LexicalIndex:
+    return _open_index(stage(postings, "postings"))
+
+
+def open_bm25_index(spark: SparkSession, path: str) -> BlockIndex:
     """An index written earlier by :func:`bm25_index` with a ``path``."""
-    figures = spark.read.parquet(f"{path}/corpus").first()
-    postings, terms = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
-    return LexicalIndex(postings, figures["documents"], figures["mean_length"], terms)
+    return open_index(spark, path)
 
 
-def term_statistics(index: LexicalIndex, vocabulary: DataFrame | None = None) -> DataFrame:
+def term_statistics(index: LexicalIndex | BlockIndex, vocabulary: DataFrame | None = None) -> DataFrame:
     """Per term (of a ``vocabulary``): documents, occurrences, weight, and the largest impact a document reaches."""
-    if index.statistics is not None:
+    if isinstance(index, BlockIndex):
         known = index.statistics
         return known if vocabulary is None else known.join(broadcast_if_small(vocabulary.select("term")), "term", "left_semi")
     postings = index.postings.where(F.col("term") != LENGTH_TERM)
@@ -160,7 +113,7 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", query: str = "qu
 
 def bm25_search(
     queries: DataFrame,
-    corpus: DataFrame | LexicalIndex,
+    corpus: DataFrame | LexicalIndex | BlockIndex,
     k: int = prompts.TOP_K,
     query_id: str = "query_id",
     query: str = "query",
@@ -178,11 +131,15 @@ def bm25_search(
     scored in full; their k-th best score bounds the result from below. A query's commonest terms are put off as
     long as their largest possible contributions sum to no more than a share of the bound. Documents are scored
     by the other terms, and only those that can still reach the bound are completed with the terms put off.
+
+    A stored index is searched by its blocks (:mod:`qaloom.operators.blockmax`), with the same result again.
     """
     wanted = stage(query_terms(queries, query_id, query), "query-terms")
-    vocabulary = wanted.select("term").distinct()
+    if isinstance(corpus, BlockIndex):
+        return top_k(block_scores(wanted, corpus, k), k, ["query_id"]).select("query_id", "doc_id", "score", "rank")
+    vocabulary = stage(wanted.select("term").distinct(), "vocabulary")
     if isinstance(corpus, LexicalIndex):
-        index = corpus.of_terms(vocabulary)
+        index = corpus
         statistics = term_statistics(index, vocabulary)
     else:
         index = bm25_index(corpus, doc_id, text, vocabulary)

@@ -12,11 +12,13 @@ from qaloom import prompts
 from qaloom.functions.chat import build_prompt
 from qaloom.functions.text import strip_ws, truncate_words
 from qaloom.operators.answers import RUN, accuracy, score_close_ended
+from qaloom.operators.blockmax import BlockIndex
 from qaloom.operators.context import rag_context
 from qaloom.operators.dense import dense_search, side_by_side
 from qaloom.operators.inference import Predict, generate_to_table, model_score
 from qaloom.operators.lexical import LexicalIndex, bm25_search
 from qaloom.operators.overlap import greedy_match_f1, overlap_scores, rouge_l
+from qaloom.operators.pivots import PivotIndex
 from qaloom.operators.ranking import evaluate_ranking
 from qaloom.operators.report import each
 from qaloom.session import scratch_path, stage
@@ -26,9 +28,9 @@ LONG_FORM_METRICS = ("rouge1", "rouge2", "rougel", "bleu")
 
 def search_both_modes(
     queries: DataFrame,
-    corpus: DataFrame | LexicalIndex,
+    corpus: DataFrame | LexicalIndex | BlockIndex,
     query_vectors: DataFrame,
-    doc_vectors: DataFrame,
+    doc_vectors: DataFrame | PivotIndex,
     k: int = prompts.TOP_K,
 ) -> DataFrame:
     """Keyword and semantic hits (``mode, query_id, doc_id, score, rank``) of queries cut to the word limit.

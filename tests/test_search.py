@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qaloom import prompts
-from qaloom.operators import dense, lexical, pivots, ranking, tiles
+from qaloom.operators import blockmax, dense, lexical, pivots, ranking, tiles
 from qaloom.operators.context import rag_context
 from qaloom.operators.skew import fetch, hot_keys, salted_join
 from qaloom.operators.tiles import best_in_tile
@@ -156,21 +156,53 @@ def test_salted_join_and_fetch_keep_every_pair(spark, shuffle_only):
     assert hot_keys(big.groupBy("key").agg(F.count("*").alias("n")), "key", "n", slice_rows=1000) is None
 
 
-def test_a_stored_index_reads_the_folders_of_its_terms(spark, tmp_path):
+def test_a_stored_index_reads_the_folders_of_its_terms(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blockmax, "FOLDER_POSTINGS", 100)
     docs = spark.createDataFrame([(i, f"word{i} common text{i % 7}") for i in range(200)], "doc_id bigint, text string")
     index = lexical.bm25_index(docs, path=str(tmp_path / "index"))
+    # The number of folders follows the postings.
+    assert index.folders == 6
     wanted = spark.createDataFrame([("word3",), ("text2",)], "term string")
     part = index.of_terms(wanted)
-    plan = part.postings._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "folder" in plan.split("PartitionFilters: ")[1].split("]")[0]
     assert "In(term" in plan
-    assert part.postings.select("term").distinct().count() == 2
-    stats = {r["term"]: r["df"] for r in lexical.term_statistics(part, wanted).collect()}
+    assert part.select("term").distinct().count() == 2
+    stats = {r["term"]: r["df"] for r in lexical.term_statistics(index, wanted).collect()}
     assert stats == {"word3": 1, "text2": 29}
     with pytest.raises(Exception, match="already exists"):
         lexical.bm25_index(docs, path=str(tmp_path / "index"))
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_blocks_that_cannot_matter_are_not_unpacked(spark, monkeypatch, tmp_path, request, shuffled):
+    if shuffled:
+        request.getfixturevalue("shuffle_only")
+    monkeypatch.setattr(blockmax, "BLOCK_DOCUMENTS", 8)
+    monkeypatch.setattr(blockmax, "SEED_DOCUMENTS", 4)
+    rng = random.Random(9)
+    docs = dict(enumerate(zipf_texts(400, 5)))
+    # Some documents are full of rare words; an equal text comes very often.
+    docs |= {400 + i: " ".join(rng.choices([f"w{j}" for j in range(40, 60)], k=6)) for i in range(30)}
+    docs |= {500 + i: docs[7] for i in range(120)}
+    queries = {i: f"w{40 + i} w{41 + i} w{42 + i} w0 w1" for i in range(10)} | {20: "nowhere", 21: "", 22: "w0"}
+    asked = spark.createDataFrame(list(queries.items()), "query_id bigint, query string")
+    index = lexical.bm25_index(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), path=str(tmp_path / "index"))
+    assert found(lexical.bm25_search(asked, index, k=5)) == bm25_by_hand(queries, docs, 5)
+    report = {}
+    blockmax.block_scores(lexical.stage(lexical.query_terms(asked), "asked"), index, 5, report).count()
+    assert report["unpacked"] < 0.5 * report["blocks"]
+
+
+def test_a_stored_index_of_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id string, text string")
+    asked = spark.createDataFrame([("a", "word")], "query_id string, query string")
+    assert lexical.bm25_search(asked, lexical.bm25_index(docs, path=str(tmp_path / "none"))).count() == 0
+    docs = spark.createDataFrame([("x", None), ("y", "!"), ("z", "Word word")], "doc_id string, text string")
+    index = lexical.bm25_index(docs, path=str(tmp_path / "some"))
+    assert index.documents == 3 and [r.doc_id for r in lexical.bm25_search(asked, index).collect()] == ["z"]
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, [float("nan"), 1.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0]), (5, [0.9, 0.1]), (6, [None, 1.0])]
     known = spark.createDataFrame(rows, "doc_id bigint, vector array<double>")
@@ -249,6 +281,7 @@ def test_pivot_search_prunes_folders_and_does_not_shuffle_the_corpus(spark, monk
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell" in plan
     # What is shuffled are the hits, by query.
+    plan = plan.split("== Initial Plan ==")[-1]
     assert plan.count("Exchange ") == 1 and "Exchange hashpartitioning(_row" in plan
 
 
