@@ -6,11 +6,13 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from qaloom import schemas
 from qaloom.functions.text import strip_ws, text_or
-from qaloom.operators.numbering import stacked_index
-from qaloom.session import stage
+from qaloom.operators.numbering import global_index, stacked_index
+from qaloom.session import broadcast_if_small, stage
+from qaloom.sources.ranges import CsvCutter, JsonCutter, read_records
 
 Paths = str | Sequence[str]
 
@@ -33,10 +35,10 @@ def read_jsonl(spark: SparkSession, path: Paths, schema: str, ordered: bool = Fa
     return lines.select(*lines.columns, *line_order()) if ordered else lines
 
 
-def _with_positions(spark: SparkSession, exploded: DataFrame, label: str) -> DataFrame:
-    """Land exploded entries as a table and number them over all files, from 0."""
-    landed = stage(exploded, label)
-    return stacked_index(landed, "_file", "_pos", "position").drop("_file", "_pos")
+def _numbered(landed: DataFrame) -> DataFrame:
+    """Adds ``position``, counted from 0 over all files in path order, to landed elements of records."""
+    landed = landed.withColumn("_stretch", F.struct("_file", "_range", "_part")).withColumn("_nth", F.col("_at") + F.col("_pos"))
+    return stacked_index(landed, "_stretch", "_nth", "position").drop("_stretch", "_nth", "_range", "_part", "_at", "_pos")
 
 
 def read_question_bundle(
@@ -44,36 +46,37 @@ def read_question_bundle(
 ) -> DataFrame:
     """Root objects ``{"questions": […]}``: one row per question with its ``position`` in the input.
 
-    One root object cannot be split, so it is parsed once, in the task that reads its file, and landed as a
-    table; a collection delivered as many files is parsed in parallel.
+    A file of any size is read by many tasks (:mod:`qaloom.sources.ranges`). Elements that are null are rows of NULLs;
+    other fields of the root are passed over.
     """
-    bundles = spark.read.option("multiLine", True).schema(f"{root} ARRAY<STRUCT<{_struct_body(schema)}>>").json(path)
-    exploded = bundles.select(F.col("_metadata.file_path").alias("_file"), F.posexplode(root).alias("_pos", "q"))
-    return _with_positions(spark, exploded.select("_file", "_pos", "q.*"), "bundle")
+    records = read_records(spark, path, JsonCutter(root))
+    elements = F.concat(F.lit("["), F.regexp_replace("text", r"^[\s,]+", ""), F.lit("]"))
+    parsed = F.from_json(elements, f"ARRAY<STRUCT<{_struct_body(schema)}>>")
+    exploded = records.where(F.trim(elements) != "[]").select("_file", "_range", "_part", "_at", F.posexplode(parsed).alias("_pos", "q"))
+    return _numbered(stage(exploded.select("_file", "_range", "_part", "_at", "_pos", "q.*"), "bundle")).drop("_file")
 
 
 def read_keyed_json(spark: SparkSession, path: Paths, schema: str = schemas.KEYED_ARTICLE) -> DataFrame:
     """Root objects ``{id: {…}}``: one row per entry with ``key`` and ``position`` in file order.
 
-    The map type keeps the file order of the keys. A key that comes again in its file has its last value, at the place
-    of its first one. As with bundles, one file is one task, and a string of at most 2 GB: deliver more as many files.
+    A file of any size is read by many tasks (:mod:`qaloom.sources.ranges`). A key that comes again in its file has its last
+    value, at the place of its first one.
     """
-    whole = spark.read.text(path, wholetext=True)
-    entries = F.map_entries(F.from_json("value", f"MAP<STRING, STRUCT<{_struct_body(schema)}>>"))
-    exploded = whole.select(F.col("_metadata.file_path").alias("_file"), F.posexplode(entries).alias("_pos", "e"))
-    landed = stage(exploded.select("_file", "_pos", F.col("e.key").alias("key"), "e.value.*"), "keyed-entries")
-    again = stage(landed.groupBy("_file", "key").agg(F.min("_pos").alias("_pos"), F.max("_pos").alias("_last"), F.count("*").alias("_n"))
-                  .where("_n > 1").drop("_n"), "repeated-keys")
-    if not again.isEmpty():
-        fields = [c for c in landed.columns if c not in ("_file", "_pos", "key")]
-        first = landed.join(again.select("_file", "key", F.col("_pos").alias("_first")), ["_file", "key"], "left")
-        last = landed.join(again.select("_file", "key", F.col("_last").alias("_pos")), ["_file", "key", "_pos"])
-        last = last.select("_file", "key", F.struct(*fields).alias("_value"))
-        kept = first.where("_first IS NULL OR _first = _pos").join(last, ["_file", "key"], "left")
-        values = [F.when(F.col("_value").isNotNull(), F.col(f"_value.{c}")).otherwise(F.col(c)).alias(c) for c in fields]
-        nth = F.row_number().over(Window.partitionBy("_file").orderBy("_pos")) - 1
-        landed = stage(kept.select("_file", nth.alias("_pos"), "key", *values), "keyed")
-    return stacked_index(landed, "_file", "_pos", "position").drop("_file", "_pos")
+    records = read_records(spark, path, JsonCutter(None))
+    text = F.concat(F.lit("{"), F.regexp_replace("text", r"^[\s,]+", ""), F.lit("}"))
+    entries = F.map_entries(F.from_json(text, f"MAP<STRING, STRUCT<{_struct_body(schema)}>>"))
+    exploded = records.select("_file", "_range", "_part", "_at", F.posexplode(entries).alias("_pos", "e"))
+    landed = stage(exploded.select("_file", "_range", "_part", "_at", "_pos", F.col("e.key").alias("key"), "e.value.*"), "keyed-entries")
+    placed = _numbered(landed)
+    again = placed.groupBy("_file", "key").agg(F.min("position").alias("_first"), F.max("position").alias("_last"), F.count("*").alias("_n"))
+    again = stage(again.where("_n > 1").drop("_n"), "repeated-keys")
+    if again.isEmpty():
+        return placed.drop("_file")
+    fields = [c for c in placed.columns if c not in ("_file", "key", "position")]
+    known = placed.join(broadcast_if_small(again.select("_file", "key", "_first", "_last")), ["_file", "key"], "left")
+    # A repeated key is the row of its last value, moved to the place of its first.
+    kept = known.where("_last IS NULL OR _last = position").withColumn("_place", F.coalesce("_first", "position"))
+    return global_index(kept.select("key", *fields, "_place"), ["_place"], "position").drop("_place")
 
 
 def _struct_body(schema: str) -> str:
@@ -97,18 +100,13 @@ def read_qa_csv(
     na_values: Iterable[str] = (),
     multiline: bool = True,
 ) -> DataFrame:
-    """CSV with a header; quoted commas, quotes and line breaks survive.
+    """CSV with a header; quoted commas, quotes and line breaks survive, and a file of any size is read by many tasks.
 
-    Only an empty field is NULL unless ``na_values`` names more. ``multiline=False`` lets one large file be split
-    where no field holds a line break.
+    Only an empty field is NULL unless ``na_values`` names more. The header has to name the columns of the schema.
+    ``multiline=False`` saves the pass that places the record borders where no field holds a line break.
     """
-    table = (
-        spark.read.option("header", True)
-        .option("multiLine", multiline)
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .schema(schema)
-        .csv(path)
+    table = _multiline_csv(spark, path, schema) if multiline else (
+        spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).schema(schema).csv(path)
     )
     missing = list(na_values)
     if not missing:
@@ -119,6 +117,25 @@ def read_qa_csv(
     )
 
 
+def _multiline_csv(spark: SparkSession, path: Paths, schema: str) -> DataFrame:
+    """Records placed by their quotes (:mod:`qaloom.sources.ranges`), then parsed one by one."""
+    records = read_records(spark, path, CsvCutter()).withColumn("text", F.regexp_replace("text", "\r$", "")).where("text <> ''")
+    names = [f.name for f in StructType.fromDDL(schema).fields]
+    options = {"escape": '"', "multiLine": "true"}
+    # The first record of a file, which may be the only one of its range that began there, is the header.
+    first = F.min(F.struct("_range", "_part", "_at")).over(Window.partitionBy("_file"))
+    heads = records.where("_at = 0").withColumn("_first", first).where(F.struct("_range", "_part", "_at") == F.col("_first"))
+    heads = stage(heads.select("_file", "_range", "_part", "_at", "text"), "headers")
+    named = F.from_csv("text", ", ".join(f"_{i} STRING" for i in range(len(names) + 1)), options)
+    wrong = heads.select(F.array(*[named[f"_{i}"] for i in range(len(names) + 1)]).alias("found")).where(
+        F.transform("found", lambda x: F.lower(F.trim(x))) != F.array(*[F.lit(n.lower()) for n in names], F.lit(None))
+    ).first()
+    if wrong:
+        raise ValueError(f"the header names {[x for x in wrong['found'] if x is not None]}, the schema {names}")
+    rows = records.join(broadcast_if_small(heads.drop("text")), ["_file", "_range", "_part", "_at"], "left_anti")
+    return rows.select(F.from_csv("text", schema, options).alias("r")).select("r.*")
+
+
 def read_id_text_tsv(spark: SparkSession, path: Paths, schema: str = schemas.ID_TEXT) -> DataFrame:
     """Tab-separated lines without a header; splittable, since a field holds no line break."""
     return spark.read.option("sep", "\t").option("header", False).option("escape", '"').schema(schema).csv(path)
