@@ -20,7 +20,7 @@ from qaloom.catalog.tables import (
     table,
 )
 from qaloom.functions.text import words
-from qaloom.operators.overlap import bleu4, greedy_match_f1, rouge_l, rouge_n
+from qaloom.operators.overlap import bleu4, greedy_match_f1, rouge_l, rouge_l_rows, rouge_n
 from qaloom.plans.evaluate import evaluate_long_form, long_form_scores, long_form_summary
 from qaloom.session import stage
 
@@ -31,11 +31,17 @@ def rouge_n_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("row_id", "n", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
 
 
-def rouge_l_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rouge_l_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ROUGE-L of every prediction."""
     return predictions(spark, sf_dir).select("row_id", F.round(rouge_l("prediction", "answer"), 6).alias("rougel"))
 
 
+def rouge_l_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROUGE-L of every prediction, those with more than 2,500 pairs of words in steps between tasks."""
+    scored = rouge_l_rows(stage(predictions(spark, sf_dir), "predictions"), "row_id", "prediction", "answer", cells=2_500, step=128)
+    return scored.select("row_id", F.round("rougel", 6).alias("rougel"))
+
+
 def bleu_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence BLEU of every prediction."""
     return bleu4(predictions(spark, sf_dir), "row_id").select("row_id", F.round("bleu", 6).alias("bleu"))
@@ -105,7 +111,8 @@ def long_form_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "long_form_run": long_form_run,
     "rouge_n": rouge_n_rows,
-    "rouge_l": rouge_l_rows,
+    "rouge_l": rouge_l_scores,
+    "rouge_l_steps": rouge_l_steps,
     "bleu4": bleu_rows,
     "greedy_match": greedy_match,
     "long_form_rows": long_form_rows,
@@ -251,3 +258,5 @@ SELECT row_id AS query_id, CAST(length(prediction) AS INTEGER) AS chars, round(r
        round(least(length(answer), length(prediction)) / greatest(length(answer), length(prediction), 1), 6) AS model_score
 FROM predictions JOIN scores USING (row_id) JOIN longest USING (row_id) LEFT JOIN means USING (row_id)""",
 }
+
+SQL["rouge_l_steps"] = SQL["rouge_l"]

@@ -28,6 +28,7 @@ from qaloom.functions import text
 from qaloom.functions.chat import build_prompt, chat_field, to_chat
 from qaloom.operators.context import rag_context
 from qaloom.operators.inference import RateLimited, generate, model_score
+from qaloom.operators.lanes import Budget
 from qaloom.operators.lexical import bm25_search
 from qaloom.operators.report import each, experiment_grid, leaderboard, retrieval_gain, retrieval_grid
 from qaloom.plans.evaluate import prompts_with_and_without_context, run_close_ended
@@ -231,6 +232,13 @@ def generate_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.select("dataset", "query_id", "model", "use_rag", "reply", "attempts")
 
 
+def generate_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of the stand-in model, with one limit of requests and tokens for all tasks."""
+    budget = Budget(requests_per_minute=60_000, tokens_per_minute=600_000_000, lanes=4, reply_tokens=16)
+    replies = generate(close_ended_prompts(spark, sf_dir), stub_reply, ["model", "messages"], budget=budget)
+    return replies.select("dataset", "query_id", "model", "use_rag", "reply", "attempts")
+
+
 def clean_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies cleaned, gold answers folded, exact match per row."""
     scored, _ = close_ended_scored(spark, sf_dir)
@@ -305,6 +313,7 @@ QUERIES = {
     "prompt_types": prompt_types,
     "generate_stub": generate_stub,
     "generate_failures": generate_failures,
+    "generate_budget": generate_budget,
     "clean_and_match": clean_and_match,
     "accuracy_by_model": accuracy_by_model,
     "leaderboard": accuracy_leaderboard,
@@ -450,3 +459,5 @@ WITH {SQL_PAIRS}
 SELECT pair_id, round(least(length(answer), length(question)) / greatest(length(answer), length(question), 1), 6)
   AS model_score FROM pairs""",
 }
+
+SQL["generate_budget"] = SQL["generate_stub"]

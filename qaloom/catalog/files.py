@@ -385,7 +385,7 @@ def prep_passage_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training documents with ids, test documents and queries without, and the queries' own ids, as four tables."""
     passages = readers.read_id_text_tsv(spark, passage_file(spark, sf_dir))
     folder = scratch_path(spark, "passage-tables")
-    asked = passages.where(F.pmod(F.col("id").cast("bigint"), F.lit(2)) == 0)
+    asked = questions(spark, sf_dir).select(F.col("query_id").cast("string").alias("id"), one_line("query").alias("text"))
     prep.write_passage_tables(passages, passages, asked, folder)
     with_id = readers.read_qa_csv(spark, f"{folder}/train.csv", schemas.QA_PAIR_WITH_ID).withColumn("id", F.col("id").cast("string"))
     tables = {"train": with_id}
@@ -598,11 +598,12 @@ WITH passages AS (SELECT doc_id AS id, {ONE_LINE} AS question FROM documents)
 SELECT 'csv' AS file, id, question, question AS answer FROM passages
 UNION ALL SELECT 'jsonl', NULL, question, question FROM passages""",
     "prep_passage_tables": f"""
-WITH passages AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, md5({ONE_LINE}) AS question_md5 FROM documents)
+WITH passages AS (SELECT CAST(doc_id AS VARCHAR) AS id, md5({ONE_LINE}) AS question_md5 FROM documents),
+asked AS (SELECT CAST(item_id AS VARCHAR) AS id, md5({ONE_LINE}) AS question_md5 FROM benchmark)
 SELECT 'train' AS name, id, question_md5 FROM passages
 UNION ALL SELECT 'test', NULL, question_md5 FROM passages
-UNION ALL SELECT 'test_queries', NULL, question_md5 FROM passages WHERE doc_id % 2 = 0
-UNION ALL SELECT 'query_ids', id, question_md5 FROM passages WHERE doc_id % 2 = 0""",
+UNION ALL SELECT 'test_queries', NULL, question_md5 FROM asked
+UNION ALL SELECT 'query_ids', id, question_md5 FROM asked""",
     "prep_judged_parts": f"""
 WITH {SQL_PAGES},
 kept AS (

@@ -9,7 +9,6 @@ from qaloom.catalog.tables import (
     SQL_POSTINGS,
     SQL_QRELS,
     SQL_QUERIES,
-    containing,
     corpus,
     qrels,
     queries,
@@ -21,6 +20,7 @@ from qaloom.catalog.tables import (
 )
 from qaloom.catalog.vectors import SQL_BOTH_MODES, both_modes, vectors
 from qaloom.functions.text import words
+from qaloom.operators.containment import containing, containing_parts
 from qaloom.operators.dense import dense_search
 from qaloom.operators.lexical import bm25_search
 from qaloom.operators.ranking import (
@@ -53,12 +53,14 @@ def qrels_by_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels_short_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain the last word of a passage, or its last two words."""
-    parts = words("query")
-    tail = F.slice(parts, -F.least(F.size(parts), F.col("n")), F.least(F.size(parts), F.col("n")))
-    asked = questions(spark, sf_dir).withColumn("n", (F.pmod("query_id", F.lit(2)) + 1).cast("int"))
-    asked = asked.where(F.size(parts) > 0).select("query_id", F.array_join(tail, " ").alias("passage"))
-    return containing(asked, corpus(spark, sf_dir))
+    """Documents that contain a passage, or any one word of a passage, counted per passage; found by automata."""
+    asked = questions(spark, sf_dir)
+    whole = asked.select(F.col("query_id").cast("string").alias("query_id"), F.col("query").alias("passage"))
+    single = asked.select(F.explode(F.array_distinct(words("query"))).alias("passage")).distinct()
+    short = containing(single.select(F.col("passage").alias("query_id"), "passage"), corpus(spark, sf_dir))
+    found = containing_parts(whole, corpus(spark, sf_dir)).withColumn("kind", F.lit("passage"))
+    both = found.unionByName(short.withColumn("kind", F.lit("word")))
+    return both.groupBy("kind", F.col("query_id").alias("passage")).agg(F.count("*").alias("documents"), F.max("doc_id").alias("last_doc_id"))
 
 
 def judged_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,11 +249,12 @@ SQL = {
     "qrels_restricted": f"""
 WITH {SQL_QRELS} SELECT query_id, doc_id, relevance FROM qrels WHERE doc_id IN (SELECT doc_id FROM labels)""",
     "qrels_short_passages": f"""
-WITH tails AS (
-  SELECT item_id AS query_id, array_to_string(list_slice({sql_words('text')}, -(item_id % 2 + 1), -1), ' ') AS passage
-  FROM benchmark WHERE len({sql_words('text')}) > 0
+WITH asked AS (
+  SELECT 'passage' AS kind, CAST(item_id AS VARCHAR) AS passage, text AS part FROM benchmark
+  UNION ALL SELECT 'word', w, w FROM (SELECT DISTINCT unnest({sql_words('text')}) AS w FROM benchmark)
 )
-SELECT query_id, doc_id FROM tails JOIN documents ON contains(documents.text, passage)""",
+SELECT kind, passage, count(*) AS documents, max(doc_id) AS last_doc_id
+FROM asked JOIN documents ON contains(documents.text, part) GROUP BY kind, passage""",
     "judged_twice": f"WITH {SQL_KEYWORD} SELECT query_id, doc_id, rank, relevance FROM judged_hits",
     "judged_hits": f"WITH {SQL_KEYWORD} SELECT query_id, doc_id, rank, relevance FROM judged_hits",
     "ideal_relevance": f"""

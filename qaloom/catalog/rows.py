@@ -54,6 +54,11 @@ def exact_split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_split(documents, "doc_id").select("doc_id", "lang", "split", F.col("split_id").alias("id"))
 
 
+def exact_split_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same split, marked where the rows lie."""
+    return exact_split(table(spark, sf_dir, "documents"), "doc_id", numbered=False).select("doc_id", F.md5("text").alias("text_md5"), "split")
+
+
 def exact_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries per split."""
     return split_counts(exact_split_rows(spark, sf_dir), "split")
@@ -149,6 +154,7 @@ QUERIES = {
     "chunk_ids": chunk_sizes,
     "exact_split_rows": exact_split_rows,
     "exact_split_counts": exact_split_counts,
+    "exact_split_marks": exact_split_marks,
     "label_filter_ids": label_filter_ids,
     "conjunctive_filter": conjunctive_filter,
     "filled_pairs": filled_pairs,
@@ -211,6 +217,7 @@ WITH {SQL_LINES}
 SELECT CAST((id - 1) // 50000 + 1 AS INTEGER) AS part, count(*) AS entries, min(l_orderkey) AS first_order,
        max(l_orderkey) AS last_order FROM lines GROUP BY 1""",
     "exact_split_rows": f"WITH {SQL_SPLIT} SELECT doc_id, lang, split, id FROM split",
+    "exact_split_marks": f"WITH {SQL_SPLIT} SELECT doc_id, md5(text) AS text_md5, split FROM split JOIN documents USING (doc_id)",
     "exact_split_counts": f"WITH {SQL_SPLIT} SELECT split, count(*) AS entries FROM split GROUP BY split",
     "label_filter_ids": """
 WITH numbered AS (

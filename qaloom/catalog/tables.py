@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaloom.functions.text import WHITESPACE, truncate_words, words
-from qaloom.operators.skew import fetch
-from qaloom.session import broadcast_if_small, stage
+from qaloom.operators.containment import containing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,47 +27,6 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-# Short passages that are looked for in one pass over the documents.
-SHORT_BLOCK = 1_000
-
-
-def containing(passages: DataFrame, documents: DataFrame) -> DataFrame:
-    """``query_id, doc_id``: documents whose text contains a passage (``query_id, passage``).
-
-    A containing document holds every inner word of the passage as a word of its own, so the passage's rarest inner
-    word finds all candidates by an equi-join, and containment is then checked on the texts. Documents are cut into
-    words once. A passage of fewer than three words has no inner word; such passages are looked for in every text.
-    """
-    parts = words("passage")
-    split = passages.where("passage IS NOT NULL").withColumn("_words", parts)
-    long = split.where(F.size("_words") >= 3)
-    inner = F.slice("_words", F.lit(2), F.size("_words") - 2)
-    passage_words = long.select("query_id", F.explode(F.array_distinct(inner)).alias("word"))
-    vocabulary = broadcast_if_small(stage(passage_words.select("word").distinct(), "vocabulary"))
-    document_words = documents.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word"))
-    known = stage(document_words.join(vocabulary, "word", "left_semi"), "known-words")
-    frequency = known.groupBy("word").agg(F.count("*").alias("df"))
-    anchors = (
-        passage_words.join(frequency, "word", "left")
-        .groupBy("query_id")
-        .agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("word"))).alias("word"))
-    )
-    candidates = known.join(broadcast_if_small(stage(anchors, "anchors")), "word").select("query_id", "doc_id")
-    found = fetch(candidates, documents, "doc_id", "query_id").join(long.select("query_id", "passage"), "query_id")
-    found = found.where(F.contains("text", "passage")).select("query_id", "doc_id")
-
-    short = stage(split.where(F.size("_words") < 3).select("query_id", "passage"), "short-passages")
-    n = short.count()
-    if not n:
-        return found
-    block = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // SHORT_BLOCK)))
-    blocks = short.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", "passage")).alias("block_passages"))
-    # A given set of passages against all texts: a row of the small side is a block of them.
-    hits = F.filter("block_passages", lambda p: F.contains(F.col("text"), p["passage"]))
-    met = documents.join(F.broadcast(blocks.drop("block")), how="cross").select("doc_id", F.explode(hits).alias("hit"))
-    return found.unionByName(met.select("hit.query_id", "doc_id"))
-
-
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``query_id, doc_id, relevance``: documents that contain a benchmark passage, graded by their quality label."""
     passages = questions(spark, sf_dir).withColumnRenamed("query", "passage")

@@ -8,11 +8,13 @@ from functools import reduce
 from typing import Any
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from qaloom import prompts
+from qaloom.operators.lanes import Budget, Lane, paced
 
 
 class RateLimited(Exception):
@@ -86,9 +88,12 @@ def generate(
     on_error: str = "error",
     wait: float = 2.0,
     batch_rows: int = 64,
+    budget: Budget | None = None,
 ) -> DataFrame:
     """``df`` with the model's ``output`` and the ``attempts`` it took, ``batch_rows`` prompts per call.
 
+    With a ``budget`` (:mod:`qaloom.operators.lanes`) the rows are dealt to its lanes, whose calls together keep to the
+    service's limits, repeated ones included; speculative tasks have to be off. Without one, each task waits for itself.
     Only ``inputs`` are handed to ``predict``. Long-form runs use ``max_attempts=1, on_error=""``. The result is
     computed again whenever it is read: write it (see :func:`generate_to_table`) before scoring.
     """
@@ -96,18 +101,20 @@ def generate(
     names = list(inputs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = paced(predict, Lane(TaskContext.get().partitionId(), budget)) if budget else predict
         for batch in batches:
             rows = batch[names].to_dict("records")
             replies: list[str] = []
             attempts: list[int] = []
             for start in range(0, len(rows), batch_rows):
-                some = answer_batch(rows[start : start + batch_rows], predict, fixed, max_attempts, on_error, wait)
+                some = answer_batch(rows[start : start + batch_rows], call, fixed, max_attempts, on_error, wait)
                 replies += some[0]
                 attempts += some[1]
             yield batch.assign(**{output: replies, "attempts": attempts})
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.mapInPandas(run, ", ".join([*fields, f"`{output}` string", "attempts int"]))
+    dealt = df.repartition(budget.lanes) if budget else df
+    return dealt.mapInPandas(run, ", ".join([*fields, f"`{output}` string", "attempts int"]))
 
 
 def generate_to_table(

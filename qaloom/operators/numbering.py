@@ -88,14 +88,23 @@ def seeded_order(key: Column | str, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
+# Bits of the hash that one round of the selection tells apart.
+ROUND_BITS = 16
+HASH_BITS = 60
+
+
 def exact_split(
-    df: DataFrame, key: Column | str, fraction: float = prompts.TRAIN_FRACTION, seed: int = 42
+    df: DataFrame, key: Column | str, fraction: float = prompts.TRAIN_FRACTION, seed: int = 42, numbered: bool = True
 ) -> DataFrame:
     """Shuffle, then mark exactly ``floor(n * fraction)`` rows ``train`` and the rest ``test``.
 
-    Adds ``split`` and ``split_id``, the 1-based position inside the split.
+    Adds ``split`` and ``split_id``, the 1-based position inside the split. Positions cost a range partitioning of the whole
+    rows. Without ``numbered`` there is ``split`` alone: the cut is found by counting (:func:`cut_of`) and rows are marked
+    where they lie. Both ways mark the same rows as long as no two rows share a key.
     """
     key = F.col(key) if isinstance(key, str) else key
+    if not numbered:
+        return _marked(df, key, fraction, seed)
     mixed = global_index(df, [seeded_order(key, seed), key], name="_idx", total="_n")
     cut = F.floor(F.col("_n") * F.lit(fraction))
     in_train = F.col("_idx") < cut
@@ -106,6 +115,41 @@ def exact_split(
     )
 
 
+def cut_of(values: DataFrame, name: str, k: int, bits: int = HASH_BITS) -> tuple[int, int]:
+    """The k-th smallest (from 1) of a column of whole numbers of so many bits, and how many rows are smaller.
+
+    Every round counts the rows of each bin of the values that are still possible, no more than ``2**ROUND_BITS`` counts, and
+    goes on in the bin that holds the k-th. Nothing is sorted or shuffled but these counts.
+    """
+    before, low, width = 0, 0, bits
+    while width:
+        step = max(0, width - ROUND_BITS)
+        inside = values.where((F.col(name) >= low) & (F.col(name) < low + (1 << width)))
+        bins = inside.groupBy(F.shiftright(F.col(name) - F.lit(low), step).alias("bin")).agg(F.count("*").alias("rows")).collect()
+        for row in sorted(bins, key=lambda r: r["bin"]):
+            if before + row["rows"] >= k:
+                low, width = low + (row["bin"] << step), step
+                break
+            before += row["rows"]
+    return low, before
+
+
+def _marked(df: DataFrame, key: Column, fraction: float, seed: int) -> DataFrame:
+    hashed = df.withColumns({"_hash": F.coalesce(seeded_order(key, seed), F.lit(-1)) + 1, "_key": key})
+    n = df.count()
+    k = int(n * fraction)
+    mark = lambda train: F.when(train, F.lit("train")).otherwise(F.lit("test")).alias("split")
+    if k in (0, n):
+        return df.select(*df.columns, mark(F.lit(k > 0)))
+    cut, before = cut_of(hashed, "_hash", k, HASH_BITS + 1)
+    # Rows of the hash at the cut: those of one key, or of the few keys that share a hash.
+    ties = hashed.where(F.col("_hash") == cut)
+    if ties.count() + before == k:
+        return hashed.select(*df.columns, mark(F.col("_hash") <= cut))
+    chosen = global_index(ties, ["_key"], "_nth").select(*df.columns, mark(F.col("_nth") < k - before))
+    return hashed.where(F.col("_hash") != cut).select(*df.columns, mark(F.col("_hash") < cut)).unionByName(chosen)
+
+
 def chunk_ids(
     df: DataFrame, order_by: Sequence[Column | str], size: int = prompts.CHUNK_ROWS, name: str = "part"
 ) -> DataFrame:

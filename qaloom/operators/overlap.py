@@ -147,18 +147,44 @@ def overlap_scores(
     return bleu_from_counts(counts, key, rouge(1), rouge(2))
 
 
-def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
-    """Length of the longest common subsequence, one bit per position of ``a``."""
+# Tokens of a block of the one text, whose places are bits of a number, and of the other text per step between tasks.
+LCS_BITS = 8_192
+LCS_STEP = 65_536
+# Pairs with more cells (tokens times tokens) than this are compared step by step.
+LCS_CELLS = 1 << 32
+
+
+def lcs_block(a: Sequence[str], b: Sequence[str], open_bits: int | None = None, border: int = 0) -> tuple[int, int]:
+    """One block of the longest common subsequence: the state of ``a``'s places and the border after all of ``b``.
+
+    A set bit of the state is a place of ``a`` that is not matched so far; the border has a bit for each token of ``b`` that
+    carries over into the next block of ``a``. Without a state, all places are open.
+    """
     places: dict[str, int] = {}
     for i, token in enumerate(a):
         places[token] = places.get(token, 0) | (1 << i)
     full = (1 << len(a)) - 1
-    open_bits = full
-    for token in b:
-        met = open_bits & places.get(token, 0)
-        if met:
-            open_bits = ((open_bits + met) | (open_bits - met)) & full
-    return len(a) - open_bits.bit_count()
+    state = full if open_bits is None else open_bits
+    carried = bytearray((len(b) + 7) // 8)
+    coming = border.to_bytes(len(carried), "little")
+    for j, token in enumerate(b):
+        met = state & places.get(token, 0)
+        carry = coming[j >> 3] >> (j & 7) & 1
+        if met or carry:
+            total = state + met + carry
+            carried[j >> 3] |= (total >> len(a)) << (j & 7)
+            state = (total | (state - met)) & full
+    return state, int.from_bytes(carried, "little")
+
+
+def lcs_length(a: Sequence[str], b: Sequence[str], bits: int | None = None) -> int:
+    """Length of the longest common subsequence, block by block of ``a``: memory grows with the texts, not their product."""
+    bits, matched, border = bits or LCS_BITS, 0, 0
+    for begin in range(0, len(a), bits):
+        part = a[begin : begin + bits]
+        state, border = lcs_block(part, b, None, border)
+        matched += len(part) - state.bit_count()
+    return matched
 
 
 @pandas_udf(T.IntegerType())
@@ -174,6 +200,75 @@ def rouge_l(candidate: Column | str, reference: Column | str) -> Column:
     return F.coalesce(F.try_divide(2 * common, F.size(c) + F.size(r)), F.lit(0.0))
 
 
+def rouge_l_rows(
+    rows: DataFrame, key: str, candidate: str, reference: str, output: str = "rougel", cells: int | None = None, step: int | None = None
+) -> DataFrame:
+    """``rows`` with :func:`rouge_l`, where pairs of very long texts are spread over the cluster.
+
+    Such a pair is a grid of steps of ``step`` times ``step`` tokens. A step needs the state of the step before it along one text
+    and the border of the one along the other, so all steps of a diagonal run at once, those of all pairs together, and only
+    states and borders (a bit a token) go from one diagonal to the next. ``key`` has to be unique.
+    """
+    cells, step = LCS_CELLS if cells is None else cells, step or LCS_STEP
+    c, r = F.coalesce(ascii_terms(candidate), F.array()), F.coalesce(ascii_terms(reference), F.array())
+    long = F.size(c).cast("long") * F.size(r) > cells
+    asked = stage(rows.where(long).select(F.col(key).alias("_key"), c.alias("_c"), r.alias("_r")), "long-pairs")
+    if asked.isEmpty():
+        return rows.withColumn(output, rouge_l(candidate, reference))
+
+    def cut(side: str, name: str) -> DataFrame:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(side) - 1) / step).cast("int")), lambda i: F.slice(side, i * step + 1, F.lit(step))
+        )
+        return asked.select("_key", F.posexplode(blocks).alias(name, f"{name}_tokens"))
+
+    ups, overs = stage(cut("_c", "_i"), "lcs-rows"), stage(cut("_r", "_j"), "lcs-columns")
+    last = asked.agg(F.max(F.floor((F.size("_c") - 1) / step) + F.floor((F.size("_r") - 1) / step)).alias("n")).first()["n"]
+    kind = rows.schema[key].dataType.simpleString()
+    schema = f"_key {kind}, _i int, _j int, state binary, border binary, matched long"
+    done = stage(rows.sparkSession.createDataFrame([], schema), "lcs-none")
+    found = []
+    for diagonal in range(last + 1):
+        states = done.select("_key", "_i", (F.col("_j") + 1).alias("_j"), "state")
+        borders = done.select("_key", (F.col("_i") + 1).alias("_i"), "_j", "border")
+        met = ups.where(F.col("_i") <= diagonal).withColumn("_j", F.lit(diagonal) - F.col("_i")).join(overs, ["_key", "_j"])
+        met = met.join(states, ["_key", "_i", "_j"], "left").join(borders, ["_key", "_i", "_j"], "left")
+        met = met.select("_key", "_i", "_j", "_i_tokens", "_j_tokens", "state", "border")
+        done = stage(met.mapInArrow(_lcs_step, schema), "lcs-step")
+        found.append(done.select("_key", "_i", "_j", "matched"))
+    steps = found[0]
+    for more in found[1:]:
+        steps = steps.union(more)
+    # The matches of a row of steps are complete after its last one.
+    ends = steps.groupBy("_key", "_i").agg(F.max_by("matched", "_j").alias("matched")).groupBy("_key").agg(F.sum("matched").alias("_lcs"))
+    sizes = asked.select("_key", (F.size("_c") + F.size("_r")).alias("_sizes")).join(ends, "_key")
+    scores = sizes.select(F.col("_key").alias(key), F.try_divide(2 * F.col("_lcs"), F.col("_sizes")).alias(output))
+    short = rows.where(~long).withColumn(output, rouge_l(candidate, reference))
+    return short.unionByName(rows.where(long).join(broadcast_if_small(stage(scores, "lcs-scores")), key).select(*rows.columns, output))
+
+
+def _lcs_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.to_pylist()
+        out = []
+        for row in rows:
+            a, b = row["_i_tokens"], row["_j_tokens"]
+            border = int.from_bytes(row["border"] or b"", "little")
+            before = (1 << len(a)) - 1 if row["state"] is None else int.from_bytes(row["state"], "little")
+            after, matched = 0, 0
+            # Blocks of the step, each with its part of the state.
+            for begin in range(0, len(a), LCS_BITS):
+                part = a[begin : begin + LCS_BITS]
+                own = before >> begin & ((1 << len(part)) - 1)
+                own, border = lcs_block(part, b, own, border)
+                after |= own << begin
+                matched += len(part) - own.bit_count()
+            state = after.to_bytes((len(a) + 7) // 8, "little")
+            out.append({**{k: row[k] for k in ("_key", "_i", "_j")}, "state": state, "border": border.to_bytes((len(b) + 7) // 8, "little"), "matched": matched})
+        kinds = [batch.schema.field("_key").type, pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+        yield pa.RecordBatch.from_pylist(out, schema=pa.schema(list(zip(["_key", "_i", "_j", "state", "border", "matched"], kinds, strict=True))))
+
+
 # Token vectors of one side of a pair that a task holds at a time; a pair of no more tokens is compared in one piece.
 TOKEN_BLOCK = 2048
 

@@ -17,7 +17,7 @@ from qaloom.operators.context import rag_context
 from qaloom.operators.dense import dense_search, side_by_side
 from qaloom.operators.inference import Predict, generate_to_table, model_score
 from qaloom.operators.lexical import LexicalIndex, bm25_search
-from qaloom.operators.overlap import greedy_match_f1, overlap_scores, rouge_l
+from qaloom.operators.overlap import greedy_match_f1, overlap_scores, rouge_l_rows
 from qaloom.operators.pivots import PivotIndex
 from qaloom.operators.ranking import evaluate_ranking
 from qaloom.operators.report import each
@@ -96,7 +96,7 @@ def long_form_scores(rows: DataFrame, key: str = "pair_id") -> DataFrame:
 
     The overlap scores partition the texts by the key, so joining them to the rows shuffles only the rows.
     """
-    texts = rows.repartition(key).withColumn("rougel", rouge_l("prediction", "answer"))
+    texts = rouge_l_rows(rows.repartition(key), key, "prediction", "answer")
     return texts.join(overlap_scores(rows, key), key)
 
 

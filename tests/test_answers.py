@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import random
+import time
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from qaloom.operators import answers, inference, overlap
+from qaloom.operators import answers, inference, lanes, overlap
 from qaloom.plans.evaluate import long_form_scores, long_form_summary, prompts_with_and_without_context, run_close_ended
 
 
@@ -57,9 +59,28 @@ def lcs_by_table(a, b):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from("abcd"), max_size=30), st.lists(st.sampled_from("abcd"), max_size=30))
-def test_lcs_matches_the_table_method(a, b):
-    assert overlap.lcs_length(a, b) == lcs_by_table(a, b)
+@given(st.lists(st.sampled_from("abcd"), max_size=30), st.lists(st.sampled_from("abcd"), max_size=30), st.integers(1, 9))
+def test_lcs_matches_the_table_method(a, b, bits):
+    assert overlap.lcs_length(a, b) == overlap.lcs_length(a, b, bits) == lcs_by_table(a, b)
+
+
+def test_lcs_in_steps_of_tasks(spark):
+    rng = random.Random(5)
+    texts = [(" ".join(rng.choices("abcdefg", k=n)), " ".join(rng.choices("abcdefg", k=m))) for n, m in [(40, 33), (8, 90), (64, 8), (7, 7), (0, 50), (1, 1)]]
+    rows = pairs(spark, [*texts, (None, "a b c")]).withColumn("pair_id", F.col("pair_id").cast("string"))
+    whole = {r.pair_id: r.rougel for r in rows.withColumn("rougel", overlap.rouge_l("prediction", "answer")).collect()}
+    stepped = overlap.rouge_l_rows(rows, "pair_id", "prediction", "answer", cells=60, step=8)
+    assert stepped.columns == [*rows.columns, "rougel"]
+    assert {r.pair_id: pytest.approx(r.rougel) for r in stepped.collect()} == whole
+    assert {r.pair_id: r.rougel for r in overlap.rouge_l_rows(rows, "pair_id", "prediction", "answer").collect()} == whole
+
+
+def test_lcs_of_a_million_tokens_takes_little_memory():
+    a, b = [str(i) for i in range(1_000_000)], [str(i) for i in range(500, 700)]
+    tracemalloc.start()
+    assert overlap.lcs_length(a, b) == 200
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
 
 
 def test_lcs_of_long_texts():
@@ -237,3 +258,53 @@ def test_long_form_summary(spark):
 def test_model_score(spark):
     scored = inference.model_score(pairs(spark, [("aa", "a"), ("b", "b")]), lambda r, c: [len(x) / len(y) for x, y in zip(c, r)])
     assert sorted(r.model_score for r in scored.collect()) == [0.5, 1.0]
+
+
+class Clock:
+    def __init__(self):
+        self.now = 1000.0
+
+    def __call__(self):
+        return self.now
+
+    def sleep(self, seconds):
+        self.now += seconds + 1e-4
+
+
+def test_lanes_share_a_budget_of_requests_and_tokens():
+    budget = lanes.Budget(requests_per_minute=120, tokens_per_minute=1200, lanes=3)
+    calls = []
+    for number in range(3):
+        clock = Clock()
+        lane = lanes.Lane(number, budget, clock, clock.sleep)
+        for i in range(40):
+            cost = 25 if i % 2 else 5
+            lane.take(cost)
+            calls.append((clock.now, cost))
+    calls.sort()
+    # Never two in one slot of half a second, and tokens within the budget but for a request of each lane.
+    assert all(b - a >= 0.49 for (a, _), (b, _) in zip(calls, calls[1:], strict=False))
+    for start, _ in calls:
+        window = [c for t, c in calls if start <= t < start + 20]
+        assert len(window) <= 41 and sum(window) <= 1200 * 20 / 60 + 3 * 25
+
+
+def test_a_run_keeps_to_its_budget_over_all_tasks(spark, tmp_path):
+    def predict(rows, settings):
+        stamp = time.time()
+        if rows[0]["text"].endswith("7") and not (tmp_path / f"once-{rows[0]['text']}").exists():
+            (tmp_path / f"once-{rows[0]['text']}").write_text("")
+            (tmp_path / f"call-{stamp}-{rows[0]['text']}").write_text("")
+            raise inference.RateLimited()
+        (tmp_path / f"call-{stamp}-{rows[0]['text']}").write_text("")
+        return [f"re {r['text']}" for r in rows]
+
+    frame = spark.range(60).select(F.concat(F.lit("q"), "id").alias("text"))
+    budget = lanes.Budget(requests_per_minute=1200, lanes=4)
+    # All calls of the run, repeated ones included, share 20 requests a second.
+    replies = inference.generate(frame, predict, ["text"], batch_rows=1, budget=budget, wait=0.01).collect()
+    assert {r.text: r.reply for r in replies} == {f"q{i}": f"re q{i}" for i in range(60)}
+    assert {r.text for r in replies if r.attempts == 2} == {f"q{i}" for i in range(7, 60, 10)}
+    stamps = sorted(float(p.name.split("-")[1]) for p in tmp_path.glob("call-*"))
+    assert len(stamps) == 66
+    assert all(sum(s <= t < s + 1 for t in stamps) <= 21 for s in stamps)

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from qaloom.operators import numbering
 from qaloom.operators.numbering import chunk_ids, exact_split, global_index, split_counts
 
 
@@ -50,3 +51,34 @@ def test_chunks_are_full_but_the_last(spark):
     chunks = chunk_ids(spark.range(1050).repartition(4), ["id"], size=100)
     rows = chunks.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first")).orderBy("part").collect()
     assert [(r.part, r.n, r["first"]) for r in rows] == [(i + 1, 100 if i < 10 else 50, i * 100) for i in range(11)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 9, 11, 3000])
+def test_marked_split_is_the_numbered_one(spark, n, monkeypatch):
+    monkeypatch.setattr(numbering, "ROUND_BITS", 5)
+    frame = spark.range(n).withColumn("text", F.lit("long"))
+    marked = {r.id: r.split for r in exact_split(frame, "id", 0.9, seed=7, numbered=False).collect()}
+    assert marked == {r.id: r.split for r in exact_split(frame, "id", 0.9, seed=7).collect()}
+
+
+def test_marked_split_of_repeated_keys_is_exact(spark):
+    frame = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.lit("same")).otherwise(F.when(F.col("id") > 30, F.col("id").cast("string"))).alias("key"), "id")
+    for fraction in (0.1, 0.5, 0.9):
+        marked = exact_split(frame, "key", fraction, numbered=False)
+        assert marked.where("split = 'train'").count() == math.floor(900 * fraction) and marked.count() == 900
+        assert marked.select("id").distinct().count() == 900
+
+
+def test_marked_split_shuffles_no_rows(spark, tmp_path):
+    spark.range(2000).withColumn("text", F.lit("a long text")).write.parquet(str(tmp_path / "rows"))
+    marked = exact_split(spark.read.parquet(str(tmp_path / "rows")), "id", numbered=False)
+    assert "Exchange" not in marked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cut_is_the_kth_smallest(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "ROUND_BITS", 3)
+    values = [5, 5, 5, 900, 17, 0, 1023, 17, 64]
+    frame = spark.createDataFrame([(v,) for v in values], "v bigint")
+    for k in range(1, len(values) + 1):
+        cut, before = numbering.cut_of(frame, "v", k, 10)
+        assert cut == sorted(values)[k - 1] and before == sum(v < cut for v in values)
