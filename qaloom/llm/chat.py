@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qaloom.llm.common import let, running_sums
+
 OPEN, MARK, NAMED, CLOSE = "### ", "\\", ": ", "</turn>\n"
 END = "</turn>"
 MASKED_ROLE = "assistant"
@@ -63,16 +65,17 @@ def parse(formatted: Column) -> Column:
         broken = F.contains(body, F.lit(OPEN)) | F.contains(body, F.lit(END)) | F.contains(head, F.lit(OPEN))
         sound = F.startswith(piece, F.lit(OPEN)) & (name > 0) & ~broken
         text = F.when(sound & marked, unescape(body)).when(sound, body)
-        return F.struct(role.alias("role"), text.alias("text"), F.length(body).alias("size"), F.length(piece).alias("whole"))
+        return F.struct(role.alias("role"), text.alias("text"), F.length(body).alias("size"))
 
-    none = F.expr("cast(array() as array<struct<role:string,text:string,start:int,end:int>>)")
+    def place(t: Column, after: Column) -> Column:
+        end = (after - len(CLOSE)).cast("int")
+        return F.struct(t["role"].alias("role"), t["text"].alias("text"), (end - t["size"]).alias("start"), end.alias("end"))
 
-    def place(state: Column, t: Column) -> Column:
-        end = state["at"] + t["whole"]
-        row = F.struct(t["role"].alias("role"), t["text"].alias("text"), (end - t["size"]).alias("start"), end.alias("end"))
-        return F.struct((end + len(CLOSE)).alias("at"), F.concat(state["out"], F.array(row)).alias("out"))
+    def placed(pieces: Column) -> Column:
+        ends = running_sums(F.transform(pieces, lambda p: F.length(p) + len(CLOSE)))
+        return F.zip_with(F.transform(pieces, read), ends, place)
 
-    return F.aggregate(F.transform(pieces, read), F.struct(F.lit(0).alias("at"), none.alias("out")), place, lambda s: s["out"])
+    return let(pieces, placed)
 
 
 def _same(parsed: str, turns: str) -> Column:
@@ -87,7 +90,8 @@ def format_chats(
 
     Turns stand in the order of their number, those without number first; turns of one number by role and text, so
     that repeated rows are repeated turns. A null role or text is an empty one, and rows without ``conv_id`` are
-    one conversation. A conversation is one text, so its rows meet in one task.
+    one conversation. A conversation is one text, and its output one string and one digest, so its rows meet in one task
+    and may hold no more than Spark's strings and arrays do: 2 GB rendered, escapes included.
     """
     row = F.struct(
         F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
@@ -106,5 +110,9 @@ def format_chats(
 def read_back(chats: DataFrame) -> DataFrame:
     """``chats`` with ``turns`` as the grammar reads them from ``formatted``, and the ``loss_text`` under ``loss_spans``."""
     chats = chats.withColumn("turns", parse(F.col("formatted")))
-    masked = "filter(turns, t -> exists(loss_spans, s -> s.start = t.start AND s.end = t.end))"
-    return chats.withColumn("loss_text", F.array_join(F.expr(f"transform({masked}, t -> t.text)"), ""))
+    said = F.expr(f"filter(turns, t -> t.role = '{MASKED_ROLE}')")
+    places = F.transform(said, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+    texts = F.transform(said, lambda t: t["text"])
+    # Other spans than those of the assistant's turns are looked up one by one.
+    masked = F.expr("transform(filter(turns, t -> exists(loss_spans, s -> s.start = t.start AND s.end = t.end)), t -> t.text)")
+    return chats.withColumn("loss_text", F.array_join(F.when(places == F.col("loss_spans"), texts).otherwise(masked), ""))

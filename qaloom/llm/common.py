@@ -35,6 +35,53 @@ def n_words(text: str | Column) -> Column:
     return F.coalesce(F.when(squeezed == "", 0).otherwise(spaces + 1), F.lit(0)).cast("long")
 
 
+def hidden(df: DataFrame) -> DataFrame:
+    """``df`` with all columns under names that no operator uses: column ``c`` becomes ``_in_c``."""
+    return df.select(*[F.col(f"`{c}`").alias(f"_in_{c}") for c in df.columns])
+
+
+def shown(columns: list[str]) -> list[Column]:
+    """The given columns of a table that was :func:`hidden`, under their own names."""
+    return [F.col(f"`_in_{c}`").alias(c) for c in columns]
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: a function of an array computes again what it takes from outside."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """``combine`` (with 0 as the neutral number) of the first 1, 2, 3, … numbers of an array, as bigints.
+
+    Lists grow by copying, so the array is cut into about as many parts as a part has numbers, and what the parts come to
+    is combined with what stands before them: a list of ``n`` numbers costs about ``n`` times its root.
+    """
+    zero, none = F.lit(0).cast("long"), F.expr("cast(array() as array<bigint>)")
+
+    def simple(numbers: Column) -> Column:
+        return F.aggregate(numbers, none, lambda out, x: F.concat(out, F.array(combine(F.coalesce(F.get(out, F.size(out) - 1), zero), x.cast("long")))))
+
+    def cut(numbers: Column) -> Column:
+        return let(
+            F.greatest(F.lit(16), F.sqrt(F.size(numbers)).cast("int")),
+            lambda width: F.transform(
+                F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / width).cast("int")), lambda i: simple(F.slice(numbers, i * width + 1, width))
+            ),
+        )
+
+    def joined(parts: Column) -> Column:
+        # Nothing stands before the first part, and what the last one comes to is not needed.
+        ends = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.get(p, F.size(p) - 1))
+        before = simple(F.concat(F.array(zero), ends))
+        return F.flatten(F.zip_with(parts, before, lambda part, start: F.transform(part, lambda x: combine(start, x))))
+
+    return let(values, lambda numbers: F.when(F.size(numbers) > 0, let(cut(numbers), joined)).otherwise(none))
+
+
+def running_sums(values: Column) -> Column:
+    return running(values, lambda a, b: a + b)
+
+
 # --- word shingles as 64-bit values (inside tasks) --------------------------------------------------------------------
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -51,39 +98,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-# Words are hashed as polynomials of their bytes, so that running sums over a slice of texts hash all its words at once.
-_BASE = 0x5851F42D4C957F2D
-_UNBASE = pow(_BASE, -1, 1 << 64)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
-# Bytes of text that are hashed at once, and the powers for them; a longer text is a slice of its own.
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+# Bytes of text that are hashed at once; a longer text is a slice of its own.
 SLICE = 500_000
-_powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    known = _powers.get(base, np.empty(0, np.uint64))
-    if len(known) >= n:
-        return known[:n]
-    known = np.full(n, base, np.uint64)
-    known[0] = 1
-    known = np.cumprod(known, dtype=np.uint64)
-    if n <= 2 * SLICE:
-        _powers[base] = known
-    return known
+def hashed_runs(data: bytes, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the longest runs of bytes that separate nothing, and where they begin.
+
+    ``data`` ends with nine bytes that are of no run. A run is read eight bytes at a time, and each step is a bijection
+    of what came before, so runs of up to eight bytes and equal length never share a hash.
+    """
+    values = np.frombuffer(data, np.uint8)
+    apart = separator[values]
+    apart[-9:] = True
+    edges = np.flatnonzero(apart[1:] != apart[:-1]) + 1
+    if not apart[0]:
+        edges = np.concatenate([[0], edges])
+    starts, ends = edges[0::2], edges[1::2]
+    eight = np.ndarray(len(values) - 7, "<u8", values, strides=(1,))
+    at, left = starts, ends - starts
+    hashes = mix(left.astype(np.uint64))
+    live = np.arange(len(starts))
+    while len(live):
+        hashes[live] = mix(hashes[live] ^ (eight[at] & _LOW_BYTES[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return hashes, starts
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, and where the words of each text begin, with the end."""
-    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    space = _IS_SPACE[data]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _power(_UNBASE, len(data))[starts])
-    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return hashes, np.searchsorted(starts, at)
+    hashes, starts = hashed_runs(b" ".join([*texts, bytes(9)]), _IS_SPACE)
+    return hashes, np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from qaloom.llm.common import SPACE, WORD, n_words
+from qaloom.llm.common import SPACE, WORD, hidden, n_words, shown
 from qaloom.session import broadcast_if_small, stage
 
 # Words in a block, documents in a shard, and how often a word may be taken.
@@ -118,8 +118,9 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     plan = mix(docs, seed=seed).where("taken > 0").select("row_key", "size", "passes", "more")
     order = W.partitionBy("row_key").orderBy(F.desc("passes"), F.desc("more"))
     plan = stage(plan.withColumn("_nth", F.row_number().over(order)), "mix")
-    row_key = F.xxhash64(F.col("doc_id").cast("string"), F.col("source").cast("string"), F.col("text"), F.lit(seed))
-    rows = docs.withColumn("row_key", row_key)
+    rows = hidden(docs)
+    key = F.xxhash64(F.col("_in_doc_id").cast("string"), F.col("_in_source").cast("string"), F.col("_in_text"), F.lit(seed))
+    rows = rows.withColumn("row_key", key)
     if plan.where("_nth > 1").isEmpty():
         rows = rows.withColumn("_nth", F.lit(1))
     else:
@@ -127,8 +128,8 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     rows = rows.join(plan, ["row_key", "_nth"])
     whole = F.array_repeat("size", (F.col("passes") + F.when(F.col("more") == F.col("size"), 1).otherwise(0)).cast("int"))
     part = F.when(F.col("more").between(1, F.col("size") - 1), F.array("more")).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.withColumn("_words", F.explode(F.concat(whole, part)))
-    start = F.regexp_extract_all("text", F.lit(rf"({SPACE}*{WORD})"), 1)
-    cut = F.array_join(F.slice(start, 1, F.col("_words").cast("int")), "")
-    rows = rows.withColumn("text", F.when(F.col("_words") < F.col("size"), cut).otherwise(F.col("text")))
-    return rows.select(*docs.columns)
+    rows = rows.withColumn("words", F.explode(F.concat(whole, part)))
+    start = F.regexp_extract_all("_in_text", F.lit(rf"({SPACE}*{WORD})"), 1)
+    cut = F.array_join(F.slice(start, 1, F.col("words").cast("int")), "")
+    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("_in_text"))
+    return rows.select(*[text.alias(c) if c == "text" else shown([c])[0] for c in docs.columns])

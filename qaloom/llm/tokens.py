@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from qaloom.llm.common import mix
+from qaloom.llm.common import hashed_runs
 
 # Bytes that end a word: ASCII white space, and what is neither a letter, a digit nor beyond ASCII.
 WHITE = np.zeros(256, bool)
@@ -12,31 +12,8 @@ WHITE[[32, *range(9, 14)]] = True
 NO_TERM = np.ones(256, bool)
 NO_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
-_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-
 
 def tokens(texts: list[bytes], separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of the texts, A-Z as a-z, and where the tokens of each text begin, with the end.
-
-    A token is a longest run of bytes that separate nothing. It is read eight bytes at a time, and each step is a
-    bijection of what came before, so tokens of up to eight bytes and equal length never share a hash.
-    """
-    data = np.frombuffer(b" ".join([*texts, bytes(9)]).lower(), np.uint8)
-    apart = separator[data]
-    apart[-9:] = True
-    edges = np.flatnonzero(apart[1:] != apart[:-1]) + 1
-    if len(data) and not apart[0]:
-        edges = np.concatenate([[0], edges])
-    starts, ends = edges[0::2], edges[1::2]
-    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
-    left = ends - starts
-    hashes = mix(left.astype(np.uint64))
-    live = np.arange(len(starts))
-    at = starts
-    while len(live):
-        taken = np.minimum(left, 8)
-        hashes[live] = mix(hashes[live] ^ (eight[at] & _LOW_BYTES[taken]))
-        more = left > 8
-        live, at, left = live[more], at[more] + 8, left[more] - 8
-    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return hashes, np.searchsorted(starts, begins)
+    """Hashes of all tokens of the texts, A-Z as a-z, and where the tokens of each text begin, with the end."""
+    hashes, starts = hashed_runs(b" ".join([*texts, bytes(9)]).lower(), separator)
+    return hashes, np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))

@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaloom.session import broadcast_if_small, stage
@@ -24,8 +24,8 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-# About so many labelled urls, drawn by hash, train the trees.
-SAMPLE = 20_000
+# No more than so many different urls of each verdict, those of smallest hash, train the trees.
+SAMPLE = 10_000
 TREES, DEPTH, SEED = 20, 4, 7
 FEATURES = (
     "url_length", "host_length", "host_labels", "hyphens", "depth", "digit_ratio", "entropy", "parameters", "fragment",
@@ -110,12 +110,24 @@ def _with_shares(pages: DataFrame, shares: dict[str, DataFrame], usual: float) -
     return pages
 
 
+def drawn_urls(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``url, host, path, verdict``: the ``sample`` different urls of smallest hash of each verdict, all if it has fewer.
+
+    Copies of a url count once. Their number is estimated first, so that little more than the sample is shuffled.
+    """
+    labelled = pages.where("verdict IS NOT NULL").withColumn("_hash", F.xxhash64("url", F.lit(3)))
+    counts = labelled.groupBy("verdict").agg(F.approx_count_distinct("url", 0.02).alias("n")).collect()
+    # Room for the error of the estimate: so many times the sample pass the hash before they are cut to it.
+    share = {row["verdict"]: min(1.0, 1.5 * sample / max(1, row["n"])) for row in counts}
+    passes = F.coalesce(*[F.when(F.col("verdict") == v, F.pmod("_hash", F.lit(1 << 40)) < int(x * (1 << 40))) for v, x in share.items()], F.lit(False))
+    urls = labelled.where(passes).select("url", "host", "path", "verdict", "_hash").distinct()
+    place = F.row_number().over(Window.partitionBy("verdict").orderBy(F.pmod("_hash", F.lit(1 << 40)), "url"))
+    return urls.withColumn("_place", place).where(F.col("_place") <= sample).select("url", "host", "path", "verdict")
+
+
 def train(pages: DataFrame, sample: int = SAMPLE) -> UrlModel | None:
-    """Learn from about ``sample`` urls with a verdict, drawn by hash; None unless both verdicts occur."""
-    labelled = pages.where("verdict IS NOT NULL")
-    n = labelled.count()
-    draw = F.pmod(F.xxhash64("url", F.lit(3)), F.lit(1_000_000))
-    drawn = labelled.where(draw < int(1_000_000 * min(1.0, sample / max(1, n))))
+    """Learn from at most ``sample`` different urls of each verdict; None unless both verdicts occur."""
+    drawn = drawn_urls(pages, sample)
     drawn = _endings(drawn.select("url", "host", "path", (F.col("verdict") == "block").cast("double").alias("label")))
     drawn = stage(drawn, "labelled")
     seen = drawn.agg(F.count("*").alias("n"), F.avg("label").alias("share")).first()

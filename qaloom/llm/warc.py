@@ -33,16 +33,14 @@ def payload_digests(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
 
 
-def revisits(digests: DataFrame) -> DataFrame:
-    """``page_id, refers_to``: pages whose payload is stored with a page of a larger id.
+def shared_payloads(digests: DataFrame) -> DataFrame:
+    """``payload_digest, payload_bytes, refers_to``: payloads of several records and the largest id of a page that has them.
 
-    Only digests are compared, and shuffled after partial aggregation. A page without id is stored by itself.
+    Only digests are compared, and shuffled after partial aggregation. Pages without id alone share nothing.
     """
-    equal = ["payload_digest", "payload_bytes"]
-    groups = digests.where(F.col("payload_bytes") >= LEAST_SHARED).groupBy(*equal)
-    kept = groups.agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    kept = broadcast_if_small(stage(kept, "kept"))
-    return digests.join(kept, equal).where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    groups = digests.where(F.col("payload_bytes") >= LEAST_SHARED).groupBy("payload_digest", "payload_bytes")
+    kept = groups.agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL")
+    return kept.drop("n")
 
 
 def _urn(page: str) -> Column:
@@ -50,11 +48,16 @@ def _urn(page: str) -> Column:
 
 
 def records(pages: DataFrame, digests: DataFrame) -> DataFrame:
-    """``value``: the record of every page without its end. Revisits have no payload."""
+    """``value``: the record of every page without its end. Revisits have no payload.
+
+    Whether a row is a revisit follows from its own payload and id: pages that share an id are records of their own.
+    A page without id is stored by itself.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.select("page_id", "url", payload.alias("payload"))
-    rows = pages.join(broadcast_if_small(stage(revisits(digests), "revisits")), "page_id", "left")
-    again = F.col("refers_to").isNotNull()
+    pages = pages.withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
+    rows = pages.join(broadcast_if_small(stage(shared_payloads(digests), "shared")), ["payload_digest", "payload_bytes"], "left")
+    again = F.coalesce(F.col("page_id") != F.col("refers_to"), F.lit(False))
     block = F.when(again, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("payload")))
     rows = rows.withColumn("block", block)
     taken = F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0)))
@@ -67,8 +70,8 @@ def records(pages: DataFrame, digests: DataFrame) -> DataFrame:
         F.concat(F.lit("WARC-Record-ID: "), _urn("page_id")),
         F.concat(F.lit("WARC-Date: "), stamp),
         F.concat(F.lit("WARC-Target-URI: "), target),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.sha1("payload")),
-        F.concat(F.lit("X-Payload-Length: "), F.octet_length("payload").cast("string")),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
+        F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes").cast("string")),
         F.when(again, F.concat(F.lit("WARC-Refers-To: "), _urn("refers_to"))),
         F.when(again, F.lit("WARC-Profile: " + REVISIT_PROFILE)),
         F.lit("Content-Type: application/http; msgtype=response"),
@@ -81,7 +84,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """One gzipped archive per partition of ``pages (page_id, url, html)`` under ``path``, which must not exist.
 
     The payload is the html in UTF-8; a null one is empty and a null url has no target. Repeated rows are repeated
-    records. Other columns are not read.
+    records, and rows that share only an id are records with payloads of their own. Other columns are not read.
     """
     pages = pages.select("page_id", "url", "html")
     digests = stage(payload_digests(pages), "digests")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -262,6 +263,41 @@ def test_trees_learn_from_the_rules(spark):
 # --- chats -----------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("hot_verdict", ["blocked", "allowed"])
+def test_a_hot_url_neither_floods_nor_empties_the_sample(spark, hot_verdict):
+    hot, few = ("http://a.com/de/hot", "http://b.org/") if hot_verdict == "blocked" else ("http://b.org/hot", "http://a.com/de/")
+    pages = spark.range(200_000).select(F.when(F.col("id") % 1000 == 0, F.concat(F.lit(few), "id")).otherwise(F.lit(hot)).alias("url"))
+    pages = pages.union(spark.createDataFrame([("http://z.net/x",), (None,)], "url string"))
+    known = urls.judge_by_rules(urls.parts(pages))
+    drawn = Counter(r.verdict for r in urls.drawn_urls(known, 100).collect())
+    assert sorted(drawn.values()) == [1, 100]
+    assert urls.train(known, 100) is not None
+
+
+def test_one_blocked_url_among_very_many_is_learned(spark):
+    pages = spark.range(300_000).select(F.when(F.col("id") == 77, "http://a.com/de/x").otherwise(F.concat(F.lit("http://b.org/"), "id")).alias("url"))
+    known = urls.judge_by_rules(urls.parts(pages))
+    drawn = urls.drawn_urls(known, 500)
+    assert Counter(r.verdict for r in drawn.collect()) == {"allow": 500, "block": 1}
+    again = urls.drawn_urls(known.repartition(7), 500)
+    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    rows = spark.range(100_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id) AS text")
+    start = time.perf_counter()
+    row = chat.read_back(chat.format_chats(rows)).select(F.size("turns").alias("n"), F.length("loss_text").alias("loss")).first()
+    assert (row.n, row.loss) == (100_000, sum(len(f"turn {i}") for i in range(1, 100_000, 2)))
+    assert time.perf_counter() - start < 60
+
+
+def test_loss_spans_may_be_any_turns(spark):
+    rows = spark.createDataFrame([(1, i, r, f"t{i}") for i, r in enumerate(["user", "assistant", "assistant", "user"])], "conv_id long, turn long, role string, text string")
+    chats = chat.format_chats(rows)
+    assert chat.read_back(chats).first().loss_text == "t1t2"
+    assert chat.read_back(chats.withColumn("loss_spans", F.slice("loss_spans", 2, 1))).first().loss_text == "t2"
+
+
 def test_chats_come_back_whatever_they_say(spark):
     rng = random.Random(6)
     bits = ["### ", "</turn>", "\n", "\\", "Assistant: ", "###", "#", ":", " ", "/", "<", "text", "é漢", "</turn>\n", "\\\\", "\\#", ";"]
@@ -329,6 +365,21 @@ def test_archives_come_back_in_order(spark, tmp_path, monkeypatch):
     assert warc.capture_index(warc.capture_runs(spark, str(tmp_path / "none"))).count() == 0
 
 
+def test_pages_that_share_an_id_are_records_of_their_own(spark, tmp_path):
+    a, b = "A" * 1500, "B" * 1500
+    rows = [(5, a), (5, b), (5, "short"), (9, a), (8, b), (9, a), (None, a), (None, None), (5, "short"), (7, "C" * 1500), (7, "C" * 1500)]
+    frame = spark.createDataFrame([(i, "http://x.y/", h) for i, h in rows], "page_id bigint, url string, html string").repartition(3)
+    warc.write_archives(frame, str(tmp_path / "archives"))
+    index = warc.capture_index(warc.capture_runs(spark, str(tmp_path / "archives")))
+    got = sorted(((r.page_id or -1, r.payload_digest, r.record_type, r.refers_to or 0) for r in index.collect()))
+    kept = {a: 9, b: 8, "C" * 1500: 7}
+    want = []
+    for i, h in rows:
+        again = i is not None and h in kept and kept[h] != i
+        want.append((i or -1, hashlib.sha1((h or "").encode()).hexdigest(), "revisit" if again else "response", kept[h] if again else 0))
+    assert got == sorted(want)
+
+
 @pytest.mark.parametrize("html", ["ab\r\n", "\r\n", "ab\r\n\r\n", "ab\r\n\r\n\r\n", "ab\r", ""])
 def test_last_page_of_an_archive_may_end_in_line_ends(spark, tmp_path, html):
     pages = spark.createDataFrame([(1, "http://a.b/", "x"), (2, "http://a.b/", html)], "page_id bigint, url string, html string")
@@ -368,6 +419,22 @@ def test_pipeline_over_awkward_rows(spark, awkward, nothing):
         assert step(spark, nothing, "").count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["base", "spans", "_text", "_more", "size", "row_key", "_key", "_before", "_in_text", "score", "words", "clean", "value", "n", "component_id"]
+    texts = [f"a clean document number {i} says something of its own about {'abcdefgh'[i % 8]} things" for i in range(30)]
+    rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate([*texts, "my password = hunter2hunter2 is here", texts[0]])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", *[f"concat('{n} ', doc_id) AS {n}" for n in names])
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        docs = step(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        for r in docs.collect():
+            assert all(r[n] == f"{n} {r.doc_id}" for n in names)
+    found = docs.collect()
+    assert not any("hunter2" in str(r) for r in found) and {r.doc_id for r in found} <= set(range(31))
+    assert sum(b.n_words for b in corpus_pipeline.pack_sequences(spark, docs, "").collect()) > 0
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="driver tables are not here")
 def test_rows_that_share_an_id_or_have_none_are_compared_by_text(spark, nothing):
     same, other, third = ("one text that several rows of the table hold", "quite another text about some other things", "a third text which stands alone")

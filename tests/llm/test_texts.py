@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from qaloom.llm import jaccard, language, repetition, secrets
+from qaloom.llm import common, jaccard, language, repetition, secrets
 from qaloom.llm.common import n_words, shingle_sets, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -139,6 +140,16 @@ def test_shingle_sets_are_exact(texts, size):
         ids[tuple(want)] = got
 
 
+def test_words_that_polynomials_confuse_are_told_apart():
+    one, two = b"a", b"b"
+    for _ in range(12):
+        one, two = one + two, two + one
+    (hashes,) = word_hashes([one + b" " + two])[:1]
+    assert len(one) == 4096 and hashes[0] != hashes[1]
+    words = [bytes([i, j]) for i in range(97, 123) for j in range(97, 123)] + [b"a" * n for n in range(1, 40)] + [b"a" * n + b"\x00" for n in range(1, 40)]
+    assert len(np.unique(word_hashes([b" ".join(words)])[0])) == len(set(words))
+
+
 def test_number_of_words(spark):
     texts = [None, "", " ", "a", " a  b\n\nc\t", "x y z\x1cq", "\x0b\x0ca"]
     frame = spark.createDataFrame([(t,) for t in texts], "text string").select("text", n_words("text").alias("n"))
@@ -281,10 +292,17 @@ def test_random_strings_are_found_and_identifiers_are_not(spark):
     fresh = "f3a9c41e7b2d85f06a1c9e3b"
     tests = [(0, f"see {fresh} there"), (1, "see get_user_name_list_2_path_value there"), (2, f"{fresh} {fresh}")]
     frame = spark.createDataFrame(tests, "doc_id bigint, text string")
+    tests += [(3, "see qwJxZkPvTbRmNcLdWsYhGf there, 12345678901234567890"), (4, f"token=abcdefgh/{fresh}+x"), (5, f"key {'0123456789abcdef' * 2}kQeZtXrWnVlPuJsGf")]
+    frame = spark.createDataFrame(tests, "doc_id bigint, text string")
     found = {r.doc_id: r.s for r in secrets.scan(frame, ratios).select("doc_id", secrets.digest("spans").alias("s")).collect()}
-    assert found == {0: "random:4:28", 1: "", 2: "random:0:24,random:25:49"}
+    # Letters alone are judged like others, digits alone are no key, and what a fixed pattern leaves of a string is judged by itself.
+    assert found == {
+        0: "random:4:28", 1: "", 2: "random:0:24,random:25:49", 3: "random:4:26", 4: "assign:0:41", 5: "hex:4:36,random:36:53"
+    }
     clean = {r.doc_id: r.text for r in secrets.redact(frame, ratios).collect()}
-    assert clean == {0: "see [SECRET] there", 1: tests[1][1], 2: "[SECRET] [SECRET]"}
+    assert clean == {
+        0: "see [SECRET] there", 1: tests[1][1], 2: "[SECRET] [SECRET]", 3: "see [SECRET] there, 12345678901234567890", 4: "[SECRET]", 5: "key [SECRET][SECRET]"
+    }
 
 
 def test_rare_random_strings_are_learned_in_a_large_table(spark):
@@ -308,3 +326,48 @@ def test_overlapping_spans_are_redacted_once(spark):
     value = "0123456789abcdef" * 3
     frame = spark.createDataFrame([(0, f"a token = {value} b"), (1, None)], "doc_id bigint, text string")
     assert [r.text for r in secrets.redact(frame, None).orderBy("doc_id").collect()] == ["a [SECRET] b", None]
+
+
+@pytest.mark.parametrize("chunk", [5, 64, 4096])
+def test_redaction_matches_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(secrets, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    bits = [" token=", "AKIAABCDEFGH12345", "0123456789abcdef" * 3, "hunter2hunter2", "é", "\n", " word ", "漢", "a" * 50, "api_key=", "🎈"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(0, 25))) for _ in range(80)] + ["", None, "0123456789abcdef" * 9 + "api_key=abcdefgh/"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r.text for r in secrets.redact(frame, None).orderBy("doc_id").collect()]
+    want = []
+    for text in texts:
+        out, at = "", 0
+        for start, _, end, _ in spans_by_hand(text or ""):
+            out += text[at:start] + "[SECRET]" if start >= at else ""
+            at = max(at, end)
+        want.append(text if text is None else out + text[at:])
+    assert got == want
+
+
+def test_a_text_of_very_many_spans(spark):
+    run = "0123456789abcdef" * 2
+    text = " ".join([run] * 60_000)
+    frame = spark.createDataFrame([(0, text)], "doc_id bigint, text string")
+    start = time.perf_counter()
+    row = secrets.scan(frame, None).select(F.size("base").alias("n"), F.col("base")[59_999]["start"].alias("last")).first()
+    assert (row.n, row["last"]) == (60_000, 33 * 59_999)
+    clean = secrets.redact(frame, None).first().text
+    assert clean == " ".join(["[SECRET]"] * 60_000)
+    assert time.perf_counter() - start < 60
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    names = ["base", "spans", "_text", "_more", "value", "left", "more", "clean", "_in_text", "start"]
+    frame = spark.createDataFrame([(1, "password = hunter2hunter2")], "doc_id bigint, text string").selectExpr("*", *[f"'{n}!' AS {n}" for n in names])
+    row = secrets.redact(frame, secrets.train(frame)).first()
+    assert row.asDict() == {"doc_id": 1, "text": "[SECRET]", **{n: f"{n}!" for n in names}}
+
+
+@pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 300, 1000])
+def test_running_sums(spark, n):
+    frame = spark.createDataFrame([([i * 7 % 11 for i in range(n)],)], "x array<bigint>")
+    row = frame.select(common.running_sums(F.col("x")).alias("s"), common.running(F.col("x"), F.greatest).alias("m")).first()
+    x = [i * 7 % 11 for i in range(n)]
+    assert row.s == [sum(x[: i + 1]) for i in range(n)] and row.m == [max(x[: i + 1]) for i in range(n)]
