@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaloom.llm import jaccard, language, mixing, packing, secrets
+from qaloom.llm.common import hidden, shown
 from qaloom.session import broadcast_if_small, stage
 
 # A text is rejected if no language reaches this posterior.
@@ -24,10 +25,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The models learn from all labelled documents. The given label stays as it is.
     """
     model = language.train(docs, F.lit(True))
-    plain = docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns})
-    found = language.identify(plain, model, "_text")
+    found = language.identify(hidden(docs), model, "_in_text")
     found = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return found.select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
+    return found.select(*shown(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     equal in all columns one stays. Rows without words are in no group and stay.
     """
     # Nulls leave a hash as it is, so it also takes in where they are.
-    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+    plain = hidden(docs)
+    keyed = plain.withColumn("_key", F.xxhash64(*plain.columns, *[F.col(f"`{c}`").isNull() for c in plain.columns]))
+    keyed = keyed.withColumns({"doc_id": F.col("_in_doc_id"), "text": F.col("_in_text")})
     groups = stage(jaccard.near_duplicates(keyed, "_key", shingle=5, percent=80), "groups")
     linked = groups.where("component_id <> doc_id").select("doc_id", "component_id")
     members = linked.union(linked.select("component_id", "component_id")).distinct().withColumnRenamed("doc_id", "_key")
@@ -50,17 +52,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = groups.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("n")).where("n > 1").select("_key")
     repeated = stage(repeated, "repeated")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
+        return kept.select(*shown(docs.columns))
     repeated = broadcast_if_small(repeated)
-    once = kept.join(repeated, "_key", "left_semi").select(*docs.columns).distinct()
-    return kept.join(repeated, "_key", "left_anti").select(*docs.columns).union(once)
+    once = kept.join(repeated, "_key", "left_semi").select(*shown(docs.columns)).distinct()
+    return kept.join(repeated, "_key", "left_anti").select(*shown(docs.columns)).union(once)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret by a placeholder; all documents stay, and ``n_chars`` follows a text that changed."""
-    clean = secrets.redact(docs.withColumn("_before", F.col("text")), secrets.train(docs))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
-    return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    plain = hidden(docs).withColumn("clean", F.col("_in_text"))
+    clean = secrets.redact(plain, secrets.train(docs), "clean")
+    changed = ~F.col("clean").eqNullSafe(F.col("_in_text"))
+    n_chars = F.when(changed, F.length("clean").cast("long")).otherwise(F.col("_in_n_chars"))
+    out = {"text": F.col("clean"), "n_chars": n_chars}
+    return clean.select(*[out[c].alias(c) if c in out else shown([c])[0] for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
