@@ -25,7 +25,7 @@ START = b"\n" * ORDER
 # Code lengths are whole multiples of 1/UNIT bit, so that sums do not depend on their order.
 UNIT = 1 << 16
 # Bytes that are scored at once in a task.
-SLICE = 4_000_000
+SLICE = 1_000_000
 # Bytes of training text per language. The sample is drawn by a hash of the text and holds whole texts, each once.
 SAMPLE_BYTES = 2_000_000
 # The sizes of texts are summed in so many steps for each power of two of the hash.
