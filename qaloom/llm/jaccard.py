@@ -43,6 +43,14 @@ def _sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
     return shingle_sets(texts.cast(pa.binary()).to_pylist(), shingle)
 
 
+def _counted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of all arrays and how often each occurs, sorted in place."""
+    values = np.concatenate(sets)
+    values.sort()
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+    return values[first], np.diff(np.append(first, len(values)))
+
+
 class Rarity:
     """How often a shingle is to be expected: from the shares of its words, or more often if it was seen more often.
 
@@ -80,10 +88,10 @@ def rarity(docs: DataFrame, shingle: int) -> Rarity:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches, 8000):
+        for batch in _parts(batches, 4000):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            sets = shingle_sets(texts, shingle)
-            least = max(3, len(sets) // 2000)
+            least = max(3, len(texts) // 2000)
+            tokens, held = _counted(shingle_sets(texts, shingle))
             total, words, n = 0, [], []
             for part in slices(texts):
                 own, _ = word_hashes([text.lower() for text in part])
@@ -91,7 +99,6 @@ def rarity(docs: DataFrame, shingle: int) -> Rarity:
                 total, words, n = total + len(own), [*words, keys], [*n, counts]
             keys, where = np.unique(np.concatenate(words), return_inverse=True)
             counts = np.bincount(where, np.concatenate(n), len(keys)).astype(np.int64)
-            tokens, held = np.unique(np.concatenate(sets), return_counts=True)
             some, often = counts >= least, held >= least
             found = np.concatenate([keys[some], tokens[often], np.zeros(1, np.uint64)])
             kinds = np.repeat([WORDS, SHINGLES, TOTAL], [some.sum(), often.sum(), 1])
