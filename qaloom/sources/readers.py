@@ -120,7 +120,10 @@ def read_qa_csv(
 def _multiline_csv(spark: SparkSession, path: Paths, schema: str) -> DataFrame:
     """Records placed by their quotes (:mod:`qaloom.sources.ranges`), then parsed one by one."""
     records = read_records(spark, path, CsvCutter()).withColumn("text", F.regexp_replace("text", "\r$", "")).where("text <> ''")
-    names = [f.name for f in StructType.fromDDL(schema).fields]
+    fields = StructType.fromDDL(schema).fields
+    # Columns that folders name are not in the files.
+    folders = set(spark.read.text(path).columns) - {"value"}
+    names = [f.name for f in fields if f.name not in folders]
     options = {"escape": '"', "multiLine": "true"}
     # The first record of a file, which may be the only one of its range that began there, is the header.
     first = F.min(F.struct("_range", "_part", "_at")).over(Window.partitionBy("_file"))
@@ -133,7 +136,10 @@ def _multiline_csv(spark: SparkSession, path: Paths, schema: str) -> DataFrame:
     if wrong:
         raise ValueError(f"the header names {[x for x in wrong['found'] if x is not None]}, the schema {names}")
     rows = records.join(broadcast_if_small(heads.drop("text")), ["_file", "_range", "_part", "_at"], "left_anti")
-    return rows.select(F.from_csv("text", schema, options).alias("r")).select("r.*")
+    inside = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name not in folders)
+    of_folder = lambda f: F.url_decode(F.regexp_extract("_file", f"/{f.name}=([^/]*)/", 1)).cast(f.dataType)
+    parsed = rows.select("_file", F.from_csv("text", inside, options).alias("r"))
+    return parsed.select(*[of_folder(f).alias(f.name) if f.name in folders else F.col(f"r.`{f.name}`") for f in fields])
 
 
 def read_id_text_tsv(spark: SparkSession, path: Paths, schema: str = schemas.ID_TEXT) -> DataFrame:

@@ -129,3 +129,11 @@ def test_a_field_of_the_root_need_not_come_first_nor_exist(spark, tmp_path):
     (tmp_path / "c.json").write_text("{}")
     (tmp_path / "d.json").write_text("")
     assert readers.read_question_bundle(spark, str(tmp_path), SCHEMA).count() == 0
+
+
+def test_csv_columns_that_folders_name(spark, tmp_path):
+    for part in (1, 2):
+        (tmp_path / f"part={part}").mkdir()
+        (tmp_path / f"part={part}" / "a.csv").write_text(f'id,title\n{part},"two\nlines"\n')
+    got = readers.read_qa_csv(spark, str(tmp_path), "id BIGINT, title STRING, part INT").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "two\nlines", 1), (2, "two\nlines", 2)]
