@@ -3,7 +3,8 @@
 Equal vectors are one entry of the index with its smallest ids. A bounded sample of entries fits the trees: each node
 splits at the median of a projection on the direction between two random entries. Every entry is placed in a leaf of every
 tree. A query pops the leaves of all trees from one priority queue, best margin first, until they hold enough
-entries, and its candidates in these leaves are scored exactly on the original vectors.
+entries, and its candidates in these leaves are scored exactly on the original vectors. An entry is one row that knows its
+leaves in all trees and lies in a tile of the first tree; a query goes to the tiles that its leaves reach.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ TREES = 8
 # Entries that fit the trees, and entries in a leaf as long as the sample allows that many leaves.
 SAMPLE = 16_384
 LEAF = 512
-# A query searches leaves until they hold this share of all entries (entries in several trees count each time), and at
-# least so many. The vectors of the tables have no structure below their clusters, so a large share is needed.
-SHARE = 0.8
-LEAST_SEARCHED = 8_000
-# Leaves that are scored together, and rows of a side that meet in one task.
+# A query searches leaves until they hold this share of all entries; entries count once for each tree, so the number of trees
+# as a share is all. The vectors of the tables have no structure below their clusters, so a large share is needed.
+SHARE = 1.5
+# Leaves of the first tree that make a tile, rows of a side that meet in one task, and queries that are scored at once.
 TILE_LEAVES = 16
 TILE_QUERIES = 4_096
 TILE_ENTRIES = 65_536
+QUERIES = 256
 
 
 def usable(vector: str) -> Column:
@@ -86,7 +87,7 @@ class Tree:
 
 
 class Forest:
-    """Trees over a sample; ``counts`` has the entries of every leaf once all were placed."""
+    """Trees over a sample; once all entries were placed, ``counts`` has the entries of every leaf and ``reach`` its tiles."""
 
     def __init__(self, sample: np.ndarray, entries: int, trees: int, seed: int):
         rng = np.random.default_rng(seed)
@@ -95,7 +96,10 @@ class Forest:
         self.sample = sample
         self.trees = [Tree(sample, min(leaf, max(1, len(sample))), rng) for _ in range(trees)]
         self.homes = np.array([tree.place(sample) for tree in self.trees])
+        # The leaves of all trees in one row: leaf ``i`` of tree ``t`` stands at ``base[t] + i``.
+        self.base = np.cumsum([0, *(tree.leaves for tree in self.trees)])
         self.counts: list[np.ndarray] = []
+        self.reach = np.zeros((0, 0), bool)
 
     def search(self, query: np.ndarray, margins: list[np.ndarray], enough: float) -> list[tuple[int, int]]:
         """Leaves ``(tree, leaf)`` in the order of one queue over all trees, until they hold ``enough`` entries.
@@ -161,7 +165,6 @@ def nearest(
     vector: str = "embedding",
     trees: int = TREES,
     share: float = SHARE,
-    least: int = LEAST_SEARCHED,
     sample: int = SAMPLE,
     seed: int = 1,
 ) -> DataFrame:
@@ -185,19 +188,23 @@ def nearest(
         trees = grown()
         for batch in batches:
             rows = _matrix(batch.column(1))
-            for t, tree in enumerate(trees):
-                leaf = pa.array(tree.place(rows), pa.int64())
-                which = pa.array(np.full(len(rows), t), pa.int64())
-                yield pa.RecordBatch.from_arrays([which, leaf, *batch.columns], names=["tree", "leaf", "entry", "vector", "ids"])
+            homes = np.stack([tree.place(rows) for tree in trees], axis=1).astype(np.int32)
+            leaves = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(trees), pa.int32()), pa.array(homes.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, leaves], names=["entry", "vector", "ids", "leaves"])
 
     kind = found.schema["vector"].dataType.simpleString()
-    placed = stage(found.mapInArrow(place, f"tree long, leaf long, entry long, vector {kind}, ids array<long>"), "placed")
-    sizes = placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect()
+    placed = found.mapInArrow(place, f"entry long, vector {kind}, ids array<long>, leaves array<int>")
+    placed = stage(placed.withColumn("tile", F.floor(F.col("leaves")[0] / TILE_LEAVES)), "placed")
+    # One row per leaf, each with at most as many numbers as there are tiles: the sample bounds both.
+    held = placed.select("tile", F.posexplode("leaves").alias("tree", "leaf"))
+    sizes = held.groupBy("tree", "leaf").agg(F.count("*").alias("n"), F.collect_set("tile").alias("tiles")).collect()
     forest.counts = [np.zeros(tree.leaves, np.int64) for tree in forest.trees]
+    forest.reach = np.zeros((forest.base[-1], -(-forest.trees[0].leaves // TILE_LEAVES)), bool)
     for row in sizes:
         forest.counts[row["tree"]][row["leaf"]] = row["n"]
+        forest.reach[forest.base[row["tree"]] + row["leaf"], row["tiles"]] = True
     ready = sent(spark, forest)
-    enough = max(float(least) * trees, share * n)
+    enough = share * n
 
     asking = vectors.where("_asks").select(F.col(vec_id).cast("long").alias("query_id"), F.col(vector).alias("vector"))
     asking = asking.where(F.col("query_id").isNotNull() & usable("vector")).distinct()
@@ -206,38 +213,30 @@ def nearest(
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = ready()
+        homes = forest.homes + forest.base[:-1, None]
         for batch in batches:
             rows = _matrix(batch.column(1))
-            for begin in range(0, len(rows), 256):
-                part = rows[begin : begin + 256]
+            for begin in range(0, len(rows), QUERIES):
+                part = rows[begin : begin + QUERIES]
                 margins = [part @ t.normals_.T - np.array(t.cuts) if t.cuts else np.zeros((len(part), 0)) for t in forest.trees]
                 near = part @ forest.sample.T
-                out: dict[str, list] = {"tree": [], "tile": [], "at": [], "leaves": [], "bound": []}
+                probed = np.zeros((len(part), forest.base[-1]), bool)
+                tiles, bounds = [], []
                 for i in range(len(part)):
                     hits = forest.search(part[i], [m[i] for m in margins], enough)
+                    probed[i, [forest.base[t] + leaf for t, leaf in hits]] = True
+                    tiles.append(np.flatnonzero(forest.reach[probed[i]].any(axis=0)).tolist())
                     # A lower bound of the last place: the sample's rows in these leaves are candidates too.
-                    reached = np.zeros(near.shape[1], bool)
-                    tiles: dict[tuple[int, int], list[int]] = {}
-                    for t, leaf in hits:
-                        tiles.setdefault((t, leaf // TILE_LEAVES), []).append(leaf)
-                    for (t, _), leaves in tiles.items():
-                        reached |= np.isin(forest.homes[t], leaves)
-                    scores = near[i][reached]
-                    bound = np.partition(scores, -k - 1)[-k - 1] if len(scores) > k else -np.inf
-                    for (t, tile), leaves in tiles.items():
-                        out["tree"].append(t), out["tile"].append(tile), out["at"].append(begin + i)
-                        out["leaves"].append(leaves), out["bound"].append(bound)
-                at = pa.array(out["at"], pa.int64())
-                columns = [pa.array(out["tree"], pa.int64()), pa.array(out["tile"], pa.int64()), batch.column(0).take(at)]
-                columns += [batch.column(1).take(at), pa.array(out["leaves"], pa.list_(pa.int64())), pa.array(out["bound"])]
-                yield pa.RecordBatch.from_arrays(columns, names=["tree", "tile", "query", "vector", "leaves", "bound"])
-
-    probes = distinct.mapInArrow(probe, f"tree long, tile long, query long, vector {kind}, leaves array<long>, bound double")
+                    scores = near[i][probed[i][homes].any(axis=0)]
+                    bounds.append(np.partition(scores, -k - 1)[-k - 1] if len(scores) > k else -np.inf)
+                leaves = [row.tobytes() for row in np.packbits(probed, axis=1)]
+                columns = [batch.column(0).slice(begin, len(part)), batch.column(1).slice(begin, len(part))]
+                columns += [pa.array(tiles, pa.list_(pa.int64())), pa.array(leaves, pa.binary()), pa.array(bounds, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["query", "vector", "tiles", "leaves", "bound"])
+
+    probes = distinct.mapInArrow(probe, f"query long, vector {kind}, tiles array<long>, leaves binary, bound double")
     probes = stage(probes, "probes")
-    scored = _score(placed, probes, k)
-    # One row per query and entry, then the ids of the entries.
-    pairs = scored.groupBy("query", "entry").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-    flat = pairs.select("query", "score", F.explode("ids").alias("vec_id"))
+    flat = _score(placed, probes, forest.base, k).select("query", "score", F.explode("ids").alias("vec_id"))
     order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     flat = stage(flat.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1), "nearest")
     # Every member of a query's entry leaves its own row out.
@@ -246,51 +245,55 @@ def nearest(
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _score(placed: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-    """``query, entry, score, ids``: the best candidates of every query in every tile, in leaves that it probes.
+def _score(placed: DataFrame, probes: DataFrame, base: np.ndarray, k: int) -> DataFrame:
+    """``query, score, ids``: the best candidates of every query in every tile, in leaves that it probes.
 
-    A tile is a row of neighbouring leaves. Its sides are cut into parts of bounded size, and each pair of parts meets
-    in one task.
+    A tile is a row of neighbouring leaves of the first tree, so an entry meets a query once, whichever trees lead there.
+    The sides of a tile are cut into parts of bounded size, and each pair of parts meets in one task.
     """
-    tiled = placed.withColumn("tile", F.floor(F.col("leaf") / TILE_LEAVES))
-    parts = tiled.groupBy("tree", "tile").agg(F.ceil(F.count("*") / TILE_ENTRIES).alias("e_parts"))
-    asked = probes.groupBy("tree", "tile").agg(F.ceil(F.count("*") / TILE_QUERIES).alias("q_parts"))
-    # One row per tile: bounded by the trees and leaves of the forest.
-    both = F.broadcast(stage(parts.join(asked, ["tree", "tile"]), "tiles"))
-    left = tiled.join(both, ["tree", "tile"]).withColumn("e", F.pmod(F.xxhash64("entry"), "e_parts"))
+    parts = placed.groupBy("tile").agg(F.ceil(F.count("*") / TILE_ENTRIES).alias("e_parts"))
+    probes = probes.withColumn("tile", F.explode("tiles")).drop("tiles")
+    asked = probes.groupBy("tile").agg(F.ceil(F.count("*") / TILE_QUERIES).alias("q_parts"))
+    # One row per tile: bounded by the leaves of a tree.
+    both = F.broadcast(stage(parts.join(asked, "tile"), "tiles"))
+    left = placed.join(both, "tile").withColumn("e", F.pmod(F.xxhash64("entry"), "e_parts"))
     left = left.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts") - 1)))
-    right = probes.join(both, ["tree", "tile"]).withColumn("q", F.pmod(F.xxhash64("query"), "q_parts"))
+    right = probes.join(both, "tile").withColumn("q", F.pmod(F.xxhash64("query"), "q_parts"))
     right = right.withColumn("e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("e_parts") - 1)))
-    key = ["tree", "tile", "e", "q"]
-    left = left.select(*key, "leaf", "entry", "vector", "ids")
+    key = ["tile", "e", "q"]
+    left = left.select(*key, "vector", "ids", "leaves")
     right = right.select(*key, "query", "vector", "leaves", "bound")
 
     def meet(entries: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if entries.num_rows and queries.num_rows:
             rows, asks = _matrix(entries["vector"].combine_chunks()), _matrix(queries["vector"].combine_chunks())
-            home = entries["leaf"].to_numpy()
+            homes = entries["leaves"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1) + base[:-1]
             bound = queries["bound"].to_numpy()
-            lists = queries["leaves"].combine_chunks()
-            who = np.repeat(np.arange(len(asks)), np.diff(lists.offsets.to_numpy()))
-            probed = lists.flatten().to_numpy()
-            for leaf in np.unique(home):
-                own, ask = np.flatnonzero(home == leaf), who[probed == leaf]
-                for begin in range(0, len(ask), 512):
-                    some = ask[begin : begin + 512]
+            bits = np.frombuffer(b"".join(queries["leaves"].to_pylist()), np.uint8).reshape(len(asks), -1)
+            by_leaf = np.argsort(homes[:, 0], kind="stable")
+            pieces = np.split(by_leaf, np.flatnonzero(np.diff(homes[by_leaf, 0])) + 1)
+            for begin in range(0, len(asks), QUERIES):
+                some = np.arange(begin, min(begin + QUERIES, len(asks)))
+                # Leaves by rows, so that an entry's leaf picks the queries that probe it.
+                probed = np.unpackbits(bits[some], axis=1, count=int(base[-1])).T.astype(bool)
+                for own in pieces:
+                    hit = np.zeros((len(own), len(some)), bool)
+                    for tree in range(homes.shape[1]):
+                        hit |= probed[homes[own, tree]]
                     scores = asks[some] @ rows[own].T
+                    size = np.abs(scores).max(axis=1, initial=0)
+                    scores[~hit.T] = -np.inf
                     least = bound[some]
                     if len(own) > k + 1:
                         least = np.maximum(least, np.partition(scores, -k - 1, axis=1)[:, -k - 1])
                     # Room for the rounding of the product; the exact score decides.
-                    size = np.abs(least) + np.abs(scores).max(axis=1, initial=0)
-                    q, e = np.nonzero(scores >= (least - 1e-9 * size)[:, None])
+                    room = 1e-9 * (np.where(np.isfinite(least), np.abs(least), 0.0) + size)
+                    q, e = np.nonzero(hit.T & (scores >= (least - room)[:, None]))
                     out.append((some[q], own[e], _exact(asks[some[q]], rows[own[e]])))
         q, e, scores = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2 + (np.empty(0),)
-        q, e = pa.array(q, pa.int64()), pa.array(e, pa.int64())
-        ids = entries["ids"].combine_chunks().take(e) if entries.num_rows else pa.array([], pa.list_(pa.int64()))
-        names = [queries["query"].combine_chunks().take(q), entries["entry"].combine_chunks().take(e)]
-        return pa.table([*names, pa.array(scores), ids], names=["query", "entry", "score", "ids"])
+        ids = entries["ids"].combine_chunks().take(pa.array(e, pa.int64())) if entries.num_rows else pa.array([], pa.list_(pa.int64()))
+        return pa.table([queries["query"].combine_chunks().take(pa.array(q, pa.int64())), pa.array(scores), ids], names=["query", "score", "ids"])
 
     sides = left.groupBy(*key).cogroup(right.groupBy(*key))
-    return sides.applyInArrow(meet, "query long, entry long, score double, ids array<long>")
+    return sides.applyInArrow(meet, "query long, score double, ids array<long>")

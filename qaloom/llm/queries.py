@@ -135,7 +135,7 @@ QUERIES = {
 
 SQL: dict[str, str] = {}
 
-# Small tables are searched whole, so the forest finds exactly the nearest there.
+# Exact nearest neighbours: what the forest finds in a table of at most one leaf (512 vectors); tests measure recall beyond.
 SQL["op2_rp_forest"] = """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
