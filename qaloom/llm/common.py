@@ -9,12 +9,18 @@ from typing import Any
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from qaloom.session import broadcast_if_small, stage
+
 # ASCII white space: the same set that ``bytes.split()`` cuts at.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Rows that are numbered together.
+SLICE_ROWS = 10_000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,6 +51,22 @@ def shown(columns: list[str]) -> list[Column]:
     return [F.col(f"`_in_{c}`").alias(c) for c in columns]
 
 
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the numbers 0, 1, 2, … among the rows of equal ``key``, in no particular order.
+
+    Keys are not null. The rows are staged once and counted in slices of at most ``SLICE_ROWS`` rows that lie
+    together, so a key that holds most rows is many groups, and no window sees more of it than a slice.
+    """
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    placed = stage(placed.withColumn("_slice", F.floor(F.col("_at") / SLICE_ROWS)), "equal")
+    before = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    counts = placed.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
+    starts = stage(counts.select(key, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")), "starts")
+    nth = F.row_number().over(W.partitionBy(key, "_slice").orderBy("_at")) - 1
+    placed = placed.withColumn("_nth", nth).join(broadcast_if_small(starts), [key, "_slice"])
+    return placed.withColumn(name, (F.col("_start") + F.col("_nth")).cast("long")).select(*rows.columns, name)
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once: a function of an array computes again what it takes from outside."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

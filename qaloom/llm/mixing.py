@@ -8,17 +8,19 @@ the blocks of one more pass are drawn in a seeded order until the quota is full.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from qaloom.llm.common import SPACE, WORD, hidden, n_words, shown
+from qaloom.llm.common import SPACE, WORD, hidden, n_words, numbered, shown
 from qaloom.session import broadcast_if_small, stage
 
 # Words in a block, documents in a shard, and how often a word may be taken.
 BLOCK_WORDS = 64
 SHARD_DOCS = 10_000
 MOST_PASSES = 3
+# Copies of a row that a task writes at once.
+COPIES = 10_000
 
 
 def targets(sizes: DataFrame, source: str = "source", size: str = "source_size") -> DataFrame:
@@ -71,20 +73,45 @@ def apportion(parties: DataFrame, group: list[str], key: str, votes: str, seats:
     )
 
 
+def _row_key(doc_id: str, source: str, text: str, seed: int) -> Column:
+    """A hash of id, source and text; which of them are null is part of it, since a hash passes over nulls."""
+    nulls = [F.col(c).isNull() for c in (doc_id, source)]
+    return F.xxhash64(F.col(doc_id).cast("string"), F.col(source).cast("string"), F.col(text), F.lit(seed), *nulls)
+
+
+def _copies(counted: DataFrame) -> DataFrame:
+    """Every row of ``counted`` as often as its ``copies`` say, numbered from 0 by ``copy``.
+
+    A row with very many copies is cut into runs of ``COPIES`` first, which are written by different tasks.
+    """
+    end = F.col("copies") - 1
+    few = counted.where(F.col("copies") <= COPIES).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), end)))
+    many = counted.where(F.col("copies") > COPIES)
+    if many.isEmpty():
+        return few.drop("copies")
+    tasks = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = many.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), end, F.lit(COPIES).cast("long"))))
+    many = many.repartition(tasks, "row_key", "_from")
+    many = many.withColumn("copy", F.explode(F.sequence(F.col("_from"), F.least(end, F.col("_from") + COPIES - 1)))).drop("_from")
+    return few.unionByName(many).drop("copies")
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, passes, more, taken`` and ``row_key``.
+    """One row per document: ``doc_id, source, size, source_size, target, passes, more, taken, row_key`` and ``copy``.
 
     The mix takes a document ``passes`` times and its first ``more`` words once again: ``taken`` words in all, never
     more than ``MOST_PASSES`` times its ``size``. A source's taken words differ from its target by half a block
     per shard at most. A null or empty text has size 0 and is never taken; a null source is a source of its own. The
     result depends on the rows alone, not on their order; equal rows share their words in some order. ``row_key``
-    hashes id, source and text.
+    hashes id, source and text; rows that agree in them are counted before they are shuffled, numbered by ``copy``
+    from 0 and dealt to all shards of their source.
     """
-    row_key = F.xxhash64(F.col(doc_id).cast("string"), F.col(source).cast("string"), F.col(text), F.lit(seed))
     sized = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"), row_key.alias("row_key")
+        F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"),
+        _row_key(doc_id, source, text, seed).alias("row_key"),
     )
-    sized = stage(sized, "sized")
+    counted = sized.groupBy("doc_id", "source", "size", "row_key").agg(F.count("*").alias("copies"))
+    sized = stage(_copies(stage(counted, "counted")), "sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     blocks = F.round(F.sum("source_size").over(W.partitionBy()) / BLOCK_WORDS).cast("long")
     sources = targets(sizes).withColumn("blocks", blocks).withColumn("shards", F.ceil(F.col("docs") / SHARD_DOCS))
@@ -92,13 +119,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     named = sources.select(F.col("source").alias("_source"), "source_size", "target", "source_blocks", "shards")
     placed = sized.join(broadcast_if_small(named), F.expr("source <=> _source")).drop("_source")
-    placed = placed.withColumn("shard", F.pmod("row_key", "shards"))
+    placed = placed.withColumn("shard", F.pmod(F.when(F.col("copy") > 0, F.xxhash64("row_key", "copy")).otherwise(F.col("row_key")), "shards"))
     shards = placed.groupBy("source", "source_blocks", "shard").agg(F.sum("size").alias("shard_size"))
     shards = apportion(shards, ["source"], "shard", "shard_size", "source_blocks", "shard_blocks")
     words = F.least(F.col("shard_blocks") * BLOCK_WORDS, F.col("shard_size") * MOST_PASSES)
     shards = stage(shards.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", words.alias("_words")), "shards")
 
-    run = W.partitionBy("source", "shard").orderBy("row_key", "doc_id")
+    run = W.partitionBy("source", "shard").orderBy("row_key", "copy", "doc_id")
     begin = F.coalesce(F.sum("size").over(run.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = placed.withColumn("_begin", begin)
     placed = placed.join(broadcast_if_small(shards), F.expr("source <=> _source AND shard = _shard"))
@@ -107,7 +134,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     placed = placed.withColumn("passes", passes.cast("long"))
     placed = placed.withColumn("more", F.greatest(F.lit(0), F.least("size", rest)).cast("long"))
     taken = F.col("passes") * F.col("size") + F.col("more")
-    return placed.select("doc_id", "source", "size", "source_size", "target", "passes", "more", taken.alias("taken"), "row_key")
+    return placed.select(
+        "doc_id", "source", "size", "source_size", "target", "passes", "more", taken.alias("taken"), "row_key", "copy"
+    )
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -115,17 +144,16 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     The copy that is taken in part holds the document's first words, with the white space between them.
     """
-    plan = mix(docs, seed=seed).where("taken > 0").select("row_key", "size", "passes", "more")
-    order = W.partitionBy("row_key").orderBy(F.desc("passes"), F.desc("more"))
-    plan = stage(plan.withColumn("_nth", F.row_number().over(order)), "mix")
-    rows = hidden(docs)
-    key = F.xxhash64(F.col("_in_doc_id").cast("string"), F.col("_in_source").cast("string"), F.col("_in_text"), F.lit(seed))
-    rows = rows.withColumn("row_key", key)
-    if plan.where("_nth > 1").isEmpty():
-        rows = rows.withColumn("_nth", F.lit(1))
+    plan = stage(mix(docs, seed=seed).select("row_key", "copy", "size", "passes", "more", "taken"), "mix")
+    rows = hidden(docs).withColumn("row_key", _row_key("_in_doc_id", "_in_source", "_in_text", seed))
+    repeated = stage(plan.where("copy = 1").select("row_key").distinct(), "repeated")
+    if repeated.isEmpty():
+        rows = rows.withColumn("copy", F.lit(0).cast("long"))
     else:
-        rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("row_key").orderBy("row_key")))
-    rows = rows.join(plan, ["row_key", "_nth"])
+        repeated = broadcast_if_small(repeated)
+        equal = numbered(rows.join(repeated, "row_key", "left_semi"), "row_key", "copy")
+        rows = rows.join(repeated, "row_key", "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(equal)
+    rows = rows.join(plan.where("taken > 0"), ["row_key", "copy"])
     whole = F.array_repeat("size", (F.col("passes") + F.when(F.col("more") == F.col("size"), 1).otherwise(0)).cast("int"))
     part = F.when(F.col("more").between(1, F.col("size") - 1), F.array("more")).otherwise(F.array().cast("array<bigint>"))
     rows = rows.withColumn("words", F.explode(F.concat(whole, part)))

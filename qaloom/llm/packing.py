@@ -12,11 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qaloom.llm.common import numbered
+from qaloom.session import broadcast_if_small, stage
+
 # Permitted sequence lengths in words, and what a sequence costs beside its length.
 CAPACITIES = (512, 1024, 2048)
 OVERHEAD = 32
 # Bytes of text in a shard. A shard is packed by itself, so its size bounds the memory of a task.
 SHARD_BYTES = 16_000_000
+# Tasks that shards are dealt to; a task with several packs one after the other.
+MOST_TASKS = 50_000
 SEPARATOR = "\n\n"
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -71,34 +76,35 @@ def best_fit(sizes: Sequence[int], capacities: Sequence[int], overhead: int = OV
     return [(next(c for c in capacities if c >= used), own) for used, own in zip(filled, bins, strict=True)]
 
 
-def pieces(docs: DataFrame, longest: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, first_word, n_words, text``: documents, those of more than ``longest`` words cut into several.
+def pieces(docs: DataFrame, longest: int, doc_id: str = "doc_id", text: str = "text", copy: str | None = None) -> DataFrame:
+    """``doc_id, first_word, n_words, copy, text``: documents, those of more than ``longest`` words cut into several.
 
     The pieces of a document hold all its words, and the white space between the words of a piece. A text without
-    words has no piece.
+    words has no piece. ``copy`` names a number that the pieces of a document keep, 0 if there is none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, first, count, parts = [], [], [], []
+            ids, first, count, copies, parts = [], [], [], [], []
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for doc, value in zip(batch.column(0).to_pylist(), texts, strict=True):
+            for doc, value, nth in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True):
                 n = len(value.split()) if value else 0
                 if 0 < n <= longest:
-                    ids.append(doc), first.append(0), count.append(n), parts.append(value)
+                    ids.append(doc), first.append(0), count.append(n), copies.append(nth), parts.append(value)
                 elif n:
                     spans = [m.span() for m in _WORD.finditer(value)]
                     for begin in range(0, n, longest):
                         end = min(n, begin + longest)
-                        ids.append(doc), first.append(begin), count.append(end - begin)
+                        ids.append(doc), first.append(begin), count.append(end - begin), copies.append(nth)
                         parts.append(value[spans[begin][0] : spans[end - 1][1]])
-            columns = [pa.array(ids, pa.int64()), pa.array(first, pa.int64()), pa.array(count, pa.int64())]
+            columns = [pa.array(values, pa.int64()) for values in (ids, first, count, copies)]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(parts, pa.binary()).cast(pa.string())], names=["doc_id", "first_word", "n_words", "text"]
+                [*columns, pa.array(parts, pa.binary()).cast(pa.string())], names=["doc_id", "first_word", "n_words", "copy", "text"]
             )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, first_word long, n_words long, text string")
+    number = (F.col(copy) if copy else F.lit(0)).cast("long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), number.alias("copy"))
+    return rows.mapInArrow(run, "doc_id long, first_word long, n_words long, copy long, text string")
 
 
 def pack(
@@ -113,12 +119,20 @@ def pack(
 
     The three lists name the pieces of the sequence in their order; ``text`` joins them by an empty line. Every word of
     every document is in one sequence. Documents are dealt to shards by the hash of their rows, so the
-    result does not depend on the order or the files of the input; equal rows are interchangeable. A null or empty
-    text has nothing to pack. A row without id is packed with a null in ``doc_ids``. Other columns are not read.
+    result does not depend on the order or the files of the input; rows of equal id and text are interchangeable, and
+    are numbered so that their copies go to all shards. A null or empty text has nothing to pack. A row without id is packed with a null in ``doc_ids``. Other columns are not read.
     """
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.octet_length("text") > 0)
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    distinct = rows.groupBy("row").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    size, most = distinct.agg(F.sum("bytes"), F.max("n")).first()
+    shards = max(1, -(-(size or 0) // shard_bytes))
     lengths = sorted(capacities)
+    copied = rows.withColumn("copy", F.lit(0).cast("long"))
+    if (most or 0) > 1:
+        repeated = broadcast_if_small(stage(distinct.where("n > 1").select("row"), "repeated"))
+        equal = numbered(rows.join(repeated, "row", "left_semi"), "row", "copy")
+        copied = copied.join(repeated, "row", "left_anti").unionByName(equal)
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["key", "doc_id", "first_word"], kind="stable")
@@ -137,8 +151,9 @@ def pack(
         return pd.DataFrame(rows, columns=["bin_id", "capacity", "n_words", "doc_ids", "first_words", "piece_words", "text"])
 
     key = F.xxhash64("doc_id", "first_word", "text")
-    placed = pieces(docs, lengths[-1], doc_id, text).withColumn("key", key)
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    placed = pieces(copied, lengths[-1], copy="copy").withColumn("key", key)
+    dealt = F.when(F.col("copy") > 0, F.xxhash64("key", "copy")).otherwise(F.xxhash64("key"))
+    placed = placed.withColumn("shard", F.pmod(dealt, F.lit(shards))).repartition(min(shards, MOST_TASKS), "shard")
     schema = (
         "bin_id long, capacity long, n_words long, doc_ids array<long>, first_words array<long>, piece_words array<long>, text string"
     )

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from qaloom.llm import chat, mixing, neighbours, packing, urls, warc
+from qaloom.llm import chat, common, mixing, neighbours, packing, urls, warc
 from qaloom.llm import queries as llm_queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -197,6 +197,43 @@ def test_a_mix_of_awkward_rows(awkward, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
 
 
+def test_copies_of_a_row_go_to_all_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 100)
+    monkeypatch.setattr(mixing, "COPIES", 64)
+    monkeypatch.setattr(common, "SLICE_ROWS", 50)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 8)
+    same = (7, "five words that come often", "en", "a")
+    rows = [same] * 1_000 + [(100 + i, f"text {i} of other words", "de", "ab"[i % 2]) for i in range(2_000)]
+    rows += [(None, "no id", "en", "5")] * 3 + [(5, "no id", "en", None)] * 2
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    mixed = mixing.mix(frame)
+    taken = mixed.collect()
+    assert len(taken) == len(rows) and len({(r.row_key, r.copy) for r in taken}) == len(rows)
+    assert Counter((r.doc_id, r.source) for r in taken) == Counter((r[0], r[3]) for r in rows)
+    assert sorted(map(str, taken)) == sorted(map(str, mixing.mix(frame.repartition(5)).collect()))
+    # 2,000 rows of source a lie in 20 shards of about 100 rows each.
+    hot = spark.createDataFrame([(r.row_key, r.copy) for r in taken if r.doc_id == 7], "k bigint, copy bigint")
+    shard = F.pmod(F.when(F.col("copy") > 0, F.xxhash64("k", "copy")).otherwise(F.col("k")), F.lit(20))
+    sizes = [r["count"] for r in hot.groupBy(shard).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 100
+    want, got = Counter(), Counter()
+    for r in taken:
+        want[r.doc_id] += r.taken
+    for r in mixing.mixed_documents(frame).collect():
+        got[r.doc_id] += len(r.text.split())
+    assert got == +want
+
+
+def test_rows_are_numbered_within_their_key(spark, monkeypatch):
+    monkeypatch.setattr(common, "SLICE_ROWS", 16)
+    frame = spark.range(1_000).selectExpr("id", "IF(id % 10 = 0, 1, 2) AS k").repartition(3)
+    rows = common.numbered(frame, "k", "nth").collect()
+    assert len(rows) == frame.count() and rows[0].__fields__ == ["id", "k", "nth"]
+    for key in (1, 2):
+        own = [r.nth for r in rows if r.k == key]
+        assert sorted(own) == list(range(len(own)))
+
+
 # --- packing ---------------------------------------------------------------------------------------------------------
 
 
@@ -242,6 +279,25 @@ def test_packing_holds_every_word_once(spark, awkward, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_copies_are_packed_in_all_shards(spark, monkeypatch):
+    monkeypatch.setattr(common, "SLICE_ROWS", 50)
+    rows = [(None, "same four words here")] * 3_000 + [(i, f"other text {i}") for i in range(3_000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bins = packing.pack(frame, capacities=(16, 32), shard_bytes=6_000).collect()
+    packed = Counter()
+    for b in bins:
+        assert len(b.text.split()) == b.n_words <= b.capacity
+        packed.update(b.text.split(packing.SEPARATOR))
+    assert packed == Counter(t for _, t in rows)
+    copies = Counter()
+    for b in bins:
+        copies[b.bin_id >> 32] += b.doc_ids.count(None)
+    shards = len(copies)
+    assert shards >= 15 and max(copies.values()) < 2 * 3_000 / shards
+    again = packing.pack(frame.repartition(7), capacities=(16, 32), shard_bytes=6_000).collect()
+    assert sorted(map(str, bins)) == sorted(map(str, again))
+
+
 # --- urls ------------------------------------------------------------------------------------------------------------
 
 
