@@ -4,6 +4,7 @@ Documents are dealt into blocks of similar length. A stored row holds all postin
 impact among them. A query's weights times these impacts, added up per block, bound what any document of the block can score;
 that needs the small columns of the query's terms only. The blocks with the best bounds are scored first, their k-th best
 score is the query's bar, and of the other blocks only those whose bound reaches the bar are unpacked and scored.
+A block is scored in one piece for many queries, and only each query's best documents leave it.
 
 Rows lie in folders by the hash of the term, sorted by term and block. The number of folders follows the number of postings, and a
 folder has as many files as its rows need.
@@ -13,19 +14,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qaloom.functions.text import terms
 from qaloom.operators.skew import hot_keys, salted_join
+from qaloom.operators.tiles import best_in_tile
 from qaloom.session import broadcast_if_small, is_small, stage
 
 # BM25 saturation and length parameters.
 K1 = 1.2
 B = 0.75
 
-# Documents of a block, and postings of a folder.
+# Documents of a block and the words in them, and postings of a folder. A longer document is a block of its own or shares one.
 BLOCK_DOCUMENTS = 2_048
+BLOCK_WORDS = 1 << 20
 FOLDER_POSTINGS = 1 << 22
 # Documents of like length share a block: lengths are told apart by this many steps for each power of two.
 LENGTH_STEPS = 4
@@ -33,8 +39,13 @@ LENGTH_STEPS = 4
 NAMED_TERMS = 500
 # The blocks that are scored first hold so many documents for each place of the result.
 SEED_DOCUMENTS = 200
+# Terms of queries that meet a block at once, and scores that are held at once (8 MB).
+ASKED = 1 << 19
+HELD_SCORES = 1 << 20
 # Wider than the decimals at which scores are compared.
 MARGIN = 1e-5
+# Decimals at which scores are compared.
+DECIMALS = 6
 
 
 def impact(tf: Column, length: Column, mean_length: float) -> Column:
@@ -83,7 +94,7 @@ def store_index(corpus: DataFrame, path: str, doc_id: str = "doc_id", text: str
     postings = sum(row["postings"] for row in strata)
     mean_length = postings / documents if documents else 0.0
     folders = max(1, -(-postings // FOLDER_POSTINGS))
-    parts = {row["stratum"]: max(1, -(-row["documents"] // BLOCK_DOCUMENTS)) for row in strata}
+    parts = {row["stratum"]: max(1, -(-row["documents"] // BLOCK_DOCUMENTS), -(-row["postings"] // BLOCK_WORDS)) for row in strata}
     sizes = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]) if parts else F.lit(None).cast("map<bigint,int>")
     block = stratum * F.lit(1 << 40) + F.pmod(F.xxhash64("doc_id"), sizes[stratum].cast("long"))
     # A document's block is known before its terms are: one shuffle brings a block's postings of a term together.
@@ -128,7 +139,7 @@ def block_scores(wanted: DataFrame, index: BlockIndex, k: int, report: dict[str,
     vocabulary = wanted.select("term").distinct()
     known = index.statistics.join(broadcast_if_small(stage(vocabulary, "vocabulary")), "term", "left_semi")
     weights = stage(_joined(wanted, known.select("term", "idf"), "query_id").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "weights")
-    rows = index.of_terms(vocabulary)
+    rows, parts = index.of_terms(vocabulary), max(1, -(-weights.count() // ASKED))
     # The bounds need the small columns only.
     heads = _joined(weights, rows.select("term", "block", "n", "top"), "block")
     heads = stage(heads.select("query_id", "term", "block", "n", "weight", (F.col("weight") * F.col("top")).alias("most")), "heads")
@@ -139,7 +150,7 @@ def block_scores(wanted: DataFrame, index: BlockIndex, k: int, report: dict[str,
     first = bounds.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= SEED_DOCUMENTS * k)
     first = first.withColumn("_held", F.coalesce(held, F.lit(0))).where(F.col("_held") < SEED_DOCUMENTS * k)
     first = stage(first.select("query_id", "block"), "first-blocks")
-    seeds = stage(_unpacked(heads.join(broadcast_if_small(first), ["query_id", "block"], "left_semi"), rows, index), "seed-scores")
+    seeds = stage(_unpacked(heads.join(broadcast_if_small(first), ["query_id", "block"], "left_semi"), rows, index, k, parts), "seed-scores")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
     bars = seeds.withColumn("_place", place).where(F.col("_place") == k).select("query_id", (F.col("score") - MARGIN).alias("bar"))
     reached = bounds.join(broadcast_if_small(stage(bars, "bars")), "query_id", "left").where(F.col("bar").isNull() | (F.col("bound") >= F.col("bar")))
@@ -148,7 +159,7 @@ def block_scores(wanted: DataFrame, index: BlockIndex, k: int, report: dict[str,
     if report is not None:
         report["blocks"] = heads.count()
         report["unpacked"] = rest.count() + heads.join(first, ["query_id", "block"], "left_semi").count()
-    return seeds.unionByName(_unpacked(rest, rows, index))
+    return seeds.unionByName(_unpacked(rest, rows, index, k, parts))
 
 
 def _joined(asked: DataFrame, table: DataFrame, spread: str) -> DataFrame:
@@ -160,13 +171,57 @@ def _joined(asked: DataFrame, table: DataFrame, spread: str) -> DataFrame:
     return salted_join(asked, table, "term", spread, hot_keys(asked.groupBy("term").agg(F.count("*").alias("rows")), "term", "rows"))
 
 
-def _unpacked(heads: DataFrame, rows: DataFrame, index: BlockIndex) -> DataFrame:
-    """Scores of the documents in the blocks that queries ask for, each block's terms complete."""
-    # A block is fetched once for all queries that want it.
-    wanted = heads.groupBy("term", "block").agg(F.collect_list(F.struct("query_id", "weight")).alias("askers"))
+def _unpacked(heads: DataFrame, rows: DataFrame, index: BlockIndex, k: int, parts: int) -> DataFrame:
+    """The ``k`` best documents of every query in every block that it asks for, each block's terms complete."""
+    # A block is fetched once for all queries of a part that want it.
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")
+    wanted = heads.groupBy("term", "block", part).agg(F.collect_list(F.struct("query_id", "weight")).alias("askers"))
     wanted = stage(wanted, "wanted-blocks")
     fetched = rows.select("term", "block", "docs", "tfs", "lengths").join(broadcast_if_small(wanted), ["term", "block"])
-    postings = fetched.select("askers", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("tfs").alias("tf"), F.col("lengths").alias("length"))))
-    share = impact(F.col("tf"), F.col("length"), index.mean_length)
-    scores = postings.select("doc_id", share.alias("impact"), F.inline("askers"))
-    return scores.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+    kinds = heads.schema["query_id"].dataType.simpleString(), rows.schema["docs"].dataType.elementType.simpleString()
+    mean_length = index.mean_length or 1.0
+
+    def score(block: pa.Table) -> pa.Table:
+        docs, tfs, lengths, askers = (block[name].combine_chunks() for name in ("docs", "tfs", "lengths", "askers"))
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(docs).to_numpy(zero_copy_only=False))])
+        tf, length = (column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) for column in (tfs, lengths))
+        # As in :func:`impact`.
+        impacts = tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * length / mean_length))
+        known, places = _numbered(docs.flatten())
+        asked = askers.flatten()
+        queries, query = _numbered(asked.field("query_id"))
+        weights = asked.field("weight").to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(askers)), pc.list_value_length(askers).to_numpy(zero_copy_only=False))
+        at_once = max(1, HELD_SCORES // len(known))
+        order = np.lexsort((row, query // at_once))
+        row, query, weights = row[order], query[order], weights[order]
+        slice_ = query // at_once
+        cuts = np.concatenate([[0], np.flatnonzero((np.diff(row) != 0) | (np.diff(slice_) != 0)) + 1, [len(row)]])
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        scores, now = np.zeros((min(at_once, len(queries)), len(known))), 0
+
+        def flush() -> None:
+            q, d = best_in_tile(np.where(scores > 0, scores, -np.inf), np.arange(len(known)), k, DECIMALS)
+            found.append((q + now * at_once, d, scores[q, d]))
+            scores[:] = 0.0
+
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if slice_[begin] != now:
+                flush()
+                now = int(slice_[begin])
+            own = slice(ends[row[begin]], ends[row[begin] + 1])
+            scores[(query[begin:end] - now * at_once)[:, None], places[own]] += weights[begin:end, None] * impacts[own]
+        flush()
+        q, d, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table([queries.take(pa.array(q)), known.take(pa.array(d)), pa.array(s)], names=["query_id", "doc_id", "score"])
+
+    return fetched.groupBy("block", "part").applyInArrow(score, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+
+
+def _numbered(ids: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The different ids in ascending order, null first, and the place of each id among them."""
+    coded = ids.dictionary_encode(null_encoding="encode")
+    order = pc.array_sort_indices(coded.dictionary, null_placement="at_start")
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    return coded.dictionary.take(order), place[coded.indices.to_numpy()]

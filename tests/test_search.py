@@ -194,6 +194,27 @@ def test_blocks_that_cannot_matter_are_not_unpacked(spark, monkeypatch, tmp_path
     assert report["unpacked"] < 0.5 * report["blocks"]
 
 
+def test_blocks_hand_on_the_best_documents_only(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(blockmax, "ASKED", 20)
+    monkeypatch.setattr(blockmax, "HELD_SCORES", 1_000)
+    monkeypatch.setattr(blockmax, "SEED_DOCUMENTS", 4)
+    docs = {f"d{i:03d}": text for i, text in enumerate(zipf_texts(300, 3))} | {f"e{i}": "w0 w1 w2" for i in range(50)}
+    queries = {f"q{i}": f"w0 w{i} w{i + 1}" for i in range(30)}
+    asked = spark.createDataFrame(list(queries.items()), "query_id string, query string")
+    index = lexical.bm25_index(spark.createDataFrame(list(docs.items()), "doc_id string, text string"), path=str(tmp_path / "index"))
+    assert found(lexical.bm25_search(asked, index, k=3)) == bm25_by_hand(queries, docs, 3)
+    blocks = index.blocks.select("block").distinct().count()
+    scores = blockmax.block_scores(lexical.stage(lexical.query_terms(asked), "asked"), index, 3)
+    assert scores.groupBy("query_id").count().agg({"count": "max"}).first()[0] <= 3 * blocks < 300
+
+
+def test_a_block_is_bounded_by_its_words(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(blockmax, "BLOCK_WORDS", 1_000)
+    docs = spark.createDataFrame([(i, "a b c d e " * 20) for i in range(60)], "doc_id bigint, text string")
+    index = lexical.bm25_index(docs, path=str(tmp_path / "index"))
+    assert max(r["n"] for r in index.blocks.where("term = 'a'").collect()) < 30
+
+
 def test_a_stored_index_of_nothing(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id string, text string")
     asked = spark.createDataFrame([("a", "word")], "query_id string, query string")
