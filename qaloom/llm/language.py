@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ START = b"\n" * ORDER
 UNIT = 1 << 16
 # Bytes that are scored at once in a task.
 SLICE = 1_000_000
+# Bytes of text that a task copies, scores and hands back at once.
+HELD = 1 << 21
 # Bytes of training text per language. The sample is drawn by a hash of the text and holds whole texts, each once.
 SAMPLE_BYTES = 2_000_000
 # The sizes of texts are summed in so many steps for each power of two of the hash.
@@ -246,21 +249,31 @@ def identify(docs: DataFrame, model: PpmModel, text: str = "text") -> DataFrame:
     docs = docs.drop("lang_pred", "score")
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     held = sent(docs.sparkSession, model)
-    value = F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("_lettered")
+    # The text itself is among the columns and goes to the tasks once.
+    lettered, place = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_lettered"), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held()
         names = np.array([*model.languages, UNKNOWN], object)
-        for batch in batches:
-            values = batch.column(batch.num_columns - 1).cast(pa.binary())
-            best, score = np.full(len(values), len(names) - 1), np.zeros(len(values))
-            rows = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False) & bool(model.languages))
-            if len(rows):
-                lengths = model.lengths(values.drop_null().to_pylist())
-                best[rows] = lengths.argmin(axis=1)
-                extra = (lengths - lengths.min(axis=1, keepdims=True)) / UNIT
-                score[rows] = 1 / np.exp2(-np.minimum(extra, 1000)).sum(axis=1)
-            own = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(names[best], pa.string()), pa.array(score)], names=schema.names)
-
-    return docs.select("*", value).mapInArrow(run, schema)
+        for whole in batches:
+            for batch in parts(whole):
+                texts = batch.column(place).cast(pa.binary())
+                best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
+                rows = np.flatnonzero(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) & bool(model.languages))
+                if len(rows):
+                    lengths = model.lengths(texts.take(pa.array(rows)).to_pylist())
+                    best[rows] = lengths.argmin(axis=1)
+                    extra = (lengths - lengths.min(axis=1, keepdims=True)) / UNIT
+                    score[rows] = 1 / np.exp2(-np.minimum(extra, 1000)).sum(axis=1)
+                own = [batch.column(i) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(names[best], pa.string()), pa.array(score)], names=schema.names)
+
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Neighbouring rows of about ``HELD`` bytes of text together; a longer text stands alone."""
+        sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        number = (np.cumsum(sizes) - sizes) // HELD
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(number)]]).tolist()
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(begin, end - begin)
+
+    return docs.select("*", lettered).mapInArrow(run, schema)

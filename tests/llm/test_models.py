@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from qaloom.llm import negatives, ranked, suffix_tree
+from qaloom.llm import language, negatives, ranked, suffix_tree
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RATIO = 2.5
@@ -283,3 +283,16 @@ def test_bounds_drop_most_vectors_and_no_result():
         assert [(-s, i) for s, i in zip(*(x.tolist() for x in search.best[q]), strict=True)] == want
     # Of 640 meetings of a query and a bucket, and 160,000 of a query and a vector:
     assert search.met < 500 and search.scored < 30_000
+
+
+def test_language_gets_each_text_once_and_hands_back_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(language, "HELD", 100)
+    rows = [(i, text) for i, text in enumerate(["der hund und die katze " * 3, "the dog and the cat " * 3, None, "", "123", "x" * 500] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    known = spark.createDataFrame([("der hund und die katze", "de"), ("the dog and the cat", "en")], "text string, lang string")
+    found = language.identify(docs, language.train(known, F.lit(True)))
+    given = found._jdf.queryExecution().analyzed().children().head().schema()
+    assert [f.dataType().typeName() for f in given.fields()] == ["long", "string", "boolean"]
+    got = {r.doc_id: r.lang_pred for r in found.collect()}
+    assert len(got) == 120 and [got[i] for i in range(5)] == ["de", "en", "und", "und", "und"] and got[5] != "und"
+    assert all(got[i] == got[i % 6] for i in got)
