@@ -3,8 +3,7 @@
 The tokens of a text are its words, A-Z as a-z, and one end. The root of the tree holds the smoothed shares of all
 training tokens. A run of up to ``depth`` words is a state if some token follows it with a probability that differs by
 a factor of at least ``ratio`` from the one after the run without its first word (the divergence test); with a state all
-its suffixes are states. Only runs that occur often enough are tested: at least ``LEAST`` times, and as often as the square
-root of the training tokens asks for, so that with the corpus both the tree and the evidence for each state grow. A state's distribution discounts the tokens that followed at least ``least`` times and gives
+its suffixes are states. Only runs that occur at least ``LEAST`` times are tested, in a corpus of any size. A state's distribution discounts the tokens that followed at least ``least`` times and gives
 the rest to the distribution of its suffix. A token is scored in the state of the longest suffix of what precedes it.
 
 Counting goes by length: a run can be frequent only if both runs that are one word shorter are, so only such runs are
@@ -31,9 +30,8 @@ from qaloom.session import stage
 # Words of the longest context, and the factor of the test.
 DEPTH = 3
 RATIO = 2.0
-# Occurrences that a context, and a token after it, must have: so many, and this share of the root of all tokens.
+# Occurrences that a context, and a token after it, must have: the same number for every size of the corpus.
 LEAST = 16
-ROOT_SHARE = 1 / 48
 # What is taken from each count of a state for tokens that it does not hold.
 DISCOUNT = 0.5
 # The values of at most so many runs go to every task, and a filter of so many bits (a power of two) over the others.
@@ -186,11 +184,12 @@ def _bitmap(keys: DataFrame) -> Callable[[], np.ndarray]:
 
 
 def train(
-    docs: DataFrame, text: str = "text", depth: int = DEPTH, least: int = LEAST, ratio: float = RATIO, root_share: float = ROOT_SHARE
+    docs: DataFrame, text: str = "text", depth: int = DEPTH, least: int = LEAST, ratio: float = RATIO, root_share: float = 0.0
 ) -> SuffixTree:
     """The tree of all rows of ``docs``. A null text is an empty one, which is an end alone; without rows all is unknown.
 
-    Repeated rows count each time. Only ``text`` is read.
+    Repeated rows count each time. Only ``text`` is read. A caller may ask for more occurrences than ``least`` by a share of the
+    root of all tokens.
     """
     docs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     words = stage(_counted(docs, 1, None), "words")

@@ -137,6 +137,14 @@ def test_evidence_grows_with_the_root_of_the_corpus(spark):
     assert strict.values.where("known = 0").count() < loose.values.where("known = 0").count()
 
 
+def test_a_run_counts_in_a_corpus_of_any_size(spark):
+    # A million training tokens; a share of the root of them would ask for more than 18 occurrences.
+    docs = spark.createDataFrame([("of the " * 5_000,)] * 100 + [("rare words",)] * 18, "text string")
+    tree = suffix_tree.train(docs)
+    assert tree.train_tokens > 1_000_000
+    assert tree.values.where("known = 0 AND n = 18").count() >= 2
+
+
 # --- hard negatives --------------------------------------------------------------------------------------------------
 
 
