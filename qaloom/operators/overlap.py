@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,14 +41,88 @@ def ngrams(tokens: Column, n: int) -> Column:
 def clipped_matches(pairs: DataFrame, key: str, candidate: str, reference: str, views: Sequence[View]) -> DataFrame:
     """Per key, view and n: n-grams of either side and the matches, each counted at most as often as in the other side.
 
-    The texts are shuffled once by key for all views; they are tokenized, exploded, counted and summed inside
-    their partition.
+    Every row is counted where it lies, and only its counts leave the task. Rows that share a key, which count together, are
+    found by these counts and alone are shuffled with their texts.
     """
-    placed = pairs.select(key, F.col(candidate).alias("_c"), F.col(reference).alias("_r")).repartition(key)
-    tokens = [
-        F.coalesce(tokenize(side), F.array()).alias(f"{side}_{name}") for name, tokenize, _ in views for side in ("_c", "_r")
-    ]
+    texts = pairs.select(key, F.col(candidate).alias("_c"), F.col(reference).alias("_r"))
     runs = [(name, n) for name, _, sizes in views for n in sizes]
+    kind = pairs.schema[key].dataType.simpleString()
+    tokens = [F.coalesce(tokenize(side), F.array()).alias(f"{side}_{name}") for name, tokenize, _ in views for side in ("_c", "_r")]
+    sizes = [tuple(sizes) for _, _, sizes in views]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _of_tokens(batch):
+                run = 0
+                for view, ns in enumerate(sizes):
+                    for counts in clipped_in_rows(some.column(1 + 2 * view), some.column(2 + 2 * view), ns):
+                        columns = [some.column(0), pa.array(np.full(some.num_rows, run, np.int32)), *map(pa.array, counts)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["_key", "run", "matches", "candidate_grams", "reference_grams"])
+                        run += 1
+
+    schema = f"_key {kind}, run int, matches long, candidate_grams long, reference_grams long"
+    counted = stage(texts.select(F.col(key).alias("_key"), *tokens).mapInArrow(count, schema), "overlap-counts")
+    again = counted.where("run = 0").groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_key").alias("_again"))
+    again = stage(again, "repeated-keys")
+    if not again.isEmpty():
+        again = broadcast_if_small(again)
+        together = texts.withColumnRenamed(key, "_key").join(again, F.col("_key").eqNullSafe(F.col("_again")), "left_semi")
+        counted = counted.join(again, F.col("_key").eqNullSafe(F.col("_again")), "left_anti").unionByName(_clipped_together(together, views, runs))
+    names, lengths = F.array(*[F.lit(name) for name, _ in runs]), F.array(*[F.lit(n) for _, n in runs])
+    return counted.select(
+        F.col("_key").alias(key),
+        F.get(names, F.col("run")).alias("view"),
+        F.get(lengths, F.col("run")).alias("n"),
+        "matches",
+        "candidate_grams",
+        "reference_grams",
+    )
+
+
+# Tokens of rows that are counted at once in a task; a longer row stands alone.
+COUNTED_TOKENS = 1 << 18
+
+
+def _of_tokens(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of about ``COUNTED_TOKENS`` tokens together."""
+    sizes = sum(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64) for column in batch.columns[1:])
+    number = (np.cumsum(sizes) - sizes) // COUNTED_TOKENS
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(number)]]).tolist()
+    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(begin, end - begin)
+
+
+def clipped_in_rows(candidates: pa.ListArray, references: pa.ListArray, sizes: Sequence[int]) -> list[tuple[np.ndarray, ...]]:
+    """For each size, matches, candidate n-grams and reference n-grams of every row of two lists of tokens."""
+    rows = len(candidates)
+    both = pa.concat_arrays([candidates.flatten(), references.flatten()]).dictionary_encode()
+    codes = both.indices.to_numpy().astype(np.int64)
+    lengths = np.concatenate([pc.list_value_length(side).to_numpy(zero_copy_only=False) for side in (candidates, references)]).astype(np.int64)
+    # Tokens of the text from each token on, itself included.
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
+    owner = np.repeat(np.arange(2 * rows), lengths)
+    # A run of n tokens gets a number by the number of the run of its first n - 1 and its last token.
+    number, at, n = codes, np.arange(len(codes)), 1
+    found: dict[int, tuple[np.ndarray, ...]] = {}
+    for size in sorted(sizes):
+        while n < size:
+            keep = left[at] > n
+            at = at[keep]
+            number = np.unique(number[keep] * (len(both.dictionary) + 1) + codes[at + n], return_inverse=True)[1].astype(np.int64)
+            n += 1
+        side, row = np.divmod(owner[at], rows) if rows else (owner[at], owner[at])
+        keyed = row * (number.max() + 1 if len(number) else 1) + number
+        kinds, first, times = np.unique(keyed, return_index=True, return_inverse=True)
+        in_c = np.bincount(times[side == 0], minlength=len(kinds))
+        in_r = np.bincount(times[side == 1], minlength=len(kinds))
+        found[size] = tuple(np.bincount(row[first], weights, rows).astype(np.int64) for weights in (np.minimum(in_c, in_r), in_c, in_r))
+    return [found[size] for size in sizes]
+
+
+def _clipped_together(placed: DataFrame, views: Sequence[View], runs: list[tuple[str, int]]) -> DataFrame:
+    """``_key, run`` and the counts of rows that share keys; their n-grams are exploded, counted and summed by key."""
+    placed, key = placed.repartition("_key"), "_key"
+    tokens = [F.coalesce(tokenize(side), F.array()).alias(f"{side}_{name}") for name, tokenize, _ in views for side in ("_c", "_r")]
 
     def counted_once(run: int, side: str) -> Column:
         name, n = runs[run]
@@ -64,20 +139,11 @@ def clipped_matches(pairs: DataFrame, key: str, candidate: str, reference: str,
     entries = F.concat(markers, *[counted_once(i, side) for i in range(len(runs)) for side in ("_c", "_r")])
     grams = placed.select(key, *tokens).select(key, F.inline_outer(entries))
     counted = grams.groupBy(key, "run", "gram").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
-    summed = counted.groupBy(key, "run").agg(
+    return counted.groupBy(key, "run").agg(
         F.sum(F.least("c", "r")).alias("matches"),
         F.sum("c").alias("candidate_grams"),
         F.sum("r").alias("reference_grams"),
     )
-    names, sizes = F.array(*[F.lit(name) for name, _ in runs]), F.array(*[F.lit(n) for _, n in runs])
-    return summed.select(
-        key,
-        F.get(names, F.col("run")).alias("view"),
-        F.get(sizes, F.col("run")).alias("n"),
-        "matches",
-        "candidate_grams",
-        "reference_grams",
-    )
 
 
 def f_measure(precision: Column, recall: Column) -> Column:
@@ -137,7 +203,7 @@ def bleu4(
 def overlap_scores(
     pairs: DataFrame, key: str = "pair_id", candidate: str = "prediction", reference: str = "answer"
 ) -> DataFrame:
-    """ROUGE-1, ROUGE-2 and BLEU per key from one shuffle of the texts."""
+    """ROUGE-1, ROUGE-2 and BLEU per key from one read of the texts."""
     counts = clipped_matches(pairs, key, candidate, reference, [rouge_view(), BLEU_VIEW])
     f = f_measure(overlap_precision(), overlap_recall())
 

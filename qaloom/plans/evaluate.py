@@ -94,9 +94,9 @@ def run_long_form(
 def long_form_scores(rows: DataFrame, key: str = "pair_id") -> DataFrame:
     """ROUGE-1, ROUGE-2, ROUGE-L and BLEU of every row; ``key`` has to be unique. ``rows`` is read twice: stage it.
 
-    The overlap scores partition the texts by the key, so joining them to the rows shuffles only the rows.
+    Texts are scored where they lie; joining the scores shuffles the columns that are wanted of the rows.
     """
-    texts = rouge_l_rows(rows.repartition(key), key, "prediction", "answer")
+    texts = rouge_l_rows(rows, key, "prediction", "answer")
     return texts.join(overlap_scores(rows, key), key)
 
 

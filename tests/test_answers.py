@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import time
 import tracemalloc
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -49,6 +50,34 @@ def test_rouge_golden(spark):
     }
 
 
+def test_overlap_counts_rows_where_they_lie_and_shared_keys_together(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "COUNTED_TOKENS", 20)
+    rng = random.Random(5)
+    text = lambda: None if rng.random() < 0.1 else " ".join(rng.choices(["a", "b", "ab", "a b", "C"], k=rng.randint(0, 9)))
+    rows = [(i, text(), text()) for i in range(60)] + [(k, text(), text()) for k in (3, 3, 7, None, None)]
+    views = [("rouge", overlap.ascii_terms, (2, 1)), overlap.BLEU_VIEW]
+
+    def by_hand(rows):
+        want = {}
+        for key in {r[0] for r in rows}:
+            own = [r for r in rows if r[0] == key]
+            for view, sizes in (("rouge", (2, 1)), ("bleu", (1, 2, 3, 4))):
+                for n in sizes:
+                    grams = []
+                    for side in (1, 2):
+                        words = [((r[side] or "").lower() if view == "rouge" else r[side] or "").split() for r in own]
+                        grams.append(Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1)))
+                    want[key, view, n] = ((grams[0] & grams[1]).total(), grams[0].total(), grams[1].total())
+        return want
+
+    for some in (rows, rows[:60]):
+        frame = spark.createDataFrame(some, "k long, c string, r string").repartition(3)
+        counts = overlap.clipped_matches(frame, "k", "c", "r", views)
+        assert {(r.k, r["view"], r.n): (r.matches, r.candidate_grams, r.reference_grams) for r in counts.collect()} == by_hand(some)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
+
+
 def lcs_by_table(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
