@@ -32,8 +32,8 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 # The queries are handed to every task while they are no more than this, and the corpus is not shuffled then.
-BROADCAST_QUERIES = 100_000
-BROADCAST_ELEMENTS = 1 << 23
+BROADCAST_QUERIES = 32_768
+BROADCAST_ELEMENTS = 1 << 21
 
 
 def dense_search(

@@ -30,8 +30,8 @@ ROUNDS = 4
 CELL_ROWS = 4_096
 MOST_PIVOTS = 4_096
 # Queries times cells, and queries times dimensions, of one pass over the index; more queries take several passes.
-QUERY_CELLS = 1 << 23
-QUERY_ELEMENTS = 1 << 23
+QUERY_CELLS = 1 << 21
+QUERY_ELEMENTS = 1 << 20
 # Neighbouring vectors of a cell that are kept or dropped together, and hits that a task holds per query before it sorts.
 RUN = 512
 HELD = 4
@@ -195,7 +195,7 @@ def _scan(
     ids = asked["query_id"].to_numpy()
     read = np.flatnonzero(wanted.any(axis=0))
     cells = [int(c) if c < len(index.pivots) else NO_PIVOT for c in read]
-    askers = {cell: np.flatnonzero(wanted[:, c]) for cell, c in zip(cells, read, strict=True)}
+    askers = {cell: np.flatnonzero(wanted[:, c]).astype(np.int32) for cell, c in zip(cells, read, strict=True)}
     held = left.sparkSession.sparkContext.broadcast((units, ids, askers, bar, index.pivots))
     kind = left.schema["query_id"].dataType.simpleString()
     doc_kind = index.vectors.schema["doc_id"].dataType.simpleString()

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Scores that are computed at once (64 MB), rows of a tile's two sides, and elements (rows x dimensions) of a side.
-SCORE_CELLS = 1 << 23
+# Scores that are computed at once (16 MB), rows of a tile's two sides, and elements (rows x dimensions) of a side.
+SCORE_CELLS = 1 << 21
 LEFT_ROWS = 1 << 12
 RIGHT_ROWS = 1 << 16
 BLOCK_ELEMENTS = 1 << 22

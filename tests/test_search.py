@@ -328,3 +328,15 @@ def test_dense_search_by_short_vectors(spark):
     want = [(i, j, r, scores[i, j]) for i in range(120) for r, j in enumerate(sorted((j for j in range(120) if j != i), key=lambda j: (-scores[i, j], j))[:3], 1)]
     got = found(dense.dense_search(short.withColumnRenamed("doc_id", "query_id"), short, 3, exclude_same_id=True))
     assert sorted((q, r, round(s, 5)) for q, _, r, s in got) == sorted((q, r, round(float(s), 5)) for q, _, r, s in want)
+
+
+def test_a_pass_of_queries_takes_little_memory(spark):
+    # What a task holds of the queries of one pass: their vectors, who asks in which cell, and hits of each.
+    assert pivots.QUERY_ELEMENTS * 8 <= 16 << 20 and pivots.QUERY_CELLS * 4 <= 16 << 20
+    assert tiles.SCORE_CELLS * 8 <= 16 << 20 and dense.BROADCAST_ELEMENTS * 8 <= 16 << 20
+    rows = spark.range(40_000).selectExpr("id AS query_id", "transform(sequence(1, 64), x -> rand(1)) AS vector")
+    asked = rows.where("query_id < 33000").withColumn("query_id", F.col("query_id") + 100_000)
+    index = pivots.pivot_index(rows.where("query_id < 50").withColumnRenamed("query_id", "doc_id"))
+    hits = pivots.pivot_search(asked, index, 1)
+    assert hits._jdf.queryExecution().analyzed().toString().count("Union") > 1
+    assert hits.count() == 33_000
