@@ -235,7 +235,8 @@ def generate_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generate_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies of the stand-in model, with one limit of requests and tokens for all tasks."""
     budget = Budget(requests_per_minute=60_000, tokens_per_minute=600_000_000, lanes=4, reply_tokens=16)
-    replies = generate(close_ended_prompts(spark, sf_dir), stub_reply, ["model", "messages"], budget=budget)
+    asked = close_ended_prompts(spark, sf_dir).select("dataset", "query_id", "model", "use_rag", "messages")
+    replies = generate(asked, stub_reply, ["model", "messages"], budget=budget)
     return replies.select("dataset", "query_id", "model", "use_rag", "reply", "attempts")
 
 

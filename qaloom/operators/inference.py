@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 from typing import Any
 
@@ -99,6 +100,9 @@ def generate(
     """
     fixed = dict(settings)
     names = list(inputs)
+    if budget:
+        # Where the cluster has cores for it, a lane is several tasks, each with its part of the lane's slots and tokens.
+        budget = replace(budget, lanes=budget.lanes * max(1, df.sparkSession.sparkContext.defaultParallelism // budget.lanes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = paced(predict, Lane(TaskContext.get().partitionId(), budget)) if budget else predict

@@ -337,3 +337,11 @@ def test_a_run_keeps_to_its_budget_over_all_tasks(spark, tmp_path):
     stamps = sorted(float(p.name.split("-")[1]) for p in tmp_path.glob("call-*"))
     assert len(stamps) == 66
     assert all(sum(s <= t < s + 1 for t in stamps) <= 21 for s in stamps)
+
+
+def test_a_lane_is_several_tasks_where_there_are_cores(spark):
+    asked = spark.range(400).selectExpr("id", "repeat('x', 100) AS text")
+    budget = lanes.Budget(requests_per_minute=600_000, lanes=1)
+    replies = inference.generate(asked, lambda rows, settings: ["ok"] * len(rows), ["text"], budget=budget)
+    assert replies.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    assert replies.where("reply = 'ok'").count() == 400
