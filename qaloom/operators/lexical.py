@@ -19,6 +19,8 @@ SEED_POSTINGS = 2_000
 SEED_FACTOR = 5
 # The plain join of query terms and postings is taken while it emits no more pairs than this per core.
 DIRECT_PAIRS_PER_CORE = 5_000_000
+# A task adds up no more contributions of query terms to documents than about this many, for a table of any size.
+PAIRS_PER_TASK = 1 << 20
 # The commonest terms of a query are put off while together they reach at most this share of the bound.
 PUT_OFF_SHARE = 0.5
 # Pruning keeps this margin, wider than the decimals at which scores are compared.
@@ -167,11 +169,28 @@ def bm25_search(
         "term", "doc_id", index.impact().alias("impact")
     )
 
-    def matches(some_weights: DataFrame) -> DataFrame:
-        """Postings of the given query terms: a broadcast if all weights are small, else a salted shuffle join."""
+    contribution = F.sum(F.col("weight") * F.col("impact")).alias("score")
+
+    def matched_scores(some_weights: DataFrame, *more: Column) -> DataFrame:
+        """Scores of the documents that hold some of the given query terms (with ``df``), by these terms.
+
+        The document frequencies tell how many contributions the join emits. Where one task should not hold them, the
+        postings are dealt by document first, so that each task adds up whole documents. All postings of a term meet
+        all its queries: a broadcast if all weights are small, else a salted shuffle join.
+        """
+        emitted = some_weights.agg(F.sum("df").alias("rows")).first()["rows"] or 0
+        tasks = _tasks(emitted)
+        some_weights = some_weights.drop("df")
         if small:
-            return postings.join(F.broadcast(some_weights), "term")
-        return salted_join(postings, some_weights, "term", "doc_id", hot)
+            held = postings
+            if tasks > 1:
+                asked = F.broadcast(some_weights.select("term").distinct())
+                held = postings.join(asked, "term", "left_semi").repartition(tasks, "doc_id")
+            joined = held.join(F.broadcast(some_weights), "term")
+        else:
+            joined = salted_join(postings, some_weights, "term", "doc_id", hot)
+            joined = joined.repartition(tasks, "query_id", "doc_id") if tasks > 1 else joined
+        return joined.groupBy("query_id", "doc_id").agg(contribution, *more)
 
     def looked_up(pairs: DataFrame, some_weights: DataFrame, few: bool) -> DataFrame:
         """Contributions of the given terms to the given (query, document) pairs."""
@@ -183,12 +202,11 @@ def bm25_search(
             wanted_postings = salted_join(pairs, some_weights, "query_id", "doc_id", many)
         return (F.broadcast(wanted_postings) if few else wanted_postings).join(postings, ["term", "doc_id"])
 
-    contribution = F.sum(F.col("weight") * F.col("impact")).alias("score")
     if direct is None:
         pairs = weighted.agg(F.sum("df").alias("pairs")).first()["pairs"] or 0
         direct = pairs <= DIRECT_PAIRS_PER_CORE * wanted.sparkSession.sparkContext.defaultParallelism
     if direct:
-        scores = matches(weighted.select("query_id", "term", "weight")).groupBy("query_id", "doc_id").agg(contribution)
+        scores = matched_scores(weighted.select("query_id", "term", "weight", "df"))
         return top_k(scores, k, ["query_id"]).select("query_id", "doc_id", "score", "rank")
 
     rarest = Window.partitionBy("query_id").orderBy("df", "term")
@@ -196,10 +214,10 @@ def bm25_search(
     seeds = (
         weighted.withColumn("_read", F.sum("df").over(upto))
         .where((F.col("_read") <= SEED_POSTINGS) | (F.col("_read") == F.col("df")))
-        .select("query_id", "term", "weight")
+        .select("query_id", "term", "weight", "df")
     )
     n_seeds = SEED_FACTOR * k
-    seed_pairs = top_k(matches(seeds).groupBy("query_id", "doc_id").agg(contribution), n_seeds, ["query_id"])
+    seed_pairs = top_k(matched_scores(seeds), n_seeds, ["query_id"])
     few_seeds = fits_broadcast(n_weights * n_seeds, n_bytes * n_seeds)
     seed_terms = looked_up(seed_pairs.select("query_id", "doc_id"), weighted.select("query_id", "term", "weight"), few_seeds)
     bounds = _kth_score(seed_terms.groupBy("query_id", "doc_id").agg(contribution), k)
@@ -213,14 +231,10 @@ def bm25_search(
         .withColumn("put_off", F.sum("most").over(running) <= F.col("bound") * F.lit(PUT_OFF_SHARE))
         .withColumn("floor", F.col("bound") - F.coalesce(reach, F.lit(0.0)))
     )
-    marked = stage(marked.select("query_id", "term", "weight", "put_off", "floor"), "query-plan")
+    marked = stage(marked.select("query_id", "term", "weight", "df", "put_off", "floor"), "query-plan")
 
-    partial = (
-        matches(marked.where(~F.col("put_off")))
-        .groupBy("query_id", "doc_id")
-        .agg(contribution, F.max("floor").alias("floor"))
-        .where(F.col("score") >= F.col("floor"))
-    )
+    generating = marked.where(~F.col("put_off")).drop("put_off")
+    partial = matched_scores(generating, F.max("floor").alias("floor")).where(F.col("score") >= F.col("floor"))
     partial = stage(partial.select("query_id", "doc_id", "score"), "partial-scores")
     remaining = marked.where("put_off").select("query_id", "term", "weight")
     n_pairs, pair_bytes = measure(partial)
@@ -229,10 +243,17 @@ def bm25_search(
     completed = looked_up(partial.select("query_id", "doc_id"), remaining, few).select(
         "query_id", "doc_id", (F.col("weight") * F.col("impact")).alias("score")
     )
-    totals = partial.unionByName(completed).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    summands, tasks = partial.unionByName(completed), _tasks(n_pairs * (1 + longest))
+    summands = summands.repartition(tasks, "query_id", "doc_id") if tasks > 1 else summands
+    totals = summands.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
     return top_k(totals, k, ["query_id"]).select("query_id", "doc_id", "score", "rank")
 
 
+def _tasks(rows: int) -> int:
+    """Tasks that so many contributions are dealt to."""
+    return -(-rows // PAIRS_PER_TASK)
+
+
 def _kth_score(scores: DataFrame, k: int) -> DataFrame:
     """The k-th best score of every query that has as many: no document of the top k scores less."""
     return top_k(scores, k, ["query_id"]).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))

@@ -72,6 +72,31 @@ def test_bm25_without_broadcasts(collection, direct, shuffle_only):
     assert found(lexical.bm25_search(q, d, k=5, direct=direct)) == bm25_by_hand(queries, docs, 5)
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+@pytest.mark.parametrize("direct", [True, False])
+def test_a_task_adds_up_a_bounded_number_of_contributions(collection, direct, shuffled, monkeypatch, request):
+    if shuffled:
+        request.getfixturevalue("shuffle_only")
+    queries, docs, q, d = collection
+    dealt = []
+    original = type(d).repartition
+
+    def spy(df, n, *columns):
+        dealt.append((n, columns))
+        return original(df, n, *columns)
+
+    monkeypatch.setattr(type(d), "repartition", spy)
+    monkeypatch.setattr(lexical, "PAIRS_PER_TASK", 100)
+    hits = lexical.bm25_search(q, d, k=5, direct=direct)
+    assert found(hits) == bm25_by_hand(queries, docs, 5)
+    wanted = [t for text in queries.values() for t in set(text.lower().split())]
+    emitted = sum(t in set(text.lower().split()) for t in wanted for text in docs.values())
+    # Whole documents to a task, or whole pairs where the weights are too large to broadcast.
+    columns = ("query_id", "doc_id") if shuffled else ("doc_id",)
+    most = max(n for n, by in dealt if by == columns)
+    assert most > 1 and (not direct or most == -(-emitted // 100))
+
+
 def test_bm25_stored_index(spark, collection, tmp_path):
     queries, docs, q, d = collection
     lexical.bm25_index(d, path=str(tmp_path / "index"))
