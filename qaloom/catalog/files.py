@@ -20,6 +20,8 @@ from qaloom.sources import readers, writers
 
 # Entries per root object: a collection of any size arrives as many bounded files.
 BUNDLE_ROWS = 200
+# Raw files repeat texts and are many, so they are compressed; each is read by one task.
+RAW_COMPRESSION = "gzip"
 
 
 # --- Raw files -------------------------------------------------------------------------------------------------------
@@ -123,7 +125,7 @@ def passage_file(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "tsv")
     documents = table(spark, sf_dir, "documents").select("doc_id", one_line("text").alias("text"))
     writer = in_order(documents, "doc_id").write.option("sep", "\t").option("escape", '"')
-    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path, compression=RAW_COMPRESSION)
     return path
 
 
@@ -364,7 +366,7 @@ def prep_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages with themselves as answers, written as training files; pairs and chats read back."""
     folder = scratch_path(spark, "passages")
     prepared = prep.passage_qa(readers.read_id_text_tsv(spark, passage_file(spark, sf_dir)))
-    prep.write_prepared(prepared, folder, "train")
+    prep.write_prepared(prepared, folder, "train", compression=RAW_COMPRESSION)
     pairs = readers.read_qa_csv(spark, f"{folder}/train.csv", schemas.QA_PAIR_WITH_ID)
     chats = prep.unpack_pairs(readers.read_jsonl(spark, f"{folder}/train.jsonl", schemas.CHAT))
     columns = ["file", "id", "question", "answer"]
@@ -386,7 +388,7 @@ def prep_passage_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = readers.read_id_text_tsv(spark, passage_file(spark, sf_dir))
     folder = scratch_path(spark, "passage-tables")
     asked = questions(spark, sf_dir).select(F.col("query_id").cast("string").alias("id"), one_line("query").alias("text"))
-    prep.write_passage_tables(passages, passages, asked, folder)
+    prep.write_passage_tables(passages, passages, asked, folder, compression=RAW_COMPRESSION)
     with_id = readers.read_qa_csv(spark, f"{folder}/train.csv", schemas.QA_PAIR_WITH_ID).withColumn("id", F.col("id").cast("string"))
     tables = {"train": with_id}
     for name in ("test", "test_queries"):

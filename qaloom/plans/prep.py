@@ -196,22 +196,33 @@ def restrict_to_corpus(qrels: DataFrame, doc_ids: DataFrame) -> DataFrame:
     return qrels.join(broadcast_if_small(doc_ids.select("doc_id")), "doc_id", "left_semi")
 
 
-def write_prepared(prepared: DataFrame, folder: str, name: str, with_id: bool = True) -> None:
-    """``{name}.jsonl`` with the chats and ``{name}.csv`` with the pairs, the id on training sets only."""
-    write_chat_jsonl(prepared, f"{folder}/{name}.jsonl")
+def write_prepared(
+    prepared: DataFrame, folder: str, name: str, with_id: bool = True, compression: str = "none"
+) -> None:
+    """``{name}.jsonl`` with the chats and ``{name}.csv`` with the pairs, the id on training sets only.
+
+    Files repeat each text as often as the chat does. ``compression="gzip"`` saves most of their room; a compressed file
+    is read by one task, so there should be several.
+    """
+    write_chat_jsonl(prepared, f"{folder}/{name}.jsonl", compression=compression)
     columns = ["id", "question", "answer"] if with_id else ["question", "answer"]
-    write_qa_csv(prepared, f"{folder}/{name}.csv", columns)
+    write_qa_csv(prepared, f"{folder}/{name}.csv", columns, compression=compression)
 
 
 def write_passage_tables(
-    train: DataFrame, test: DataFrame, queries: DataFrame, folder: str, system: str = prompts.EXPLAIN_SYSTEM
+    train: DataFrame,
+    test: DataFrame,
+    queries: DataFrame,
+    folder: str,
+    system: str = prompts.EXPLAIN_SYSTEM,
+    compression: str = "none",
 ) -> None:
     """Passages (``id, text``) as training set, test documents and test queries, each with files of its own.
 
     Training files keep the ids, the other two have none; ``query_ids.csv`` keeps the ids of the queries for scoring.
     """
-    write_prepared(passage_qa(train, system), folder, "train")
-    write_prepared(passage_qa(test, system), folder, "test", with_id=False)
+    write_prepared(passage_qa(train, system), folder, "train", compression=compression)
+    write_prepared(passage_qa(test, system), folder, "test", with_id=False, compression=compression)
     asked = passage_qa(queries, system)
-    write_prepared(asked, folder, "test_queries", with_id=False)
-    write_qa_csv(asked, f"{folder}/query_ids.csv", ["id", "question"])
+    write_prepared(asked, folder, "test_queries", with_id=False, compression=compression)
+    write_qa_csv(asked, f"{folder}/query_ids.csv", ["id", "question"], compression=compression)

@@ -22,14 +22,16 @@ def _csv(writer):
     )
 
 
-def write_chat_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_chat_jsonl(df: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> None:
     """One ``{"messages": […]}`` object per line."""
-    df.select("messages").write.mode(mode).option("ignoreNullFields", False).json(path)
+    df.select("messages").write.mode(mode).option("ignoreNullFields", False).json(path, compression=compression)
 
 
-def write_qa_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, mode: str = "overwrite") -> None:
+def write_qa_csv(
+    df: DataFrame, path: str, columns: Sequence[str] | None = None, mode: str = "overwrite", compression: str = "none"
+) -> None:
     """QA pairs as CSV with a header and no index column."""
-    _csv(df.select(*(columns or df.columns)).write.mode(mode)).csv(path)
+    _csv(df.select(*(columns or df.columns)).write.mode(mode)).csv(path, compression=compression)
 
 
 def corpus_records(df: DataFrame, doc_id: str, title: str, text: str, url: str) -> DataFrame:
