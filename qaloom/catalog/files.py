@@ -27,16 +27,17 @@ RAW_COMPRESSION = "gzip"
 # --- Raw files -------------------------------------------------------------------------------------------------------
 
 
-def write_bundles(df: DataFrame, entry: Column, order: str, head: str, tail: str, path: str) -> None:
-    """Root objects of at most ``BUNDLE_ROWS`` entries in the order of a key, one file each, files in path order."""
-    numbered = global_index(df, [order])
+def write_bundles(numbered: DataFrame, entry: Column, head: str, tail: str, path: str) -> None:
+    """Root objects of at most ``BUNDLE_ROWS`` entries in the order of ``idx``, one file each, files in path order."""
     shard = F.lpad(F.floor(F.col("idx") / BUNDLE_ROWS).cast("string"), 10, "0")
-    placed = numbered.select(shard.alias("shard"), F.struct("idx", entry.alias("entry")).alias("e"))
+    # The rows are shuffled, not the entries, in which their texts come twice.
+    placed = numbered.withColumn("shard", shard).repartition("shard")
+    placed = placed.select("shard", F.struct("idx", entry.alias("entry")).alias("e"))
     entries = F.transform(F.sort_array(F.collect_list("e")), lambda e: e["entry"])
     bundles = placed.groupBy("shard").agg(
         F.concat(F.lit(head), F.array_join(entries, ", "), F.lit(tail)).alias("value")
     )
-    bundles.write.partitionBy("shard").text(path)
+    bundles.write.partitionBy("shard").text(path, compression=RAW_COMPRESSION)
 
 
 def in_order(df: DataFrame, *keys: str) -> DataFrame:
@@ -44,9 +45,14 @@ def in_order(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def document_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as questions. Labels give yes/no; unlabelled documents have other kinds of answers or none."""
+def numbered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their labels, and their numbers in the order of their ids."""
     documents = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return global_index(documents, ["doc_id"])
+
+
+def document_questions(documents: DataFrame) -> DataFrame:
+    """Documents as questions. Labels give yes/no; unlabelled documents have other kinds of answers or none."""
     kind = F.pmod("doc_id", F.lit(3))
     exact = (
         F.when(F.col("quality") == 1, '"yes"')
@@ -57,8 +63,9 @@ def document_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.withColumn("exact", exact)
 
 
-def question_files(spark: SparkSession, sf_dir: str) -> str:
+def question_files(spark: SparkSession, sf_dir: str, numbered: DataFrame | None = None) -> str:
     """Question bundles: body, exact answer (text, list or absent), ideal answers, lines as snippets."""
+    numbered = numbered_documents(spark, sf_dir) if numbered is None else numbered
     path = scratch_path(spark, "bundles")
     kind = F.pmod("doc_id", F.lit(4))
     ideal = (
@@ -74,14 +81,14 @@ def question_files(spark: SparkSession, sf_dir: str) -> str:
         F.when(kind != 3, F.concat(F.lit('"snippets": '), F.to_json(snippets))),
     ]
     entry = F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))
-    write_bundles(document_questions(spark, sf_dir), entry, "doc_id", '{"questions": [', "]}", path)
+    write_bundles(document_questions(numbered), entry, '{"questions": [', "]}", path)
     return path
 
 
-def article_files(spark: SparkSession, sf_dir: str) -> str:
+def article_files(spark: SparkSession, sf_dir: str, numbered: DataFrame | None = None) -> str:
     """Articles keyed by document id: question, lines as contexts, decision and reasoning flag."""
+    numbered = numbered_documents(spark, sf_dir) if numbered is None else numbered
     path = scratch_path(spark, "keyed")
-    documents = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     decision = F.when(F.col("quality") == 1, "yes").when(F.col("quality") == 0, "no").when(
         F.pmod("doc_id", F.lit(2)) == 0, "maybe"
     )
@@ -95,7 +102,7 @@ def article_files(spark: SparkSession, sf_dir: str) -> str:
         )
     )
     entry = F.concat(F.lit('"'), F.col("doc_id"), F.lit('": '), value)
-    write_bundles(documents, entry, "doc_id", "{", "}", path)
+    write_bundles(numbered, entry, "{", "}", path)
     return path
 
 
@@ -294,8 +301,9 @@ def prep_multiple_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prep_close_ended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three close-ended sets in one call: entries and characters per set and split."""
-    questions = readers.read_question_bundle(spark, question_files(spark, sf_dir))
-    articles = readers.read_keyed_json(spark, article_files(spark, sf_dir))
+    numbered = numbered_documents(spark, sf_dir)
+    questions = readers.read_question_bundle(spark, question_files(spark, sf_dir, numbered))
+    articles = readers.read_keyed_json(spark, article_files(spark, sf_dir, numbered))
     lines = readers.read_jsonl(spark, choice_file(spark, sf_dir), schemas.MULTIPLE_CHOICE)
     prepared = prep.prepare_close_ended(questions, questions, articles, articles, {"train": lines, "test": lines})
     united = None
@@ -404,7 +412,7 @@ def keyed_json_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "repeated")
     value = F.to_json(F.struct(F.col("source").alias("QUESTION"), F.col("doc_id").cast("string").alias("final_decision")))
     entry = F.concat(F.lit('"'), F.pmod("doc_id", F.lit(100)), F.lit('": '), value)
-    write_bundles(table(spark, sf_dir, "documents"), entry, "doc_id", "{", "}", path)
+    write_bundles(global_index(table(spark, sf_dir, "documents"), ["doc_id"]), entry, "{", "}", path)
     return readers.read_keyed_json(spark, path).select("position", "key", "QUESTION", "final_decision")
 
 

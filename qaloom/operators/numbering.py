@@ -65,13 +65,16 @@ def running_starts(sizes: DataFrame, key: str, size_col: str) -> DataFrame:
     return local.join(before, "_slice").select(key, (F.col("_before") + F.col("_local")).alias("_start"))
 
 
-def stacked_index(df: DataFrame, file_col: str, pos_col: str, name: str = "idx") -> DataFrame:
+def stacked_index(
+    df: DataFrame, file_col: str, pos_col: str, name: str = "idx", counted: DataFrame | None = None
+) -> DataFrame:
     """Consecutive numbers over files in path order, given each row's position inside its file.
 
-    ``df`` has to be a table (its rows are counted once before they are numbered). Where the files are too many to
+    ``df`` has to be a table, or be derived from tables alone (its rows are counted once before they are numbered).
+    ``counted`` may hold these two columns of all rows where they are cheaper to read. Where the files are too many to
     broadcast their starts, a file with very many rows is cut into slices for the join.
     """
-    sizes = df.groupBy(file_col).agg((F.max(pos_col) + 1).alias("_size"))
+    sizes = (df if counted is None else counted).groupBy(file_col).agg((F.max(pos_col) + 1).alias("_size"))
     sizes = stage(sizes, "file-sizes")
     starts = stage(running_starts(sizes, file_col, "_size"), "file-starts")
     if is_small(starts):

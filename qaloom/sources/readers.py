@@ -35,10 +35,15 @@ def read_jsonl(spark: SparkSession, path: Paths, schema: str, ordered: bool = Fa
     return lines.select(*lines.columns, *line_order()) if ordered else lines
 
 
-def _numbered(landed: DataFrame) -> DataFrame:
-    """Adds ``position``, counted from 0 over all files in path order, to landed elements of records."""
-    landed = landed.withColumn("_stretch", F.struct("_file", "_range", "_part")).withColumn("_nth", F.col("_at") + F.col("_pos"))
-    return stacked_index(landed, "_stretch", "_nth", "position").drop("_stretch", "_nth", "_range", "_part", "_at", "_pos")
+def _numbered(landed: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Adds ``position``, counted from 0 over all files in path order, to landed elements of records.
+
+    Records are staged as texts, which take less room than their columns, and parsed by whatever reads them.
+    """
+    placed = {"_stretch": F.struct("_file", "_range", "_part"), "_nth": F.col("_at") + F.col("_pos")}
+    counted = None if counted is None else counted.withColumns(placed)
+    numbered = stacked_index(landed.withColumns(placed), "_stretch", "_nth", "position", counted)
+    return numbered.drop("_stretch", "_nth", "_range", "_part", "_at", "_pos")
 
 
 def read_question_bundle(
@@ -53,7 +58,7 @@ def read_question_bundle(
     elements = F.concat(F.lit("["), F.regexp_replace("text", r"^[\s,]+", ""), F.lit("]"))
     parsed = F.from_json(elements, f"ARRAY<STRUCT<{_struct_body(schema)}>>")
     exploded = records.where(F.trim(elements) != "[]").select("_file", "_range", "_part", "_at", F.posexplode(parsed).alias("_pos", "q"))
-    return _numbered(stage(exploded.select("_file", "_range", "_part", "_at", "_pos", "q.*"), "bundle")).drop("_file")
+    return _numbered(exploded.select("_file", "_range", "_part", "_at", "_pos", "q.*")).drop("_file")
 
 
 def read_keyed_json(spark: SparkSession, path: Paths, schema: str = schemas.KEYED_ARTICLE) -> DataFrame:
@@ -66,12 +71,14 @@ def read_keyed_json(spark: SparkSession, path: Paths, schema: str = schemas.KEYE
     text = F.concat(F.lit("{"), F.regexp_replace("text", r"^[\s,]+", ""), F.lit("}"))
     entries = F.map_entries(F.from_json(text, f"MAP<STRING, STRUCT<{_struct_body(schema)}>>"))
     exploded = records.select("_file", "_range", "_part", "_at", F.posexplode(entries).alias("_pos", "e"))
-    landed = stage(exploded.select("_file", "_range", "_part", "_at", "_pos", F.col("e.key").alias("key"), "e.value.*"), "keyed-entries")
-    placed = _numbered(landed)
-    again = placed.groupBy("_file", "key").agg(F.min("position").alias("_first"), F.max("position").alias("_last"), F.count("*").alias("_n"))
-    again = stage(again.where("_n > 1").drop("_n"), "repeated-keys")
-    if again.isEmpty():
+    landed = exploded.select("_file", "_range", "_part", "_at", "_pos", F.col("e.key").alias("key"), "e.value.*")
+    keys = stage(landed.select("_file", "_range", "_part", "_at", "_pos", "key"), "keys")
+    placed = _numbered(landed, keys)
+    twice = keys.groupBy("_file", "key").agg(F.count("*").alias("_n")).where("_n > 1")
+    if twice.isEmpty():
         return placed.drop("_file")
+    again = _numbered(keys).groupBy("_file", "key").agg(F.min("position").alias("_first"), F.max("position").alias("_last"), F.count("*").alias("_n"))
+    again = stage(again.where("_n > 1").drop("_n"), "repeated-keys")
     fields = [c for c in placed.columns if c not in ("_file", "key", "position")]
     known = placed.join(broadcast_if_small(again.select("_file", "key", "_first", "_last")), ["_file", "key"], "left")
     # A repeated key is the row of its last value, moved to the place of its first.
