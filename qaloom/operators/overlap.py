@@ -282,22 +282,33 @@ def rouge_l_rows(
     if asked.isEmpty():
         return rows.withColumn(output, rouge_l(candidate, reference))
 
-    def cut(side: str, name: str) -> DataFrame:
+    # Every pair takes part in the first diagonal, with the beginnings of its own texts: nothing is joined for it.
+    beginnings = [F.slice(side, 1, F.lit(step)).alias(f"{name}_tokens") for side, name in (("_c", "_i"), ("_r", "_j"))]
+    nothing = [F.lit(None).cast("binary").alias(name) for name in ("state", "border")]
+    first = asked.select("_key", F.lit(0).alias("_i"), F.lit(0).alias("_j"), *beginnings, *nothing)
+    # The other diagonals have the pairs that reach them alone, and of these the blocks that meet there.
+    wide = asked.where((F.size("_c") > step) | (F.size("_r") > step))
+
+    def cut(side: str, name: str, other: str) -> DataFrame:
         blocks = F.transform(
             F.sequence(F.lit(0), F.floor((F.size(side) - 1) / step).cast("int")), lambda i: F.slice(side, i * step + 1, F.lit(step))
         )
-        return asked.select("_key", F.posexplode(blocks).alias(name, f"{name}_tokens"))
+        across = F.ceil(F.size(other) / step).cast("int").alias(f"{name}_across")
+        return wide.select("_key", across, F.posexplode(blocks).alias(name, f"{name}_tokens"))
 
-    ups, overs = stage(cut("_c", "_i"), "lcs-rows"), stage(cut("_r", "_j"), "lcs-columns")
+    def reaching(blocks: DataFrame, name: str, diagonal: int) -> DataFrame:
+        return blocks.where((F.col(name) <= diagonal) & (F.lit(diagonal) - F.col(name) < F.col(f"{name}_across"))).drop(f"{name}_across")
+
+    ups, overs = stage(cut("_c", "_i", "_r"), "lcs-rows"), stage(cut("_r", "_j", "_c"), "lcs-columns")
     last = asked.agg(F.max(F.floor((F.size("_c") - 1) / step) + F.floor((F.size("_r") - 1) / step)).alias("n")).first()["n"]
     kind = rows.schema[key].dataType.simpleString()
     schema = f"_key {kind}, _i int, _j int, state binary, border binary, matched long"
-    done = stage(rows.sparkSession.createDataFrame([], schema), "lcs-none")
-    found = []
-    for diagonal in range(last + 1):
+    done = stage(first.mapInArrow(_lcs_step, schema), "lcs-step")
+    found = [done.select("_key", "_i", "_j", "matched")]
+    for diagonal in range(1, last + 1):
         states = done.select("_key", "_i", (F.col("_j") + 1).alias("_j"), "state")
         borders = done.select("_key", (F.col("_i") + 1).alias("_i"), "_j", "border")
-        met = ups.where(F.col("_i") <= diagonal).withColumn("_j", F.lit(diagonal) - F.col("_i")).join(overs, ["_key", "_j"])
+        met = reaching(ups, "_i", diagonal).withColumn("_j", F.lit(diagonal) - F.col("_i")).join(reaching(overs, "_j", diagonal), ["_key", "_j"])
         met = met.join(states, ["_key", "_i", "_j"], "left").join(borders, ["_key", "_i", "_j"], "left")
         met = met.select("_key", "_i", "_j", "_i_tokens", "_j_tokens", "state", "border")
         done = stage(met.mapInArrow(_lcs_step, schema), "lcs-step")

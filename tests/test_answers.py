@@ -104,6 +104,22 @@ def test_lcs_in_steps_of_tasks(spark):
     assert {r.pair_id: r.rougel for r in overlap.rouge_l_rows(rows, "pair_id", "prediction", "answer").collect()} == whole
 
 
+def test_steps_take_the_blocks_that_meet_alone(spark, monkeypatch):
+    rng = random.Random(6)
+    short = [(" ".join(rng.choices("abcd", k=8)), " ".join(rng.choices("abcd", k=8))) for _ in range(20)]
+    texts = [(" ".join(rng.choices("abcd", k=20)), " ".join(rng.choices("abcd", k=12))), *short]
+    rows = pairs(spark, texts).withColumn("pair_id", F.col("pair_id").cast("string"))
+    staged = []
+    original = overlap.stage
+    monkeypatch.setattr(overlap, "stage", lambda df, label: staged.append((label, original(df, label))) or staged[-1][1])
+    stepped = overlap.rouge_l_rows(rows, "pair_id", "prediction", "answer", cells=60, step=8)
+    whole = rows.withColumn("rougel", overlap.rouge_l("prediction", "answer"))
+    assert {r.pair_id: pytest.approx(r.rougel) for r in stepped.collect()} == {r.pair_id: r.rougel for r in whole.collect()}
+    # Pairs of one step each are not cut for the joins, and a diagonal has the steps of one pair.
+    assert {label: df.count() for label, df in staged if label in ("lcs-rows", "lcs-columns")} == {"lcs-rows": 3, "lcs-columns": 2}
+    assert [df.count() for label, df in staged if label == "lcs-step"] == [21, 2, 2, 1]
+
+
 def test_lcs_of_a_million_tokens_takes_little_memory():
     a, b = [str(i) for i in range(1_000_000)], [str(i) for i in range(500, 700)]
     tracemalloc.start()
