@@ -6,8 +6,9 @@ a factor of at least ``ratio`` from the one after the run without its first word
 its suffixes are states. Only runs that occur at least ``LEAST`` times are tested, in a corpus of any size. A state's distribution discounts the tokens that followed at least ``least`` times and gives
 the rest to the distribution of its suffix. A token is scored in the state of the longest suffix of what precedes it.
 
-Counting goes by length: a run can be frequent only if both runs that are one word shorter are, so only such runs are
-shuffled. The logarithm of a token's probability is that at the root, plus one summand for each suffix of its context
+Words are counted first. Longer runs take one shuffle for all lengths: each token is sent once, with the frequent words
+that follow it, packed by the hash of the first two words, so all runs that begin with them meet; two words that are
+both very common are dealt by three. A task drops rare runs before it returns rows. The logarithm of a token's probability is that at the root, plus one summand for each suffix of its context
 that is a state (the weight that it passes down), plus one for each run with the token that is held in a state (its gain over
 the passed-down probability). So a text scores the sum of fixed values of its runs, and scoring is one join of runs
 with values: the commonest go to all tasks, a filter of fixed size drops runs without a value, the rest are shuffled.
@@ -39,6 +40,12 @@ HEAD = 1 << 19
 FILTER_BITS = 27
 # Runs that a task adds up before they leave it.
 BUFFER = 1 << 22
+# Words with short codes in what is shuffled (16 bits, less the codes for none and for any other word).
+CODES = (1 << 16) - 2
+# Words that make up at least 1 / ``COMMON`` of all tokens are very common.
+COMMON = 1 << 10
+# Windows are dealt to so many buckets, or more, so that one stands for at most ``BUCKET`` tokens (both powers of two).
+BUCKETS, BUCKET = 1 << 8, 1 << 21
 
 END = np.uint64(0x2545F4914F6CDD1D)
 
@@ -119,48 +126,160 @@ def _texts(column: pa.Array) -> Iterator[list[bytes]]:
     return slices(column.cast(pa.binary()).to_pylist())
 
 
-def _counted(docs: DataFrame, order: int, bitmap: Callable[[], np.ndarray] | None) -> DataFrame:
-    """``key, n[, ctx, low]`` of all runs of ``order`` tokens whose two shorter runs pass the filter.
-
-    ``ctx`` is the run without its last token, ``low`` the one without its first; runs of two do without these,
-    which would make the largest shuffle wider.
-    """
-    wide = order > 2
-    names = ["key", "n", "ctx", "low"] if wide else ["key", "n"]
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """``key, n`` of all tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, known = _Sums(names), bitmap() if bitmap else None
+        sums = _Sums(["key", "n"])
         for batch in batches:
             for part in _texts(batch.column(0)):
-                keys, place, _ = _runs(part, order)
-                if order == 1:
-                    found = np.arange(len(place))
-                else:
-                    ok = _passes(known, keys[order - 2])
-                    found = np.flatnonzero(ok[1:] & ok[:-1] & (place[1:] >= order - 1)) + 1
-                more = (keys[order - 2][found - 1], keys[order - 2][found]) if wide else ()
-                yield from sums.add(keys[order - 1][found], np.ones(len(found), np.int64), *more)
+                (single,), _, _ = _runs(part, 1)
+                yield from sums.add(single, np.ones(len(single), np.int64))
         yield from sums.flush()
 
-    rows = docs.select("text").mapInArrow(count, ", ".join(f"{name} long" for name in names))
-    firsts = [F.first(name).alias(name) for name in names[2:]]
-    return rows.groupBy("key").agg(F.sum("n").alias("n"), *firsts)
+    return docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _extended(keys: np.ndarray, order: int, words: np.ndarray) -> np.ndarray:
+    """Keys of runs of ``order`` tokens, from those of the runs without the last token."""
+    return mix(mix(keys + np.uint64(order)) ^ words)
+
 
+class _Windows:
+    """Tokens of texts, 0 for a rare one and after each text; they leave as the different windows of up to ``longest``.
 
-def _pair_parts(docs: DataFrame, bitmap: Callable[[], np.ndarray]) -> DataFrame:
-    """``key, ctx, low`` of the pairs that pass the filter: the two tokens of a pair."""
+    A window is a token with those that follow it, up to the first 0. A pair of very common words is sent on its own, to
+    be counted, and its windows go where their first three tokens meet.
+    """
+
+    NAMES = ("bucket", "rows", "size", "data")
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, known = _Sums(["key", "n", "ctx", "low"]), bitmap()
+    def __init__(self, longest: int, bits: int, coded: np.ndarray, common: np.ndarray):
+        self.longest, self.bits, self.coded, self.common = longest, bits, coded, common
+        self.parts, self.held = [], 0
+
+    def add(self, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(words)
+        self.held += len(words)
+        if self.held >= BUFFER:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        words = np.concatenate([*self.parts, np.zeros(self.longest, np.uint64)])
+        self.parts, self.held = [], 0
+        at = np.flatnonzero((words[:-1] != 0) & (words[1:] != 0))
+        if not len(at):
+            return
+        length, key = np.ones(len(at), np.uint8), words[at]
+        route, common = None, _member(self.common, words[at]) & _member(self.common, words[at + 1])
+        for order in range(2, self.longest + 1):
+            more = np.flatnonzero((length == order - 1) & (words[at + (order - 1)] != 0))
+            key[more], length[more] = _extended(key[more], order, words[at[more] + (order - 1)]), order
+            if order == 2:
+                pairs = key[common]
+                route = mix(key)
+            if order == 3:
+                route[common] = mix(key[common])
+        apart = np.flatnonzero(~common | (length > 2))
+        at = np.concatenate([at[apart], at[common]])
+        length = np.concatenate([length[apart], np.full(len(pairs), 2, np.uint8)])
+        key, route = np.concatenate([key[apart], pairs]), np.concatenate([route[apart], mix(pairs)])
+        # By bucket, then by the tokens that meet, then by window; equal ones that another parts count apart.
+        route = (route & ~np.uint64((1 << 24) - 1)) | (mix(key) >> np.uint64(40))
+        order = np.argsort(route)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        counts = np.diff(np.append(first, len(key))).astype("<u4")
+        first = order[first]
+        at, length, bucket = at[first], length[first], (route[first] >> np.uint64(64 - self.bits)).astype(np.int64)
+        del key, route, order, first
+        codes = np.zeros((self.longest, len(at)), "<u2")
+        for column in range(self.longest):
+            live = np.flatnonzero(length > column)
+            found = words[at[live] + column]
+            place = np.searchsorted(self.coded, found)
+            place[place == len(self.coded)] = 0
+            codes[column, live] = np.where(_member(self.coded, found, place), place + 1, CODES + 1)
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        rows, sizes, packed = [], [], []
+        for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
+            own = codes[:, begin:end]
+            column, row = np.nonzero(own == CODES + 1)
+            data = own.tobytes() + counts[begin:end].tobytes() + words[at[begin + row] + column].astype("<u8").tobytes()
+            rows.append(end - begin)
+            sizes.append(len(data))
+            packed.append(pa.compress(data, codec="zstd", asbytes=True))
+        columns = [pa.array(bucket[starts]), pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=list(self.NAMES))
+
+    @staticmethod
+    def unpacked(rows: int, size: int, data: bytes, longest: int, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of the windows, a row for each place, and how often each window occurs."""
+        data = pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
+        codes = np.frombuffer(data, "<u2", longest * rows)
+        counts = np.frombuffer(data, "<u4", rows, codes.nbytes)
+        words = np.concatenate([[np.uint64(0)], coded, np.zeros(CODES + 1 - len(coded), np.uint64)])[codes]
+        words[codes == CODES + 1] = np.frombuffer(data, "<u8", -1, codes.nbytes + counts.nbytes)
+        return words.reshape(longest, rows), counts
+
+
+def _member(table: np.ndarray, values: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """Whether the values are in an ascending table."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    place = np.minimum(np.searchsorted(table, values), len(table) - 1) if place is None else place
+    return table[place] == values
+
+
+def _ascending(keys: DataFrame) -> np.ndarray:
+    return np.sort(keys.select("key").toArrow()["key"].to_numpy().view(np.uint64))
+
+
+def _frequent_runs(docs: DataFrame, words: DataFrame, total: int, longest: int, least: int) -> DataFrame:
+    """``length, key, n, ctx, low`` of all runs of 2 to ``longest`` tokens that occur at least ``least`` times.
+
+    ``ctx`` is the run without its last token, ``low`` the one without its first. ``words`` are the frequent tokens.
+    """
+    spark = docs.sparkSession
+    known_ = _bitmap(words)
+    coded_ = sent(spark, _ascending(words.where(F.col("n") >= _least_of_head(words, CODES))))
+    common_ = sent(spark, _ascending(words.where(F.col("n") * COMMON >= total)))
+    bits = (max(BUCKETS, -(-total // BUCKET)) - 1).bit_length()
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = _Windows(longest, bits, coded_(), common_()), known_()
         for batch in batches:
             for part in _texts(batch.column(0)):
-                (single, pair), place, _ = _runs(part, 2)
-                found = np.flatnonzero((place >= 1) & _passes(known, pair))
-                yield from sums.add(pair[found], np.ones(len(found), np.int64), single[found - 1], single[found])
-        yield from sums.flush()
-
-    rows = docs.select("text").mapInArrow(parts, "key long, n long, ctx long, low long")
-    return rows.groupBy("key").agg(F.first("ctx").alias("ctx"), F.first("low").alias("low"))
+                (single,), place, _ = _runs(part, 1)
+                single[~_passes(known, single)] = 0
+                yield from held.add(np.insert(single, np.flatnonzero(place == 0), np.uint64(0)))
+        yield from held.flush()
+
+    def count(table: pa.Table) -> pa.Table:
+        coded, common = coded_(), common_()
+        parts = zip(*(table[name].to_pylist() for name in _Windows.NAMES[1:]), strict=True)
+        tokens_, counts = zip(*(_Windows.unpacked(*part, longest, coded) for part in parts), strict=True)
+        tokens_, counts = np.concatenate(tokens_, axis=1), np.concatenate(counts).astype(np.int64)
+        length = (tokens_ != 0).sum(axis=0)
+        counted = (length == 2) | ~(_member(common, tokens_[0]) & _member(common, tokens_[1]))
+        key, out = tokens_[0], []
+        for order in range(2, longest + 1):
+            ctx, key = key, _extended(key, order, tokens_[order - 1])
+            found = np.flatnonzero(counted if order == 2 else length >= order)
+            found = found[np.argsort(key[found])]
+            own = key[found]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+            n = np.add.reduceat(counts[found], first) if len(first) else counts[:0]
+            found, n = found[first[n >= least]], n[n >= least]
+            low = tokens_[1, found]
+            for shorter in range(2, order):
+                low = _extended(low, shorter, tokens_[shorter, found])
+            out.append([pa.array(np.full(len(n), order)), _signed(key[found]), pa.array(n), _signed(ctx[found]), _signed(low)])
+        names = ["length", "key", "n", "ctx", "low"]
+        return pa.concat_tables([pa.table(columns, names=names) for columns in out])
+
+    packed = docs.select("text").mapInArrow(windows, "bucket long, rows long, size long, data binary")
+    return packed.groupBy("bucket").applyInArrow(count, "length long, key long, n long, ctx long, low long")
 
 
 def _bitmap(keys: DataFrame) -> Callable[[], np.ndarray]:
@@ -192,16 +311,14 @@ def train(
     root of all tokens.
     """
     docs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    words = stage(_counted(docs, 1, None), "words")
+    words = stage(_word_counts(docs), "words")
     seen = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     size = seen["n"] + 0.5 * (seen["v"] + 1)
     least = max(least, int(root_share * seen["n"] ** 0.5))
     levels = {1: words.where(F.col("n") >= least).withColumn("n_ctx", F.lit(seen["n"]))}
+    found = stage(_frequent_runs(docs, levels[1], seen["n"], depth + 1, least), "runs")
     for order in range(2, depth + 2):
-        runs = _counted(docs, order, _bitmap(levels[order - 1])).where(F.col("n") >= least)
-        runs = stage(runs, f"runs-{order}")
-        if order == 2:
-            runs = stage(runs.join(_pair_parts(docs, _bitmap(runs)), "key"), "pairs")
+        runs = found.where(F.col("length") == order)
         levels[order] = stage(_with_shorter(runs, levels[order - 1]), f"runs-{order}")
     contexts, gains = _states(levels, depth, ratio, size)
     # A run is a context for the token after it and, with its last token, an entry of a shorter one.
