@@ -11,7 +11,8 @@ that follow it, packed by the hash of the first two words, so all runs that begi
 both very common are dealt by three. A task drops rare runs before it returns rows. The logarithm of a token's probability is that at the root, plus one summand for each suffix of its context
 that is a state (the weight that it passes down), plus one for each run with the token that is held in a state (its gain over
 the passed-down probability). So a text scores the sum of fixed values of its runs, and scoring is one join of runs
-with values: the commonest go to all tasks, a filter of fixed size drops runs without a value, the rest are shuffled.
+with values: the commonest go to all tasks, a filter of fixed size drops runs without a value, the rest of many texts
+are shuffled together, packed, and so are the sums that come back.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ HEAD = 1 << 19
 FILTER_BITS = 27
 # Runs that a task adds up before they leave it.
 BUFFER = 1 << 22
+# Tokens, or runs that are asked for, that a task packs at once.
+PACK = 1 << 20
 # Words with short codes in what is shuffled (16 bits, less the codes for none and for any other word).
 CODES = (1 << 16) - 2
 # Words that make up at least 1 / ``COMMON`` of all tokens are very common.
@@ -155,13 +158,15 @@ class _Windows:
     NAMES = ("bucket", "rows", "size", "data")
 
     def __init__(self, longest: int, bits: int, coded: np.ndarray, common: np.ndarray):
-        self.longest, self.bits, self.coded, self.common = longest, bits, coded, common
+        self.longest, self.bits, self.common = longest, np.uint64(bits), common
+        order = np.argsort(coded)
+        self.coded, self.code = coded[order], (order + 1).astype("<u2")
         self.parts, self.held = [], 0
 
     def add(self, words: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append(words)
         self.held += len(words)
-        if self.held >= BUFFER:
+        if self.held >= PACK:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -184,28 +189,33 @@ class _Windows:
         at = np.concatenate([at[apart], at[common]])
         length = np.concatenate([length[apart], np.full(len(pairs), 2, np.uint8)])
         key, route = np.concatenate([key[apart], pairs]), np.concatenate([route[apart], mix(pairs)])
-        # By bucket, then by the tokens that meet, then by window; equal ones that another parts count apart.
-        route = (route & ~np.uint64((1 << 24) - 1)) | (mix(key) >> np.uint64(40))
-        order = np.argsort(route)
+        live = np.flatnonzero(words)
+        place = np.searchsorted(self.coded, words[live])
+        place[place == len(self.coded)] = 0
+        code = np.zeros(len(words), "<u2")
+        code[live] = CODES + 1
+        hit = np.flatnonzero(_member(self.coded, words[live], place))
+        code[live[hit]] = self.code[place[hit]]
+        # By bucket, the first two tokens and the window, which packs best; equal ones that another parts count apart.
+        bucket, left = route >> (np.uint64(64) - self.bits), np.uint64(64) - self.bits
+        route = (bucket << left) | (code[at].astype(np.uint64) << (left - np.uint64(16))) | (code[at + 1].astype(np.uint64) << (left - np.uint64(32)))
+        order = np.argsort(route | (mix(key) >> (np.uint64(32) + self.bits)))
         key = key[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         counts = np.diff(np.append(first, len(key))).astype("<u4")
         first = order[first]
-        at, length, bucket = at[first], length[first], (route[first] >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, length, bucket = at[first], length[first], bucket[first].astype(np.int64)
         del key, route, order, first
         codes = np.zeros((self.longest, len(at)), "<u2")
         for column in range(self.longest):
             live = np.flatnonzero(length > column)
-            found = words[at[live] + column]
-            place = np.searchsorted(self.coded, found)
-            place[place == len(self.coded)] = 0
-            codes[column, live] = np.where(_member(self.coded, found, place), place + 1, CODES + 1)
+            codes[column, live] = code[at[live] + column]
         starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         rows, sizes, packed = [], [], []
         for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
             own = codes[:, begin:end]
             column, row = np.nonzero(own == CODES + 1)
-            data = own.tobytes() + counts[begin:end].tobytes() + words[at[begin + row] + column].astype("<u8").tobytes()
+            data = _planes(own).tobytes() + _planes(counts[begin:end]).tobytes() + words[at[begin + row] + column].astype("<u8").tobytes()
             rows.append(end - begin)
             sizes.append(len(data))
             packed.append(pa.compress(data, codec="zstd", asbytes=True))
@@ -216,11 +226,34 @@ class _Windows:
     def unpacked(rows: int, size: int, data: bytes, longest: int, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of the windows, a row for each place, and how often each window occurs."""
         data = pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
-        codes = np.frombuffer(data, "<u2", longest * rows)
-        counts = np.frombuffer(data, "<u4", rows, codes.nbytes)
+        codes = _unplaned(np.frombuffer(data, np.uint8, 2 * longest * rows).reshape(longest, 2, rows), "<u2")
+        counts = _unplaned(np.frombuffer(data, np.uint8, 4 * rows, codes.nbytes).reshape(4, rows), "<u4")
         words = np.concatenate([[np.uint64(0)], coded, np.zeros(CODES + 1 - len(coded), np.uint64)])[codes]
         words[codes == CODES + 1] = np.frombuffer(data, "<u8", -1, codes.nbytes + counts.nbytes)
-        return words.reshape(longest, rows), counts
+        return words, counts
+
+
+def _planes(values: np.ndarray) -> np.ndarray:
+    """The first bytes of the values of each row together, then the second ones, and so on."""
+    return np.ascontiguousarray(np.moveaxis(np.ascontiguousarray(values)[..., None].view(np.uint8), -1, -2))
+
+
+def _unplaned(planes: np.ndarray, kind: str | type) -> np.ndarray:
+    return np.ascontiguousarray(np.moveaxis(planes, -2, -1)).view(kind)[..., 0]
+
+
+def _bucket_bits(total: int) -> int:
+    return (max(BUCKETS, -(-total // BUCKET)) - 1).bit_length()
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of 8 bytes a value and equal length."""
+    return pa.compress(b"".join(_planes(x).tobytes() for x in columns), codec="zstd", asbytes=True)
+
+
+def _unpacked(rows: int, data: bytes, *kinds: type) -> list[np.ndarray]:
+    data = pa.decompress(data, decompressed_size=8 * rows * len(kinds), codec="zstd", asbytes=True)
+    return [_unplaned(x, kind) for x, kind in zip(np.frombuffer(data, np.uint8).reshape(len(kinds), 8, rows), kinds, strict=True)]
 
 
 def _member(table: np.ndarray, values: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
@@ -231,8 +264,9 @@ def _member(table: np.ndarray, values: np.ndarray, place: np.ndarray | None = No
     return table[place] == values
 
 
-def _ascending(keys: DataFrame) -> np.ndarray:
-    return np.sort(keys.select("key").toArrow()["key"].to_numpy().view(np.uint64))
+def _commonest_first(words: DataFrame) -> np.ndarray:
+    found = words.select("key", "n").toArrow()
+    return found["key"].to_numpy().view(np.uint64)[np.argsort(-found["n"].to_numpy(), kind="stable")]
 
 
 def _frequent_runs(docs: DataFrame, words: DataFrame, total: int, longest: int, least: int) -> DataFrame:
@@ -242,9 +276,9 @@ def _frequent_runs(docs: DataFrame, words: DataFrame, total: int, longest: int,
     """
     spark = docs.sparkSession
     known_ = _bitmap(words)
-    coded_ = sent(spark, _ascending(words.where(F.col("n") >= _least_of_head(words, CODES))))
-    common_ = sent(spark, _ascending(words.where(F.col("n") * COMMON >= total)))
-    bits = (max(BUCKETS, -(-total // BUCKET)) - 1).bit_length()
+    coded_ = sent(spark, _commonest_first(words.where(F.col("n") >= _least_of_head(words, CODES))))
+    common_ = sent(spark, np.sort(_commonest_first(words.where(F.col("n") * COMMON >= total))))
+    bits = _bucket_bits(total)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, known = _Windows(longest, bits, coded_(), common_()), known_()
@@ -387,6 +421,82 @@ def _least_of_head(values: DataFrame, most: int) -> int:
     return least
 
 
+def _fetched(profiles: DataFrame, values: DataFrame) -> DataFrame:
+    """``row, more_known, more_base, more_score``: sums of the values of each row's keys, as often as the row has them.
+
+    Rows of many texts ask together and packed, in the order of the keys; what a bucket of values finds for them goes back packed.
+    """
+    bits = _bucket_bits(profiles.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            rows, keys, times = batch.columns
+            who = np.repeat(rows.to_numpy(zero_copy_only=False), np.diff(keys.offsets.to_numpy()))
+            parts.append((keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64), who, times.flatten().to_numpy(zero_copy_only=False)))
+            held += len(who)
+            if held >= PACK:
+                yield from asked(parts)
+                parts, held = [], 0
+        if held:
+            yield from asked(parts)
+
+    def asked(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        keys, who, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys)
+        part, keys, who, times = who.min(), keys[order], who[order], times[order].astype(np.int64)
+        bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = np.append(starts[1:], len(keys))
+        data = [
+            _packed(np.diff(keys[begin:end], prepend=np.uint64(0)), who[begin:end], times[begin:end])
+            for begin, end in zip(starts.tolist(), ends.tolist(), strict=True)
+        ]
+        columns = [pa.array(bucket[starts]), pa.array(np.full(len(starts), part)), pa.array(ends - starts), pa.array(data, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "rows", "data"])
+
+    def answer(asks: pa.Table, values: pa.Table) -> pa.Table:
+        known_keys = values["key"].to_numpy().view(np.uint64)
+        order = np.argsort(known_keys)
+        known_keys, held = known_keys[order], [values[name].to_numpy()[order] for name in ("known", "base", "score")]
+        out = []
+        for part, rows, data in zip(*(asks[name].to_pylist() for name in ("part", "rows", "data")), strict=True):
+            keys, who, times = _unpacked(rows, data, np.uint64, np.int64, np.int64)
+            keys = np.cumsum(keys, dtype=np.uint64)
+            at = np.searchsorted(known_keys, keys)
+            at[at == len(known_keys)] = 0
+            hit = np.flatnonzero(_member(known_keys, keys, at))
+            if len(hit):
+                who, sums = _summed(who[hit], [times[hit] * x[at[hit]] for x in held])
+                # A rare word has one value in both sums.
+                same = sums[1].view(np.uint64) ^ sums[2].view(np.uint64)
+                out.append((part, len(who), _packed(who, sums[0], sums[1], same)))
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.table([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "rows", "data"])
+
+    def add(found: pa.Table) -> pa.Table:
+        parts = [
+            _unpacked(rows, data, np.int64, np.int64, np.float64, np.uint64)
+            for rows, data in zip(found["rows"].to_pylist(), found["data"].to_pylist(), strict=True)
+        ]
+        who, known, base, same = (np.concatenate(x) for x in zip(*parts, strict=True))
+        who, sums = _summed(who, [known, base, (base.view(np.uint64) ^ same).view(np.float64)])
+        return pa.table([who, *sums], names=["row", "more_known", "more_base", "more_score"])
+
+    asks = profiles.select("row", "keys", "times").mapInArrow(ask, "bucket long, part long, rows long, data binary")
+    values = values.withColumn("known", F.col("known").cast("long")).withColumn("bucket", F.shiftrightunsigned("key", 64 - bits))
+    found = asks.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(answer, "part long, rows long, data binary")
+    return found.groupBy("part").applyInArrow(add, "row long, more_known long, more_base double, more_score double")
+
+
+def _summed(who: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The different values of ``who``, ascending, with the sums of the columns."""
+    order = np.argsort(who, kind="stable")
+    who = who[order]
+    first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+    return who[first], [np.add.reduceat(x[order], first) for x in columns]
+
+
 def score(docs: DataFrame, tree: SuffixTree, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``row, doc_id, n_tokens, n_known, base_score, score`` of every row: logarithms to base 10 of the text's probability.
 
@@ -443,9 +553,7 @@ def score(docs: DataFrame, tree: SuffixTree, text: str = "text", doc_id: str = "
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, n_tokens long, known long, base double, score double, keys array<long>, times array<int>"
     profiles = stage(rows.mapInArrow(profile, schema), "profiles")
-    asks = profiles.select("row", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("times").alias("times"))))
-    more = [F.sum(F.col("times") * F.col(name)).alias(f"more_{name}") for name in ("known", "base", "score")]
-    found = asks.join(tail, "key").groupBy("row").agg(*more)
+    found = _fetched(profiles, tail)
     both = profiles.select("row", "doc_id", "n_tokens", "known", "base", "score").join(found, "row", "left")
     total = {name: F.col(name) + F.coalesce(F.col(f"more_{name}"), F.lit(0)) for name in ("known", "base", "score")}
     return both.select(

@@ -110,6 +110,36 @@ def test_tree_scores_like_the_one_by_hand(spark, monkeypatch, depth, least):
     assert got == want
 
 
+@pytest.mark.parametrize("common,codes,pack", [(1 << 10, 5, 300), (12, 1 << 15, 1 << 22), (1, 40, 1 << 12)])
+def test_packed_windows_count_every_run(spark, monkeypatch, common, codes, pack):
+    for name, value in {"COMMON": common, "CODES": codes, "PACK": pack, "BUCKETS": 4, "BUCKET": 1 << 9}.items():
+        monkeypatch.setattr(suffix_tree, name, value)
+    texts = [*prose(150, 8), *["the very same line of words"] * 200]
+    docs = spark.createDataFrame([(t or "",) for t in texts], "text string").repartition(5)
+    words = suffix_tree._word_counts(docs)
+    total = words.agg(F.sum("n")).first()[0]
+    rows = suffix_tree._frequent_runs(docs, words.where("n >= 4"), total, 4, 4).collect()
+    grams = Counter(tuple(w[i : i + k]) for w in map(words_of, texts) for k in (2, 3, 4) for i in range(len(w) - k + 1))
+    assert Counter((r.length, r.n) for r in rows) == Counter((len(g), n) for g, n in grams.items() if n >= 4)
+    keys = {r.key for r in rows} | {r.key for r in words.collect()}
+    assert len({r.key for r in rows}) == len(rows) and {r.ctx for r in rows} | {r.low for r in rows} <= keys
+
+
+def test_runs_and_asks_are_few_rows(spark, monkeypatch):
+    # Every pair and every ask was a row of its own, more of them the more runs were frequent.
+    monkeypatch.setattr(suffix_tree, "HEAD", 7)
+    made = []
+    plain = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, f, schema, *more: made.append(plain(df, f, schema, *more)) or made[-1])
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(40)}" for _ in range(300))) for i in range(200)], "doc_id long, text string").coalesce(2)
+    found = suffix_tree.score(docs, suffix_tree.train(docs))
+    assert found.count() == 200
+    packed = [df for df in made if "data" in df.columns]
+    assert len(packed) == 2 and all(df.count() <= 2 * 4 * suffix_tree.BUCKETS for df in packed)
+    assert not [df for df in made if {"ctx", "low"} & set(df.columns)]
+
+
 def test_states_are_distributions(spark):
     hand = TreeByHand(prose(100, 5), 2, 4, 1.5)
     for state in hand.states:
