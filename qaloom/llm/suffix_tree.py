@@ -11,8 +11,8 @@ that follow it, packed by the hash of the first two words, so all runs that begi
 both very common are dealt by three. A task drops rare runs before it returns rows. The logarithm of a token's probability is that at the root, plus one summand for each suffix of its context
 that is a state (the weight that it passes down), plus one for each run with the token that is held in a state (its gain over
 the passed-down probability). So a text scores the sum of fixed values of its runs, and scoring is one join of runs
-with values: the commonest go to all tasks, a filter of fixed size drops runs without a value, the rest of many texts
-are shuffled together, packed, and so are the sums that come back.
+with values: the commonest go to all tasks, a filter of fixed size drops runs without a value, and for the rest many texts
+ask together. Each run is asked for once, packed with others, and so are the values, which come back in the order of the asks.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,10 @@ HEAD = 1 << 19
 FILTER_BITS = 27
 # Runs that a task adds up before they leave it.
 BUFFER = 1 << 22
-# Tokens, or runs that are asked for, that a task packs at once.
+# Tokens, or values of runs, that a task packs at once.
 PACK = 1 << 20
+# Texts ask together, until they ask for so many runs or are so many.
+ASKS, TEXTS = 1 << 21, 1 << 17
 # Words with short codes in what is shuffled (16 bits, less the codes for none and for any other word).
 CODES = (1 << 16) - 2
 # Words that make up at least 1 / ``COMMON`` of all tokens are very common.
@@ -247,13 +250,19 @@ def _bucket_bits(total: int) -> int:
 
 
 def _packed(*columns: np.ndarray) -> bytes:
-    """Columns of 8 bytes a value and equal length."""
     return pa.compress(b"".join(_planes(x).tobytes() for x in columns), codec="zstd", asbytes=True)
 
 
-def _unpacked(rows: int, data: bytes, *kinds: type) -> list[np.ndarray]:
-    data = pa.decompress(data, decompressed_size=8 * rows * len(kinds), codec="zstd", asbytes=True)
-    return [_unplaned(x, kind) for x, kind in zip(np.frombuffer(data, np.uint8).reshape(len(kinds), 8, rows), kinds, strict=True)]
+def _unpacked(rows: int | list[int], data: bytes, *kinds: str | type) -> list[np.ndarray]:
+    """Columns of the given types; all have ``rows`` values, or each its own number."""
+    rows = rows if isinstance(rows, list) else [rows] * len(kinds)
+    widths = [np.dtype(kind).itemsize for kind in kinds]
+    ends = np.cumsum([n * width for n, width in zip(rows, widths, strict=True)]).tolist()
+    data = np.frombuffer(pa.decompress(data, decompressed_size=ends[-1], codec="zstd", asbytes=True), np.uint8)
+    starts = [0, *ends[:-1]]
+    return [
+        _unplaned(data[begin:end].reshape(width, n), kind) for begin, end, width, n, kind in zip(starts, ends, widths, rows, kinds, strict=True)
+    ]
 
 
 def _member(table: np.ndarray, values: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
@@ -358,7 +367,9 @@ def train(
     # A run is a context for the token after it and, with its last token, an entry of a shorter one.
     valued = stage(contexts.union(gains).groupBy("key").agg(F.sum("value").alias("value")), "values")
     unknown = float(np.log10(0.5 / size))
-    singles = words.join(valued, "key", "left").withColumn("base", F.log10((F.col("n") + 0.5) / F.lit(size)) - F.lit(unknown))
+    # Only a frequent word has a value of its own, so the others are not joined.
+    rare = words.where(F.col("n") < least).withColumn("value", F.lit(None).cast("double"))
+    singles = levels[1].select("key", "n").join(valued, "key", "left").union(rare).withColumn("base", F.log10((F.col("n") + 0.5) / F.lit(size)) - F.lit(unknown))
     singles = singles.select("key", "n", F.lit(1).alias("known"), "base", (F.col("base") + F.coalesce("value", F.lit(0.0))).alias("score"))
     longer = levels[2].select("key", "n")
     for order in range(3, depth + 2):
@@ -421,80 +432,141 @@ def _least_of_head(values: DataFrame, most: int) -> int:
     return least
 
 
-def _fetched(profiles: DataFrame, values: DataFrame) -> DataFrame:
-    """``row, more_known, more_base, more_score``: sums of the values of each row's keys, as often as the row has them.
+class _Asks:
+    """Runs that the texts of a part ask for: they leave as one row, each run once in the order of the keys, packed.
 
-    Rows of many texts ask together and packed, in the order of the keys; what a bucket of values finds for them goes back packed.
+    ``runs`` holds the keys, ``askers`` how many texts ask for each run, which ones and how often, ``texts`` what is known of the texts.
     """
-    bits = _bucket_bits(profiles.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
+
+    SCHEMA = "part long, n_tokens long, n_runs long, n_askers long, runs binary, askers binary, texts binary"
+
+    def __init__(self):
+        self.texts, self.parts, self.n, self.held = [], [], 0, 0
+
+    def add(self, texts: pa.RecordBatch, keys: np.ndarray, who: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``who`` counts the rows of ``texts``; a run that a text holds more than once is there as often."""
+        order = np.lexsort((who, keys))
+        keys, who = keys[order], who[order]
+        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (who[1:] != who[:-1])])[: len(keys)])
+        times = np.diff(np.append(first, len(keys))).astype("<u4")
+        self.texts.append(texts)
+        self.parts.append((keys[first], (who[first] + self.n).astype("<u4"), times))
+        self.n, self.held = self.n + texts.num_rows, self.held + len(first)
+        if self.held >= ASKS or self.n >= TEXTS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        texts = pa.Table.from_batches(self.texts)
+        keys, who, times = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.texts, self.parts, self.n, self.held = [], [], 0, 0
+        order = np.argsort(keys, kind="stable")
+        keys, who, times = keys[order], who[order], times[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        asking = np.diff(np.append(first, len(keys))).astype("<u4")
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(texts.combine_chunks())
+        row = {"part": texts["row"][0].as_py(), "n_tokens": pa.compute.sum(texts["n_tokens"]).as_py(), "n_runs": len(first), "n_askers": len(keys)}
+        row |= {"runs": _packed(_steps(keys[first])), "askers": _packed(asking, who, times), "texts": sink.getvalue().to_pybytes()}
+        yield pa.RecordBatch.from_pylist([row])
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys as the first one and what each is larger by than the one before."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def _by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of ascending keys, where each begins, and where it ends."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(keys)])
+    return bucket[starts], starts, np.append(starts, len(keys))[1:]
+
+
+def _answered(parts: DataFrame, values: DataFrame, kind: str) -> DataFrame:
+    """The texts of the parts, with the values of all runs that they ask for added to their sums.
+
+    Each run of a part goes once to the bucket of its key, and its values come back in the same order; which texts ask for it is
+    not sent to the buckets.
+    """
+    bits = _bucket_bits(parts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
         for batch in batches:
-            rows, keys, times = batch.columns
-            who = np.repeat(rows.to_numpy(zero_copy_only=False), np.diff(keys.offsets.to_numpy()))
-            parts.append((keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64), who, times.flatten().to_numpy(zero_copy_only=False)))
-            held += len(who)
+            for part, rows, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                keys = np.cumsum(*_unpacked(rows, data, np.uint64), dtype=np.uint64)
+                bucket, starts, ends = _by_bucket(keys, bits)
+                data = [_packed(_steps(keys[begin:end])) for begin, end in zip(starts.tolist(), ends.tolist(), strict=True)]
+                columns = [pa.array(bucket), pa.array(np.full(len(starts), part)), pa.array(starts), pa.array(ends - starts), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "start", "rows", "data"])
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            rows.append(batch)
+            held += batch.num_rows
             if held >= PACK:
-                yield from asked(parts)
-                parts, held = [], 0
+                yield given(rows)
+                rows, held = [], 0
         if held:
-            yield from asked(parts)
-
-    def asked(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        keys, who, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(keys)
-        part, keys, who, times = who.min(), keys[order], who[order], times[order].astype(np.int64)
-        bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        ends = np.append(starts[1:], len(keys))
-        data = [
-            _packed(np.diff(keys[begin:end], prepend=np.uint64(0)), who[begin:end], times[begin:end])
+            yield given(rows)
+
+    def given(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        keys, known, base, score = (x.to_numpy() for x in pa.Table.from_batches(rows).columns)
+        order = np.argsort(keys.view(np.uint64))
+        keys, known, base, score = keys.view(np.uint64)[order], known[order], base[order], score[order]
+        bucket, starts, ends = _by_bucket(keys, bits)
+        held = [
+            _packed(_steps(keys[begin:end]), *_even(known[begin:end], base[begin:end], score[begin:end]))
             for begin, end in zip(starts.tolist(), ends.tolist(), strict=True)
         ]
-        columns = [pa.array(bucket[starts]), pa.array(np.full(len(starts), part)), pa.array(ends - starts), pa.array(data, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "rows", "data"])
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ends - starts), pa.array(held, pa.binary())], names=["bucket", "rows", "held"])
 
     def answer(asks: pa.Table, values: pa.Table) -> pa.Table:
-        known_keys = values["key"].to_numpy().view(np.uint64)
-        order = np.argsort(known_keys)
-        known_keys, held = known_keys[order], [values[name].to_numpy()[order] for name in ("known", "base", "score")]
         out = []
-        for part, rows, data in zip(*(asks[name].to_pylist() for name in ("part", "rows", "data")), strict=True):
-            keys, who, times = _unpacked(rows, data, np.uint64, np.int64, np.int64)
-            keys = np.cumsum(keys, dtype=np.uint64)
-            at = np.searchsorted(known_keys, keys)
-            at[at == len(known_keys)] = 0
-            hit = np.flatnonzero(_member(known_keys, keys, at))
-            if len(hit):
-                who, sums = _summed(who[hit], [times[hit] * x[at[hit]] for x in held])
-                # A rare word has one value in both sums.
-                same = sums[1].view(np.uint64) ^ sums[2].view(np.uint64)
-                out.append((part, len(who), _packed(who, sums[0], sums[1], same)))
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "rows", "data"])
-
-    def add(found: pa.Table) -> pa.Table:
-        parts = [
-            _unpacked(rows, data, np.int64, np.int64, np.float64, np.uint64)
-            for rows, data in zip(found["rows"].to_pylist(), found["data"].to_pylist(), strict=True)
-        ]
-        who, known, base, same = (np.concatenate(x) for x in zip(*parts, strict=True))
-        who, sums = _summed(who, [known, base, (base.view(np.uint64) ^ same).view(np.float64)])
-        return pa.table([who, *sums], names=["row", "more_known", "more_base", "more_score"])
-
-    asks = profiles.select("row", "keys", "times").mapInArrow(ask, "bucket long, part long, rows long, data binary")
-    values = values.withColumn("known", F.col("known").cast("long")).withColumn("bucket", F.shiftrightunsigned("key", 64 - bits))
-    found = asks.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(answer, "part long, rows long, data binary")
-    return found.groupBy("part").applyInArrow(add, "row long, more_known long, more_base double, more_score double")
-
-
-def _summed(who: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The different values of ``who``, ascending, with the sums of the columns."""
-    order = np.argsort(who, kind="stable")
-    who = who[order]
-    first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-    return who[first], [np.add.reduceat(x[order], first) for x in columns]
+        if len(values) and len(asks):
+            held = [_unpacked(rows, x, np.uint64, np.int64, np.float64, np.uint64) for rows, x in zip(values["rows"].to_pylist(), values["held"].to_pylist(), strict=True)]
+            known_keys = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in held])
+            order = np.argsort(known_keys)
+            known_keys, held = known_keys[order], [np.concatenate(x)[order] for x in list(zip(*held, strict=True))[1:]]
+            for part, start, rows, data in zip(*(asks[name].to_pylist() for name in ("part", "start", "rows", "data")), strict=True):
+                keys = np.cumsum(*_unpacked(rows, data, np.uint64), dtype=np.uint64)
+                at = np.searchsorted(known_keys, keys)
+                at[at == len(known_keys)] = 0
+                hit = _member(known_keys, keys, at)
+                if hit.any():
+                    out.append((part, start, rows, _packed(*(np.where(hit, x[at], np.zeros(1, x.dtype)) for x in held))))
+        columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["part", "start", "rows", "data"])
+
+    def add(parts: pa.Table, found: pa.Table) -> pa.Table:
+        n_runs, n_askers, askers, texts = (parts[name][0].as_py() for name in ("n_runs", "n_askers", "askers", "texts"))
+        texts = pa.ipc.open_stream(texts).read_all()
+        known, base, same = np.zeros(n_runs, np.int64), np.zeros(n_runs), np.zeros(n_runs, np.uint64)
+        for start, rows, data in zip(*(found[name].to_pylist() for name in ("start", "rows", "data")), strict=True):
+            for column, values in zip((known, base, same), _unpacked(rows, data, np.int64, np.float64, np.uint64), strict=True):
+                column[start : start + rows] = values
+        asking, who, times = _unpacked([n_runs, n_askers, n_askers], askers, "<u4", "<u4", "<u4")
+        more = (known, base, (base.view(np.uint64) ^ same).view(np.float64))
+        sums = [np.bincount(who, np.repeat(x, asking) * times, len(texts)) for x in more]
+        columns = [texts[name] for name in ("row", "doc_id", "n_tokens")] + [pa.array(texts["known"].to_numpy() + sums[0].astype(np.int64))]
+        columns += [pa.array(texts[name].to_numpy() + x) for name, x in zip(("base", "score"), sums[1:], strict=True)]
+        return pa.table(columns, names=["row", "doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    asks = parts.select("part", "n_runs", "runs").mapInArrow(ask, "bucket long, part long, start long, rows long, data binary")
+    values = values.select("key", F.col("known").cast("long"), "base", "score").mapInArrow(give, "bucket long, rows long, held binary")
+    found = asks.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(answer, "part long, start long, rows long, data binary")
+    schema = f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double"
+    parts = parts.select("part", "n_runs", "n_askers", "askers", "texts")
+    return parts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(add, schema)
+
+
+def _even(known: np.ndarray, base: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``known``, ``base``, and in which bits ``score`` differs: in none for a rare word, and of a run ``base`` is 0."""
+    return known, base, base.view(np.uint64) ^ score.view(np.uint64)
 
 
 def score(docs: DataFrame, tree: SuffixTree, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -510,52 +582,41 @@ def score(docs: DataFrame, tree: SuffixTree, text: str = "text", doc_id: str = "
     common = {name: head[name].to_numpy()[order] for name in ("key", "known", "base", "score")}
     common["key"] = common["key"].view(np.uint64)
     tail = tree.values.where(F.col("n") < least).select("key", "known", "base", "score")
-    common_, valued = sent(spark, common), _bitmap(tree.values)
+    # With a run its shorter endings have values, so a run is looked at only if the one without its first word passes.
+    common_, valued = sent(spark, common), _bitmap(tree.values.where("known = 0"))
     depth, unknown = tree.depth, tree.unknown
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bitmap = common_(), valued()
+        held, bitmap, asks = common_(), valued(), _Asks()
         for batch in batches:
             done = 0
             for part in _texts(batch.column(2)):
                 n = len(part)
                 keys, place, number = _runs(part, depth + 1)
                 sums = {"known": np.zeros(n), "base": np.zeros(n), "score": np.zeros(n)}
-                asked = []
+                asked, passed = [], np.arange(len(place))
                 for length, runs in enumerate(keys):
-                    whole = np.flatnonzero(place >= length)
-                    whole = whole[_passes(bitmap, runs[whole])]
-                    own = runs[whole]
+                    if length:
+                        passed = passed[place[passed] >= length]
+                        passed = passed[_passes(bitmap, runs[passed])]
+                    own, left = runs[passed], passed
                     if len(held["key"]):
                         at = np.minimum(np.searchsorted(held["key"], own), len(held["key"]) - 1)
                         hit = held["key"][at] == own
                         for name, total in sums.items():
                             if length == 0 or name == "score":
-                                total += np.bincount(number[whole[hit]], held[name][at[hit]], n)
-                        whole, own = whole[~hit], own[~hit]
-                    asked.append((number[whole], own))
-                who, what = (np.concatenate(x) for x in zip(*asked, strict=True))
-                order = np.lexsort((what, who))
-                who, what = who[order], what[order]
-                first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (what[1:] != what[:-1])])[: len(who)])
-                times = np.diff(np.append(first, len(who))).astype(np.int32)
-                offsets = pa.array(np.searchsorted(who[first], np.arange(n + 1)).astype(np.int32))
+                                total += np.bincount(number[passed[hit]], held[name][at[hit]], n)
+                        left, own = passed[~hit], own[~hit]
+                    asked.append((own, number[left]))
                 size = np.bincount(number, minlength=n)
                 columns = [batch.column(0).slice(done, n), batch.column(1).slice(done, n), pa.array(size.astype(np.int64))]
                 columns += [pa.array(sums["known"].astype(np.int64)), pa.array(sums["base"] + unknown * size)]
                 columns += [pa.array(sums["score"] + unknown * size)]
-                columns += [pa.ListArray.from_arrays(offsets, _signed(what[first])), pa.ListArray.from_arrays(offsets, pa.array(times))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield from asks.add(pa.RecordBatch.from_arrays(columns, names=names), *(np.concatenate(x) for x in zip(*asked, strict=True)))
                 done += n
+        yield from asks.flush()
 
-    names = ["row", "doc_id", "n_tokens", "known", "base", "score", "keys", "times"]
+    names = ["row", "doc_id", "n_tokens", "known", "base", "score"]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, n_tokens long, known long, base double, score double, keys array<long>, times array<int>"
-    profiles = stage(rows.mapInArrow(profile, schema), "profiles")
-    found = _fetched(profiles, tail)
-    both = profiles.select("row", "doc_id", "n_tokens", "known", "base", "score").join(found, "row", "left")
-    total = {name: F.col(name) + F.coalesce(F.col(f"more_{name}"), F.lit(0)) for name in ("known", "base", "score")}
-    return both.select(
-        "row", "doc_id", "n_tokens", total["known"].alias("n_known"), total["base"].alias("base_score"), total["score"].alias("score")
-    )
+    return _answered(stage(rows.mapInArrow(profile, _Asks.SCHEMA), "profiles"), tail, kind)

@@ -140,6 +140,25 @@ def test_runs_and_asks_are_few_rows(spark, monkeypatch):
     assert not [df for df in made if {"ctx", "low"} & set(df.columns)]
 
 
+@pytest.mark.parametrize("limits", [{"ASKS": 1 << 21}, {"ASKS": 60, "TEXTS": 30, "PACK": 50, "FILTER_BITS": 6}])
+def test_texts_ask_together_and_once_for_a_run(spark, monkeypatch, limits):
+    # Every text asked for itself, so a run was sent as often as texts hold it.
+    for name, value in {"HEAD": 7, **limits}.items():
+        monkeypatch.setattr(suffix_tree, name, value)
+    made = []
+    plain = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, f, schema, *more: made.append(plain(df, f, schema, *more)) or made[-1])
+    texts = prose(150, 6)
+    docs = spark.createDataFrame([(f"id {i}", t) for i, t in enumerate(texts)], "doc_id string, text string").coalesce(2)
+    tree = suffix_tree.train(docs, least=5, ratio=RATIO)
+    hand = TreeByHand(texts, 3, 5, RATIO)
+    got = {r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 7), round(r.score, 7)) for r in suffix_tree.score(docs, tree).collect()}
+    assert got == {f"id {i}": (len(w := words_of(t)), len(w), round(hand.base(t), 7), round(hand.score(t), 7)) for i, t in enumerate(texts)}
+    asks = next(df for df in made if {"part", "rows"} <= set(df.columns))
+    parts, asked = asks.agg(F.count_distinct("part"), F.sum("rows")).first()
+    assert "FILTER_BITS" in limits or asked <= parts * tree.values.count()
+
+
 def test_states_are_distributions(spark):
     hand = TreeByHand(prose(100, 5), 2, 4, 1.5)
     for state in hand.states:
