@@ -6,8 +6,8 @@ a factor of at least ``ratio`` from the one after the run without its first word
 its suffixes are states. Only runs that occur at least ``LEAST`` times are tested, in a corpus of any size. A state's distribution discounts the tokens that followed at least ``least`` times and gives
 the rest to the distribution of its suffix. A token is scored in the state of the longest suffix of what precedes it.
 
-Words are counted first. Longer runs take one shuffle for all lengths: each token is sent once, with the frequent words
-that follow it, packed by the hash of the first two words, so all runs that begin with them meet; two words that are
+Words are counted first, then pairs of frequent words by hash, so that windows end where a pair is rare. Longer runs take one shuffle for all lengths: each token is sent once, with those
+that follow it in frequent pairs, packed by the hash of the first two words, so all runs that begin with them meet; two words that are
 both very common are dealt by three. A task drops rare runs before it returns rows. The logarithm of a token's probability is that at the root, plus one summand for each suffix of its context
 that is a state (the weight that it passes down), plus one for each run with the token that is held in a state (its gain over
 the passed-down probability). So a text scores the sum of fixed values of its runs, and scoring is one join of runs
@@ -44,6 +44,8 @@ FILTER_BITS = 27
 BUFFER = 1 << 22
 # Tokens, or values of runs, that a task packs at once.
 PACK = 1 << 20
+# Pairs of tokens are counted in cells, at most so many tokens of the corpus for one.
+CELL = 1 << 5
 # Texts ask together, until they ask for so many runs or are so many.
 ASKS, TEXTS = 1 << 21, 1 << 17
 # Words with short codes in what is shuffled (16 bits, less the codes for none and for any other word).
@@ -91,12 +93,12 @@ def _runs(texts: list[bytes], longest: int) -> tuple[list[np.ndarray], np.ndarra
     return keys, place, number
 
 
-def _bits(keys: np.ndarray) -> np.ndarray:
-    return mix(keys) >> np.uint64(64 - FILTER_BITS)
+def _bits(keys: np.ndarray, bits: int) -> np.ndarray:
+    return mix(keys) >> np.uint64(64 - bits)
 
 
 def _passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _bits(keys)
+    at = _bits(keys, len(bitmap).bit_length() + 5)
     return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
@@ -154,14 +156,14 @@ def _extended(keys: np.ndarray, order: int, words: np.ndarray) -> np.ndarray:
 class _Windows:
     """Tokens of texts, 0 for a rare one and after each text; they leave as the different windows of up to ``longest``.
 
-    A window is a token with those that follow it, up to the first 0. A pair of very common words is sent on its own, to
+    A window is a token with those that follow it, as long as two neighbours pass the filter of pairs. A pair of very common words is sent on its own, to
     be counted, and its windows go where their first three tokens meet.
     """
 
     NAMES = ("bucket", "rows", "size", "data")
 
-    def __init__(self, longest: int, bits: int, coded: np.ndarray, common: np.ndarray):
-        self.longest, self.bits, self.common = longest, np.uint64(bits), common
+    def __init__(self, longest: int, bits: int, coded: np.ndarray, common: np.ndarray, pairs: np.ndarray):
+        self.longest, self.bits, self.common, self.pairs = longest, np.uint64(bits), common, pairs
         order = np.argsort(coded)
         self.coded, self.code = coded[order], (order + 1).astype("<u2")
         self.parts, self.held = [], 0
@@ -176,12 +178,15 @@ class _Windows:
         words = np.concatenate([*self.parts, np.zeros(self.longest, np.uint64)])
         self.parts, self.held = [], 0
         at = np.flatnonzero((words[:-1] != 0) & (words[1:] != 0))
+        at = at[_passes(self.pairs, _extended(words[at], 2, words[at + 1]))]
         if not len(at):
             return
+        linked = np.zeros(len(words), bool)
+        linked[at] = True
         length, key = np.ones(len(at), np.uint8), words[at]
         route, common = None, _member(self.common, words[at]) & _member(self.common, words[at + 1])
         for order in range(2, self.longest + 1):
-            more = np.flatnonzero((length == order - 1) & (words[at + (order - 1)] != 0))
+            more = np.flatnonzero((length == order - 1) & linked[at + (order - 2)])
             key[more], length[more] = _extended(key[more], order, words[at[more] + (order - 1)]), order
             if order == 2:
                 pairs = key[common]
@@ -285,17 +290,16 @@ def _frequent_runs(docs: DataFrame, words: DataFrame, total: int, longest: int,
     """
     spark = docs.sparkSession
     known_ = _bitmap(words)
+    pairs_ = _frequent_pairs(docs, known_, total, least)
     coded_ = sent(spark, _commonest_first(words.where(F.col("n") >= _least_of_head(words, CODES))))
     common_ = sent(spark, np.sort(_commonest_first(words.where(F.col("n") * COMMON >= total))))
     bits = _bucket_bits(total)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known = _Windows(longest, bits, coded_(), common_()), known_()
+        held, known = _Windows(longest, bits, coded_(), common_(), pairs_()), known_()
         for batch in batches:
             for part in _texts(batch.column(0)):
-                (single,), place, _ = _runs(part, 1)
-                single[~_passes(known, single)] = 0
-                yield from held.add(np.insert(single, np.flatnonzero(place == 0), np.uint64(0)))
+                yield from held.add(_known_words(part, known))
         yield from held.flush()
 
     def count(table: pa.Table) -> pa.Table:
@@ -330,16 +334,82 @@ def _bitmap(keys: DataFrame) -> Callable[[], np.ndarray]:
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(_bits(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
-            word, first = np.unique(at >> np.uint64(6), return_index=True)
-            if len(word):
-                set_ = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
-                yield pa.RecordBatch.from_arrays([_signed(word), _signed(set_)], names=["word", "bits"])
-
-    words = keys.select("key").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return sent(keys.sparkSession, bitmap)
+            at = np.unique(_bits(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), FILTER_BITS))
+            if len(at):
+                yield _set_bits(at)
+
+    words = keys.select("key").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return _sent_bits(words, FILTER_BITS)
+
+
+def _set_bits(at: np.ndarray) -> pa.RecordBatch:
+    """``word, bits`` of a bitmap with the bits at these ascending places."""
+    word, first = np.unique(at >> np.uint64(6), return_index=True)
+    set_ = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(word) else at
+    return pa.RecordBatch.from_arrays([_signed(word), _signed(set_)], names=["word", "bits"])
+
+
+def _sent_bits(words: DataFrame, bits: int) -> Callable[[], np.ndarray]:
+    found = words.toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return sent(words.sparkSession, bitmap)
+
+
+def _frequent_pairs(docs: DataFrame, known_: Callable[[], np.ndarray], total: int, least: int) -> Callable[[], np.ndarray]:
+    """A filter that every pair of known tokens with ``least`` occurrences passes, and few others.
+
+    A pair counts in the cell of its hash, so a cell has at least the count of each of its pairs. Cells are as many as the bits of a
+    filter, or more, so that there are at most ``CELL`` tokens for one. Ranges of cells leave a task together, packed.
+    """
+    bits = max(FILTER_BITS, (-(-total // CELL) - 1).bit_length())
+    ranges = min(8, bits - 6)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, parts, held = known_(), [], 0
+        for batch in batches:
+            for part in _texts(batch.column(0)):
+                words = _known_words(part, known)
+                at = np.flatnonzero((words[:-1] != 0) & (words[1:] != 0))
+                parts.append(_bits(_extended(words[at], 2, words[at + 1]), bits).astype("<u4"))
+                held += len(at)
+                if held >= ASKS:
+                    yield from counted(parts)
+                    parts, held = [], 0
+        if held:
+            yield from counted(parts)
+
+    def counted(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cell = np.sort(np.concatenate(parts))
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        n = np.diff(np.append(first, len(cell))).astype("<u4")
+        cell = cell[first]
+        bucket = (cell >> np.uint32(bits - ranges)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = np.append(starts, len(cell))[1:]
+        packed = [
+            _packed(np.diff(cell[begin:end], prepend=np.uint32(0)), n[begin:end]) for begin, end in zip(starts.tolist(), ends.tolist(), strict=True)
+        ]
+        columns = [pa.array(bucket[starts]), pa.array(ends - starts), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "rows", "cells"])
+
+    def frequent(table: pa.Table) -> pa.Table:
+        start = table["bucket"][0].as_py() << (bits - ranges)
+        counts = np.zeros(1 << (bits - ranges), np.int64)
+        for rows, data in zip(table["rows"].to_pylist(), table["cells"].to_pylist(), strict=True):
+            steps, n = _unpacked(rows, data, "<u4", "<u4")
+            counts[np.cumsum(steps, dtype=np.int64) - start] += n
+        return pa.Table.from_batches([_set_bits((np.flatnonzero(counts >= least) + start).astype(np.uint64))])
+
+    packed = docs.select("text").mapInArrow(cells, "bucket long, rows long, cells binary")
+    return _sent_bits(packed.groupBy("bucket").applyInArrow(frequent, "word long, bits long"), bits)
+
+
+def _known_words(texts: list[bytes], known: np.ndarray) -> np.ndarray:
+    """The tokens of the texts, 0 for one that does not pass, before each text and at the end."""
+    (single,), place, _ = _runs(texts, 1)
+    single[~_passes(known, single)] = 0
+    return np.append(np.insert(single, np.flatnonzero(place == 0), np.uint64(0)), np.uint64(0))
 
 
 # --- the tree ---------------------------------------------------------------------------------------------------------
