@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from qaloom.llm.common import mix, sent, slices
 from qaloom.llm.tokens import WHITE, tokens
-from qaloom.session import stage
+from qaloom.session import free_shuffles, settle, stage, staged_so_far
 
 # Words of the longest context, and the factor of the test.
 DEPTH = 3
@@ -423,6 +423,7 @@ def train(
     Repeated rows count each time. Only ``text`` is read. A caller may ask for more occurrences than ``least`` by a share of the
     root of all tokens.
     """
+    since = staged_so_far(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     words = stage(_word_counts(docs), "words")
     seen = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -430,6 +431,7 @@ def train(
     least = max(least, int(root_share * seen["n"] ** 0.5))
     levels = {1: words.where(F.col("n") >= least).withColumn("n_ctx", F.lit(seen["n"]))}
     found = stage(_frequent_runs(docs, levels[1], seen["n"], depth + 1, least), "runs")
+    free_shuffles(docs.sparkSession)
     for order in range(2, depth + 2):
         runs = found.where(F.col("length") == order)
         levels[order] = stage(_with_shorter(runs, levels[order - 1]), f"runs-{order}")
@@ -445,7 +447,7 @@ def train(
     for order in range(3, depth + 2):
         longer = longer.union(levels[order].select("key", "n"))
     longer = longer.join(valued, "key").select("key", "n", F.lit(0).alias("known"), F.lit(0.0).alias("base"), F.col("value").alias("score"))
-    return SuffixTree(stage(singles.union(longer), "tree"), depth, seen["n"], unknown)
+    return SuffixTree(settle(singles.union(longer), "tree", since), depth, seen["n"], unknown)
 
 
 def _with_shorter(runs: DataFrame, shorter: DataFrame) -> DataFrame:
@@ -584,20 +586,19 @@ def _answered(parts: DataFrame, values: DataFrame, kind: str) -> DataFrame:
             yield given(rows)
 
     def given(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        keys, known, base, score = (x.to_numpy() for x in pa.Table.from_batches(rows).columns)
+        keys, n, gain = (x.to_numpy() for x in pa.Table.from_batches(rows).columns)
         order = np.argsort(keys.view(np.uint64))
-        keys, known, base, score = keys.view(np.uint64)[order], known[order], base[order], score[order]
+        keys, n, gain = keys.view(np.uint64)[order], n[order], gain[order]
         bucket, starts, ends = _by_bucket(keys, bits)
         held = [
-            _packed(_steps(keys[begin:end]), *_even(known[begin:end], base[begin:end], score[begin:end]))
-            for begin, end in zip(starts.tolist(), ends.tolist(), strict=True)
+            _packed(_steps(keys[begin:end]), n[begin:end], gain[begin:end]) for begin, end in zip(starts.tolist(), ends.tolist(), strict=True)
         ]
         return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ends - starts), pa.array(held, pa.binary())], names=["bucket", "rows", "held"])
 
     def answer(asks: pa.Table, values: pa.Table) -> pa.Table:
         out = []
         if len(values) and len(asks):
-            held = [_unpacked(rows, x, np.uint64, np.int64, np.float64, np.uint64) for rows, x in zip(values["rows"].to_pylist(), values["held"].to_pylist(), strict=True)]
+            held = [_unpacked(rows, x, np.uint64, np.int64, np.float64) for rows, x in zip(values["rows"].to_pylist(), values["held"].to_pylist(), strict=True)]
             known_keys = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in held])
             order = np.argsort(known_keys)
             known_keys, held = known_keys[order], [np.concatenate(x)[order] for x in list(zip(*held, strict=True))[1:]]
@@ -615,30 +616,25 @@ def _answered(parts: DataFrame, values: DataFrame, kind: str) -> DataFrame:
     def add(parts: pa.Table, found: pa.Table) -> pa.Table:
         n_runs, n_askers, askers, texts = (parts[name][0].as_py() for name in ("n_runs", "n_askers", "askers", "texts"))
         texts = pa.ipc.open_stream(texts).read_all()
-        known, base, same = np.zeros(n_runs, np.int64), np.zeros(n_runs), np.zeros(n_runs, np.uint64)
+        n, gain = np.zeros(n_runs, np.int64), np.zeros(n_runs)
         for start, rows, data in zip(*(found[name].to_pylist() for name in ("start", "rows", "data")), strict=True):
-            for column, values in zip((known, base, same), _unpacked(rows, data, np.int64, np.float64, np.uint64), strict=True):
-                column[start : start + rows] = values
+            n[start : start + rows], gain[start : start + rows] = _unpacked(rows, data, np.int64, np.float64)
         asking, who, times = _unpacked([n_runs, n_askers, n_askers], askers, "<u4", "<u4", "<u4")
-        more = (known, base, (base.view(np.uint64) ^ same).view(np.float64))
-        sums = [np.bincount(who, np.repeat(x, asking) * times, len(texts)) for x in more]
+        base = np.log10(2 * n + 1)
+        sums = [np.bincount(who, np.repeat(x, asking) * times, len(texts)) for x in (n > 0, base, base + gain)]
         columns = [texts[name] for name in ("row", "doc_id", "n_tokens")] + [pa.array(texts["known"].to_numpy() + sums[0].astype(np.int64))]
         columns += [pa.array(texts[name].to_numpy() + x) for name, x in zip(("base", "score"), sums[1:], strict=True)]
         return pa.table(columns, names=["row", "doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     asks = parts.select("part", "n_runs", "runs").mapInArrow(ask, "bucket long, part long, start long, rows long, data binary")
-    values = values.select("key", F.col("known").cast("long"), "base", "score").mapInArrow(give, "bucket long, rows long, held binary")
+    # A word is worth (n + 0.5) / size against 0.5 / size at the root, which follows from n; most words have no more than that.
+    values = values.select("key", F.when(F.col("known") == 1, F.col("n")).otherwise(0).alias("n"), (F.col("score") - F.col("base")).alias("gain")).mapInArrow(give, "bucket long, rows long, held binary")
     found = asks.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(answer, "part long, start long, rows long, data binary")
     schema = f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double"
     parts = parts.select("part", "n_runs", "n_askers", "askers", "texts")
     return parts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(add, schema)
 
 
-def _even(known: np.ndarray, base: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``known``, ``base``, and in which bits ``score`` differs: in none for a rare word, and of a run ``base`` is 0."""
-    return known, base, base.view(np.uint64) ^ score.view(np.uint64)
-
-
 def score(docs: DataFrame, tree: SuffixTree, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``row, doc_id, n_tokens, n_known, base_score, score`` of every row: logarithms to base 10 of the text's probability.
 
@@ -646,12 +642,13 @@ def score(docs: DataFrame, tree: SuffixTree, text: str = "text", doc_id: str = "
     or lack ids; other columns are not read.
     """
     spark = docs.sparkSession
+    free_shuffles(spark)
     least = _least_of_head(tree.values, HEAD)
     head = tree.values.where(F.col("n") >= least).toArrow()
     order = np.argsort(head["key"].to_numpy().view(np.uint64))
     common = {name: head[name].to_numpy()[order] for name in ("key", "known", "base", "score")}
     common["key"] = common["key"].view(np.uint64)
-    tail = tree.values.where(F.col("n") < least).select("key", "known", "base", "score")
+    tail = tree.values.where(F.col("n") < least)
     # With a run its shorter endings have values, so a run is looked at only if the one without its first word passes.
     common_, valued = sent(spark, common), _bitmap(tree.values.where("known = 0"))
     depth, unknown = tree.depth, tree.unknown

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -74,6 +75,12 @@ def settle(df: DataFrame, label: str, since: int) -> DataFrame:
     return settled
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of finished steps dropped, which else stay on disk until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def stages(spark: SparkSession) -> Iterator[None]:
     """Everything that is staged inside goes at the end: compute and write results inside."""
