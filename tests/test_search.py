@@ -233,6 +233,26 @@ def test_blocks_hand_on_the_best_documents_only(spark, monkeypatch, tmp_path):
     assert scores.groupBy("query_id").count().agg({"count": "max"}).first()[0] <= 3 * blocks < 300
 
 
+def test_blocks_make_no_row_per_query_and_block(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(blockmax, "BLOCK_DOCUMENTS", 8)
+    monkeypatch.setattr(blockmax, "SEED_DOCUMENTS", 4)
+    docs = {i: f"common words everywhere w{i}" for i in range(400)}
+    queries = {i: f"common words everywhere w{7 * i}" for i in range(50)} | {60: "common common", 61: "words w3 w3 w5 w390"}
+    asked = spark.createDataFrame(list(queries.items()), "query_id bigint, query string")
+    index = lexical.bm25_index(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), path=str(tmp_path / "index"))
+    staged, real = {}, blockmax.stage
+
+    def counted(df, label):
+        table = real(df, label)
+        staged[label] = table.count()
+        return table
+
+    monkeypatch.setattr(blockmax, "stage", counted)
+    assert found(lexical.bm25_search(asked, index, k=3)) == bm25_by_hand(queries, docs, 3)
+    blocks = index.blocks.select("block").distinct().count()
+    assert blocks >= 40 and staged and max(staged.values()) < len(queries) * blocks
+
+
 def test_a_block_is_bounded_by_its_words(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(blockmax, "BLOCK_WORDS", 1_000)
     docs = spark.createDataFrame([(i, "a b c d e " * 20) for i in range(60)], "doc_id bigint, text string")
