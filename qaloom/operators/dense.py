@@ -18,6 +18,9 @@ from qaloom.operators.tiles import LEFT_ROWS, RIGHT_ROWS, BestHits, blocks_for,
 
 # Rows of a tile's right side that are scored together.
 RIGHT_SLICE = 8_192
+# Tiles of a core, as long as their left sides keep so many rows.
+TILES_PER_CORE = 4
+LEAST_ROWS = 1_024
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -78,7 +81,8 @@ def dense_search(
 
 
 def _hits(best: BestHits) -> list[pa.Array]:
-    return [pa.array(best.ids[best.rows]), pa.array(best.found), pa.array(best.scores, pa.float64())]
+    rows, found, scores = best.hits
+    return [pa.array(best.ids[rows]), pa.array(found), pa.array(scores, pa.float64())]
 
 
 def _against_all(left: DataFrame, right: DataFrame, k: int, exclude_same_id: bool, schema: str) -> DataFrame:
@@ -114,8 +118,12 @@ def _in_tiles(
         found = _hits(best)
         return pa.table([found[0].cast(kinds[0]), found[1].cast(kinds[1]), found[2]], names=["query_id", "doc_id", "score"])
 
-    parts = blocks_for(n_left, dimensions, LEFT_ROWS), blocks_for(right.count(), dimensions, RIGHT_ROWS)
-    return tiled(left, right, "query_id", "doc_id", *parts).applyInArrow(search_tile, schema)
+    # Blocks are large, since each row goes to all blocks of the other side, as long as all cores have tiles.
+    n_right = blocks_for(right.count(), dimensions, RIGHT_ROWS)
+    wanted = -(-TILES_PER_CORE * left.sparkSession.sparkContext.defaultParallelism // n_right)
+    most = blocks_for(n_left, dimensions, LEAST_ROWS)
+    parts = max(blocks_for(n_left, dimensions, LEFT_ROWS), min(wanted, most)), n_right
+    return tiled(left, right, "query_id", "doc_id", *parts, partitions=2 * parts[0] * parts[1]).applyInArrow(search_tile, schema)
 
 
 def rerank(

@@ -290,6 +290,62 @@ def test_scores_are_computed_in_bounded_slices(monkeypatch):
     assert (best.found.reshape(100, 3) == want).all()
 
 
+def test_few_scores_are_sorted(monkeypatch):
+    monkeypatch.setattr(tiles, "SCORE_CELLS", 20_000)
+    rng = np.random.default_rng(1)
+    left, right = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.normal(size=(100, 16)), rng.normal(size=(40_000, 16))))
+    left[7] = 0.0
+    right[900:960] = right[900]
+    left_ids, right_ids = np.arange(100), rng.permutation(40_000)
+    compared, real = [], tiles.best_per_row
+
+    def counted(rows, *others):
+        compared.append(len(rows))
+        return real(rows, *others)
+
+    monkeypatch.setattr(tiles, "best_per_row", counted)
+    best = tiles.BestHits(left, left_ids, 10, 6, True)
+    for begin in range(0, 40_000, 5_000):
+        best.add(right[begin : begin + 5_000], right_ids[begin : begin + 5_000])
+    rows, found_ids, scores = best.rows, best.found, best.scores
+    exact = np.round(left @ right.T, 6)
+    for i in range(100):
+        order = [j for j in np.lexsort((right_ids, -exact[i])) if right_ids[j] != left_ids[i]][:10]
+        assert found_ids[rows == i].tolist() == right_ids[order].tolist()
+        assert np.abs(scores[rows == i] - exact[i][order]).max() < 1e-6
+    assert sum(compared) < 300 * 100 * 10
+
+
+def test_scores_that_single_precision_cannot_tell_apart():
+    rng = np.random.default_rng(5)
+    left = rng.normal(size=(20, 64)) / 8
+    # Around each left row, many right rows whose scores differ in the sixth decimal.
+    right = np.concatenate([left + rng.normal(size=(20, 64)) * 2e-4 for _ in range(200)])
+    left, right = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (left, right))
+    best = tiles.BestHits(left, np.arange(20), 10, 6, False)
+    ids = rng.permutation(len(right))
+    for begin in range(0, len(right), 500):
+        best.add(right[begin : begin + 500], ids[begin : begin + 500])
+    rows, found_ids = best.rows, best.found
+    exact = np.round(np.einsum("ik,jk->ij", left, right), 6)
+    for i in range(20):
+        assert found_ids[rows == i].tolist() == ids[np.lexsort((ids, -exact[i]))[:10]].tolist()
+        assert np.abs((left[i].astype(np.float32) @ right.T.astype(np.float32)) - left[i] @ right.T).max() < tiles.single_error(64)
+
+
+def test_rows_go_to_few_tiles():
+    # A row goes to all blocks of the other side.
+    assert tiles.blocks_for(720_000, 64, dense.LEFT_ROWS) + tiles.blocks_for(720_000, 64, dense.RIGHT_ROWS) < 50
+
+
+def test_an_id_that_comes_twice_leaves_itself_out_once():
+    left = np.eye(3)[[0, 0, 1]]
+    best = tiles.BestHits(left, np.array([5, 5, 6]), 2, 6, True)
+    best.add(np.eye(3), np.array([5, 6, 7]))
+    rows, found_ids = best.rows, best.found
+    assert [found_ids[rows == i].tolist() for i in range(3)] == [[6, 7], [5, 6], [5, 7]]
+
+
 def test_top_k_beyond_the_limit_of_the_engine(spark):
     rows = spark.range(5000).select(F.lit("q").alias("query_id"), F.col("id").alias("doc_id"), (F.col("id") % 100).cast("double").alias("score"))
     got = ranking.top_k(rows, 1200, ["query_id"]).orderBy("rank").collect()
