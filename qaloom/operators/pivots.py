@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from qaloom import prompts
 from qaloom.operators.ranking import SCORE_DECIMALS, top_k
-from qaloom.operators.tiles import SCORE_CELLS, best_in_tile, best_per_row, unit_rows, usable
+from qaloom.operators.tiles import CACHED_CELLS, SCORE_CELLS, at_least, best_per_row, nth_best, single_error, smallest, unit_rows, usable
 from qaloom.session import scratch_path
 
 # Vectors that place the pivots (drawn by the hash of their ids), and rounds of moving them.
@@ -30,8 +30,8 @@ ROUNDS = 4
 CELL_ROWS = 4_096
 MOST_PIVOTS = 4_096
 # Queries times cells, and queries times dimensions, of one pass over the index; more queries take several passes.
-QUERY_CELLS = 1 << 21
-QUERY_ELEMENTS = 1 << 20
+QUERY_CELLS = 1 << 22
+QUERY_ELEMENTS = 1 << 21
 # Neighbouring vectors of a cell that are kept or dropped together, and hits that a task holds per query before it sorts.
 RUN = 512
 HELD = 4
@@ -147,8 +147,14 @@ def pivot_search(
     n = left.count()
     at_once = max(1, min(QUERY_CELLS // max(1, len(index.rows)), QUERY_ELEMENTS // max(1, dimensions)))
     passes = max(1, -(-n // at_once))
-    part = F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(passes))
-    found = [_pass(left.where(part == i), index, k, exclude_same_id, report) for i in range(passes)]
+    part = F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(passes)).cast("int")
+    if passes > 1:
+        # A pass reads its own folder.
+        path = scratch_path(left.sparkSession, "pivot-queries")
+        parted = left.withColumn("_pass", part).repartition(passes, "_pass")
+        parted.write.partitionBy("_pass").parquet(path)
+        left, part = left.sparkSession.read.schema(parted.schema).parquet(path), F.col("_pass")
+    found = [_pass(left.where(part == i).select("query_id", "vector"), index, k, exclude_same_id, report) for i in range(passes)]
     united = found[0]
     for more in found[1:]:
         united = united.unionByName(more)
@@ -203,26 +209,44 @@ def _scan(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, ids, askers, bar, pivots = held.value
-        hits, doc_kind = _Hits(k), None
+        single, zero, error = units.astype(np.float32), ~units.any(axis=1), single_error(units.shape[1])
+        # The bars rise with the best hits so far.
+        hits, doc_kind = _Hits(k, bar.copy()), None
         for batch in batches:
             doc_kind = batch.schema.field("doc_id").type
             cell, near = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             docs, rows = batch.column(2).to_numpy(zero_copy_only=False), unit_rows(batch.column(3))
+            single_rows = rows.astype(np.float32)
             # Runs of neighbours within one cell.
             edges = np.unique(np.concatenate([np.flatnonzero(np.diff(cell)) + 1, np.arange(0, len(cell), RUN), [len(cell)]]))
             for begin, end in zip(edges[:-1], edges[1:], strict=True):
-                who = askers[int(cell[begin])]
+                who, found = askers[int(cell[begin])], docs[begin:end]
+                if (nulls := who[zero[who]]).size:
+                    # A query of length 0 scores 0 with all, so the smallest ids are its best.
+                    some = found[smallest(found, k)]
+                    row, doc = np.repeat(nulls, len(some)), np.tile(some, len(nulls))
+                    other = ids[row] != doc if exclude_same_id else np.full(len(row), True)
+                    hits.add(row[other], doc[other], np.zeros(int(other.sum())))
+                    who = who[~zero[who]]
                 if cell[begin] != NO_PIVOT:
                     own = near[begin:end]
                     bound = reach(units[who] @ pivots[cell[begin]], own.min(), own.max())
-                    bound[~units[who].any(axis=1)] = 0.0
-                    who = who[bound >= bar[who]]
-                for some in np.array_split(who, -(-len(who) * (end - begin) // SCORE_CELLS)) if len(who) else ():
-                    scores = units[some] @ rows[begin:end].T
+                    who = who[bound >= hits.bar[who]]
+                else:
+                    who = who[hits.bar[who] <= 0]
+                for some in np.array_split(who, -(-len(who) * (end - begin) // CACHED_CELLS)) if len(who) else ():
+                    scores = single[some] @ single_rows[begin:end].T
+                    least = hits.bar[some] - error
+                    if (unbarred := np.flatnonzero(np.isneginf(least))).size:
+                        if exclude_same_id:
+                            scores[ids[some][:, None] == found] = -np.inf
+                        least[unbarred] = nth_best(scores[unbarred], k) - 2 * error - MARGIN
+                    q, d = np.divmod(at_least(scores, least), end - begin)
+                    exact = np.einsum("ij,ij->i", units[some[q]], rows[begin:end][d])
+                    kept = exact >= hits.bar[some[q]]
                     if exclude_same_id:
-                        scores[ids[some][:, None] == docs[begin:end]] = -np.inf
-                    q, d = best_in_tile(scores, docs[begin:end], k, SCORE_DECIMALS)
-                    hits.add(some[q], docs[begin:end][d], scores[q, d])
+                        kept &= ids[some[q]] != found[d]
+                    hits.add(some[q[kept]], found[d[kept]], exact[kept])
         if doc_kind is not None:
             row, found, scores = hits.best()
             columns = [pa.array(row, pa.int64()), pa.array(ids[row]).cast(asked_kind), pa.array(found).cast(doc_kind), pa.array(scores, pa.float64())]
@@ -233,10 +257,10 @@ def _scan(
 
 
 class _Hits:
-    """The best ``k`` hits of every query over parts as they come."""
+    """The best ``k`` hits of every query over parts as they come, and the score that a further hit has to reach."""
 
-    def __init__(self, k: int):
-        self.k, self.parts, self.held, self.last = k, [], 0, 1 << 16
+    def __init__(self, k: int, bar: np.ndarray):
+        self.k, self.bar, self.parts, self.held, self.last = k, bar, [], 0, 1 << 16
 
     def add(self, rows: np.ndarray, found: np.ndarray, scores: np.ndarray) -> None:
         self.parts.append((rows, found, scores))
@@ -250,5 +274,9 @@ class _Hits:
         if not self.parts:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         rows, found, scores = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        keep = best_per_row(rows, np.round(scores, SCORE_DECIMALS), found, self.k)
+        values = np.round(scores, SCORE_DECIMALS)
+        keep = best_per_row(rows, values, found, self.k)
+        counts = np.bincount(rows[keep], minlength=len(self.bar))
+        full = counts == self.k
+        self.bar[full] = np.maximum(self.bar[full], values[keep][(np.cumsum(counts) - 1)[full]] - MARGIN)
         return rows[keep], found[keep], scores[keep]

@@ -407,6 +407,38 @@ def test_pivot_search_prunes_folders_and_does_not_shuffle_the_corpus(spark, monk
     assert plan.count("Exchange ") == 1 and "Exchange hashpartitioning(_row" in plan
 
 
+def test_the_bar_of_a_pivot_search_rises():
+    hits = pivots._Hits(2, np.full(3, -np.inf))
+    hits.last = 1
+    hits.add(np.array([0, 0, 0, 2, 0]), np.array([5, 6, 7, 5, 8]), np.array([0.2, 0.5, 0.4, 0.9, 0.1]))
+    assert hits.bar.tolist() == [0.4 - pivots.MARGIN, -np.inf, -np.inf]
+    hits.add(np.array([0, 2, 2]), np.array([9, 9, 7]), np.array([0.3, 0.8, 0.7]))
+    row, doc, score = hits.best()
+    assert list(zip(row.tolist(), doc.tolist(), score.tolist(), strict=True)) == [(0, 6, 0.5), (0, 7, 0.4), (2, 5, 0.9), (2, 9, 0.8)]
+    assert hits.bar.tolist() == [0.4 - pivots.MARGIN, -np.inf, 0.8 - pivots.MARGIN]
+
+
+def test_a_pass_of_queries_reads_its_own_folder(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "CELL_ROWS", 20)
+    monkeypatch.setattr(pivots, "QUERY_ELEMENTS", 5 * 40)
+    vectors = [v.tolist() for v in clustered(120, 6, 5, 2)]
+    # Zero vectors and copies.
+    vectors[3] = vectors[50] = [0.0] * 5
+    vectors[60:70] = [vectors[60]] * 10
+    known = spark.createDataFrame(list(enumerate(vectors)), "doc_id bigint, vector array<float>")
+    asked = known.withColumnRenamed("doc_id", "query_id")
+    plans, real = [], pivots._pass
+
+    def seen(left, *others):
+        plans.append(left._jdf.queryExecution().executedPlan().toString())
+        return real(left, *others)
+
+    monkeypatch.setattr(pivots, "_pass", seen)
+    got = found(pivots.pivot_search(asked, pivots.pivot_index(known), 4, exclude_same_id=True))
+    assert got == found(dense.dense_search(asked, known, 4, exclude_same_id=True, broadcast=False))
+    assert len(plans) == 3 and all("_pass" in plan.split("PartitionFilters: ")[1].split("]")[0] for plan in plans)
+
+
 def test_reach_bounds_every_cosine():
     rng = np.random.default_rng(3)
     rows, query, pivot = (x / np.linalg.norm(x, axis=-1, keepdims=True) for x in (rng.normal(size=(500, 4)), rng.normal(size=4), rng.normal(size=4)))
